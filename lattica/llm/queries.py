@@ -3,14 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, mixing
+from .decontamination import contaminated
+from .mixing import mixed
 from .near_dedup import near_groups
+from .quality_rules import quality_rules
+from .resharding import reshard
 from .tables import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 shards by source, badly balanced, to 16 of equal bytes."""
+    placed, _ = reshard(table(spark, sf_dir, "documents"), F.crc32(F.coalesce("source", F.lit(""))) % 12, 12)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op8_minhash_near_dedup,)}
-ORACLE: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontamination, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}
+ORACLE: dict[str, str] = {"op5_decontamination": decontamination.ORACLE, "op10_source_mixing": mixing.ORACLE}

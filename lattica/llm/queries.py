@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing
+from . import decontamination, line_dedup, mixing
 from .decontamination import contaminated
+from .html_text import main_text
 from .mixing import mixed
 from .near_dedup import near_groups
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .resharding import reshard
 from .tables import table
+from .token_counts import section_tokens
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "pages"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 12 shards by source, badly balanced, to 16 of equal bytes."""
     placed, _ = reshard(table(spark, sf_dir, "documents"), F.crc32(F.coalesce("source", F.lit(""))) % 12, 12)
@@ -36,5 +55,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}
-ORACLE: dict[str, str] = {"op5_decontamination": decontamination.ORACLE, "op10_source_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op4_html_text, op5_decontamination, op6_token_counts, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op10_source_mixing": mixing.ORACLE}

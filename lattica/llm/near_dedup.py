@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import Scratch
-from .texts import chunks, distinct, keys, mix, shingle_sets
+from .texts import chunks, keys, mix, repeated, shingle_sets
 
 SLOTS, BANDS = 128, 32
+#: Words of 64 bits in the maps of a member's differences from its pivot; a power of two.
+MAP_WORDS = 8
 
 
 def superminhash(values, which, count: int, slots: int = SLOTS):
@@ -82,8 +84,16 @@ def signatures(docs: DataFrame, words: int, slots: int = SLOTS, bands: int = BAN
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """pairs(a, b) with the exact sizes of the intersection and union of their shingle sets."""
-    schema = "a long, b long, both long, any long"
+    """pairs(a, b) with the exact sizes of the intersection and union of their shingle sets, and MAP_WORDS
+    * 64 bits each for the shingles that b lacks (lost) and those that a lacks (won)."""
+    maps = [f"{kind}{i}" for kind in ("lost", "won") for i in range(MAP_WORDS)]
+    schema = "a long, b long, both long, any long, " + ", ".join(f"{m} long" for m in maps)
+
+    def bitmaps(values, which, count):
+        out = np.zeros((count, MAP_WORDS), np.uint64)
+        bit = mix(values ^ np.uint64(0x3C79AC492BA7B653))
+        np.bitwise_or.at(out, (which, (bit & np.uint64(MAP_WORDS - 1)).astype(np.int64)), np.uint64(1) << ((bit >> np.uint64(8)) & np.uint64(63)))
+        return list(out.view(np.int64).T)
 
     def run(batches):
         for batch in batches:
@@ -100,8 +110,12 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     parts = [shingle_sets(d, o, words) + (r,) for r, d, o in chunks(whole.slice(base, end - at), 1 << 40)]
                     found.append((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[2] for p in parts])))
                 n = sum(np.bincount(w, minlength=end - at) for _, w in found)
-                union = np.bincount(distinct(np.concatenate([v for v, _ in found]), np.concatenate([w for _, w in found]))[1], minlength=end - at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(n - union), pa.array(union)], names=["a", "b", "both", "any"])
+                value, which = np.concatenate([v for v, _ in found]), np.concatenate([w for _, w in found])
+                twice = repeated(value, which)
+                both = np.bincount(which[twice], minlength=end - at) // 2
+                lost, won = (np.flatnonzero(~twice & side) for side in (np.arange(len(value)) < len(found[0][0]), np.arange(len(value)) >= len(found[0][0])))
+                columns = [both, n - both, *bitmaps(value[lost], which[lost], end - at), *bitmaps(value[won], which[won], end - at)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["a", "b", "both", "any", *maps])
                 at = end
 
     text = docs.where("doc_id is not null").select("doc_id", F.col("text"))
@@ -115,9 +129,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Two documents are linked if 100 * |A n B| >= percent * |A u B| for their sets of distinct `words`-word
     shingles of the lower-cased text. Equal sets become one class first. Bands of the signatures give
-    candidates among classes: each member of a bucket is verified against the bucket's smallest member;
-    then pairs of a bucket that still lie in different components are verified, unless sizes or the
-    triangle inequality of the Jaccard distance rule them out. So large groups cost one test per member.
+    candidates among classes: each member of a bucket is verified against the bucket's most central one;
+    then pairs of a bucket that still lie in different components are verified, unless a bound rules them
+    out: bitmaps of what each member lacks of the pivot and adds to it limit what two members share. So
+    the copies of a large group cost about one test each.
 
     Null or blank texts have an empty set and are linked with nothing. A null doc_id takes part in no
     link of its own: its component_id is that of its equals, or null, and kept is false. Rows that share
@@ -131,13 +146,19 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     classes = scratch.cut(classes)
     member = sig.where("doc_id is not null and n >= 4").join(classes.select(F.col("class").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi")
     banded = member.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    inside = scratch.cut(banded.join(buckets, "key"))
-    sizes = classes.select(F.col("class").alias("id"), "n").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    first = inside.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
-    first = first.join(sizes.withColumnRenamed("id", "a"), "a").where(f"most >= {share} * n_b - 1e-9 and n_b >= {share} * least - 1e-9").select("a", "b").distinct()
-    tested = scratch.cut(verified(first, docs, words).groupBy("a", "b").agg(F.max(F.col("both") / F.col("any")).alias("like")))
-    linked = lambda t: t.where(f"100 * like >= {percent} - 1e-9").select("a", "b")
+    sized = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = scratch.cut(banded.join(sized, "key"))
+    # A bucket's pivot is its most central member: the one that meets most others over all its buckets.
+    central = met.groupBy("id").agg(F.sum("size").alias("met")).select("id", (F.col("met") * 1048576 + F.pmod(F.xxhash64("id"), F.lit(1048576))).alias("central"))
+    central = scratch.cut(central)
+    pivots = met.select("key", "id").join(central, "id").groupBy("key").agg(F.max_by("id", "central").alias("pivot"))
+    inside = scratch.cut(met.select("key", "id", "n").join(pivots, "key"))
+    scratch.drop(met)
+    sizes = classes.select(F.col("class").alias("pivot"), "n").groupBy("pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    first = inside.where("id <> pivot").select("pivot", "id", "n").distinct().join(sizes, "pivot")
+    first = first.where(f"most >= {share} * n - 1e-9 and n >= {share} * least - 1e-9").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    tested = scratch.cut(verified(first, docs, words))
+    linked = lambda t: t.where(f"100 * both >= {percent} * any").select("a", "b")
     # Rows that share a doc_id join the classes of their different texts.
     same = sig.where("doc_id is not null and n > 0").join(classes, ["f1", "f2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("a", "b")
     links = linked(tested).unionByName(same)
@@ -145,13 +166,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         known = components(links, scratch)
         placed = inside.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        loose = placed.join(mixed, "key").join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "like"), ["pivot", "id"], "left")
-        loose = scratch.cut(loose.withColumn("far", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(1 - F.col("like"))).select("key", "id", "n", "component", "far"))
-        a, b = (loose.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "far")]) for s in "ab")
-        near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - share + 1e-9, F.lit(True))
-        rest = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & (F.col("n_a") >= share * F.col("n_b") - 1e-9) & (F.col("n_b") >= share * F.col("n_a") - 1e-9) & near)
-        rest = rest.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch.cut(verified(rest, docs, words).groupBy("a", "b").agg(F.max(F.col("both") / F.col("any")).alias("like")))
+        loose = placed.join(mixed, "key").withColumnRenamed("component", "part")
+        maps = [f"{kind}{i}" for kind in ("lost", "won") for i in range(MAP_WORDS)]
+        like = tested.withColumnsRenamed({"a": "pivot", "b": "id"}).groupBy("pivot", "id").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("both", "any", *maps)]).where("times = 1")
+        loose = loose.join(like, ["pivot", "id"], "left")
+        itself = F.col("id") == F.col("pivot")
+        loose = scratch.cut(loose.select("key", "id", "n", "part", F.when(itself, F.col("n")).otherwise(F.col("both")).alias("core"), F.when(itself, 0).otherwise(F.col("any") - F.col("n")).alias("lost"), *[F.when(itself, 0).otherwise(F.col(m)).alias(m) for m in maps]))
+        a, b = (loose.select("key", *[F.col(c).alias(f"{c}_{s}") for c in loose.columns if c != "key"]) for s in "ab")
+        # Bits that only one of two maps has stand for as many shingles that the other set lacks.
+        alone = lambda kind, x, y: sum(F.bit_count(F.col(f"{kind}{i}_{x}").bitwiseAND(F.bitwise_not(f"{kind}{i}_{y}"))) for i in range(MAP_WORDS))
+        inside_pivot = F.col("core_a") + F.col("lost_a") - F.greatest(F.col("lost_a") + alone("lost", "b", "a"), F.col("lost_b") + alone("lost", "a", "b"))
+        outside = F.least(*[F.col(f"n_{x}") - F.col(f"core_{x}") - alone("won", x, y) for x, y in ("ab", "ba")])
+        may = F.coalesce((100 + percent) * (inside_pivot + outside) >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
+        rest = a.join(b, "key").where((F.col("part_a") < F.col("part_b")) & (F.col("n_a") >= share * F.col("n_b") - 1e-9) & (F.col("n_b") >= share * F.col("n_a") - 1e-9) & may)
+        rest = rest.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+        for x, y in (("a", "b"), ("b", "a")):
+            rest = rest.join(tested.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
+        more = scratch.cut(verified(rest, docs, words).select("a", "b", "both", "any"))
         links = linked(more).unionByName(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
     known = components(links, scratch)
     final = classes.join(known.withColumnRenamed("node", "class"), "class", "left").select("f1", "f2", "n", F.coalesce("component", "class").alias("component_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Scratch
-from .texts import chunks, distinct, mix, span_hashes, windows, words
+from .texts import chunks, distinct, repeated, span_hashes, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_echoes")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
@@ -25,17 +25,6 @@ GOOD_LOSS = 0.005
 BINS = 2000
 
 
-def repeated(values, which):
-    """Whether each value occurs twice or more for its text number."""
-    key = values ^ mix(which.astype(np.uint64) + np.uint64(0x51ED270B))
-    order = np.argsort(key)
-    key = key[order]
-    same = key[1:] == key[:-1]
-    out = np.zeros(len(key), bool)
-    out[order] = np.append(False, same) | np.append(same, False)
-    return out
-
-
 def counts(data, offsets):
     """The COUNTS of each text of a chunk, as rows of an array."""
     n = len(offsets) - 1

@@ -113,6 +113,18 @@ def distinct(values, which):
     return values[kept], which[kept]
 
 
+def repeated(values, which):
+    """Whether each value occurs twice or more for its text number."""
+    key = values ^ mix(which.astype(np.uint64) + np.uint64(0x51ED270B))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    out = np.zeros(len(key), bool)
+    if len(key):
+        out[order] = np.append(False, same) | np.append(same, False)
+    return out
+
+
 def shingle_sets(data, offsets, n: int):
     """Distinct shingles of the lower-cased texts, and their text numbers, by text."""
     data = LOWER[data]

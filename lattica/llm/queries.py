@@ -13,6 +13,7 @@ from .near_dedup import near_groups
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .resharding import reshard
+from .suffix_dedup import repeated_strings
 from .tables import table
 from .token_counts import section_tokens
 
@@ -25,6 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -55,5 +60,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op4_html_text, op5_decontamination, op6_token_counts, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_suffix_dedup, op4_html_text, op5_decontamination, op6_token_counts, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}
 ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op10_source_mixing": mixing.ORACLE}

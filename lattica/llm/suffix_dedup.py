@@ -167,71 +167,113 @@ def judged(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
-def transform(strings: list[bytes], cap: int):
-    """Sorted suffixes of a collection and their common prefixes with the one before, up to cap.
+def transform(strings: list, cap: int):
+    """Sorted suffixes of a collection of symbol arrays (uint16), with the common prefix of each and the one
+    before, up to cap symbols.
 
     Column-wise construction: round j inserts, for each string, the suffix of its last j symbols, found
     from the round before by sorting on the symbol in front (the transform); the common prefix of two
     neighbours with the same symbol is one more than the least between their tails. Each round reads the
-    arrays of the last one in order and writes new ones. Returns (position in the joined text, prefix)."""
+    arrays of the last one in order and writes new ones. Returns (position in the joined text, prefix)
+    without the empty suffixes."""
     lens = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    text = np.concatenate(strings)
     end = np.cumsum(lens)
     is_start = np.zeros(len(text) + 1, bool)
     is_start[end - lens] = True
-    empty = end.astype(np.int64)  # the empty suffix of string i stands at its end
     n = len(strings)
-    at, prefix = empty.copy(), np.zeros(n, np.uint8)
-    at_start = np.zeros(n, bool)  # suffixes that are a whole string have no symbol in front
+    at, prefix = end.astype(np.int64), np.zeros(n, np.uint8)  # the empty suffixes, at their strings' ends
+    whole = lens == 0  # suffixes that are a whole string have no symbol in front
     for _ in range(int(lens.max())):
-        open_ = np.flatnonzero(~at_start)
+        open_ = np.flatnonzero(~whole)
         symbol = text[at[open_] - 1]
-        order = open_[np.argsort(symbol, kind="stable")]
-        front = text[at[order] - 1]
-        # Least prefix between consecutive positions of one symbol, by doubling ranges.
-        same = np.append(False, front[1:] == front[:-1])
-        step = np.zeros(len(order), np.int64)
-        step[1:] = order[1:] - order[:-1]
+        by = np.argsort(symbol, kind="stable")
+        order, symbol = open_[by], symbol[by]
         value = np.zeros(len(order), np.uint8)
-        ask = np.flatnonzero(same)
-        if len(ask):
-            lo, width = order[ask - 1] + 1, step[ask]
+        ask = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+        if len(ask):  # least prefix between consecutive places of one symbol, over ranges of doubled length
+            lo = order[ask - 1] + 1
+            width = order[ask] - lo + 1
             level = np.frexp(width.astype(float))[1] - 1
-            table, span = prefix, 1
+            table, span, top = prefix, 1, int(level.max())
             got = np.zeros(len(ask), np.uint8)
-            for depth in range(int(level.max()) + 1):
+            for depth in range(top + 1):
                 here = np.flatnonzero(level == depth)
                 if len(here):
                     got[here] = np.minimum(table[lo[here]], table[lo[here] + width[here] - span])
-                if depth < int(level.max()):
+                if depth < top:
                     table = np.minimum(table[:-span], table[span:])
                     span *= 2
             value[ask] = np.minimum(got.astype(np.int64) + 1, cap)
-        at = np.concatenate([empty, at[order] - 1])
+        inserted = at[order] - 1
+        at = np.concatenate([end, inserted])
         prefix = np.concatenate([np.zeros(n, np.uint8), value])
-        at_start = np.concatenate([lens == 0, is_start[at[n:]]])
-    return at, prefix
+        whole = np.concatenate([lens == 0, is_start[inserted]])
+    return at[n:], prefix[n:]
+
+
+def symbols(strings: list[bytes], length: int):
+    """The collection in symbols of `size` bytes, for a size that divides the length: each string in `size`
+    copies, cut at its end by 0, 1, ... bytes and at its front to whole symbols, so that each place starts
+    a suffix of one of them. Returns (arrays, size, string number and cut of each)."""
+    size = next(w for w in (4, 2, 1) if length % w == 0)
+    while True:
+        codes, owner, cut = [], [], []
+        for i, s in enumerate(strings):
+            for c in range(size):
+                m = (len(s) - c) // size
+                codes.append(np.frombuffer(s, np.uint8, m * size, len(s) - c - m * size).reshape(m, size))
+                owner.append(i), cut.append(c)
+        lens = [len(c) for c in codes]
+        joined = np.ascontiguousarray(np.concatenate(codes)).view(f"u{size}").ravel()
+        names, number = np.unique(joined, return_inverse=True)
+        if len(names) <= 65536:
+            return np.split(number.astype(np.uint16), np.cumsum(lens)[:-1]), size, np.array(owner), np.array(cut)
+        size //= 2
+
+
+def shared(rows, length: int):
+    """Which runs of (anchor, bytes) have a string of `length` bytes, by a hash, that another run of the
+    anchor has: the others need no transform."""
+    lens = np.array([len(r[1]) for r in rows])
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
+    sums = np.append(U(0), np.cumsum(keys(256, 11)[x] * powers(ODD, len(x))))
+    hashes = (sums[length:] - sums[:-length]) * powers(INVERSE, len(x) - length + 1)
+    begin = np.cumsum(lens) - lens
+    many = lens - length + 1
+    at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    run = np.repeat(np.arange(len(rows)), many)
+    anchor = np.array([r[0] for r in rows]).astype(np.int64).view(U)
+    key = mix(hashes[at]) ^ mix(anchor[run])
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(rows), bool)
+    again[run[order[np.append(False, same) | np.append(same, False)]]] = True
+    return again
 
 
 def repeats(rows, length: int = LENGTH):
     """Runs (list of (doc key, start, many, bytes)) of whole anchors: which starts are repeats of an earlier
     string, as (run number, offset). Places order by doc key, then start."""
-    at, prefix = transform([r[3] for r in rows], length)
-    lens = np.array([len(r[3]) for r in rows])
+    strings, size, source, cut = symbols([r[3] for r in rows], length)
+    at, prefix = transform(strings, length // size)
+    lens = np.array([len(s) for s in strings])
     begin = np.cumsum(lens) - lens
-    # An empty suffix stands where the next string starts; those are the first len(rows) entries.
-    at, prefix = at[len(rows) :], prefix[len(rows) :]
-    owner = np.searchsorted(begin, at, "right") - 1
-    offset = at - begin[owner]
-    group = np.cumsum(prefix < length)
+    part = np.searchsorted(begin + lens, at, "right")  # a suffix of one symbol or more lies inside its string
+    owner = source[part]
+    size_of = np.array([len(r[3]) for r in rows])
+    offset = size_of[owner] - cut[part] - (begin[part] + lens[part] - at) * size
+    group = np.cumsum(prefix < length // size)
     many = np.array([r[2] for r in rows])
     use = np.flatnonzero(offset < many[owner])
     owner, offset, group = owner[use], offset[use], group[use]
+    if not len(owner):
+        return owner, offset
     doc = np.array([r[0] for r in rows])[owner]
     place = np.array([r[1] for r in rows])[owner] + offset
     order = np.lexsort((place, doc, group))
-    new = np.append(True, group[order][1:] != group[order][:-1]) if len(order) else np.zeros(0, bool)
-    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    new = np.append(True, group[order][1:] != group[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = order[~((doc[order] == doc[lead]) & (place[order] == place[lead]))]
     return owner[later], offset[later]
 
@@ -241,9 +283,11 @@ def compared(strings: DataFrame, length: int) -> DataFrame:
     schema = "doc_id long, text_hash long, start long, end long"
 
     def settle(t):
+        again = np.flatnonzero(shared(list(zip(t["anchor"].to_pylist(), t["bytes"].to_pylist())), length))
+        t = t.take(pa.array(again))
         ids = t["doc_id"]
         rows = list(zip(ids.to_pylist(), t["start"].to_pylist(), t["many"].to_pylist(), t["bytes"].to_pylist()))
-        owner, offset = repeats(rows, length)
+        owner, offset = repeats(rows, length) if rows else (again, again)
         start = t["start"].to_numpy()[owner] + offset
         return pa.RecordBatch.from_arrays([ids.combine_chunks().take(pa.array(owner)), t["text_hash"].combine_chunks().take(pa.array(owner)), pa.array(start), pa.array(start + length)], names=["doc_id", "text_hash", "start", "end"])
 

@@ -105,7 +105,7 @@ def hilbert_sql(source: str, keep: str, order: int = ORDER, x: str = "gx", y: st
     for i, bit in enumerate(reversed(range(order))):
         side = 1 << bit
         rx, ry = f"(case when x_ & {side} > 0 then 1 else 0 end)", f"(case when y_ & {side} > 0 then 1 else 0 end)"
-        inner = f"select {keep}, h + {side * side} * xor(3 * {rx}, {ry}) as h, {rx} as rx, {ry} as ry, x_ & {side - 1} as lx, y_ & {side - 1} as ly from h{i}"
+        inner = f"select {keep}, h + {side * side}::bigint * xor(3 * {rx}, {ry}) as h, {rx} as rx, {ry} as ry, x_ & {side - 1} as lx, y_ & {side - 1} as ly from h{i}"
         flip = f"case when ry = 0 and rx = 1 then {side - 1} - lx else lx end", f"case when ry = 0 and rx = 1 then {side - 1} - ly else ly end"
         steps.append(f"h{i + 1} as (select {keep}, case when ry = 0 then {flip[1]} else {flip[0]} end as x_, case when ry = 0 then {flip[0]} else {flip[1]} end as y_, h from ({inner}))")
     return ", ".join(steps)

@@ -55,13 +55,13 @@ def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     the pixels between the two of a pair are inside."""
     e = edges(vertices).where("y <> y2")
     e = e.withColumns({"_r0": F.greatest(F.lit(0), F.ceil(F.least("y", "y2"))), "_r1": F.least(F.lit(height - 1), F.ceil(F.greatest("y", "y2")) - 1)}).where("_r0 <= _r1")
-    e = e.withColumn("row_", F.explode(F.sequence("_r0", "_r1")).cast("int"))
+    e = e.withColumn("row_", F.explode(F.sequence(F.col("_r0").cast("int"), F.col("_r1").cast("int"))))
     e = e.withColumn("_at", F.col("x") + (F.col("row_") - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y")))
     t = e.groupBy("object_id", "row_").agg(F.sort_array(F.collect_list("_at")).alias("_c"))  # crossings of one ring
-    t = t.select("object_id", "row_", F.explode(F.sequence(F.lit(0), F.floor(F.size("_c") / 2) - 1)).alias("_i"), "_c")
+    t = t.select("object_id", "row_", F.explode(F.sequence(F.lit(0), (F.floor(F.size("_c") / 2) - 1).cast("int"))).alias("_i"), "_c")
     a, b = F.get("_c", F.col("_i") * 2), F.get("_c", F.col("_i") * 2 + 1)
     t = t.withColumns({"_a": F.greatest(F.lit(0), F.ceil(a)), "_b": F.least(F.lit(width - 1), F.ceil(b) - 1)}).where("_a <= _b")
-    return t.select("row_", F.explode(F.sequence("_a", "_b")).cast("int").alias("col_"), "object_id").groupBy("row_", "col_").agg(F.max("object_id").alias("value"))
+    return t.select("row_", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int"))).alias("col_"), "object_id").groupBy("row_", "col_").agg(F.max("object_id").alias("value"))
 
 
 def boundary_pixels(mask: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def round_trip(vertices: DataFrame, width: int, height: int, tolerance: float =
 def furthest_vertex(vertices: DataFrame) -> DataFrame:
     """(object_id, vertex_no): the vertex furthest from the mean of its ring, the first of equals."""
     mean = vertices.groupBy("object_id").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    far = F.round((F.col("x") - F.col("_mx")) ** 2 + (F.col("y") - F.col("_my")) ** 2, 6)
+    far = F.round((F.col("x") - F.col("_mx")) ** 2 + (F.col("y") - F.col("_my")) ** 2, 2)
     return vertices.join(mean, "object_id").groupBy("object_id").agg(F.min_by("vertex_no", F.struct((-far).alias("d"), "vertex_no")).alias("vertex_no"))
 
 

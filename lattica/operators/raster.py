@@ -89,7 +89,8 @@ def contrast(pixels: DataFrame, low: float = 0.01, high: float = 0.995) -> DataF
 def sampled_contrast(pixels: DataFrame, position: Column, stride: int, low: float = 0.01, high: float = 0.005) -> DataFrame:
     """(channel, lo, hi) by nearest rank on each stride-th pixel; hi = lo + 1 where they are equal."""
     t = pixels.where(F.pmod(position, F.lit(stride)) == 0).groupBy("channel").agg(F.expr(f"percentile_disc({low}) within group (order by value)").alias("lo"), F.expr(f"percentile_disc({high}) within group (order by value desc)").alias("hi"))
-    return t.select("channel", "lo", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
+    kind = pixels.schema["value"].dataType
+    return t.select("channel", F.col("lo").cast(kind).alias("lo"), F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).cast(kind).alias("hi"))
 
 
 def channel_maximum(pixels: DataFrame) -> DataFrame:

@@ -120,11 +120,11 @@ def s10_write_polygon_tiles(spark, d):
     return slide.polygon_tiles(spark, path, g, (g.minx, g.miny, g.maxx, g.maxy)).select("cell_id", *TILE, F.size("ring").cast("long").alias("closed"))
 
 
-@query(with_("objects", "cells", "clusters", more=HILBERT_OBJECTS) + "select r.cell_id, r.object_id, c.cell_area, k.cluster from ranked r left join cells c using (object_id) left join clusters k on k.barcode = r.object_id")
+@query(with_("objects", "cells", "clusters", more=HILBERT_OBJECTS) + "select r.cell_id, r.object_id, c.cell_area, coalesce(k.cluster, -1) as cluster from ranked r left join cells c using (object_id) left join clusters k on k.barcode = r.object_id")
 def s11_write_features(spark, d):
     path = folder(spark)
     slide.write_segment_layer(T.boundaries(spark, d), path, object_grid(spark, d), T.cells(spark, d), {"cluster": T.clusters(spark, d)})
-    return spark.read.parquet(f"{path}/features").select("cell_id", "object_id", "cell_area", "cluster")
+    return spark.read.parquet(f"{path}/features").select("cell_id", "object_id", "cell_area", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 @query(with_("genes") + "select * from genes")
@@ -265,9 +265,9 @@ def j1_join_attributes(spark, d):
     return feat.join_attributes(poly.summaries(T.boundaries(spark, d)), T.cells(spark, d)).select("object_id", "n_vertices", "cell_area", "status")
 
 
-@query(CATEGORY + "select * from joined")
+@query(CATEGORY + "select object_id, cell_area, coalesce(cluster, -1) as cluster from joined")
 def j2_join_categories(spark, d):
-    return categorised(spark, d).select("object_id", "cell_area", "cluster")
+    return categorised(spark, d).select("object_id", "cell_area", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 @query(with_("tiled") + "select gene_id, x, y from tiled")
@@ -519,7 +519,7 @@ def o4_capped_genes(spark, d):
     return pts.by_abundance(pts.gene_table(T.good_points(spark, d)), 10)
 
 
-@query(with_("boundaries", more="m as (select object_id, avg(x) as mx, avg(y) as my from boundaries group by object_id)") + "select object_id, first(vertex_no order by round((x - mx) ** 2 + (y - my) ** 2, 6) desc, vertex_no) as vertex_no from boundaries join m using (object_id) group by object_id")
+@query(with_("boundaries", more="m as (select object_id, avg(x) as mx, avg(y) as my from boundaries group by object_id)") + "select object_id, first(vertex_no order by round((x - mx) ** 2 + (y - my) ** 2, 2) desc, vertex_no) as vertex_no from boundaries join m using (object_id) group by object_id")
 def o6_furthest_vertex(spark, d):
     return geo.furthest_vertex(T.boundaries(spark, d))
 
@@ -620,9 +620,9 @@ def f13_ramp_position(spark, d):
     return T.cells(spark, d).select("object_id", feat.ramp_position(F.col("cell_area"), F.lit(50000.0), F.lit(200000.0)).alias("position"))
 
 
-@query(CATEGORY + "select object_id, ((cluster - 4) % 5 + 5) % 5 as slot from joined")
+@query(CATEGORY + "select object_id, coalesce(((cluster - 4) % 5 + 5) % 5, -1) as slot from joined")
 def f14_palette_slot(spark, d):
-    return categorised(spark, d).select("object_id", feat.palette_slot(F.col("cluster") - 4, 5).alias("slot"))
+    return categorised(spark, d).select("object_id", F.coalesce(feat.palette_slot(F.col("cluster") - 4, 5), F.lit(-1)).alias("slot"))
 
 
 @query(LEVELS_SQL + "select level, tile_row, tile_col, gene_id, x, y, round(1.2e0 + 4.8e0 * sqrt(count / (max(count) over (partition by level, tile_row, tile_col))::double), 6) as diameter from levels")
@@ -647,7 +647,7 @@ def f17_contiguity(spark, d):
 @query(with_("small", more=MASK_SQL) + "select value as object_id, count(*) as pixel_area, count(*) * 0.25e0 as area from drawn group by value having count(*) >= 4")
 def r1_masks_to_polygons(spark, d):
     m = geo.rasterize(T.small_boxes(spark, d), 1000, 800)
-    return geo.polygons_from_labels(m, ras.Level((0.5, 0.5))).select("object_id", "pixel_area", "area")
+    return geo.polygons_from_labels(m, ras.Level((0.5, 0.5)), 0.0).select("object_id", "pixel_area", "area")
 
 
 @query()

@@ -14,16 +14,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Distributed union-find: each round a node takes the smallest label among its neighbours, then the
     label of its label (pointer jumping), until nothing changes. Labels are aggregated before each
     shuffle, so a node with very many neighbours costs no task more than its share."""
-    both = scratch.cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    itself = links.select("a", F.col("a").alias("b")).unionByName(turned.select("a", F.col("a").alias("b")))
+    near = scratch.cut(links.select("a", "b").unionByName(turned).unionByName(itself).distinct())
+    labels = scratch.cut(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        told = near.join(labels.select(F.col("node").alias("b"), "component"), "b")
+        step = told.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = scratch.cut(step.join(jump, "component", "left").select("node", "old", F.least("component", "far").alias("component")))
-        moved = new.where("component <> old").limit(1).count()
+        new = scratch.cut(step.join(jump, "component").select("node", "old", F.least("component", "far").alias("component")))
+        moved = not new.where("component <> old").isEmpty()
         scratch.drop(labels)
         labels = new
         if not moved:
-            scratch.drop(both)
+            scratch.drop(near)
             return labels.select("node", "component")

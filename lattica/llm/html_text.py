@@ -36,6 +36,7 @@ LABELLED = (
     (80, 0.2, 40, 0.0, 50, 0.0, 1, 0, 1), (22, 0.3, 80, 0.0, 10, 0.0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1), (9, 0.0, 60, 0.0, 25, 0.0, 1, 0, 1),
     (40, 0.0, 6, 0.0, 50, 0.0, 0, 0, 1), (70, 0.1, 50, 0.0, 60, 0.0, 0, 0, 1), (25, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1), (30, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1),
     (18, 0.0, 40, 0.0, 9, 0.0, 0, 0, 1), (6, 0.0, 2, 1.0, 50, 0.0, 0, 1, 1), (8, 0.0, 60, 0.0, 40, 0.0, 0, 1, 1), (2, 0.0, 7, 0.0, 8, 0.0, 1, 0, 1),
+    (400, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (200, 0.1, 2, 1.0, 3, 1.0, 0, 0, 1), (50, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1),
 )
 
 

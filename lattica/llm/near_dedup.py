@@ -159,11 +159,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     first = first.where(f"most >= {share} * n - 1e-9 and n >= {share} * least - 1e-9").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tested = scratch.cut(verified(first, docs, words))
     linked = lambda t: t.where(f"100 * both >= {percent} * any").select("a", "b")
+    links = linked(tested)
     # Rows that share a doc_id join the classes of their different texts.
-    same = sig.where("doc_id is not null and n > 0").join(classes, ["f1", "f2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("a", "b")
-    links = linked(tested).unionByName(same)
+    several = sig.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.min("f2").alias("lo2"), F.max("f2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select("doc_id")
+    if not several.isEmpty():
+        same = sig.where("n > 0").join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
+        links = links.unionByName(same.where("a <> b").select("a", "b"))
+    known = components(links, scratch)
     if not inside.isEmpty():
-        known = components(links, scratch)
         placed = inside.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         loose = placed.join(mixed, "key").withColumnRenamed("component", "part")
@@ -183,8 +186,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         for x, y in (("a", "b"), ("b", "a")):
             rest = rest.join(tested.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
         more = scratch.cut(verified(rest, docs, words).select("a", "b", "both", "any"))
-        links = linked(more).unionByName(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    known = components(links, scratch)
+        # Links between components join these, as a graph of components.
+        between = linked(more)
+        for x in "ab":
+            between = between.join(known.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")), x, "left").withColumn(x, F.coalesce(f"part_{x}", x)).drop(f"part_{x}")
+        if not between.isEmpty():
+            whole = components(between, scratch)
+            known = known.unionByName(whole.join(known, "node", "left_anti")).join(whole.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+            known = scratch.cut(known.select("node", F.coalesce("top", "component").alias("component")))
     final = classes.join(known.withColumnRenamed("node", "class"), "class", "left").select("f1", "f2", "n", F.coalesce("component", "class").alias("component_id"))
     out = sig.select("doc_id", "n", "f1", "f2").join(final, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

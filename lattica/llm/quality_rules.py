@@ -146,14 +146,14 @@ def scored(stats: DataFrame, forest) -> DataFrame:
 def threshold(marked: DataFrame, labels: DataFrame) -> float:
     """The anomaly score above which a document is rejected: among the scores that reject at most a
     share GOOD_LOSS of the good labelled rows, the one that rejects most of the bad ones above its
-    share of good ones. Without labels of both kinds, 0.65. Counts are taken over all labelled rows."""
+    share of good ones. Without labels of both kinds, 0.75. Counts are taken over all labelled rows."""
     truth = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
     bins = marked.where("doc_id is not null").join(truth, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.count("*").alias("rows"))
     good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
     for r in bins.collect():  # BINS rows at most
         good[r["bin"]], bad[r["bin"]] = r["good"], r["rows"] - r["good"]
     if not good.sum() or not bad.sum():
-        return 0.65
+        return 0.75
     above_good, above_bad = (x[::-1].cumsum()[::-1] / x.sum() for x in (good, bad))
     gain = np.where(above_good <= GOOD_LOSS, above_bad - above_good, -1)
     return int(gain.argmax()) / BINS

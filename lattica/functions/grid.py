@@ -54,7 +54,8 @@ def cell(value: str | Column, least: float, span: float, n: int) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     if not span:
         return F.when(v.isNotNull(), F.lit(0))
-    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - F.lit(least)) / F.lit(span) * F.lit(n)))).cast("int")
+    inside = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - F.lit(least)) / F.lit(span) * F.lit(n)))).cast("int")
+    return F.when(v.isNotNull(), inside)  # greatest and least pass over nulls
 
 
 def with_cells(df: DataFrame, grid: Grid, x: str = "x", y: str = "y", order: int = ORDER) -> DataFrame:

@@ -24,7 +24,7 @@ def overlap_fraction(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """The share of rectangle a that lies in b; sides count as 1e-9 at least."""
     w = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
     h = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
-    return w * h / (F.greatest(a[2] - a[0], F.lit(1e-9)) * F.greatest(a[3] - a[1], F.lit(1e-9)))
+    return F.when(a[0].isNotNull(), w * h / (F.greatest(a[2] - a[0], F.lit(1e-9)) * F.greatest(a[3] - a[1], F.lit(1e-9))))
 
 
 def fit_report(layers: DataFrame, world: DataFrame) -> DataFrame:

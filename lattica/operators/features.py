@@ -88,7 +88,8 @@ def robust_domain(df: DataFrame, column: str, low: float = 0.02) -> DataFrame:
 
 def ramp_position(value: Column, lo: Column, hi: Column) -> Column:
     """0 to 255 along a value ramp; null values lie at its bottom."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value - lo) * 255 / (hi - lo) + 0.5))), F.lit(0)).cast("int")
+    inside = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value - lo) * 255 / (hi - lo) + 0.5))).cast("int")
+    return F.when(value.isNotNull(), inside).otherwise(0)
 
 
 def palette_slot(category: Column, size: int) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Scratch
+
 #: Turned into line breaks, as Java and RE2 patterns alike.
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|nav|header|footer|article|aside|section|main|form|table|tr|td|title|br)\b[^>]*>"
@@ -44,7 +46,8 @@ def line_dedup(pages: DataFrame, ratio: float = 0.5, least: int = 3) -> DataFram
     host ''; null or empty html has no lines, but counts as a page; a line at exactly the ratio stays;
     repeated rows are pages of their own; other columns are ignored; an empty table gives none."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), host("url").alias("host"), page_lines("html").alias("lines"))
-    marks = frequent_lines(pages, ratio, least).withColumnRenamed("host", "host_")
+    # Written, so that Spark joins a table of known size: it broadcasts it, or splits the pages of a hot host.
+    marks = Scratch(pages.sparkSession).cut(frequent_lines(pages, ratio, least)).withColumnRenamed("host", "host_")
     rows = pages.join(marks, F.col("host") == F.col("host_"))
     drop = F.coalesce("drop", F.array().cast("array<long>"))
     rows = rows.withColumn("kept", F.filter("lines", lambda x: ~F.array_contains(drop, F.xxhash64(x))))

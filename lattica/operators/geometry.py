@@ -215,11 +215,26 @@ def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tole
     edge = boundary_pixels(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
     (sy, sx), (ty, tx) = level.scale, level.translation
 
-    def run(t: pa.Table) -> pa.Table:
-        ring = simplify(trace(t["row_"].to_numpy().astype(np.int64), t["col_"].to_numpy().astype(np.int64)), tolerance)
-        return pa.table({"object_id": t["object_id"].slice(0, 1), "ring": pa.chunked_array([_struct([ring * [sx, sy] + [tx, ty]])])})
+    def traced(t: pa.Table) -> pa.RecordBatch:
+        ids, rows, cols = (t[c].to_numpy().astype(np.int64) for c in ("object_id", "row_", "col_"))
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        rings = [simplify(trace(rows[i:j], cols[i:j]), tolerance) * [sx, sy] + [tx, ty] for i, j in zip(first, np.append(first[1:], len(ids)))]
+        return pa.RecordBatch.from_arrays([t["object_id"].take(pa.array(first)).combine_chunks(), _struct(rings)], names=["object_id", "ring"])
 
-    found = edge.groupBy("object_id").applyInArrow(run, f"object_id {edge.schema['object_id'].dataType.simpleString()}, ring {RING}")
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            ids = t["object_id"].to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1], "left")) if len(ids) else 0  # the last object may go on
+            if cut:
+                yield traced(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield traced(rest)
+
+    # Whole objects meet in a partition; an object's pixels are those of its boundary only.
+    found = edge.repartition("object_id").sortWithinPartitions("object_id").select("object_id", "row_", "col_").mapInArrow(run, f"object_id {edge.schema['object_id'].dataType.simpleString()}, ring {RING}")
     return found.where(F.size("ring") >= 3).join(sizes, "object_id").withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))
 
 

@@ -14,7 +14,7 @@ from lattica.llm.decontamination import contaminated
 from lattica.llm.mixing import mixed
 from lattica.llm.near_dedup import near_groups
 from lattica.llm.quality_rules import quality_rules
-from lattica.llm.resharding import reshard
+from lattica.llm.resharding import resharded
 from lattica.llm.tables import Scratch, table
 
 
@@ -43,9 +43,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """16 shards of near equal bytes, from 12 by source; with the columns of the rows placed."""
-    placed, _ = reshard(docs, F.crc32(F.coalesce("source", F.lit(""))) % 12, 12)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """16 shards of near equal bytes, from 12 by source: their files are written in the shared folder; the rows
+    are those of the files."""
+    return resharded(docs, F.crc32(F.coalesce("source", F.lit(""))) % 12, 12)
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

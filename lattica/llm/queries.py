@@ -12,7 +12,7 @@ from .mixing import mixed
 from .near_dedup import near_groups
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
-from .resharding import reshard
+from .resharding import resharded
 from .suffix_dedup import repeated_strings
 from .tables import table
 from .token_counts import section_tokens
@@ -43,9 +43,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 shards by source, badly balanced, to 16 of equal bytes."""
-    placed, _ = reshard(table(spark, sf_dir, "documents"), F.crc32(F.coalesce("source", F.lit(""))) % 12, 12)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """From 12 shards by source, badly balanced, to 16 of equal bytes; the affected files are written."""
+    return resharded(table(spark, sf_dir, "documents"), F.crc32(F.coalesce("source", F.lit(""))) % 12, 12)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .tables import Scratch
 
 #: Each old shard is dealt to so many blocks by a hash; the driver sees one row per block at most.
 BLOCKS = 1024
@@ -71,12 +74,13 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, shards: int = 16, cap
     flow over the totals says how many bytes go from shard i to shard j, where staying (i = j) is free.
     Each old shard is then cut, block after block and inside a cut block row after row in hashed order,
     into runs of those lengths; a row goes where its middle lies, so every shard misses its flow by
-    less than one row at each cut. Rows: doc_id, size, text_crc32, old_shard, block, shard, slot; slots
-    are gapless from 0 in a shard. Transfers: (old shard, new shard, bytes), moves and stays.
+    less than one row at each cut. Rows: doc_id, size, text_crc32, old_shard, block, shard, slot and row,
+    a struct of all columns of docs; slots are gapless from 0 in a shard. Transfers: (old shard, new shard,
+    bytes), moves and stays.
 
-    A null text counts as empty; null ids, repeated and equal rows are rows like others; columns besides
-    doc_id, text and what `old` reads are ignored; an empty table gives an empty result."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"))
+    A null text counts as empty; null ids, repeated and equal rows are rows like others; an empty table
+    gives an empty result. Where row is read, texts are shuffled once, by ranges of (old_shard, block)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("draw", F.xxhash64("doc_id", "text_crc32")).withColumn("block", F.pmod("draw", F.lit(BLOCKS)).cast("int"))
     blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("block_size"))
     supply = [0] * old_shards
@@ -98,15 +102,18 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, shards: int = 16, cap
     starts = blocks.withColumn("before", F.sum("block_size").over(Window.partitionBy("old_shard").orderBy("block")) - F.col("block_size")).drop("block_size")
     starts = starts.join(ends, "old_shard")
     inner = Window.partitionBy("old_shard", "block").orderBy("draw", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inner)).join(starts, ["old_shard", "block"])
     middle = F.col("before") + F.col("upto") - F.col("size") / F.lit(2.0)
-    rows = rows.withColumn("middle", middle).withColumn("shard", F.filter("runs", lambda r: r["run_end"] > F.col("middle"))[0]["run_shard"])
-    rows = rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "draw", "shard")
-    counts = rows.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
+
+    def dealt(t: DataFrame) -> DataFrame:  # starts has old_shards * BLOCKS rows at most
+        t = t.withColumn("upto", F.sum("size").over(inner)).join(F.broadcast(starts), ["old_shard", "block"])
+        return t.withColumn("middle", middle).withColumn("shard", F.filter("runs", lambda r: r["run_end"] > F.col("middle"))[0]["run_shard"]).drop("upto", "before", "runs", "middle")
+
+    counts = dealt(rows.drop("row")).groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block")) - F.col("n")).drop("n")
     order = Window.partitionBy("shard", "old_shard", "block").orderBy("draw", "doc_id", "text_crc32", "size")
-    rows = rows.withColumn("slot", F.row_number().over(order) - 1).join(offsets, ["shard", "old_shard", "block"]).withColumn("slot", (F.col("slot") + F.col("offset")).cast("long"))
-    return rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot"), [(i, j, b) for i, out in enumerate(flow) for j, b in enumerate(out) if b]
+    rows = dealt(rows.repartitionByRange("old_shard", "block")).withColumn("slot", F.row_number().over(order) - 1)
+    rows = rows.join(F.broadcast(offsets), ["shard", "old_shard", "block"]).withColumn("slot", (F.col("slot") + F.col("offset")).cast("long"))
+    return rows.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "slot", "row"), [(i, j, b) for i, out in enumerate(flow) for j, b in enumerate(out) if b]
 
 
 def affected(transfers: list[tuple[int, int, int]]) -> list[int]:
@@ -114,11 +121,44 @@ def affected(transfers: list[tuple[int, int, int]]) -> list[int]:
     return sorted({x for i, j, _ in transfers if i != j for x in (i, j)})
 
 
+def file_columns(docs: DataFrame) -> list[str]:
+    """The columns of docs that files hold beside shard and slot; docs read from such files have old ones of these."""
+    return [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+
+
 def rewrite_affected(docs: DataFrame, placed: DataFrame, transfers: list[tuple[int, int, int]], path: str) -> list[int]:
-    """Writes the new files of the affected shards under path/shard=<n>, in slot order; doc_id must be
-    unique. Shards that keep exactly their rows are left alone. Returns the shards written."""
-    changed = affected(transfers)
-    moved = placed.where(F.col("shard").isin(changed)).select("doc_id", "shard", "slot")
-    out = docs.join(moved, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Writes the new files of the affected shards under path/shard=<n>, each placed row once with the columns
+    of docs and its slot; the files of a shard hold ascending runs of slots. The folder of an affected shard
+    that has no rows any more is deleted. Other shards keep their files. Returns the affected shards."""
+    changed, spark = affected(transfers), docs.sparkSession
+    if not changed:
+        return changed
+    moved = placed.where(F.col("shard").isin(changed))
+    folders = {s: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}") for s in changed}
+    fs = folders[changed[0]].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stale = {s for s in changed if fs.exists(folders[s])}
+    if stale:
+        stale -= {r["shard"] for r in moved.select("shard").distinct().collect()}  # as many rows as shards
+    out = moved.select(*[F.col("row").getField(c).alias(c) for c in file_columns(docs)], "slot", "shard").sortWithinPartitions("shard", "slot")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for s in stale:
+        fs.delete(folders[s], True)
     return changed
+
+
+def resharded(docs: DataFrame, old: Column, old_shards: int, shards: int = 16, capacity: list[int] | None = None) -> DataFrame:
+    """reshard and rewrite_affected in the shared folder; digest rows read from the files written: doc_id, size,
+    text_crc32, law, shard, slot, grown_shard (null), old_shard. Shards that keep exactly their rows have no new
+    files, theirs are of the placement. old reads columns of docs but shard and slot."""
+    placed, transfers = reshard(docs, old, old_shards, shards, capacity)
+    path = f"{Scratch(docs.sparkSession).root}/shards"
+    done = rewrite_affected(docs, placed, transfers, path)
+    digest = [F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"]
+    rest = placed.where(~F.col("shard").isin(done)).select("doc_id", "size", "text_crc32", *digest)
+    if not done:
+        return rest
+    schema = T.StructType([docs.schema[c] for c in file_columns(docs)] + [T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    files = docs.sparkSession.read.schema(schema).parquet(path).withColumn("old_shard", F.coalesce(old.cast("int"), F.lit(0)))
+    files = files.select(F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), *digest)
+    alone = any(i == j and i not in done for i, j, _ in transfers)
+    return files.unionByName(rest) if alone else files

@@ -236,6 +236,27 @@ def test_reshard_and_rewrite(spark, docs, texts, tmp_path):
     assert back.count() == placed.where(F.col("shard").isin(done)).count()
 
 
+def test_rewrite_every_row_once(spark, tmp_path):
+    """Null ids and ids with several rows are written once each; files of other shards stay, of emptied ones go."""
+    path = f"file://{tmp_path}/shards"
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i // 4, f"text {i} " * (i % 7), "en", i % 3) for i in range(120)] + [(7, "same", "de", 2)] * 3, "doc_id long, text string, lang string, at int")
+    spark.range(1).selectExpr("'old' as text", "explode(array(1, 2, 9)) as shard").write.partitionBy("shard").parquet(path)
+    placed, transfers = resharding.reshard(docs, F.col("at"), 3, 2)
+    assert resharding.rewrite_affected(docs, placed, transfers, path) == [0, 1, 2]
+    back = spark.read.parquet(path)
+    assert [r["text"] for r in back.where("shard = 9").collect()] == ["old"] and back.where("shard = 2").count() == 0
+    rows = lambda df: sorted(map(repr, df.select(*docs.columns).collect()))
+    assert rows(back.where("shard < 9")) == rows(docs)
+    for s in range(2):
+        slots = [r["slot"] for r in back.where(F.col("shard") == s).collect()]
+        assert sorted(slots) == list(range(len(slots)))
+    got = resharding.resharded(docs, F.col("at"), 3, 2)
+    assert sorted(map(repr, got.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot").collect())) == sorted(map(repr, placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot").collect()))
+    assert any("/shards/shard=" in f for f in got.inputFiles())
+    stays = resharding.resharded(docs, F.when(F.col("at") == 0, 0).otherwise(1), 2, 3, [sum(len((r["text"] or "").encode()) + 1 for r in docs.where("at = 0").collect()), 200, 10**6])
+    assert stays.count() == 123 and {r["shard"] for r in stays.select("shard").distinct().collect()} == {0, 1, 2}
+
+
 def test_contaminated(spark, docs, texts):
     rng = random.Random(9)
     items = [(0, " ".join(texts[2].split(" ")[3:28])), (1, prose(rng, 30)), (2, texts[49].upper()[:200]), (3, "two words"), (4, None), (5, ""), (None, "one"), (6, "one"), (0, " ".join(texts[2].split(" ")[3:28]))]

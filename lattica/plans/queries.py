@@ -157,8 +157,8 @@ def s17_raster_blocks(spark, d):
 @query(with_("channels") + "select channel, row_, col_, value from channels")
 def s18_write_raster(spark, d):
     path = folder(spark)
-    T.channels(spark, d).withColumn("level", F.lit(0)).repartition("channel").write.partitionBy("channel", "level").parquet(path)
-    return spark.read.parquet(path).select(F.col("channel").cast("long").alias("channel"), "row_", "col_", "value")
+    slide.write_image_layer(T.channels(spark, d), path, ras.Level((1.0, 1.0)), coarsest=16)
+    return slide.image_pixels(spark, path, 0).withColumn("channel", F.col("channel").cast("long"))
 
 
 @query(with_("pixels") + "select row_, col_, greatest(0, least(65535, floor(round((row_ // 64 + col_ // 64) % 2 * 20000 + (sin(row_ / 37.0e0) + cos(col_ / 53.0e0) + 2) * 5000, 6))))::int as value from pixels")

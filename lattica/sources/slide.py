@@ -17,6 +17,7 @@ from lattica.operators import features as feat
 from lattica.operators import geometry as geo
 from lattica.operators import points as pts
 from lattica.operators import polygons as poly
+from lattica.operators import raster as ras
 from lattica.operators.raster import Level, require_mask
 
 FORMAT = 1
@@ -24,7 +25,7 @@ KINDS = ("image", "segments", "points")
 BOUNDARY_FILES = (("cells", "cell_boundaries.parquet"), ("nuclei", "nucleus_boundaries.parquet"))
 MANIFEST = """format int, name string, world_units string, world_bounds array<double>, tile_depth int,
 source struct<platform:string,path:string,imported:string,tile_size:double,min_qv:double,genes_only:boolean>,
-layers array<struct<id:string,kind:string,path:string,name:string,visible:boolean,levels:int,color_by:string,categoricals:array<string>>>"""
+layers array<struct<id:string,kind:string,path:string,name:string,visible:boolean,levels:int,color_by:string,categoricals:array<string>,scale:array<double>,translation:array<double>,shape:array<int>>>"""
 
 
 # Files
@@ -40,25 +41,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _entries(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names and paths of what a folder holds, in order; nothing where it is absent, no hidden files."""
+    fs, p = _fs(spark, path)
+    found = {s.getPath().getName(): s.getPath().toString() for s in (fs.listStatus(p) if fs.exists(p) else ())}
+    return {n: found[n] for n in sorted(found) if n[0] not in "._"}
+
+
+def category_name(entry: str) -> str:
+    """The feature's name of a clustering; the graph clustering is just `cluster`."""
+    name = entry.removesuffix(".csv").removeprefix("gene_expression_")
+    return "cluster" if name == "graphclust" else name.removesuffix("_clusters")
+
+
 def discover(spark: SparkSession, root: str) -> list[dict]:
     """What a dataset folder offers: kind, id, path and options. A zipped or flat layout: transcripts.parquet,
-    boundary tables with a shared attribute table, label masks under labels/, category CSVs under
-    clusters/. A boundary table goes before a mask of the same id."""
+    boundary tables with a shared attribute table and category CSVs under clusters/ (a file or a folder each),
+    label masks under labels/, images under images/ as pixel tables, with multiscale JSON of the same name
+    beside. A boundary table goes before a mask of the same id, a nuclear stain before other images."""
     out = []
     if exists(spark, f"{root}/transcripts.parquet"):
         out.append({"kind": "points", "id": "transcripts", "path": f"{root}/transcripts.parquet"})
     cells = f"{root}/cells.parquet" if exists(spark, f"{root}/cells.parquet") else None
+    categories = sorted(((category_name(n), p) for n, p in _entries(spark, f"{root}/clusters").items()), key=lambda c: (c[0] != "cluster", len(c[0]), c[0]))
     for id_, file in BOUNDARY_FILES:
         if exists(spark, f"{root}/{file}"):
-            out.append({"kind": "segments", "id": id_, "path": f"{root}/{file}", "cells": cells})
+            out.append({"kind": "segments", "id": id_, "path": f"{root}/{file}", "cells": cells, "categories": categories})
     taken = {s["id"] for s in out}
-    fs, p = _fs(spark, f"{root}/labels")
-    if fs.exists(p):
-        for s in fs.listStatus(p):
-            id_ = s.getPath().getName().removesuffix(".parquet")
-            if id_ not in taken:
-                out.append({"kind": "segments", "id": id_, "path": str(s.getPath().toString()), "mask": True})
-    return sorted(out, key=lambda s: (KINDS.index(s["kind"]), s["id"]))
+    for name, path in _entries(spark, f"{root}/labels").items():
+        id_ = name.removesuffix(".parquet")
+        if id_ not in taken:
+            out.append({"kind": "segments", "id": id_, "path": path, "mask": True})
+    images = _entries(spark, f"{root}/images")
+    for name, path in images.items():
+        if not name.endswith(".json"):
+            id_ = name.removesuffix(".parquet")
+            out.append({"kind": "image", "id": id_, "path": path, "levels": images.get(f"{id_}.json")})
+    return sorted(out, key=lambda s: (KINDS.index(s["kind"]), s["kind"] == "image" and "dapi" not in s["id"].lower(), s["id"]))
 
 
 def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
@@ -121,6 +140,40 @@ def raster_levels(spark: SparkSession, text: str) -> list[Level]:
     return out
 
 
+# Image layers
+
+
+def image_level(pixels: DataFrame, level: Level) -> Level:
+    """The level with the shape of pixels(row_, col_) where it has none."""
+    if all(level.shape):
+        return level
+    row = pixels.agg(F.max("row_").alias("h"), F.max("col_").alias("w")).first()
+    return Level(level.scale, level.translation, (int(row["h"] if row["h"] is not None else -1) + 1, int(row["w"] if row["w"] is not None else -1) + 1), level.chunk)
+
+
+def write_image_layer(pixels: DataFrame, path: str, level: Level, how: str = "mean", coarsest: int = 256) -> dict:
+    """Every channel of pixels(row_, col_, value, and channel, else 0) at level 0 and at coarser ones, each from
+    the one before, until the longer side has `coarsest` pixels at most; and the channels' contrast and
+    greatest value on the coarsest level. Files are under level=<k>/channel=<c>, clustered by chunk."""
+    spark, level, k = pixels.sparkSession, image_level(pixels, level), 0
+    t = (pixels if "channel" in pixels.columns else pixels.withColumn("channel", F.lit(0))).select("channel", "row_", "col_", "value")
+    shape = level.shape
+    while True:
+        block = [F.floor(F.col(c) / n) for c, n in zip(("row_", "col_"), level.chunk)]
+        t.repartitionByRange("channel", *block).sortWithinPartitions("channel", *block, "row_", "col_").write.mode("overwrite").partitionBy("channel").parquet(f"{path}/level={k}")
+        t = image_pixels(spark, path, k).withColumn("channel", F.col("channel").cast(pixels.schema["channel"].dataType if "channel" in pixels.columns else "int"))
+        if max(shape) <= max(coarsest, 1):
+            break
+        t, shape, k = ras.downsample(t, how).select("channel", "row_", "col_", "value"), tuple((n + 1) // 2 for n in shape), k + 1
+    if any(shape):
+        ras.contrast(t).join(ras.channel_maximum(t), "channel").write.mode("overwrite").parquet(f"{path}/contrast")
+    return {"levels": k, "scale": list(level.scale), "translation": list(level.translation), "shape": list(level.shape)}
+
+
+def image_pixels(spark: SparkSession, path: str, level: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/level={level}").select("channel", "row_", "col_", "value")
+
+
 # Point layers
 
 
@@ -210,12 +263,15 @@ def layer_statistics(spark: SparkSession, path: str) -> DataFrame:
 # Jobs
 
 
-def import_slide(spark: SparkSession, out: str, name: str, points: DataFrame | None = None, segments: dict[str, DataFrame] | None = None, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None, extra: dict[str, DataFrame] | None = None, tile_size: float = 500.0, min_qv: float | None = 20, genes_only: bool = True, source: str = "") -> dict:
+def import_slide(spark: SparkSession, out: str, name: str, points: DataFrame | None = None, segments: dict[str, DataFrame] | None = None, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None, extra: dict[str, DataFrame] | None = None, tile_size: float = 500.0, min_qv: float | None = 20, genes_only: bool = True, source: str = "", images: dict[str, tuple[DataFrame, Level]] | None = None, bare: tuple[str, ...] = ()) -> dict:
     """Builds a slide: one world around all layers, every layer tiled on it, then the manifest. points is a raw
     point table; segments are vertex tables by id; extra ones must fit the world so far before they
-    widen it, in order."""
+    widen it, in order. images are pixel tables by id with their finest level. Segments named in bare
+    don't take the attributes and categories."""
     good = pts.load_points(points, min_qv, genes_only) if points is not None else None
+    images = {id_: (df, image_level(df, level)) for id_, (df, level) in (images or {}).items()}
     parts = [ext.extent(df) for df in ([good] if good is not None else []) + list((segments or {}).values())]
+    parts += [spark.createDataFrame([tuple(map(float, level.bounds))], ", ".join(f"{b} double" for b in ext.BOUNDS)) for _, level in images.values()]
     world = ext.union_extent(*parts)
     for id_, df in (extra or {}).items():
         bounds = ext.extent(df)
@@ -224,9 +280,9 @@ def import_slide(spark: SparkSession, out: str, name: str, points: DataFrame | N
     row = world.first()
     bounds = tuple(float(row[b]) for b in ext.BOUNDS)
     grid = Grid(*bounds, choose_depth(bounds, tile_size))
-    found = []
+    found = [{"id": id_, "kind": "image", "path": f"images/{id_}", **write_image_layer(df, f"{out}/images/{id_}", level)} for id_, (df, level) in images.items()]
     for id_, df in {**(segments or {}), **(extra or {})}.items():
-        facts = write_segment_layer(df, f"{out}/{id_}", grid, attributes, categories)
+        facts = write_segment_layer(df, f"{out}/{id_}", grid, *((None, None) if id_ in bare else (attributes, categories)))
         found.append({"id": id_, "kind": "segments", "path": id_, **facts})
     if good is not None:
         found.append({"id": "points", "kind": "points", "path": "points", **write_point_layer(good, f"{out}/points", grid)})
@@ -235,6 +291,28 @@ def import_slide(spark: SparkSession, out: str, name: str, points: DataFrame | N
     return manifest
 
 
+def import_folder(spark: SparkSession, root: str, out: str, name: str, **options) -> dict:
+    """import_slide of all that discover finds under root; options are import_slide's."""
+    found = discover(spark, root)
+    if not found:
+        raise ValueError(f"{root}: nothing to import")
+    images, segments, points, attributes, categories = {}, {}, None, None, {}
+    for s in found:
+        if s["kind"] == "image":
+            text = spark.read.text(s["levels"], wholetext=True).first()[0] if s["levels"] else None
+            images[s["id"]] = spark.read.parquet(s["path"]), raster_levels(spark, text)[0] if text else Level((1.0, 1.0))
+        elif s["kind"] == "points":
+            points = spark.read.parquet(s["path"])
+        else:
+            segments[s["id"]] = load_segments(spark, s, [])
+            if s.get("cells"):
+                attributes = spark.read.parquet(s["cells"])
+                attributes = attributes.withColumnRenamed("cell_id", "object_id") if "object_id" not in attributes.columns else attributes
+            categories |= {n: spark.read.csv(p, header=True) for n, p in s.get("categories", [])}
+    bare = tuple(s["id"] for s in found if s.get("mask"))
+    return import_slide(spark, out, name, points, segments, attributes, categories, images=images, bare=bare, source=root, **options)
+
+
 def add_segments(spark: SparkSession, root: str, id_: str, vertices: DataFrame, attributes: DataFrame | None = None) -> dict:
     """Adds a segmentation to a slide on the grid it has; ids get -2, -3, ... if taken."""
     manifest = read_manifest(spark, root)

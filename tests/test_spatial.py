@@ -214,6 +214,45 @@ def test_slide_round_trip(spark, tmp_path):
         slide.read_manifest(spark, root)
 
 
+def test_image_levels(spark, tmp_path):
+    a = np.arange(2 * 21 * 10).reshape(2, 21, 10)
+    t = spark.createDataFrame([(int(c), int(r), int(x), int(a[c, r, x])) for c, r, x in np.ndindex(a.shape)], "channel long, row_ int, col_ int, value long")
+    facts = slide.write_image_layer(t, f"file://{tmp_path}/i", ras.Level((2.0, 0.5), (3.0, 4.0)), coarsest=4)
+    assert facts == {"levels": 3, "scale": [2.0, 0.5], "translation": [3.0, 4.0], "shape": [21, 10]}
+    want = {(c, r, x): float(a[c, r, x]) for c, r, x in np.ndindex(a.shape)}
+    for k in range(4):
+        assert {(r["channel"], r["row_"], r["col_"]): r["value"] for r in slide.image_pixels(spark, f"file://{tmp_path}/i", k).collect()} == want
+        boxes = {}
+        for (c, r, x), v in want.items():
+            boxes.setdefault((c, r // 2, x // 2), []).append(v)
+        want = {key: sum(v) / len(v) for key, v in boxes.items()}
+    assert {r["channel"] for r in spark.read.parquet(f"file://{tmp_path}/i/contrast").collect()} == {0, 1}
+
+
+def test_import_folder(spark, tmp_path):
+    root, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    with pytest.raises(ValueError):
+        slide.import_folder(spark, root, out, "s")
+    vertices(spark, square(1, 0, 0, 20) + square(2, 50, 50, 30)).toDF("cell_id", "n", "vertex_x", "vertex_y").coalesce(1).write.parquet(f"{root}/cell_boundaries.parquet")
+    spark.createDataFrame([(1, 5.0), (2, 6.0)], "cell_id int, total double").write.parquet(f"{root}/cells.parquet")
+    for name in ("kmeans_2_clusters", "graphclust"):
+        spark.createDataFrame([(1, 4)], "Barcode int, Cluster int").write.csv(f"{root}/clusters/gene_expression_{name}", header=True)
+    labels = np.zeros((20, 20), int)
+    labels[4:14, 4:14] = 1
+    mask(spark, labels).write.parquet(f"{root}/labels/other.parquet")
+    for name in ("a", "dapi"):
+        mask(spark, np.ones((300, 10), int)).write.parquet(f"{root}/images/{name}.parquet")
+    (tmp_path / "in/images/dapi.json").write_text('{"multiscales": [{"datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1, 20]}]}]}]}')
+    assert [(s["kind"], s["id"]) for s in slide.discover(spark, root)] == [("image", "dapi"), ("image", "a"), ("segments", "cells"), ("segments", "other")]
+    m = slide.import_folder(spark, root, out, "s")
+    assert m["world_bounds"] == [0.0, 0.0, 200.0, 300.0]
+    assert [(l["id"], l["kind"], l["levels"]) for l in slide.layers(spark, out).orderBy("position").collect()] == [("dapi", "image", 1), ("a", "image", 1), ("cells", "segments", 0), ("other", "segments", 0)]
+    slide.check_layers(spark, out)
+    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{out}/cells/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
+    assert "total" not in spark.read.parquet(f"{out}/other/features").columns
+    assert slide.image_pixels(spark, f"{out}/images/dapi", 1).count() == 150 * 5
+
+
 def test_tile_stream(spark, tmp_path):
     from lattica.streaming import tile_stream
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +14,10 @@ from .tables import Scratch
 from .texts import chunks, keys, mix, repeated, shingle_sets
 
 SLOTS, BANDS = 128, 32
+#: A pair at the least similarity has fewer equal slots than asked for with this probability at most.
+MISS = 1e-10
 #: Words of 64 bits in the maps of a member's differences from its pivot; a power of two.
-MAP_WORDS = 8
+MAP_WORDS = 4
 
 
 def superminhash(values, which, count: int, slots: int = SLOTS):
@@ -54,9 +58,10 @@ def superminhash(values, which, count: int, slots: int = SLOTS):
 
 
 def signatures(docs: DataFrame, words: int, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n, f1, f2, bands): size and 128-bit fingerprint of the shingle set, and its band keys.
-    Sets of under 4 shingles get no bands: at 0.8 they are linked with equal sets only."""
-    schema = "doc_id long, n long, f1 long, f2 long, bands array<long>"
+    """(doc_id, n, f1, f2, bands, sketch): size and 128-bit fingerprint of the shingle set, its band keys, and
+    four bits of each slot, sixteen to a word. Sets of under 4 shingles get neither of these: at 0.8 they are
+    linked with equal sets only."""
+    schema = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>"
     width = slots // bands
 
     def run(batches):
@@ -77,12 +82,32 @@ def signatures(docs: DataFrame, words: int, slots: int = SLOTS, bands: int = BAN
                 sig = superminhash(values[stay], number[which[stay]], int(wide.sum()), slots)
                 q = keys(slots, 4).reshape(bands, width)
                 band = mix((sig.reshape(-1, bands, width) * q).sum(2, dtype=np.uint64) + keys(bands, 5)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wide * bands)), pa.int32()), pa.array(band.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, count), pa.array(n), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists], names=["doc_id", "n", "f1", "f2", "bands"])
+                nibble = (mix(sig) & np.uint64(15)).reshape(-1, slots // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+                sketch = np.bitwise_or.reduce(nibble, 2).view(np.int64)
+                lists = lambda x, width: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wide * width)), pa.int32()), pa.array(x.reshape(-1)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, count), pa.array(n), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists(band, bands), lists(sketch, slots // 16)], names=["doc_id", "n", "f1", "f2", "bands", "sketch"])
 
     return docs.mapInArrow(run, schema)
 
 
+def least_equal(percent: int, slots: int = SLOTS) -> int:
+    """How many slots of two signatures must be equal, so that a pair of the similarity fails with MISS at most."""
+    p, below = percent / 100, 0.0
+    for k in range(slots + 1):
+        below += comb(slots, k) * p**k * (1 - p) ** (slots - k)
+        if below > MISS:
+            return k
+    return slots
+
+
+def equal_slots(x, y):
+    """How many of the sixteen slots of two words of a sketch are equal."""
+    t = x.bitwiseXOR(y)
+    for shift in (2, 1):
+        t = t.bitwiseOR(F.shiftrightunsigned(t, shift))
+    return F.lit(16) - F.bit_count(t.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """pairs(a, b) with the exact sizes of the intersection and union of their shingle sets, and MAP_WORDS
     * 64 bits each for the shingles that b lacks (lost) and those that a lacks (won)."""
@@ -130,9 +155,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Two documents are linked if 100 * |A n B| >= percent * |A u B| for their sets of distinct `words`-word
     shingles of the lower-cased text. Equal sets become one class first. Bands of the signatures give
     candidates among classes: each member of a bucket is verified against the bucket's most central one;
-    then pairs of a bucket that still lie in different components are verified, unless a bound rules them
-    out: bitmaps of what each member lacks of the pivot and adds to it limit what two members share. So
-    the copies of a large group cost about one test each.
+    then pairs of a bucket that still lie in different components are verified, unless they are ruled out:
+    by bitmaps of what each member lacks of the pivot and adds to it, which limit what two members share,
+    or by signatures with fewer equal slots than a similar pair has (but for a probability of MISS). So
+    the copies of a large group cost about one test each. Texts are joined to pairs by id; the partition of
+    a pivot with very many members is one that Spark splits, since a plain join of texts follows.
 
     Null or blank texts have an empty set and are linked with nothing. A null doc_id takes part in no
     link of its own: its component_id is that of its equals, or null, and kept is false. Rows that share
@@ -163,8 +190,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # Rows that share a doc_id join the classes of their different texts.
     several = sig.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.min("f2").alias("lo2"), F.max("f2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select("doc_id")
     if not several.isEmpty():
-        same = sig.where("n > 0").join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-        links = links.unionByName(same.where("a <> b").select("a", "b"))
+        same = scratch.cut(sig.where("n > 0").join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).select("doc_id", "class").distinct())
+        same = same.join(same.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").where("class <> a")
+        links = links.unionByName(same.select("a", F.col("class").alias("b")))
     known = components(links, scratch)
     if not inside.isEmpty():
         placed = inside.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -174,14 +202,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         like = tested.withColumnsRenamed({"a": "pivot", "b": "id"}).groupBy("pivot", "id").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("both", "any", *maps)]).where("times = 1")
         loose = loose.join(like, ["pivot", "id"], "left")
         itself = F.col("id") == F.col("pivot")
-        loose = scratch.cut(loose.select("key", "id", "n", "part", F.when(itself, F.col("n")).otherwise(F.col("both")).alias("core"), F.when(itself, 0).otherwise(F.col("any") - F.col("n")).alias("lost"), *[F.when(itself, 0).otherwise(F.col(m)).alias(m) for m in maps]))
+        loose = loose.join(member.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "id")
+        words_ = SLOTS // 16
+        loose = scratch.cut(loose.select("key", "id", "n", "part", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words_)], F.when(itself, F.col("n")).otherwise(F.col("both")).alias("core"), F.when(itself, 0).otherwise(F.col("any") - F.col("n")).alias("lost"), *[F.when(itself, 0).otherwise(F.col(m)).alias(m) for m in maps]))
         a, b = (loose.select("key", *[F.col(c).alias(f"{c}_{s}") for c in loose.columns if c != "key"]) for s in "ab")
         # Bits that only one of two maps has stand for as many shingles that the other set lacks.
         alone = lambda kind, x, y: sum(F.bit_count(F.col(f"{kind}{i}_{x}").bitwiseAND(F.bitwise_not(f"{kind}{i}_{y}"))) for i in range(MAP_WORDS))
         inside_pivot = F.col("core_a") + F.col("lost_a") - F.greatest(F.col("lost_a") + alone("lost", "b", "a"), F.col("lost_b") + alone("lost", "a", "b"))
         outside = F.least(*[F.col(f"n_{x}") - F.col(f"core_{x}") - alone("won", x, y) for x, y in ("ab", "ba")])
         may = F.coalesce((100 + percent) * (inside_pivot + outside) >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
-        rest = a.join(b, "key").where((F.col("part_a") < F.col("part_b")) & (F.col("n_a") >= share * F.col("n_b") - 1e-9) & (F.col("n_b") >= share * F.col("n_a") - 1e-9) & may)
+        alike = sum(equal_slots(F.col(f"s{i}_a"), F.col(f"s{i}_b")) for i in range(words_)) >= least_equal(percent)
+        rest = a.join(b, "key").where((F.col("part_a") < F.col("part_b")) & (F.col("n_a") >= share * F.col("n_b") - 1e-9) & (F.col("n_b") >= share * F.col("n_a") - 1e-9) & may & alike)
         rest = rest.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         for x, y in (("a", "b"), ("b", "a")):
             rest = rest.join(tested.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
@@ -194,6 +225,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             whole = components(between, scratch)
             known = known.unionByName(whole.join(known, "node", "left_anti")).join(whole.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
             known = scratch.cut(known.select("node", F.coalesce("top", "component").alias("component")))
+    scratch.keep(sig, classes, known)
     final = classes.join(known.withColumnRenamed("node", "class"), "class", "left").select("f1", "f2", "n", F.coalesce("component", "class").alias("component_id"))
     out = sig.select("doc_id", "n", "f1", "f2").join(final, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

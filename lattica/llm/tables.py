@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only if driver and
+    executors are one process (tests): on a cluster each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,21 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Scratch:
     """Written intermediate tables of one job. `cut` writes a DataFrame and reads it back: the copy
-    outlives lost executors and ends the lineage. `drop` deletes a table that nothing reads any more."""
+    outlives lost executors and ends the lineage. `drop` deletes tables that nothing reads any more,
+    `keep` all but those given."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path = jvm.org.apache.hadoop.fs.Path(self.tables.pop(id(df))[1])
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.drop(*[df for k, (df, _) in list(self.tables.items()) if k not in set(map(id, frames))])

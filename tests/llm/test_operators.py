@@ -102,6 +102,30 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 0, 200: 200, 201: 200}
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark):
+    ids = random.Random(1).sample(range(10_000), 400)
+    scratch, rounds = Scratch(spark), []
+    cut = scratch.cut
+    scratch.cut = lambda df: rounds.append(df.columns == ["node", "parent"]) or cut(df)
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), scratch).collect()
+    assert {tuple(r) for r in got} == {(i, min(ids)) for i in ids} and sum(rounds) <= 20
+
+
+def test_three_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(8)
+    rows = [(5, prose(rng, 40)), (5, prose(rng, 40)), (5, prose(rng, 40))]
+    rows += [(i, rows[k][1]) for k, i in enumerate((7, 8, 9))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["component_id"] for r in got} == {5}
+
+
+def test_sketches_of_similar_sets(spark):
+    assert near_dedup.least_equal(80) <= 0.8 * near_dedup.SLOTS and near_dedup.least_equal(100) == near_dedup.SLOTS
+    x, y = 0x0123456789ABCDEF, 0x1123456789ABCDE0
+    t = spark.createDataFrame([(x, y)], "x long, y long")
+    assert t.select(near_dedup.equal_slots(F.col("x"), F.col("y"))).first()[0] == 14
+
+
 def removed(texts, length):
     seen, out = {}, []
     for i, t in enumerate(texts):

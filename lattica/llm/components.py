@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from .tables import Scratch
 
 
-def contracted(edges: DataFrame, rank, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def contracted(edges: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """One round: each node hooks to its neighbour of least rank if that is less than its own. Returns the
-    hooks (node, parent) and the edges between different parents. rank: of a node's id and degree; no ties."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = both.groupBy("a").agg(F.count("*").alias("degree"))
-    near = both.join(degrees.withColumnsRenamed({"a": "b", "degree": "degree_b"}), "b")
-    best = near.groupBy("a").agg(F.count("*").alias("degree"), F.min_by("b", rank(F.col("b"), F.col("degree_b"))).alias("b"), F.min(rank(F.col("b"), F.col("degree_b"))).alias("rank"))
-    hooks = scratch.cut(best.where(F.col("rank") < rank(F.col("a"), F.col("degree"))).select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    hooks (node, parent) and the edges between different parents. Ranks have no ties: in round 0 most
+    links come first, then a hash of the node, which is another in each round."""
+    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own, other = (F.struct(F.xxhash64(x, F.lit(turn)).alias("h"), F.col(x).alias("i")) for x in "ab")
+    if not turn:
+        degrees = scratch.cut(near.groupBy(F.col("a").alias("b")).agg((-F.count("*")).alias("degree")))
+        near = near.join(degrees, "b")  # a plain join of written tables, so Spark can split a node of very many links
+        own, other = F.struct((-F.col("n")).alias("r"), own.alias("o")), F.struct(F.col("degree").alias("r"), other.alias("o"))
+    best = near.groupBy("a").agg(F.count("*").alias("n"), F.min_by("b", other).alias("parent"), F.min(other).alias("rank"))
+    hooks = scratch.cut(best.where(F.col("rank") < own).select(F.col("a").alias("node"), "parent"))
     out = edges
     for x in "ab":
         out = out.join(hooks.withColumnsRenamed({"node": x, "parent": "to"}), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
@@ -36,9 +40,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.cut(edges.where("a <> b"))
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        n = len(rounds)
-        rank = (lambda id_, degree: F.struct((-degree).alias("r"), F.xxhash64(id_).alias("h"), id_.alias("i"))) if not n else (lambda id_, degree: F.struct(F.xxhash64(id_, F.lit(n)).alias("h"), id_.alias("i")))  # noqa: B023
-        hooks, fewer = contracted(edges, rank, scratch)
+        hooks, fewer = contracted(edges, len(rounds), scratch)
         scratch.drop(edges)
         edges = fewer
         rounds.append(hooks)

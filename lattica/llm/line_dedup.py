@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .tables import Scratch
 
 #: Turned into line breaks, as Java and RE2 patterns alike.
-HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|nav|header|footer|article|aside|section|main|form|table|tr|td|title|br)\b[^>]*>"
-TAG = r"<[^>]*>"
+HIDDEN = r"(?is)<script\b[^<>]*>.*?</script>|<style\b[^<>]*>.*?</style>|<!--.*?-->"
+BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|nav|header|footer|article|aside|section|main|form|table|tr|td|title|br)\b[^<>]*>"
+#: Tags begin with a letter, / or !; any other < is text. No tag goes over a line break put in for the above,
+#: which the control character 1 marks; it is dropped from texts.
+TAG = r"</?[a-zA-Z][^<>\x01]*>|<![^<>\x01]*>|\x01"
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)"
 
 
@@ -21,7 +23,7 @@ def host(url: str) -> Column:
 
 def page_lines(html: str) -> Column:
     """The page's lines in order: text between block tags or newlines, trimmed of blanks, not empty."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "\n"), BLOCK, "\n"), TAG, "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "\x01\n"), BLOCK, "\x01\n"), TAG, "")
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -36,13 +38,14 @@ def frequent_lines(pages: DataFrame, ratio: float, least: int) -> DataFrame:
     return totals.join(drops, "host", "left")
 
 
-def line_dedup(pages: DataFrame, ratio: float = 0.5, least: int = 3) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = 0.5, least: int = 2) -> DataFrame:
     """One row per input row of pages(page_id, url, html): page_id, host, host_pages, n_lines, n_removed,
     kept_text.
 
     A line goes if it stands on more than `ratio` of the pages of its host, and on `least` pages at
-    least; a page counts once however often it has the line. Lines are compared as trimmed text by a
-    64-bit hash. The rest keeps its order, joined by newlines. A null url or one without a host has the
+    least (2, as all lines of a host's only page stand on all of its pages); a page counts once however
+    often it has the line. Lines are compared as trimmed text by a 64-bit hash. Pages are read whole
+    however long. A < that begins no tag is text. The rest keeps its order, joined by newlines. A null url or one without a host has the
     host ''; null or empty html has no lines, but counts as a page; a line at exactly the ratio stays;
     repeated rows are pages of their own; other columns are ignored; an empty table gives none."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), host("url").alias("host"), page_lines("html").alias("lines"))
@@ -57,13 +60,13 @@ def line_dedup(pages: DataFrame, ratio: float = 0.5, least: int = 3) -> DataFram
 ORACLE = rf"""
 with pages_ as (
   select row_number() over () as r, page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) as host,
-    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', chr(10), 'g'), '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as lines
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', chr(1) || chr(10), 'g'), '{BLOCK}', chr(1) || chr(10), 'g'), '{TAG}', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as lines
   from pages
 ), totals as (select host, count(*) as n_pages from pages_ group by host),
 lines_ as (select r, host, unnest(list_distinct(lines)) as line from pages_),
 often as (
   select host, line from (select host, line, count(*) as n from lines_ group by host, line) join totals using (host)
-  where n >= 3 and n > 0.5 * n_pages
+  where n >= 2 and n > 0.5 * n_pages
 ), parts as (
   select p.r, u.i, u.line, o.line is null as stays
   from pages_ p, unnest(list_zip(p.lines, range(1, len(p.lines) + 1))) as z(x), (select x[1] as line, x[2] as i) u

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer's pattern that belongs to the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "last", "largest")
+#: A long run of white space (of the pattern's \s), on which the pattern's search would run out of stack.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def encoding(path: str, pattern: str):
@@ -28,6 +31,30 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def tokens_of(tokenizer, raw: bytes):
+    """The tokens of a whole text. A long run of white space is one piece of the pattern but for its last
+    character, which the pattern leaves to a word that follows; so it is cut out there and merged by itself,
+    with the same tokens. Bytes that are no UTF-8 are pieces of their own."""
+    out, at = [], 0
+    while at < len(raw):
+        try:
+            text, bad, end = raw[at:].decode(), b"", len(raw)
+        except UnicodeDecodeError as e:
+            text, bad, end = raw[at : at + e.start].decode(), raw[at + e.start : at + e.end], at + e.end
+        here = 0
+        for m in BLANKS.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            out.append(tokenizer.encode_to_numpy(text[here : m.start()], disallowed_special=()))
+            out.append(np.array(tokenizer._encode_single_piece(text[m.start() : stop].encode()), np.int64))
+            here = stop
+        if here < len(text):
+            out.append(tokenizer.encode_to_numpy(text[here:], disallowed_special=()))
+        if bad:
+            out.append(np.array(tokenizer._encode_single_piece(bad), np.int64))
+        at = end
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
 def attributed(ends, cuts, rule: str = "first"):
     """Tokens end at the byte offsets `ends`; sections begin at `cuts` (first 0). Returns the tokens of
     each section, each token counted once, and how many of the section's tokens cross its end or start.
@@ -52,7 +79,7 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
     text is encoded once by the byte-level tokenizer; a token belongs to one section, by `rule` (see
     attributed) if it crosses a boundary, so the sections' tokens add up to the document's. The join of
     token spans with sections is a merge of two sorted lists inside the document. A null or empty text is
-    one section without tokens; repeated rows and null ids are kept; other columns are ignored; an empty
+    one section without tokens; a very long text is encoded whole, in one task; repeated rows and null ids are kept; other columns are ignored; an empty
     table gives none. The vocabulary's path is read on the executors."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -67,7 +94,7 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
                     text = raw[offsets[i] : offsets[i + 1]]
                     newlines = np.flatnonzero(data[offsets[i] : offsets[i + 1]] == 0x0A) + 1
                     cuts = np.append(0, newlines[newlines < len(text)])
-                    tokens = tokenizer.encode_to_numpy(text.decode(), disallowed_special=()) if text else np.zeros(0, np.int64)
+                    tokens = tokens_of(tokenizer, text)
                     n, cross = attributed(np.cumsum(lengths[tokens]), cuts, rule) if len(tokens) else (np.zeros(len(cuts), np.int64),) * 2
                     ids.append(np.full(len(cuts), row + i))
                     for column, values in zip(out, (np.arange(len(cuts)), np.diff(np.append(cuts, len(text))), n, cross)):

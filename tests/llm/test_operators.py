@@ -306,6 +306,38 @@ def test_line_dedup(spark):
     assert by[9]["kept_text"] == "Menu\ntext 9 here\nFoot &copy;" and by[10]["n_lines"] == 0 == by[11]["n_lines"]
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Lines cut by a scan of characters; a bare < and > are text, ties at the ratio stay, very long lines too."""
+    rng = random.Random(6)
+    stock = ["3 < 5 holds", "a > b <c", "x" * 5_000, "menu", "foot & co", "<b>bold</b> line", "one <i>two</i> three < four"]
+    pages = [(i, f"http://h{i % 4}.org/{i}", "<p>".join(rng.choice(stock) + (f" {i}" if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    pages += [(60, "http://two.org", "same\nown 1"), (61, "http://two.org", "own 2\nsame"), (62, "http://one.org", "same\n3 < 5 holds\nsecond line\nthird line\n<b>x</b> end")]
+
+    def lines(text):
+        out, at = "", 0
+        while at < len(text):
+            end = text.find(">", at)
+            if text[at] == "<" and at + 1 < len(text) and text[at + 1] in "/!pbi" and end > 0 and "<" not in text[at + 1 : end]:
+                out, at = out + ("\n" if text[at:end].strip("</") == "p" else ""), end + 1
+            else:
+                out, at = out + text[at], at + 1
+        return [x.strip(" ") for x in out.split("\n") if x.strip(" ")]
+
+    host = lambda url: url.split("/")[2]
+    of, cut = {}, [lines(text) for _, _, text in pages]
+    for (_, url, _), own in zip(pages, cut):
+        of.setdefault(host(url), []).append(set(own))
+    got = line_dedup.line_dedup(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    for r in got:
+        url, own = pages[r["page_id"]][1], cut[r["page_id"]]
+        sets = of[host(url)]
+        times = lambda x: sum(x in s for s in sets)  # noqa: B023, E731
+        kept = [x for x in own if not (times(x) >= 2 and times(x) > 0.5 * len(sets))]
+        assert (r["kept_text"], r["n_lines"], r["n_removed"]) == ("\n".join(kept), len(own), len(own) - len(kept))
+    by = {r["page_id"]: r["kept_text"] for r in got}
+    assert by[60] == "own 1" and by[62] == "same\n3 < 5 holds\nsecond line\nthird line\nx end"
+
+
 def test_main_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=a>One</a></ul></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>A title &amp; more</h1><p>First  <b>bold</b> text
@@ -331,14 +363,34 @@ def test_main_text_on_held_out_pages(spark):
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_tokens(docs, texts, rule):
+    """Each token's section by a walk over its bytes."""
     tokenizer, lengths = token_counts.encoding(token_counts.VOCABULARY, token_counts.PATTERN)
-    total: dict = {}
-    for r in docs.dropDuplicates(["doc_id"]).transform(lambda t: token_counts.section_tokens(t, rule=rule)).collect():
-        n, b, s = total.get(r["doc_id"], (0, 0, 0))
-        total[r["doc_id"]] = n + r["n_tokens"], b + r["n_bytes"], s + 1
+    got = {(r["doc_id"], r["section"]): tuple(r)[2:] for r in docs.dropDuplicates(["doc_id"]).transform(lambda t: token_counts.section_tokens(t, rule=rule)).collect()}
     for i, t in enumerate(texts):
-        t = t or ""
-        assert total[i] == (len(tokenizer.encode_ordinary(t)), len(t.encode()), max(1, t.count("\n") + (not t.endswith("\n"))))
+        raw = (t or "").encode()
+        section = np.append(0, np.cumsum([b == 10 for b in raw]))[: len(raw)]  # of each byte
+        n, cross, at = [0] * (int(section[-1]) + 1 if raw else 1), [0] * (int(section[-1]) + 1 if raw else 1), 0
+        for token in tokenizer.encode_ordinary(t or ""):
+            inside = section[at : at + lengths[token]].tolist()
+            at += lengths[token]
+            own = {"first": inside[0], "last": inside[-1], "largest": max(sorted(set(inside)), key=inside.count)}[rule]
+            n[own] += 1
+            cross[own] += len(set(inside)) > 1
+        size = np.bincount(section, minlength=len(n)).tolist() if raw else [0]
+        for s in range(len(n)):
+            assert got.pop((i, s)) == (size[s], n[s], cross[s])
+    assert not got
+
+
+def test_tokens_of_long_white_space_and_no_utf8():
+    tokenizer, lengths = token_counts.encoding(token_counts.VOCABULARY, token_counts.PATTERN)
+    for blank in (" ", "\n", " \t", "\u3000 \n"):
+        for text in (blank * 12_000, "a" + blank * 12_000 + "b c", "a " + blank * 12_000 + " !x", blank * 12_000 + "\n7", "é" + blank * 11_000 + "q" + blank * 30_000):
+            assert token_counts.tokens_of(tokenizer, text.encode()).tolist() == tokenizer.encode_ordinary(text)
+        for text in (blank * 300_000, "a" + blank * 1_000_000 + "b"):
+            assert lengths[token_counts.tokens_of(tokenizer, text.encode())].sum() == len(text.encode())
+    raw = b"ab\xff\xfe c" + "d é".encode() + b"\xc3"
+    assert lengths[token_counts.tokens_of(tokenizer, raw)].sum() == len(raw)
 
 
 def test_boundary_rules():

@@ -350,6 +350,48 @@ def test_main_text(spark):
     assert got[0] == got[4] and got[1]["text"] == got[2]["text"] == "" and got[3]["n_chars"] == 24999
 
 
+def words(n, at=0):
+    return " ".join(f"w{at + i}" for i in range(n))
+
+
+#: Pages without an article element; the parts between { and } are the main text.
+TEMPLATES = [
+    "<body><div class=top><a href=/>Home</a></div><ul><li><a href=a>One two</a><li><a href=b>Three</a></ul><div>{<h2>A title here</h2>}{<p>%30</p>}{<p>%55</p>}{<p>%4</p>}{<p>%48</p>}</div><div><a href=x>Next page</a></div><div><a href=y>Older posts</a></div><div>All rights kept by us</div></body>",
+    "<form id=aspnetForm><div id=menu><a href=a>One</a></div><div class=entry-content>{<h1>Some title words</h1>}{<p>%44</p>}{<p>%3</p>}{<p>%60</p>}</div><div class=sidebar-right><p>%40</p></div><div id=comments><div class=post><p>%50</p></div></div></form>",
+    "<table><tr><td><a href=a>Start</a><td><a href=b>Contact us</a></tr></table><table><tr><td>{%120}<tr><td>{%80}</table><center><a href=c>Imprint here</a></center>",
+    "<div class=cookie-notice>%25</div><div class='share-friendly body'>{<h1>T u v</h1>}{<p>%35</p>}{<ul><li>%4</li>}{<li>%5</li></ul>}{<p>%70 <a href=l>a link</a> %9</p>}</div><footer><p>%30</p></footer>",
+    "<main class='form-design page'>{<h1>Five words in this title</h1>}{<p>%33</p>}{<address>%6</address>}<svg viewBox=x /><select name=q><option>A<option>B</select><button-group></button-group>{<p>%41</p>}<object data=z />{<p>%52</p>}<div class='newsletter-box'><p>%12</p><button>Join</div></main><aside><h3>More</h3><p>%20</p></aside>",
+]
+
+
+@pytest.mark.parametrize("number", range(len(TEMPLATES)))
+def test_main_text_of_other_templates(number):
+    page = re.sub(r"%(\d+)", lambda m: words(int(m[1]), m.start()), TEMPLATES[number])
+    want = [" ".join(re.sub("<[^>]*>", " ", x).split()) for x in re.findall(r"\{(.*?)\}", page, re.S)]
+    found = html_text.blocks(page.replace("{", "").replace("}", ""))
+    tree = html_text.fit_tree(html_text.labelled_rows())
+    kept = html_text.classify(tree, html_text.block_features(found))
+    assert [b[0] for b, k in zip(found, kept) if k] == want
+
+
+def test_blocks_of_broken_markup_in_linear_time():
+    for inside in ("<svg width=1/>", "<object data=x />", "<div><select><option>A</div>", "<div><button>B</div>", "<title-bar>", "<button-group>"):
+        assert [b[0] for b in html_text.blocks(f"<article><p>one</p>{inside}<p>two</p></article>")] == ["one", "two"]
+    assert html_text.blocks("<p>a<script>x") == [("a", 1, 0, 0, 0)]
+    deep = "<div>" * 60_000 + "x" + "</p></section>" * 60_000
+    assert len(html_text.blocks(deep)) == 1
+
+
+def test_link_density_and_words_decide_without_hints():
+    tree = html_text.fit_tree(html_text.labelled_rows())
+    x = np.array(html_text.labelled_rows())
+    plain = x[x[:, 6] == 0]
+    none = plain.copy()
+    none[:, :6] = 0
+    right = lambda t: (html_text.classify(tree, t[:, :-1]) == plain[:, -1]).mean()
+    assert right(plain) > 0.95 and right(none) < 0.8 and tree[0, 0] < 6
+
+
 def test_main_text_on_held_out_pages(spark):
     """Against the article elements of the given pages, none of which the labelled table was drawn from."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")

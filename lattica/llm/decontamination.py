@@ -153,7 +153,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     windows of whole documents of about twice that size, so that a short item inside a long document
     keeps a Jaccard similarity of 0.19 or more; one equal slot of 64 makes a candidate (a contained
     contiguous item is missed with a probability below 2e-6). Bloom filters of fixed size thin out the
-    documents' keys before the join with the items; candidates are verified on the full sets.
+    documents' keys before the join with the items; candidates are verified on the full sets, so that a
+    phrase that all items and documents have costs nothing without an equal slot. A very long document is
+    one row of shingles that some item may have.
 
     An item or document of under `words` words is one shingle; null and blank ones have none and match
     nothing. Null ids are left out. Rows that share an id are one document or item. Other columns are
@@ -166,9 +168,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     classes = sorted(r["size_class"] for r in signs.select("size_class").distinct().collect())  # powers of two
     found = scratch.cut(probes(docs, words, classes, bloom_filter(signs.select("key")), bloom_filter(sets.select("shingle"))))
     candidates = found.select("doc_id", F.explode("keys").alias("key")).join(signs.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    shared = found.select("doc_id", F.explode("shingles").alias("shingle")).distinct().join(sets, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    sizes = sets.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    out = candidates.join(shared, ["doc_id", "item_id"]).join(sizes, "item_id").where(f"100 * n_shared >= {percent} * n_item")
+    # Only candidates are counted.
+    sizes = sets.groupBy("item_id").agg(F.count("*").alias("n_item"), F.collect_list("shingle").alias("own"))
+    held = found.select("doc_id", "shingles").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+    out = scratch.cut(candidates).join(sizes, "item_id").join(held, "doc_id")
+    out = out.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
     return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 

@@ -36,21 +36,24 @@ def water_filling(sources: DataFrame, share: float = 1.5, most: float = 2.0) ->
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """One row per input row of docs(doc_id, source, text): doc_id, size, source_size, target, taken.
+    """One row per input row of docs(doc_id, source, text): doc_id, size, source_size, target, taken, and row, a
+    struct of all columns of docs; where that is read, texts are shuffled once, with their buckets.
 
     size is the number of words. Sources in code-point order, null last, take the weights in turn; see
     water_filling. All documents of a source are taken floor(target / source_size) times; one more time
     those that come first in a seeded order, while the middle of the document lies under the rest of the
     target, so that a source misses its target by less than half a document. Buckets of the seeded hash
     are summed first; a running sum over them tells where a bucket begins, and only the inside of a
-    bucket is ordered row by row. Null and blank texts have size 0 and take 0; a null source is a source;
-    a null doc_id sorts first in its bucket; repeated rows are separate; other columns are ignored; an
+    bucket is ordered row by row. Null and blank texts have size 0 and take 0, very long ones are sized
+    whole; a null source is a source; a null doc_id is drawn by its text; repeated rows are separate, and
+    stand next to each other in the order; other columns are ignored; an
     empty table gives an empty result. Reruns agree, as the order depends on doc_id and seed alone."""
     key = [F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("unnamed")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, word_count().alias("size"))
-    rows = rows.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, word_count().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("draw"), whole_row.alias("row"))
     rows = rows.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
-    buckets = rows.groupBy("source", "unnamed", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = rows.drop("row").groupBy("source", "unnamed", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = buckets.groupBy("source", "unnamed").agg(F.sum("bucket_size").alias("source_size"))
     number = F.row_number().over(Window.orderBy("unnamed", "source")) - 1
     turn = F.array(*map(F.lit, weights))
@@ -64,13 +67,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     rest = F.col("target") - whole * F.col("source_size")
     middle = F.col("before") + F.col("upto") - F.col("size") / F.lit(2.0)
     taken = whole * F.col("size") + F.when(middle < rest, F.col("size")).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "row")
 
 
 ORACLE = r"""
 with rows_ as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(concat('mix-1', ':', coalesce(doc_id::varchar, ''))) as draw
+         md5(concat('mix-1', ':', coalesce(doc_id::varchar, md5(coalesce(text, ''))))) as draw
   from documents
 ), ranked as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as number

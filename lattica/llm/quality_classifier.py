@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import counts, threshold
+from .quality_rules import counts, hash_sample, threshold
 from .tables import Scratch
 from .texts import LOWER, chunks, mix, span_hashes, words
 
@@ -70,14 +70,23 @@ def margin(beta, x):
     return x @ beta[:-1] + beta[-1]
 
 
+def held_out(y):
+    """Each fourth labelled row of each class, for the calibration: of a class of under four rows none."""
+    out = np.zeros(len(y), bool)
+    for label in (0, 1):
+        at = np.flatnonzero((y > 0) == label)
+        out[at[3::4]] = True
+    return out
+
+
 def co_train(x, y, pool, rounds: int = ROUNDS):
     """The two views' models and their calibration (scale text, scale metadata, shift).
 
     Each round a view labels the pool's rows it is surest of, at most PER_ROUND of each class with a
-    probability of SURE or more, for the other view. A quarter of the labelled rows is held out; the
-    margins of both views are calibrated together on it."""
-    held = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.ones(len(y), bool)
-    base = ~held if len(y) >= 40 and 0 < y[~held].mean() < 1 else np.ones(len(y), bool)
+    probability of SURE or more, for the other view. The margins of both views are calibrated together on the
+    held-out rows."""
+    held = held_out(y)
+    base = ~held
     views = [slice(0, TEXT_VIEW), slice(TEXT_VIEW, WIDTH)]
     extra_x, extra_y = [[], []], [[], []]
     free = [np.ones(len(pool), bool), np.ones(len(pool), bool)]
@@ -98,32 +107,33 @@ def co_train(x, y, pool, rounds: int = ROUNDS):
                     extra_x[other].append(pool[at][:, views[other]])
                     extra_y[other].append(np.full(len(at), float(label)))
     both = np.stack([margin(models[v], x[held][:, views[v]]) for v in (0, 1)], 1)
-    ok = 0 < y[held].mean() < 1
+    ok = held.any() and 0 < y[held].mean() < 1
     return models, fit_logistic(both, y[held]) if ok else np.array([1.0, 0.0, 0.0])
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
     """One row per input row of docs: doc_id, text_margin, meta_margin, score, kept.
 
     score is the calibrated probability of labels.quality = 1 (classes weighed alike); kept is a score
     above the threshold that loses at most a share quality_rules.GOOD_LOSS of all labelled good rows and
-    finds most of the bad ones. Fitted on LABELLED_ROWS labelled and POOL_ROWS unlabelled documents, the
-    first by a hash of their id; every document is scored. Null texts and metadata have empty features;
+    finds most of the bad ones. Fitted on labelled_rows labelled and pool_rows unlabelled documents, the
+    first by a hash of their id; every document is scored, a very long one whole, in one task. Equal rows
+    score alike; a doc_id with several labels has the greatest. Null texts and metadata have empty features;
     null ids are scored, never sampled; repeated rows score alike; other columns are ignored; without
     labels of both kinds the score is 0.5 and all is kept; an empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    first = lambda t, n: t.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     pool = docs.select("doc_id").where("doc_id is not null").join(truth, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
-    chosen = scratch.cut(first(truth.join(docs.select("doc_id"), "doc_id", "left_semi"), LABELLED_ROWS).unionByName(first(pool, POOL_ROWS)))
+    known = truth.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = scratch.cut(hash_sample(known, labelled_rows, "doc_id").unionByName(hash_sample(pool, pool_rows, "doc_id")))
 
     def features(batches):
         for batch in batches:
             for row, x in vectors(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), batch.column(5).slice(row, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    sample = docs.join(F.broadcast(chosen), "doc_id")  # LABELLED_ROWS + POOL_ROWS pairs of numbers
+    sample = docs.join(F.broadcast(chosen), "doc_id")  # labelled_rows + pool_rows pairs of numbers
     rows = sample.select(*COLUMNS, "quality").mapInArrow(features, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), WIDTH)

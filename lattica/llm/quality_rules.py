@@ -11,7 +11,7 @@ from .tables import Scratch
 from .texts import chunks, distinct, repeated, span_hashes, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_echoes")
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+SCHEMA = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 MARK = np.zeros(256, bool)
@@ -67,15 +67,15 @@ def counts(data, offsets):
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS for each row of docs(doc_id, text); a null text has zeros."""
+    """doc_id, a hash of the text and COUNTS for each row of docs(doc_id, text); a null text has zeros."""
 
     def run(batches):
         for batch in batches:
             for row, data, offsets in chunks(batch.column(1)):
                 values = counts(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1), *map(pa.array, values)], names=["doc_id", *COUNTS])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(offsets) - 1) for c in (0, 2)), *map(pa.array, values)], names=["doc_id", "text_hash", *COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SCHEMA)
 
 
 def features(get):
@@ -159,23 +159,34 @@ def threshold(marked: DataFrame, labels: DataFrame) -> float:
     return int(gain.argmax()) / BINS
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, COUNTS, base_failed, anomaly, kept.
+def hash_sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """About n of the rows, n at most: those first by a hash of the key columns. A count and a bound on the hash
+    (with a tenth of n and 64 rows to spare) leave little more than n in all partitions together to be sorted."""
+    total = rows.count()
+    draw = F.xxhash64(*key)
+    share = min(1.0, (1.1 * n + 64) / max(total, 1))
+    return rows.where(draw <= min(int(-(2**63) + share * 2**64), 2**63 - 1) if share < 1 else F.lit(True)).orderBy(draw, *key).limit(n)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """One row per input row: doc_id, COUNTS, base_failed, anomaly, kept, text_hash.
 
     base_failed: under 20 words, or over 30 % of the words lie in repeated 8-word windows. kept: not
     base_failed and an anomaly score below the threshold calibrated on labels(doc_id, quality). The forest
-    is fitted on FIT_ROWS documents of 20 words or more, the first by a hash of their counts and id.
-    Null texts count as empty, and so fail; a null doc_id is judged by its text; repeated rows are
+    is fitted on fit_rows documents of 20 words or more, the first by a hash of their counts and id (a
+    bounded sample of numbers that comes to the driver); thresholds count all labelled rows. text_hash tells
+    apart rows that share a doc_id. Null texts count as empty, and so fail; a very long text is counted
+    whole, in one task; equal scores are judged alike; a null doc_id is judged by its text; repeated rows are
     judged alike; other columns are ignored; an empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession)
     stats = scratch.cut(rule_statistics(docs))
-    sample = stats.where("n_words >= 20").orderBy(F.xxhash64("n_words", "word_chars", "n_symbols", "doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = sample.toPandas()  # FIT_ROWS rows of numbers at most
+    sample = hash_sample(stats.where("n_words >= 20"), fit_rows, "n_words", "word_chars", "n_symbols", "doc_id")
+    rows = sample.toPandas()  # fit_rows rows of numbers at most
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     if not len(rows):
-        return stats.select("*", failed.alias("base_failed"), F.lit(0.0).alias("anomaly"), (~failed).alias("kept"))
+        return stats.select("doc_id", *COUNTS, failed.alias("base_failed"), F.lit(0.0).alias("anomaly"), (~failed).alias("kept"), "text_hash")
     rows = rows.sort_values(["doc_id", *COUNTS])
     marked = scratch.cut(scored(stats, fit_forest(features(lambda c: rows[c].to_numpy(float)))))
     scratch.drop(stats)
     limit = threshold(marked.where(~failed), labels)
-    return marked.select("doc_id", *COUNTS, failed.alias("base_failed"), "anomaly", (~failed & (F.col("anomaly") < limit)).alias("kept"))
+    return marked.select("doc_id", *COUNTS, failed.alias("base_failed"), "anomaly", (~failed & (F.col("anomaly") < limit)).alias("kept"), "text_hash")

@@ -56,7 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_suffix_dedup, op4_html_text, op5_decontamination, op6_token_counts, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}

@@ -57,3 +57,26 @@ def test_run_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, D)
     assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Null ids, rows that share an id, repeated rows, nulls in any column and columns of clashing names."""
+    good = [r["text"] for r in spark.read.parquet(f"{D}/documents.parquet").orderBy("doc_id").collect() if r["text"] and 60 < len(r["text"].split()) < 300 and len(set(r["text"].split())) > 30][:12]
+    leak = spark.read.parquet(f"{D}/benchmark.parquet").first()["text"]
+    t = [" ".join(f"{w}{i}" for w in g.split()) for i, g in enumerate(good)]
+    rows = [(1, t[0]), (1, t[1]), (2, t[2]), (2, t[2]), (None, t[3]), (None, t[3]), (None, t[4]), (3, t[4]), (None, t[5] + " " + leak), (4, t[6] + " " + leak), (5, None), (None, None), (6, ""), (7, t[7])]
+    docs = spark.createDataFrame([(i, x, None, "s" if n % 2 else None, None, 1, 2, 3, 4, 5) for n, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _times int, key_ int, rank_ int, row int, taken int")
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["quality rules"](spark, docs, D)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    judged = {(r["doc_id"], r["text_hash"]) for r in quality_rules(docs, spark.read.parquet(f"{D}/labels.parquet")).where("kept").collect()}
+    assert one.columns == docs.columns and {x for _, x in pairs(one)} <= {x for _, x in rows if x}
+    assert one.count() == sum((r["doc_id"], r["h"]) in judged for r in docs.selectExpr("doc_id", "xxhash64(text) as h").collect())
+    two = pairs(stages["near-dedup"](spark, docs.where("text is not null"), D))
+    assert two == sorted([(1, min(t[0], t[1])), (2, t[2]), (None, t[3]), (3, t[4]), (None, t[5] + " " + leak), (4, t[6] + " " + leak), (6, ""), (7, t[7])], key=repr)
+    three = stages["decontamination"](spark, docs, D)
+    assert pairs(three) == sorted([x for x in rows if not x[1] or leak not in x[1]], key=repr) and three.columns == docs.columns
+    four = stages["mixing"](spark, three, D)
+    got = pairs(four)
+    assert four.columns == docs.columns and set(got) <= {x for x in rows if x[1]} and len(got) <= 2 * len(rows)
+    assert stages["sharding"](spark, four, D).count() == len(got)

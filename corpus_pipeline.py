@@ -2,12 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a DataFrame; run() writes
 each result as Parquet in the shared folder and reads it again as the next stage's docs. The first four
-return the columns of documents. Rows without a doc_id can't be named in any result and leave in the
-first stage. Empty tables pass through every stage."""
+return the columns of documents, whatever else these are called. Rows without a doc_id are documents too:
+the stages that need a name for each document take one from the text, beyond all ids. Empty tables pass
+through every stage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.decontamination import contaminated
@@ -18,28 +19,55 @@ from lattica.llm.resharding import resharded
 from lattica.llm.tables import Scratch, table
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that docs has no column of."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def named(docs: DataFrame, key: str) -> DataFrame:
+    """docs with `key`: doc_id, or for rows without one 2 ** 62 and more, by a hash of the text."""
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**62))))
+
+
+def by_key(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows that share a doc_id stay if all are kept."""
-    rejected = quality_rules(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the quality rules reject go. Rows that share a doc_id are judged by their own texts."""
+    id_, hash_ = free(docs, "id_"), free(docs, "hash_")
+    rejected = quality_rules(docs, table(spark, sf_dir, "labels")).where("not kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id, once."""
-    kept = near_groups(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near copies stays, the one with the smallest doc_id (those without one come
+    last), once: of rows that share a doc_id the least by text, then by the other columns."""
+    key = free(docs, "key_")
+    rows = named(docs, key)
+    kept = Scratch(spark).cut(near_groups(by_key(rows, key), words=5, percent=80).where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")))
+    once = rows.join(kept.where("n = 1").select(key), key, "left_semi")
+    several = rows.join(kept.where("n > 1").select(key), key, "left_semi")
+    order = Window.partitionBy(key).orderBy("text", *[c for c in docs.columns if c != "text"])
+    rank = free(docs, "rank_")
+    first = several.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return once.select(docs.columns).unionByName(first.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go; rows that share a doc_id are one document."""
+    key = free(docs, "key_")
+    rows = named(docs, key)
+    leaks = contaminated(by_key(rows, key), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaks, key, "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as many times as the mix takes it; documents without words go."""
-    times = mixed(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    """Each row stands as many times as the mix takes it; documents without words go."""
+    times = (F.col("taken") / F.col("size")).cast("int")
+    return mixed(docs).where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

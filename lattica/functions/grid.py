@@ -31,14 +31,14 @@ class Grid:
 
     def tile_range(self, rect: tuple[float, float, float, float], depth: int | None = None) -> tuple[int, int, int, int] | None:
         """(first row, last row, first col, last col) of the tiles that a rectangle touches, or None if it
-        lies outside the grid."""
+        lies outside the grid or the grid has no span. An end on a tile's edge doesn't touch the next tile."""
         depth = self.depth if depth is None else depth
         size, last = self.tile_size(depth), 2**depth - 1
         x0, y0, x1, y1 = rect
         if size <= 0:
-            return (0, 0, 0, 0)
+            return None
         low = lambda v, least: max(0, math.floor((v - least) / size))
-        high = lambda v, least: min(last, math.floor((v - least) / size))
+        high = lambda v, least: min(last, math.ceil((v - least) / size) - 1)
         r0, r1, c0, c1 = low(y0, self.miny), high(y1, self.miny), low(x0, self.minx), high(x1, self.minx)
         return (r0, r1, c0, c1) if r0 <= r1 and c0 <= c1 else None
 
@@ -124,9 +124,11 @@ def in_rect(tiles: DataFrame, grid: Grid, rect: tuple[float, float, float, float
 def rect_tiles(tiles: DataFrame, grid: Grid, rects: DataFrame) -> DataFrame:
     """(rect_id, tile_row, tile_col): the written tiles that each of many rectangles(rect_id, x0, y0, x1, y1)
     touches, an intersection of each rectangle's tiles with the tile index."""
-    size, last = grid.tile_size() or 1.0, 2**grid.depth - 1
+    size, last = grid.tile_size(), 2**grid.depth - 1
+    if size <= 0:
+        return rects.where(F.lit(False)).select("rect_id", F.lit(0).alias("tile_row"), F.lit(0).alias("tile_col"))
     low = lambda c, least: F.greatest(F.lit(0), F.floor((F.col(c) - least) / size)).cast("int")
-    high = lambda c, least: F.least(F.lit(last), F.floor((F.col(c) - least) / size)).cast("int")
+    high = lambda c, least: F.least(F.lit(last), F.ceil((F.col(c) - least) / size) - 1).cast("int")
     t = rects.select("rect_id", low("y0", grid.miny).alias("r0"), high("y1", grid.miny).alias("r1"), low("x0", grid.minx).alias("c0"), high("x1", grid.minx).alias("c1"))
     t = t.where("r0 <= r1 and c0 <= c1").withColumn("tile_row", F.explode(F.sequence("r0", "r1"))).withColumn("tile_col", F.explode(F.sequence("c0", "c1")))
     return t.select("rect_id", "tile_row", "tile_col").join(tiles.select("tile_row", "tile_col").distinct(), ["tile_row", "tile_col"], "left_semi").select("rect_id", "tile_row", "tile_col")

@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import order_statistics
+
 #: Measurements that are coloured by first, if present (fixed values).
-PREFERRED = ("transcript_counts", "total_counts", "cell_area", "area")
+PREFERRED = ("cell_area", "nucleus_area", "transcript_counts", "total_counts", "area")
 NEVER = ("id", "cell_id", "object_id", "x_centroid", "y_centroid")
 UNASSIGNED = "unassigned"
 
 
-def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+def first_per_key(rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The first row of each key in the given order, or as the table is read: an aggregate, so that rows of a
+    frequent key are thinned out before the shuffle."""
+    place = F.struct(*order) if order else F.monotonically_increasing_id()
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    t = rows.select(F.col(f"`{key}`").alias("_k"), place.alias("_p"), whole.alias("_w"))
+    return t.groupBy("_k").agg(F.min_by("_w", "_p").alias("_w")).select("_w.*")
 
 
 def join_attributes(objects: DataFrame, cells: DataFrame, key: str = "object_id", order: list[str] | None = None) -> DataFrame:
-    """Left join of an attribute table, its id cast to the objects' type and its first row per id; a column
+    """Left join of an attribute table, its id cast to the objects' type and then its first row per id; a column
     the attributes also have (such as a computed area) gives way to theirs. The row count stays."""
-    right = first_per_key(cells, key, order or [c for c in cells.columns if c != key] or [key])
-    right = right.withColumn(key, F.col(key).cast(objects.schema[key].dataType))
+    right = first_per_key(cells.withColumn(key, F.col(key).cast(objects.schema[key].dataType)), key, order)
     return objects.drop(*[c for c in right.columns if c != key]).join(right, key, "left")
 
 
@@ -34,7 +39,8 @@ def join_categories(objects: DataFrame, tables: dict[str, DataFrame], key: str =
     def add(df, item):
         name, t = item
         t = t.toDF(key, name, *t.columns[2:])
-        t = first_per_key(t, key, order or [name]).select(F.col(key).cast(objects.schema[key].dataType).alias(key), F.col(name).alias(name, metadata={"categorical": True}))
+        t = first_per_key(t.withColumn(key, F.col(key).cast(objects.schema[key].dataType)), key, order)
+        t = t.select(key, F.col(name).alias(name, metadata={"categorical": True}))
         return df.join(t, key, "left")
 
     return reduce(add, tables.items(), objects)
@@ -75,12 +81,9 @@ def robust_domain(df: DataFrame, column: str, low: float = 0.02) -> DataFrame:
     """(lo, hi): the nearest-rank `low` and 1 - low percentiles of the values; least and greatest where those
     are equal; hi = lo + 1 where those are too; 0 and 1 without values."""
     v = F.col(column).cast("double")
-    t = df.where(v.isNotNull()).agg(
-        F.expr(f"percentile_disc({low}) within group (order by cast(`{column}` as double))").alias("_lo"),
-        F.expr(f"percentile_disc({low}) within group (order by cast(`{column}` as double) desc)").alias("_hi"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-    )
+    rank = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(low)))
+    found = order_statistics(df.select(v.alias("_v")), [], "_v", {"_lo": rank, "_hi": lambda n: n + 1 - rank(n), "_min": lambda n: F.lit(1), "_max": lambda n: n})
+    t = df.sparkSession.range(1).select(F.lit(0).alias("_one")).join(found.withColumn("_one", F.lit(0)), "_one", "left")
     flat = F.col("_hi") <= F.col("_lo")
     t = t.select(F.coalesce(F.when(flat, F.col("_min")).otherwise(F.col("_lo")), F.lit(0.0)).alias("lo"), F.when(flat, F.col("_max")).otherwise(F.col("_hi")).alias("hi"))
     return t.select("lo", F.when(F.coalesce("hi", "lo") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import order_statistics
+
 
 @dataclass(frozen=True)
 class Level:
@@ -83,12 +85,20 @@ def label_areas(boxes: DataFrame, level: Level) -> DataFrame:
 
 def contrast(pixels: DataFrame, low: float = 0.01, high: float = 0.995) -> DataFrame:
     """(channel, lo, hi) by linear interpolation between ranks."""
-    return pixels.groupBy("channel").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("p")).select("channel", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    at = lambda n, p: F.lit(p) * (n - 1)
+    ranks = {}
+    for name, p in (("lo", low), ("hi", high)):
+        ranks[name] = lambda n, p=p: F.floor(at(n, p)) + 1
+        ranks[f"{name}_next"] = lambda n, p=p: F.ceil(at(n, p)) + 1
+    t = order_statistics(pixels, ["channel"], "value", ranks)
+    between = lambda name, p: (F.col(name) + (F.col(f"{name}_next") - F.col(name)) * (at(F.col("n"), p) - F.floor(at(F.col("n"), p)))).alias(name)
+    return t.select("channel", between("lo", low), between("hi", high))
 
 
 def sampled_contrast(pixels: DataFrame, position: Column, stride: int, low: float = 0.01, high: float = 0.005) -> DataFrame:
     """(channel, lo, hi) by nearest rank on each stride-th pixel; hi = lo + 1 where they are equal."""
-    t = pixels.where(F.pmod(position, F.lit(stride)) == 0).groupBy("channel").agg(F.expr(f"percentile_disc({low}) within group (order by value)").alias("lo"), F.expr(f"percentile_disc({high}) within group (order by value desc)").alias("hi"))
+    rank = lambda n, p: F.greatest(F.lit(1), F.ceil(n * F.lit(p)))
+    t = order_statistics(pixels.where(F.pmod(position, F.lit(stride)) == 0), ["channel"], "value", {"lo": lambda n: rank(n, low), "hi": lambda n: n + 1 - rank(n, high)})
     kind = pixels.schema["value"].dataType
     return t.select("channel", F.col("lo").cast(kind).alias("lo"), F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).cast(kind).alias("hi"))
 

@@ -22,26 +22,31 @@ def inside_ring(ring: Column, px: Column, py: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda n, e: n + hit(e).cast("int")) % 2 == 1
 
 
-def median_box(objects: DataFrame) -> float:
-    """The median longer side of the rings' bounding boxes, as a cell size for the join; 1 without objects."""
-    side = F.greatest(F.array_max(F.transform("ring", lambda v: v["x"])) - F.array_min(F.transform("ring", lambda v: v["x"])), F.array_max(F.transform("ring", lambda v: v["y"])) - F.array_min(F.transform("ring", lambda v: v["y"])))
-    return objects.agg(F.percentile_approx(side, 0.5)).first()[0] or 1.0
+def with_box(objects: DataFrame) -> DataFrame:
+    """Adds the bounding box _x0, _y0, _x1, _y1 of each ring."""
+    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
+    return objects.withColumns({"_x0": F.array_min(xs), "_y0": F.array_min(ys), "_x1": F.array_max(xs), "_y1": F.array_max(ys)})
 
 
 def points_in_polygons(points: DataFrame, objects: DataFrame, size: float | None = None) -> DataFrame:
     """(point columns, object_id) for each point(x, y) inside each ring of objects(object_id, ring).
 
-    An equi-join on square cells: an object stands in each cell that its bounding box covers, a point in
-    one, so no pair comes twice; then the exact test. The cell size is twice the median box by default,
-    which keeps the number of cells per object small; a large object spreads over many cells, and so
-    over many tasks."""
-    size = size or 2 * median_box(objects)
-    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    cell = lambda c: F.floor(c / size).cast("long")
-    t = objects.select("object_id", "ring", F.explode(F.sequence(cell(F.array_min(xs)), cell(F.array_max(xs)))).alias("_cx"), ys.alias("_ys"))
-    t = t.select("object_id", "ring", "_cx", F.explode(F.sequence(cell(F.array_min("_ys")), cell(F.array_max("_ys")))).alias("_cy"))
-    p = points.withColumns({"_cx": cell(F.col("x")), "_cy": cell(F.col("y"))})
-    return p.join(t, ["_cx", "_cy"]).where(inside_ring(F.col("ring"), F.col("x"), F.col("y"))).select(*points.columns, "object_id")
+    An equi-join on square cells of several sizes: an object has the size that is the next power of two times
+    `size` (twice the median box by default) at or above its box, so it stands in four cells at most; a point
+    stands in one cell of each size that occurs. No pair comes twice. The box is tested before the ring. A
+    cell of very many points is one that Spark splits, as a plain join of the two follows."""
+    t = with_box(objects.select("object_id", "ring").where(F.size("ring") > 0))
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    size = size or 2 * (t.agg(F.percentile_approx(side, 0.5)).first()[0] or 0.5)
+    t = t.withColumn("_k", F.when(side > size, F.ceil(F.log2(side / size))).otherwise(0).cast("int"))
+    steps = sorted(r[0] for r in t.select("_k").distinct().collect())  # as many as powers of two between box sizes
+    cell = lambda c, k: F.floor(c / (F.pow(F.lit(2.0), k) * size)).cast("long")
+    t = t.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_k")), cell(F.col("_x1"), F.col("_k")))))
+    t = t.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_k")), cell(F.col("_y1"), F.col("_k")))))
+    p = points.withColumn("_k", F.explode(F.array(*map(F.lit, steps or [0]))))
+    p = p.withColumns({"_cx": cell(F.col("x"), F.col("_k")), "_cy": cell(F.col("y"), F.col("_k"))})
+    box = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
+    return p.join(t, ["_k", "_cx", "_cy"]).where(box).where(inside_ring(F.col("ring"), F.col("x"), F.col("y"))).select(*points.columns, "object_id")
 
 
 def top_hit(hits: DataFrame, key: list[str]) -> DataFrame:
@@ -64,60 +69,98 @@ def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     return t.select("row_", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int"))).alias("col_"), "object_id").groupBy("row_", "col_").agg(F.max("object_id").alias("value"))
 
 
-def boundary_pixels(mask: DataFrame) -> DataFrame:
-    """(label, row_, col_) of labelled pixels with a 4-neighbour of another value or none."""
-    t = mask.where("value <> 0")
-    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
-    near = t.select("row_", "col_", "value", F.explode(steps).alias("s"))
-    near = near.select((F.col("row_") + F.col("s.r")).alias("row_"), (F.col("col_") + F.col("s.c")).alias("col_"), "value", ((F.col("s.r") == 0) & (F.col("s.c") == 0)).alias("own"))
-    met = near.groupBy("row_", "col_", "value").agg(F.count("*").alias("n"), F.max("own").alias("own"))
-    return met.where("own and n < 5").select(F.col("value").alias("label"), "row_", "col_")
-
+#: Side of the blocks in which neighbours are compared.
+STEP = 256
+#: Steps to the neighbours of a pixel in the order of its sides: top, right, bottom, left.
+SIDES = ((-1, 0), (0, 1), (1, 0), (0, -1))
 
-def trace(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """The longest contour, as an open ring (x, y), around the cells given by an object's boundary pixels.
 
-    Contour at level 0.5 between pixel centres: each boundary pixel gives half-way points on its open
-    sides; walking around the object links them in order, corners cut."""
-    # Inside pixels are those the boundary encloses: fill each row between flips seen from outside.
+def grouped(batches, key: str, done):
+    """Batches of rows sorted by key, cut so that a key's rows come whole: done(table) for each part."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        if not len(at):
+            continue
+        cut = int(np.searchsorted(at, at[-1], "left"))  # the last key may go on in the next batch
+        if cut:
+            yield done(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks())
+            rest = []
+        elif rest and rest[-1].column(batch.schema.get_field_index(key))[-1].as_py() != at[0]:
+            yield done(pa.Table.from_batches(rest).combine_chunks())
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield done(pa.Table.from_batches(rest).combine_chunks())
+
+
+def boundary_pixels(mask: DataFrame, step: int = STEP) -> DataFrame:
+    """(label, row_, col_, sides) of labelled pixels with a 4-neighbour of another value or none: which of
+    SIDES, a bit each. Pixels go to blocks once, those at a block's edge to the next block too; inside a
+    block neighbours are compared as an array, and only boundary pixels come out."""
+    t = mask.where("value <> 0").select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), F.col("value").cast("long").alias("value"))
+    block = lambda r, c: F.struct(F.floor((F.col("row_") + r) / step).alias("r"), F.floor((F.col("col_") + c) / step).alias("c"))
+    t = t.select("row_", "col_", "value", F.explode(F.array_distinct(F.array(block(0, 0), *[block(r, c) for r, c in SIDES]))).alias("b"))
+    t = t.select((F.col("b.r") * (1 << 31) + F.col("b.c")).alias("block"), "row_", "col_", "value").repartition("block").sortWithinPartitions("block")
+
+    def edges_of(part: pa.Table) -> pa.RecordBatch:
+        block, rows, cols, values = (part[c].to_numpy() for c in ("block", "row_", "col_", "value"))
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        out = []
+        for i, j in zip(first, np.append(first[1:], len(block))):
+            c0 = (block[i] + (1 << 30)) % (1 << 31) - (1 << 30)
+            r0 = (block[i] - c0) >> 31
+            y, x = rows[i:j] - r0 * step + 1, cols[i:j] - c0 * step + 1
+            a = np.zeros((step + 2, step + 2), np.int64)
+            a[y, x] = values[i:j]
+            core = a[1:-1, 1:-1]
+            open_ = sum(((a[1 + r : step + 1 + r, 1 + c : step + 1 + c] != core) & (core != 0)).astype(np.int8) << k for k, (r, c) in enumerate(SIDES))
+            at = np.nonzero(open_)
+            out.append((core[at], at[0] + r0 * step, at[1] + c0 * step, open_[at].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["label", "row_", "col_", "sides"])
+
+    return t.mapInArrow(lambda batches: grouped(batches, "block", edges_of), "label long, row_ long, col_ long, sides int")
+
+
+def trace(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
+    """For each object (ascending ids), the longest outer contour as an open ring (x, y).
+
+    Contour at level 0.5 between pixel centres: each open side of a pixel gives a half-way point. The side
+    after a side, with the object on the right, is the next one of the same pixel, or else the same one
+    of the pixel ahead, or else one of the pixel across the corner; all are looked up at once. Contours
+    are closed walks along these; those of holes turn the other way."""
+    number = np.cumsum(np.append(False, ids[1:] != ids[:-1]))
     r0, c0 = rows.min() - 1, cols.min() - 1
-    grid = np.zeros((rows.max() - r0 + 2, cols.max() - c0 + 2), bool)
-    grid[rows - r0, cols - c0] = True
-    outside = np.zeros_like(grid)
-    stack = [(0, 0)]
-    outside[0, 0] = True
-    while stack:
-        r, c = stack.pop()
-        for y, x in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-            if 0 <= y < grid.shape[0] and 0 <= x < grid.shape[1] and not outside[y, x] and not grid[y, x]:
-                outside[y, x] = True
-                stack.append((y, x))
-    full = ~outside
-    # Sides between a full and an empty pixel, each with a direction that keeps the object on the right.
-    side = {}
-    for r, c in zip(*np.nonzero(full)):
-        for (dr, dc), (a, b) in {(-1, 0): ((0, 0), (0, 1)), (0, 1): ((0, 1), (1, 1)), (1, 0): ((1, 1), (1, 0)), (0, -1): ((1, 0), (0, 0))}.items():
-            if not full[r + dr, c + dc]:
-                side.setdefault((r + a[0], c + a[1]), []).append(((r + b[0], c + b[1]), (r + dr / 2, c + dc / 2)))
-    best: list = []
-    while side:
-        start = next(iter(side))
-        at, ring, last = start, [], None
-        while at in side:
-            options = side[at]
-            pick = 0
-            if len(options) > 1 and last is not None:  # a corner where two pixels touch: stay with the same pixel
-                turn = lambda o: (o[0][0] - at[0]) * (at[1] - last[1]) - (o[0][1] - at[1]) * (at[0] - last[0])  # noqa: E731, B023
-                pick = int(np.argmax([turn(o) for o in options]))
-            end, middle = options.pop(pick)
-            if not options:
-                del side[at]
-            ring.append(middle)
-            last, at = at, end
-        if len(ring) > len(best):
-            best = ring
-    out = np.array(best, float)
-    return np.stack([out[:, 1] + c0, out[:, 0] + r0], 1)
+    width = int(cols.max() - c0) + 2
+    height = int(rows.max() - r0) + 2
+    at, side = np.nonzero((sides[:, None] >> np.arange(4)) & 1)
+    key = lambda n, r, c, s: ((n * height + (r - r0)) * width + (c - c0)) * 4 + s
+    keys = key(number[at], rows[at], cols[at], side)
+    order = np.argsort(keys)
+    keys, at, side = keys[order], at[order], side[order]
+    n, r, c = number[at], rows[at], cols[at]
+    out_r, out_c = (np.array(SIDES)[side, k] for k in (0, 1))
+    on_r, on_c = (np.array(SIDES)[(side + 1) % 4, k] for k in (0, 1))
+    after = np.full(len(keys), -1)
+    for want in (key(n, r, c, (side + 1) % 4), key(n, r + on_r, c + on_c, side), key(n, r + on_r + out_r, c + on_c + out_c, (side + 3) % 4)):
+        place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        good = (after < 0) & (keys[place] == want)
+        after[good] = place[good]
+    x, y = c + out_c / 2, r + out_r / 2
+    follow, left = after.tolist(), [True] * len(keys)
+    best: list[np.ndarray] = [np.zeros(0, np.int64)] * (int(number[-1]) + 1)
+    for start, k in enumerate(n.tolist()):
+        if left[start]:
+            walk, e = [], start
+            while e >= 0 and left[e]:
+                left[e] = False
+                walk.append(e)
+                e = follow[e]
+            if len(walk) > len(best[k]):
+                w = np.array(walk)
+                if np.sum(x[w] * np.roll(y[w], -1) - np.roll(x[w], -1) * y[w]) > 0:
+                    best[k] = w
+    return [np.stack([x[w], y[w]], 1) for w in best]
 
 
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
@@ -145,31 +188,49 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def triangulate(ring: np.ndarray) -> list[int]:
-    """Ear clipping of a simple open ring: vertex indices, three a triangle."""
+    """Ear clipping of a simple open ring: vertex indices, three a triangle. Only corners that turn inwards can
+    lie in an ear, so a convex ring takes one pass, and others the ring's vertices times its inward ones."""
     n = len(ring)
     if n < 3:
         return []
-    x, y = ring[:, 0], ring[:, 1]
+    x, y = ring[:, 0].tolist(), ring[:, 1].tolist()
     left = list(range(n))
-    if np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) < 0:
+    if sum(x[i - 1] * y[i] - x[i] * y[i - 1] for i in left) < 0:
         left.reverse()
+    before = {b: a for a, b in zip(left[-1:] + left, left)}
+    after = {a: b for b, a in before.items()}
     cross = lambda a, b, c: (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+    inward = {v for v in left if cross(before[v], v, after[v]) <= 0}
+
+    def is_ear(a, b, c):
+        if b in inward:
+            return False
+        ends = ((x[a], y[a]), (x[b], y[b]), (x[c], y[c]))
+        return not any(p != a and p != c and cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 and (x[p], y[p]) not in ends for p in inward)
+
     out: list[int] = []
-    while len(left) > 3:
-        m = len(left)
-        ear = None
-        for i in range(m):
-            a, b, c = left[i - 1], left[i], left[(i + 1) % m]
-            if cross(a, b, c) <= 0:
-                continue
-            if not any(p not in (a, b, c) and cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 and (x[p], y[p]) not in ((x[a], y[a]), (x[b], y[b]), (x[c], y[c])) for p in left):
-                ear = i
-                break
-        if ear is None:  # flat or self-crossing rest: cut any corner, so that n - 2 triangles come out
-            ear = min(range(m), key=lambda i: abs(cross(left[i - 1], left[i], left[(i + 1) % m])))
-        out += [left[ear - 1], left[ear], left[(ear + 1) % m]]
-        del left[ear]
-    return out + left
+    at, tried = left[0], 0
+    while n > 3:
+        a, c = before[at], after[at]
+        if tried >= n:  # flat or self-crossing rest: cut its flattest corner, so that n - 2 triangles come out
+            rest = [at]
+            while after[rest[-1]] != at:
+                rest.append(after[rest[-1]])
+            at = min(rest, key=lambda v: abs(cross(before[v], v, after[v])))
+            a, c = before[at], after[at]
+        elif not is_ear(a, at, c):
+            at, tried = c, tried + 1
+            continue
+        out += [a, at, c]
+        after[a], before[c] = c, a
+        inward.discard(at)
+        for v in (a, c):
+            if cross(before[v], v, after[v]) > 0:
+                inward.discard(v)
+            else:
+                inward.add(v)
+        at, n, tried = c, n - 1, 0
+    return out + [before[at], at, after[at]]
 
 
 def _rings(column) -> list[np.ndarray]:
@@ -211,30 +272,18 @@ def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tole
     Labels under `least` pixels go, and those whose ring has under 3 vertices. Only boundary pixels
     are grouped by label; an object is traced whole, however many blocks it lies in; its longest outer
     ring stays, and holes and further pieces go."""
-    sizes = mask.where("value <> 0").groupBy(F.col("value").alias("object_id")).agg(F.count("*").alias("pixel_area")).where(F.col("pixel_area") >= least)
+    sizes = mask.where("value <> 0").groupBy(F.col("value").cast("long").alias("object_id")).agg(F.count("*").alias("pixel_area")).where(F.col("pixel_area") >= least)
     edge = boundary_pixels(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
     (sy, sx), (ty, tx) = level.scale, level.translation
 
     def traced(t: pa.Table) -> pa.RecordBatch:
-        ids, rows, cols = (t[c].to_numpy().astype(np.int64) for c in ("object_id", "row_", "col_"))
+        ids, rows, cols, sides = (t[c].to_numpy() for c in ("object_id", "row_", "col_", "sides"))
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        rings = [simplify(trace(rows[i:j], cols[i:j]), tolerance) * [sx, sy] + [tx, ty] for i, j in zip(first, np.append(first[1:], len(ids)))]
-        return pa.RecordBatch.from_arrays([t["object_id"].take(pa.array(first)).combine_chunks(), _struct(rings)], names=["object_id", "ring"])
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            ids = t["object_id"].to_numpy()
-            cut = int(np.searchsorted(ids, ids[-1], "left")) if len(ids) else 0  # the last object may go on
-            if cut:
-                yield traced(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and len(rest):
-            yield traced(rest)
+        rings = [simplify(ring, tolerance) * [sx, sy] + [tx, ty] for ring in trace(ids, rows, cols, sides)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[first]), _struct(rings)], names=["object_id", "ring"])
 
     # Whole objects meet in a partition; an object's pixels are those of its boundary only.
-    found = edge.repartition("object_id").sortWithinPartitions("object_id").select("object_id", "row_", "col_").mapInArrow(run, f"object_id {edge.schema['object_id'].dataType.simpleString()}, ring {RING}")
+    found = edge.repartition("object_id").sortWithinPartitions("object_id").select("object_id", "row_", "col_", "sides").mapInArrow(lambda batches: grouped(batches, "object_id", traced), f"object_id long, ring {RING}")
     return found.where(F.size("ring") >= 3).join(sizes, "object_id").withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -37,8 +39,13 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder; a temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the cluster's shared folder; a temporary one only where that is unset and driver and
+    executors are one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/layers-{uuid.uuid4().hex}"
 
 
@@ -166,13 +173,13 @@ def s19_test_card(spark, d):
     return T.pixels(spark, d).select("row_", "col_", ras.card_value(F.col("row_"), F.col("col_")).alias("value"))
 
 
-MASK_SQL = "drawn as (select row_, col_, max(object_id) as value from (select object_id, unnest(range(y0, least(y0 + s, 800))) as row_, x0, s from small), unnest(range(x0, least(x0 + s, 1000))) as t(col_) group by all)"
+MASK_SQL = "drawn as (select row_, col_, max(object_id) as value from (select object_id, unnest(range(y0, y0 + s)) as row_, x0, s from small), unnest(range(x0, x0 + s)) as t(col_) group by all)"
 
 
 @query(with_("small", more=MASK_SQL) + "select row_, col_, value from drawn")
 def s20_write_label_mask(spark, d):
     path = folder(spark)
-    geo.rasterize(T.small_boxes(spark, d), 1000, 800).write.parquet(path)
+    geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800).write.parquet(path)
     return spark.read.parquet(path).select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "value")
 
 
@@ -201,8 +208,9 @@ def p5_gene_subset(spark, d):
 
 def rect_sql(rect=RECT):
     size = "(span / 16)"
-    c = lambda v, m: f"floor(({v} - {m}) / {size})"
-    return f"tile_row between greatest(0, {c(rect[1], 'miny')}) and least(15, {c(rect[3], 'miny')}) and tile_col between greatest(0, {c(rect[0], 'minx')}) and least(15, {c(rect[2], 'minx')})"
+    low = lambda v, m: f"greatest(0, floor(({v} - {m}) / {size}))"
+    high = lambda v, m: f"least(15, ceil(({v} - {m}) / {size}) - 1)"
+    return f"tile_row between {low(rect[1], 'miny')} and {high(rect[3], 'miny')} and tile_col between {low(rect[0], 'minx')} and {high(rect[2], 'minx')}"
 
 
 @query(with_("tiled") + f"select tile_row, tile_col, gene_id, x, y from tiled, b where {rect_sql()}")
@@ -287,7 +295,7 @@ def j5_gather_attributes(spark, d):
 
 
 RECTS_SQL = """rects as (select s_suppkey as rect_id, (s_suppkey * 7919 % 100000)::double as x0, (s_suppkey * 104729 % 90000)::double as y0 from supplier),
-cover as (select rect_id, unnest(range(greatest(0, floor((y0 - miny) / (span / 16)))::bigint, least(15, floor((y0 + 9000 - miny) / (span / 16)))::bigint + 1)) as tile_row, greatest(0, floor((x0 - minx) / (span / 16)))::bigint as c0, least(15, floor((x0 + 12000 - minx) / (span / 16)))::bigint as c1 from rects, b)"""
+cover as (select rect_id, unnest(range(greatest(0, floor((y0 - miny) / (span / 16)))::bigint, least(15, ceil((y0 + 9000 - miny) / (span / 16)) - 1)::bigint + 1)) as tile_row, greatest(0, floor((x0 - minx) / (span / 16)))::bigint as c0, least(15, ceil((x0 + 12000 - minx) / (span / 16)) - 1)::bigint as c1 from rects, b)"""
 COVERED = "select rect_id, tile_row, tile_col from (select rect_id, tile_row, unnest(range(c0, c1 + 1)) as tile_col from cover) where (tile_row, tile_col) in (select (tile_row, tile_col) from tiled)"
 
 
@@ -307,9 +315,10 @@ def j7_unassigned(spark, d):
     return T.cells(spark, d).join(T.clusters(spark, d), F.col("object_id") == F.col("barcode"), "left_anti").select("object_id")
 
 
-@query(with_("small", more=MASK_SQL + ", bx as (select value as label, min(row_) as row0, min(col_) as col0, max(row_) as row1, max(col_) as col1 from drawn group by value)") + "select label, case when (row0 // 64) * 16 + col0 // 64 = (row1 // 64) * 16 + col1 // 64 then (row0 // 64) * 16 + col0 // 64 else -1 end as home from bx")
+@query(with_("small", more=MASK_SQL + ", bx as (select value as label, min(row_) as row0, min(col_) as col0, max(row_) as row1, max(col_) as col1 from drawn group by value), w as (select ceil(1000 * (max(o_orderkey) // 65536 + 1) / 64.0)::bigint as per from orders)") + "select label, case when (row0 // 64) * per + col0 // 64 = (row1 // 64) * per + col1 // 64 then (row0 // 64) * per + col0 // 64 else -1 end as home from bx, w")
 def j8_home_blocks(spark, d):
-    return ras.home_block(ras.label_boxes(geo.rasterize(T.small_boxes(spark, d), 1000, 800)), 64, 1000).select("label", "home")
+    width = T.mask_width(spark, d)
+    return ras.home_block(ras.label_boxes(geo.rasterize(T.small_boxes(spark, d), width, 800)), 64, width).select("label", "home")
 
 
 @query(with_("good", "boxes") + "select l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, object_id from good, boxes where x >= x0 and x < x0 + s and y >= y0 and y < y0 + s")
@@ -410,7 +419,7 @@ def a17_label_areas(spark, d):
 
 @query(with_("small", more=MASK_SQL + ", n as (select count(*) as n from drawn group by value)") + "select count(*) filter (n >= 9) as kept, count(*) filter (n < 9) as too_small from n")
 def a18_drop_report(spark, d):
-    return ras.drop_report(ras.label_boxes(geo.rasterize(T.small_boxes(spark, d), 1000, 800)), 9)
+    return ras.drop_report(ras.label_boxes(geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)), 9)
 
 
 @query(with_("channels", more="s as (select row_, col_, greatest(0.0e0, least(1.0e0, (value - 800) / 400.0e0)) as v, channel from channels)") + "select row_, col_, floor(least(255.0e0, round(sum(v * case channel when 0 then 1.0e0 when 1 then 0.5e0 else 0.0e0 end) * 255, 6)))::int as r, floor(least(255.0e0, round(sum(v * case channel when 1 then 0.5e0 else 0.25e0 end) * 255, 6)))::int as g, floor(least(255.0e0, round(sum(v * case channel when 2 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as b from s group by row_, col_")
@@ -533,15 +542,22 @@ def o7_longest_ring(spark, d):
 # Sets
 
 
-@query("select 'supplier' as kind, s_suppkey as id from supplier union all select 'customer', c_custkey from customer")
+@query(with_("boundaries", "boxes", "good", more="u as (select min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from (select x, y from boundaries union all select x0 + s * i, y0 + s * i from boxes, (values (0), (1)) v(i) union all select x, y from good))") + "select k.id, k.kind, minx, miny, maxx, maxy from u, (values ('cells', 'segments'), ('boxes', 'segments'), ('points', 'points')) k(id, kind)")
 def u1_union_layers(spark, d):
-    a = T.table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"))
-    return a.unionByName(T.table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")))
+    """A slide of discovered and extra layers: all are listed, in one world around them all."""
+    path = folder(spark)
+    m = slide.import_slide(spark, path, "u1", T.raw_points(spark, d), {"cells": T.boundaries(spark, d)}, extra={"boxes": poly.flat_rings(T.boxes(spark, d))}, tile_size=6500.0)
+    return slide.layers(spark, path).select("id", "kind", *[F.lit(v).alias(b) for v, b in zip(m["world_bounds"], ext.BOUNDS)])
 
 
-@query(with_("boundaries", "boxes") + "select object_id, vertex_no, x, y, null::varchar as origin from boundaries union all select object_id, i, x0 + s * dx, y0 + s * dy, 'box' from boxes, (values (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) v(i, dx, dy)")
+@query(with_("boundaries", "small", more=MASK_SQL) + "select 'boundaries' as origin, object_id, count(*) - (count(*) >= 4 and arg_min(x, vertex_no) = arg_max(x, vertex_no) and arg_min(y, vertex_no) = arg_max(y, vertex_no))::int as n from boundaries group by all union all select 'mask', value, 0 from drawn group by value having count(*) >= 4")
 def u2_one_schema(spark, d):
-    return T.boundaries(spark, d).unionByName(poly.flat_rings(T.boxes(spark, d)).withColumn("origin", F.lit("box")), allowMissingColumns=True)
+    """Boundary tables and label masks are loaded to the same columns; of mask rings the number is not compared."""
+    path = folder(spark)
+    geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800).write.parquet(path)
+    a = slide.load_segments(spark, {"path": f"{d}/lineitem.parquet", "named": {"object_id": "l_orderkey", "x": "l_extendedprice", "y": "l_quantity"}}, list(T.VERTEX_ORDER))
+    both = a.withColumn("origin", F.lit("boundaries")).unionByName(slide.load_segments(spark, {"path": path, "tolerance": 0.0}, []).withColumn("origin", F.lit("mask")))
+    return both.groupBy("origin", "object_id").agg(F.count("*").alias("n")).select("origin", "object_id", F.when(F.col("origin") == "mask", 0).otherwise(F.col("n")).cast("long").alias("n"))
 
 
 @query(with_("genes") + "select * from genes where name <> 'Brand#23'")
@@ -644,16 +660,33 @@ def f17_contiguity(spark, d):
 # Geometry
 
 
+def one_span_a_row(mask):
+    """(object_id) of labels that are one run of pixels in each of their rows, each run touching the one above."""
+    spans = mask.groupBy(F.col("value").alias("object_id"), "row_").agg(F.min("col_").alias("a"), F.max("col_").alias("z"), F.count("*").alias("n"))
+    up = spans.select("object_id", (F.col("row_") + 1).alias("row_"), F.col("a").alias("pa"), F.col("z").alias("pz"))
+    t = spans.join(up, ["object_id", "row_"], "left")
+    ok = (F.col("n") == F.col("z") - F.col("a") + 1) & (F.col("pa").isNull() | ((F.col("pa") <= F.col("z")) & (F.col("pz") >= F.col("a"))))
+    return t.groupBy("object_id").agg(F.bool_and(ok).alias("ok"), F.count_if(F.col("pa").isNull()).alias("tops")).where("ok and tops = 1").select("object_id")
+
+
 @query(with_("small", more=MASK_SQL) + "select value as object_id, count(*) as pixel_area, count(*) * 0.25e0 as area from drawn group by value having count(*) >= 4")
 def r1_masks_to_polygons(spark, d):
-    m = geo.rasterize(T.small_boxes(spark, d), 1000, 800)
+    m = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
     return geo.polygons_from_labels(m, ras.Level((0.5, 0.5)), 0.0).select("object_id", "pixel_area", "area")
 
 
-@query()
+#: Of a traced outline: each side between a pixel and another label gives a vertex, and cut corners take area.
+#: An object in one piece without holes, whose pixels touch along sides only, has all of them in one ring.
+OUTLINE_SQL = MASK_SQL + """, sides as (select d.value, d.row_, d.col_, sum((n.value is null)::int) as open from drawn d, (values (0, 1), (1, 0), (0, -1), (-1, 0)) s(r, c) left join drawn n on n.row_ = d.row_ + s.r and n.col_ = d.col_ + s.c and n.value = d.value group by all),
+spans as (select value, row_, min(col_) as a, max(col_) as z, count(*) as n from drawn group by value, row_),
+whole as (select value from (select *, lag(a) over w as pa, lag(z) over w as pz, lag(row_) over w as pr from spans window w as (partition by value order by row_)) group by value having bool_and(n = z - a + 1) and bool_and(pr is null or (pr = row_ - 1 and pa <= z and pz >= a)))"""
+
+
+@query(with_("small", more=OUTLINE_SQL) + "select value as object_id, sum(open)::bigint as n_vertices from sides join whole using (value) group by value having count(*) >= 4")
 def r2_trace_outlines(spark, d):
-    m = geo.rasterize(T.small_boxes(spark, d), 1000, 800)
-    return geo.polygons_from_labels(m, tolerance=0.0).select("object_id", F.size("ring").cast("long").alias("n_vertices"), geo.ring_area(F.col("ring")).alias("area"))
+    m = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    rings = geo.polygons_from_labels(m, tolerance=0.0).select("object_id", F.size("ring").cast("long").alias("n_vertices"))
+    return rings.join(one_span_a_row(m), "object_id", "left_semi")
 
 
 @query()
@@ -663,24 +696,40 @@ def r3_simplify_rings(spark, d):
 
 @query(with_("small", more=MASK_SQL) + "select row_, col_, value from drawn")
 def r4_rasterize(spark, d):
-    return geo.rasterize(T.small_boxes(spark, d), 1000, 800).select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "value")
+    return geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800).select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "value")
+
+
+STARS = "stars as (select object_id, i as vertex_no, s * (1 + 0.9e0 * (1 - i % 2 * (object_id % 5 + 1) / 8.0e0) * cos(i * pi() / 6)) as x, s * (1 + 0.9e0 * (1 - i % 2 * (object_id % 5 + 1) / 8.0e0) * sin(i * pi() / 6)) as y from boxes, (select unnest(range(12)) as i)), star_edges as (select *, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from stars window w as (partition by object_id order by vertex_no))"
+
+
+def stars(spark, d):
+    """Simple rings of 12 vertices that turn in and out, by order."""
+    t = T.boxes(spark, d).select("object_id", F.col("ring")[0]["x"].alias("x0"), F.col("ring")[0]["y"].alias("y0"), (F.col("object_id") % 300 + 200.0).alias("s"))
+    reach = lambda i: 0.9 * (1 - F.lit(i % 2) * (F.col("object_id") % 5 + 1) / 8.0)
+    ring = F.array(*[F.struct((F.col("x0") + F.col("s") * (1 + reach(i) * F.cos(F.lit(i * math.pi / 6)))).alias("x"), (F.col("y0") + F.col("s") * (1 + reach(i) * F.sin(F.lit(i * math.pi / 6)))).alias("y")) for i in range(12)])
+    return t.select("object_id", ring.alias("ring"))
 
 
-@query(with_("objects") + "select object_id, 3 * greatest(n_vertices - 2, 0) as n from objects")
+@query(with_("boxes", more=STARS) + "select object_id, 10 as n, round(abs(sum(x * y2 - x2 * y)) / 2, 3) as area, 10 as facing from star_edges group by object_id")
 def r5_triangulate(spark, d):
-    return geo.triangulate_rings(poly.rings(T.boundaries(spark, d))).select("object_id", F.size("triangles").cast("long").alias("n"))
+    """Triangles of simple rings: their number, the sum of their areas, and how many turn as the ring does."""
+    t = geo.triangulate_rings(stars(spark, d)).select("object_id", "ring", "triangles", F.explode(F.sequence(F.lit(0), F.size("triangles") - 3, F.lit(3))).alias("i"))
+    p, q, z = (F.col("ring")[F.col("triangles")[F.col("i") + k]] for k in range(3))
+    area = ((q["x"] - p["x"]) * (z["y"] - p["y"]) - (z["x"] - p["x"]) * (q["y"] - p["y"])) / 2
+    return t.withColumn("a", area).groupBy("object_id").agg(F.count("*").cast("int").alias("n"), r(F.sum(F.abs("a")), 3).alias("area"), F.count_if(F.col("a") > 0).cast("int").alias("facing"))
 
 
-@query(with_("objects", more=HILBERT_OBJECTS) + "select cell_id, coalesce(sum(n_vertices) over (partition by tile_row, tile_col order by cell_id rows between unbounded preceding and 1 preceding), 0)::bigint as first from ranked where n_vertices >= 3")
+@query(with_("objects", more=HILBERT_OBJECTS) + "select cell_id, coalesce(sum(n_vertices) over w, 0)::bigint as first, (coalesce(sum(n_vertices) over w, 0) + n_vertices - 1)::bigint as last, n_vertices::bigint as used, 3 * (n_vertices - 2) as n from ranked where n_vertices >= 3 window w as (partition by tile_row, tile_col order by cell_id rows between unbounded preceding and 1 preceding)")
 def r6_tile_local_triangles(spark, d):
     keys = ranked(spark, d).where("n_vertices >= 3").select("object_id", "cell_id", "n_vertices", *TILE)
     t = geo.triangulate_rings(poly.rings(T.boundaries(spark, d))).join(keys, "object_id")
-    return poly.tile_indices(t).select("cell_id", F.array_min("triangles").cast("long").alias("first"))
+    all_ = poly.tile_indices(t)
+    return all_.select("cell_id", F.array_min("triangles").cast("long").alias("first"), F.array_max("triangles").cast("long").alias("last"), F.size(F.array_distinct("triangles")).cast("long").alias("used"), F.size("triangles").cast("long").alias("n"))
 
 
 @query()
 def r7_round_trip(spark, d):
-    return geo.round_trip(T.small_boxes(spark, d), 1000, 800)
+    return geo.round_trip(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
 
 
 # Jobs
@@ -718,7 +767,7 @@ def e4_polygon_layer(spark, d):
     return spark.read.parquet(f"{path}/polygons").groupBy(*TILE).agg(F.count("*").alias("objects"), F.sum(F.size("ring")).alias("vertices"))
 
 
-@query(with_("tiled", more="v as (select greatest(0, least(255, floor((x - minx) / span * 256)))::int as bx, greatest(0, least(255, floor((y - miny) / span * 256)))::int as by_, gene_id, span, minx, miny from tiled, b), w as (select by_ >> 5 as tile_row, bx >> 5 as tile_col, gene_id, span, minx, miny from v)") + "select tile_row, tile_col, gene_id, count(*) as points from w where gene_id in (1, 2, 3) and tile_row between greatest(0, floor((20000 - miny) / (span / 8))) and least(7, floor((70000 - miny) / (span / 8))) and tile_col between greatest(0, floor((20000 - minx) / (span / 8))) and least(7, floor((60000 - minx) / (span / 8))) group by all")
+@query(with_("tiled", more="v as (select greatest(0, least(255, floor((x - minx) / span * 256)))::int as bx, greatest(0, least(255, floor((y - miny) / span * 256)))::int as by_, gene_id, span, minx, miny from tiled, b), w as (select by_ >> 5 as tile_row, bx >> 5 as tile_col, gene_id, span, minx, miny from v)") + "select tile_row, tile_col, gene_id, count(*) as points from w where gene_id in (1, 2, 3) and tile_row between greatest(0, floor((20000 - miny) / (span / 8))) and least(7, ceil((70000 - miny) / (span / 8)) - 1) and tile_col between greatest(0, floor((20000 - minx) / (span / 8))) and least(7, ceil((60000 - minx) / (span / 8)) - 1) group by all")
 def e5_viewport_points(spark, d):
     path, g = folder(spark), T.point_grid(spark, d)
     slide.write_point_layer(T.good_points(spark, d), path, g)

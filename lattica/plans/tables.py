@@ -73,12 +73,17 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def small_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Squares of 3 to 10 pixels on a 1000 x 800 raster, in long form; later ones cover earlier ones."""
-    t = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("object_id"), (F.col("o_custkey") * 7 % 990).cast("double").alias("x0"), (F.col("o_orderkey") * 13 % 790).cast("double").alias("y0"), (F.col("o_orderkey") % 8 + 3.0).alias("s"))
+    """Squares of 3 to 10 pixels in long form; later ones cover earlier ones. The raster is 800 pixels high and
+    gets 1000 columns for each 65536 order keys."""
+    t = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("object_id"), (F.col("o_custkey") * 7 % 990 + F.floor(F.col("o_orderkey") / 65536) * 1000).cast("double").alias("x0"), (F.col("o_orderkey") * 13 % 790).cast("double").alias("y0"), (F.col("o_orderkey") % 8 + 3.0).alias("s"))
     ring = F.array(*[F.struct((F.col("x0") + F.col("s") * i - 0.5).alias("x"), (F.col("y0") + F.col("s") * j - 0.5).alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
     return t.select("object_id", F.posexplode(ring).alias("vertex_no", "v")).select("object_id", "vertex_no", "v.x", "v.y")
 
 
+def mask_width(spark: SparkSession, d: str) -> int:
+    return 1000 * ((table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] or 0) // 65536 + 1)
+
+
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_"), F.posexplode("embedding").alias("col_", "v"), "label")
     return t.select("row_", "col_", F.floor((F.col("v").cast("double") + 1.0) * 1000.0).cast("bigint").alias("value"), "label", "v")
@@ -104,7 +109,7 @@ SQL = {
     "cells": "cells as (select o_orderkey as object_id, o_totalprice as cell_area, o_orderstatus as status from orders)",
     "clusters": "clusters as (select o_orderkey as barcode, o_custkey % 7 + 1 as cluster from orders where o_orderpriority <> '5-LOW')",
     "boxes": "boxes as (select o_orderkey as object_id, o_totalprice % 105000 as x0, (o_custkey % 1000) * 100.0e0 as y0, o_orderkey % 300 + 200.0e0 as s from orders)",
-    "small": "small as (select o_orderkey + 1 as object_id, o_custkey * 7 % 990 as x0, o_orderkey * 13 % 790 as y0, o_orderkey % 8 + 3 as s from orders)",
+    "small": "small as (select o_orderkey + 1 as object_id, o_custkey * 7 % 990 + o_orderkey // 65536 * 1000 as x0, o_orderkey * 13 % 790 as y0, o_orderkey % 8 + 3 as s from orders)",
     "pixels": "pixels as (select vec_id as row_, pos - 1 as col_, floor((v::double + 1.0) * 1000.0)::bigint as value, label, v from (select vec_id, label, generate_subscripts(embedding, 1) as pos, unnest(embedding) as v from embeddings))",
     "channels": "channels as (select row_ % 3 as channel, row_ // 3 as row_, col_, value from pixels)",
     "mask": "mask as (select row_, col_, case when v > 0 then label else 0 end::bigint as value from pixels)",

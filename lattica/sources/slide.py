@@ -22,7 +22,7 @@ from lattica.operators.raster import Level, require_mask
 
 FORMAT = 1
 KINDS = ("image", "segments", "points")
-BOUNDARY_FILES = (("cells", "cell_boundaries.parquet"), ("nuclei", "nucleus_boundaries.parquet"))
+BOUNDARY_FILES = (("cell", "cell_boundaries.parquet"), ("nucleus", "nucleus_boundaries.parquet"))
 MANIFEST = """format int, name string, world_units string, world_bounds array<double>, tile_depth int,
 source struct<platform:string,path:string,imported:string,tile_size:double,min_qv:double,genes_only:boolean>,
 layers array<struct<id:string,kind:string,path:string,name:string,visible:boolean,levels:int,color_by:string,categoricals:array<string>,scale:array<double>,translation:array<double>,shape:array<int>>>"""
@@ -81,16 +81,19 @@ def discover(spark: SparkSession, root: str) -> list[dict]:
 
 
 def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
-    """Writes the manifest under another name, then renames it, after all layers are there."""
+    """Writes the manifest under another name, then renames it over the old one in one step, after all layers
+    are there: a reader sees the old or the new one."""
     fs, final = _fs(spark, f"{root}/manifest.json")
     _, temp = _fs(spark, f"{root}/.manifest-{uuid.uuid4().hex}.json")
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps(manifest, indent=1).encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(temp, final):
-        raise OSError(f"cannot rename to {final}")
+    sc = spark.sparkContext
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = sc._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(temp), fs.makeQualified(final), over)
 
 
 def read_manifest(spark: SparkSession, root: str) -> dict:
@@ -215,10 +218,10 @@ def load_segments(spark: SparkSession, source: dict, order: list[str]) -> DataFr
     df = spark.read.parquet(source["path"])
     if source.get("mask") or {"row_", "col_", "value"} <= set(df.columns):
         require_mask(df)
-        return poly.flat_rings(geo.polygons_from_labels(df, source.get("level", Level((1.0, 1.0)))))
+        return poly.flat_rings(geo.polygons_from_labels(df, source.get("level", Level((1.0, 1.0))), source.get("tolerance", 0.75)))
     if not order:
         df, order = df.withColumn("_row", F.col("_metadata.row_index")), ["_row"]
-    return poly.load_boundaries(df, order)
+    return poly.load_boundaries(df, order, source.get("named"))
 
 
 def write_segment_layer(vertices: DataFrame, path: str, grid: Grid, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None) -> dict:

@@ -1,5 +1,7 @@
 """Small hand-made inputs and invariants of the spatial operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from lattica.operators import geometry as geo
 from lattica.operators import points as pts
 from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
+from lattica.operators.ranks import order_statistics
 from lattica.sources import slide
 
 
@@ -127,6 +130,120 @@ def test_features(spark):
     assert [x[0] for x in r] == [0, 128, 255, 0]
 
 
+def test_default_colour_and_columns(spark):
+    t = spark.createDataFrame([(1, 2.0, 3, 4.0, 5.0, "s", 6.0)], "cell_id int, x_centroid double, transcript_counts int, cell_area double, area double, status string, other double")
+    assert feat.colour_columns(t) == ["transcript_counts", "cell_area", "area", "other"] and feat.default_colour(t) == "cell_area"
+    assert feat.default_colour(t.drop("cell_area")) == "transcript_counts" and feat.default_colour(t.select("other")) == "other"
+    assert feat.default_colour(t.select("status")) is None
+
+
+def test_first_row_wins(spark):
+    t = spark.createDataFrame([(1, 9), (2, 5), (1, 3), (2, 7)], "k int, v int").coalesce(1)
+    assert {tuple(r) for r in feat.first_per_key(t, "k").collect()} == {(1, 9), (2, 5)}
+    assert {tuple(r) for r in feat.first_per_key(t, "k", ["v"]).collect()} == {(1, 3), (2, 5)}
+    objects = spark.createDataFrame([(1,)], "object_id int")
+    same = spark.createDataFrame([("1", 9), ("01", 3)], "object_id string, v int").coalesce(1)  # equal after the cast
+    assert [tuple(r) for r in feat.join_attributes(objects, same).collect()] == [(1, 9)]
+
+
+def test_mask_must_be_whole(spark):
+    with pytest.raises(ValueError):
+        ras.require_mask(spark.createDataFrame([(0, 0)], "row_ int, value int"))
+    with pytest.raises(ValueError):
+        ras.require_mask(spark.createDataFrame([(0, 0, 1.0)], "row_ int, col_ int, value double"))
+    ras.require_mask(spark.createDataFrame([(0, 0, 1)], "row_ int, col_ int, value int"))
+
+
+def test_tile_ranges_at_edges():
+    g = gr.Grid(0, 0, 16, 16, 2)
+    assert g.tile_range((0, 0, 4, 8)) == (0, 1, 0, 0) and g.tile_range((4, 4, 4.5, 4.5)) == (1, 1, 1, 1)
+    assert g.tile_range((16, 0, 20, 1)) is None and gr.Grid(5, 5, 5, 5, 2).tile_range((0, 0, 9, 9)) is None
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(0, 1, 999), rng.integers(0, 5, 400).astype(float), np.append(rng.random(500), 1e12), np.full(7, 3.0)):
+        t = spark.createDataFrame([("a", float(v)) for v in values] + [("a", None), ("b", 2.0)], "g string, v double").repartition(3)
+        got = {r["g"]: r for r in order_statistics(t, ["g"], "v", {"first": lambda n: F.lit(1), "mid": lambda n: F.ceil(n / 2), "last": lambda n: n}).collect()}
+        s = np.sort(values)
+        assert (got["a"]["first"], got["a"]["mid"], got["a"]["last"], got["a"]["n"]) == (s[0], s[-(-len(s) // 2) - 1], s[-1], len(s)) and got["b"]["mid"] == 2.0
+
+
+def test_boundary_pixels_against_neighbours(spark):
+    rng = np.random.default_rng(4)
+    a = np.repeat(np.repeat(rng.integers(0, 4, (9, 11)), 3, 0), 3, 1)
+    a[rng.random(a.shape) < 0.1] = 0
+    want = {}
+    for r, c in zip(*np.nonzero(a)):
+        near = [a[r + y, c + x] if 0 <= r + y < a.shape[0] and 0 <= c + x < a.shape[1] else 0 for y, x in geo.SIDES]
+        if any(v != a[r, c] for v in near):
+            want[int(r), int(c)] = (int(a[r, c]), sum((v != a[r, c]) << k for k, v in enumerate(near)))
+    for step in (4, 256):
+        assert {(x["row_"], x["col_"]): (x["label"], x["sides"]) for x in geo.boundary_pixels(mask(spark, a), step).collect()} == want
+
+
+def test_traced_rings_against_a_walk(spark):
+    """Each outline by a walk that keeps the object on its right, one pixel side at a time."""
+    rng = np.random.default_rng(5)
+    a = np.zeros((30, 40), int)
+    for k in range(1, 9):
+        r, c = rng.integers(0, 22), rng.integers(0, 30)
+        a[r : r + rng.integers(3, 9), c : c + rng.integers(3, 9)] = k
+    a[rng.random(a.shape) < 0.08] = 0
+    full = lambda k, r, c: 0 <= r < a.shape[0] and 0 <= c < a.shape[1] and a[r, c] == k
+    want = {}
+    for k in np.unique(a[a > 0]).tolist():
+        seen, rings = set(), []
+        for r, c in np.argwhere(a == k).tolist():
+            if not full(k, r - 1, c) and (r, c, 0) not in seen:
+                ring, y, x, s = [], r, c, 0
+                while (y, x, s) not in seen:
+                    seen.add((y, x, s))
+                    ring.append((x + geo.SIDES[s][1] / 2, y + geo.SIDES[s][0] / 2))
+                    ahead = geo.SIDES[(s + 1) % 4]
+                    if not full(k, y + ahead[0], x + ahead[1]):
+                        s = (s + 1) % 4
+                    elif not full(k, y + ahead[0] + geo.SIDES[s][0], x + ahead[1] + geo.SIDES[s][1]):
+                        y, x = y + ahead[0], x + ahead[1]
+                    else:
+                        y, x, s = y + ahead[0] + geo.SIDES[s][0], x + ahead[1] + geo.SIDES[s][1], (s + 3) % 4
+                if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) > 0:
+                    rings.append(ring)
+        want[k] = max(map(len, rings))
+        want[k] = {frozenset(ring) for ring in rings if len(ring) == want[k]}
+    got = geo.polygons_from_labels(mask(spark, a), tolerance=0.0, least=1).collect()
+    assert {r["object_id"] for r in got} == set(want)
+    for r in got:
+        assert frozenset((p["x"], p["y"]) for p in r["ring"]) in want[r["object_id"]]
+
+
+def test_triangles_of_a_large_ring():
+    i = np.arange(600)
+    reach = 1 + 0.5 * np.sin(i * 7)
+    ring = np.stack([reach * np.cos(i * np.pi / 300), reach * np.sin(i * np.pi / 300)], 1)
+    t = np.array(geo.triangulate(ring)).reshape(-1, 3)
+    area = lambda p: np.sum(p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]) / 2
+    assert len(t) == 598 and abs(sum(area(ring[k]) for k in t) - area(ring)) < 1e-9 and all(area(ring[k]) > 0 for k in t)
+
+
+def test_points_in_boxes_of_very_different_sizes(spark):
+    rng = random.Random(3)
+    boxes = [(i, rng.uniform(0, 100), rng.uniform(0, 100), 10.0 ** rng.uniform(-1, 2)) for i in range(60)]
+    p = [(i, rng.uniform(0, 150), rng.uniform(0, 150)) for i in range(300)]
+    rings = poly.rings(vertices(spark, [v for i, x, y, s in boxes for v in square(i, x, y, s)]))
+    got = geo.points_in_polygons(spark.createDataFrame(p, "k int, x double, y double"), rings).collect()
+    assert sorted((r["k"], r["object_id"]) for r in got) == sorted((k, i) for k, px, py in p for i, x, y, s in boxes if x < px < x + s and y < py < y + s)
+
+
+def test_manifest_is_replaced_in_one_step(spark, tmp_path):
+    root = f"file://{tmp_path}/slide"
+    base = {"format": 1, "name": "a", "world_units": "um", "world_bounds": [0.0, 0.0, 1.0, 1.0], "tile_depth": 0, "layers": []}
+    for name in "ab":
+        slide.write_manifest(spark, root, base | {"name": name})
+        assert slide.read_manifest(spark, root)["name"] == name
+    assert not [f for f in (tmp_path / "slide").iterdir() if f.name.startswith(".manifest-")]
+
+
 def mask(spark, a):
     return spark.createDataFrame([(int(r), int(c), int(a[r, c])) for r, c in np.ndindex(a.shape)], "row_ int, col_ int, value int")
 
@@ -243,12 +360,12 @@ def test_import_folder(spark, tmp_path):
     for name in ("a", "dapi"):
         mask(spark, np.ones((300, 10), int)).write.parquet(f"{root}/images/{name}.parquet")
     (tmp_path / "in/images/dapi.json").write_text('{"multiscales": [{"datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1, 20]}]}]}]}')
-    assert [(s["kind"], s["id"]) for s in slide.discover(spark, root)] == [("image", "dapi"), ("image", "a"), ("segments", "cells"), ("segments", "other")]
+    assert [(s["kind"], s["id"]) for s in slide.discover(spark, root)] == [("image", "dapi"), ("image", "a"), ("segments", "cell"), ("segments", "other")]
     m = slide.import_folder(spark, root, out, "s")
     assert m["world_bounds"] == [0.0, 0.0, 200.0, 300.0]
-    assert [(l["id"], l["kind"], l["levels"]) for l in slide.layers(spark, out).orderBy("position").collect()] == [("dapi", "image", 1), ("a", "image", 1), ("cells", "segments", 0), ("other", "segments", 0)]
+    assert [(l["id"], l["kind"], l["levels"]) for l in slide.layers(spark, out).orderBy("position").collect()] == [("dapi", "image", 1), ("a", "image", 1), ("cell", "segments", 0), ("other", "segments", 0)]
     slide.check_layers(spark, out)
-    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{out}/cells/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
+    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{out}/cell/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
     assert "total" not in spark.read.parquet(f"{out}/other/features").columns
     assert slide.image_pixels(spark, f"{out}/images/dapi", 1).count() == 150 * 5
 

@@ -60,7 +60,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a benchmark item go; rows that share a doc_id are one document."""
     key = free(docs, "key_")
     rows = named(docs, key)
-    leaks = contaminated(by_key(rows, key), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    # Written, so that Spark joins a table of known size: it broadcasts a small one, and no text is shuffled.
+    leaks = Scratch(spark).cut(contaminated(by_key(rows, key), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct())
     return rows.join(leaks, key, "left_anti").select(docs.columns)
 
 

@@ -710,13 +710,13 @@ def stars(spark, d):
     return t.select("object_id", ring.alias("ring"))
 
 
-@query(with_("boxes", more=STARS) + "select object_id, 10 as n, round(abs(sum(x * y2 - x2 * y)) / 2, 3) as area, 10 as facing from star_edges group by object_id")
+@query(with_("boxes", more=STARS) + "select object_id, 10 as n, round(abs(sum(x * y2 - x2 * y)) / 2, 5) as area, 10 as facing from star_edges group by object_id")
 def r5_triangulate(spark, d):
     """Triangles of simple rings: their number, the sum of their areas, and how many turn as the ring does."""
     t = geo.triangulate_rings(stars(spark, d)).select("object_id", "ring", "triangles", F.explode(F.sequence(F.lit(0), F.size("triangles") - 3, F.lit(3))).alias("i"))
     p, q, z = (F.col("ring")[F.col("triangles")[F.col("i") + k]] for k in range(3))
     area = ((q["x"] - p["x"]) * (z["y"] - p["y"]) - (z["x"] - p["x"]) * (q["y"] - p["y"])) / 2
-    return t.withColumn("a", area).groupBy("object_id").agg(F.count("*").cast("int").alias("n"), r(F.sum(F.abs("a")), 3).alias("area"), F.count_if(F.col("a") > 0).cast("int").alias("facing"))
+    return t.withColumn("a", area).groupBy("object_id").agg(F.count("*").cast("int").alias("n"), r(F.sum(F.abs("a")), 5).alias("area"), F.count_if(F.col("a") > 0).cast("int").alias("facing"))
 
 
 @query(with_("objects", more=HILBERT_OBJECTS) + "select cell_id, coalesce(sum(n_vertices) over w, 0)::bigint as first, (coalesce(sum(n_vertices) over w, 0) + n_vertices - 1)::bigint as last, n_vertices::bigint as used, 3 * (n_vertices - 2) as n from ranked where n_vertices >= 3 window w as (partition by tile_row, tile_col order by cell_id rows between unbounded preceding and 1 preceding)")

@@ -453,6 +453,43 @@ def test_quality_classifier(spark, docs, labels, texts):
     assert all(r["kept"] for r in quality_classifier.quality_classifier(docs, labels.limit(0)).collect())
 
 
+def test_sparse_view_against_dense_columns():
+    rng = np.random.default_rng(5)
+    dense, words = rng.normal(size=(40, 3)), rng.poisson(0.2, (40, 16)).astype(float)
+    rows, slots = np.nonzero(words)
+    view = quality_classifier.View(dense, 16, rows, slots, words[rows, slots])
+    at = rng.permutation(40)[:25]
+    plain = np.column_stack([dense, words, np.ones(40)])[at]
+    beta, v = rng.normal(size=20), rng.normal(size=25)
+    part = view.take(at)
+    assert np.allclose(part.times(beta), plain @ beta)
+    assert np.allclose(part.back(v), v @ plain) and np.allclose(part.back(v, 2), v @ plain**2)
+    # The fit ends where the gradient of the ridge's loss is zero.
+    y = (rng.random(25) < 0.4).astype(float)
+    got = quality_classifier.fit_logistic(part, y)
+    w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    assert np.abs(plain.T @ (w * (1 / (1 + np.exp(-plain @ got)) - y)) + 1e-3 * got).max() < 1e-5
+
+
+def test_quality_classifier_learns_wording(spark):
+    """Documents that are bad by their wording alone, out of 100,000 words: more slots tell more of them apart."""
+    rng = np.random.default_rng(11)
+    rows, truth = [], []
+    for i in range(2400):
+        at = rng.integers(0, 100_000, 120)
+        if i % 2:
+            at[:14] = rng.integers(0, 300, 14)
+        rows.append((i, " ".join(f"w{w:06d}" for w in rng.permutation(at)), "en", "web", 1000))
+        truth += [(i, 1 - i % 2)] * (i % 3 > 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(truth, "doc_id long, quality int")
+    right = {}
+    for slots in (256, quality_classifier.WORD_SLOTS):
+        got = quality_classifier.quality_classifier(docs, labels, word_slots=slots).collect()
+        right[slots] = np.mean([(r["text_margin"] > 0) == (r["doc_id"] % 2 == 0) for r in got if r["doc_id"] % 3 == 0])
+    assert right[quality_classifier.WORD_SLOTS] > 0.95 and right[quality_classifier.WORD_SLOTS] > right[256] + 0.05, right
+
+
 def test_empty_tables(spark, docs, labels):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")

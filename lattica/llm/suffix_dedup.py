@@ -22,7 +22,7 @@ from .texts import chunks, keys, mix
 
 LENGTH, K = 100, 32
 PIECE = 1 << 20
-#: Runs whose transform is built together; the anchors of a block are whole.
+#: Runs whose transform is built together; the anchors of a block are whole, those of more runs are split.
 BLOCK = 3000
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
@@ -136,37 +136,55 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def judged(found: DataFrame, length: int) -> DataFrame:
     """Spans that are repeats as a whole (kind 0: start, end in bytes), and the first of each of the distinct
-    runs of an anchor that has several (kind 1: start, many), from occurrences sorted within anchors."""
+    runs of an anchor that has several (kind 1: start, many), from occurrences sorted within anchors.
+
+    Of earlier batches only the first row of the last run is remembered, and the last anchor's first run
+    until a second one turns up: an anchor of any number of occurrences takes no more memory than a batch."""
     schema = "kind int, anchor long, run long, doc_id long, text_hash long, start long, many long"
 
-    def settle(t):
-        a, r, s, m = (t[c].to_numpy(zero_copy_only=False) for c in ("anchor", "run", "start", "many"))
-        d = t["doc_id"].to_numpy(zero_copy_only=False)
-        new_a = np.append(True, a[1:] != a[:-1])
-        new_r = new_a | np.append(True, r[1:] != r[:-1])
-        lead = np.maximum.accumulate(np.where(new_r, np.arange(len(a)), 0))
-        later = ~new_r & ~((d == d[lead]) & (s == s[lead])) | (m < 0)
-        group = np.cumsum(new_a) - 1
-        mixed = np.bincount(group, weights=new_r)[group] > 1
-        kind = np.where(later, 0, np.where(new_r & mixed, 1, 2))
-        keep = np.flatnonzero(kind < 2)
-        return pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *(t[c].take(pa.array(keep)) for c in ("anchor", "run", "doc_id", "text_hash", "start")), pa.array(np.abs(m[keep]))], names=[f.split()[0] for f in schema.split(", ")])
+    def told(batch, kind, at):
+        pick = pa.array(at)
+        many = np.abs(batch.column("many").to_numpy()[at])
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(batch.column(c).take(pick) for c in ("anchor", "run", "doc_id", "text_hash", "start")), pa.array(many)], names=[f.split()[0] for f in schema.split(", ")])
 
     def run(batches):
-        rest = None
+        last = held = None  # last: anchor, run, and doc_id and start of the run's first row
         for batch in batches:
-            t = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
-            a = t["anchor"].to_numpy()
-            cut = int(np.searchsorted(a, a[-1], "left"))  # the last anchor may go on in the next batch
-            if cut:
-                yield settle({c: t[c].slice(0, cut).combine_chunks() for c in t.schema.names})
-            rest = t.slice(cut)
-        if rest is not None and len(rest):
-            yield settle({c: rest[c].combine_chunks() for c in rest.schema.names})
+            if not len(batch):
+                continue
+            a, r, d, s, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "run", "doc_id", "start", "many"))
+            new_a = np.append(last is None or a[0] != last[0], a[1:] != a[:-1])
+            new_r = new_a | np.append(last is None or r[0] != last[1], r[1:] != r[:-1])
+            lead = np.maximum.accumulate(np.where(new_r, np.arange(len(a)), -1))
+            before = (0, 0) if last is None else last[2:]
+            lead_d, lead_s = np.where(lead < 0, before[0], d[lead]), np.where(lead < 0, before[1], s[lead])
+            later = ~new_r & ~((d == lead_d) & (s == lead_s)) | (m < 0)
+            distinct = np.flatnonzero(new_r)
+            several = np.zeros(len(a), bool)
+            if len(distinct):
+                opens = new_a[distinct]
+                several[distinct] = ~opens | np.append(~opens[1:], False)
+                if held is not None and not opens[0]:
+                    yield held
+                held = told(batch, np.ones(1), distinct[-1:]) if opens[-1] and not later[distinct[-1]] else None
+            keep = np.flatnonzero(later | several)
+            yield told(batch, np.where(later[keep], 0, 1), keep)
+            last = a[-1], r[-1], lead_d[-1], lead_s[-1]
 
     return found.mapInArrow(run, schema)
 
 
+def grouped(strings: DataFrame, length: int) -> DataFrame:
+    """Spans of repeats among runs of anchors that have too many distinct ones for one block: their strings,
+    one by one, meet by content in a grouping that is pre-aggregated before the shuffle, so that neither a
+    hot anchor nor a hot string fills a task; the join back is one that Spark splits by partition size."""
+    each = strings.select("doc_id", "text_hash", F.posexplode(F.expr(f"transform(sequence(1, int(many)), i -> xxhash64(substring(bytes, i, {length})))")).alias("i", "string"), "start")
+    each = each.select("string", "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"))
+    first = each.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = each.join(first, "string").where(F.struct("doc_id", "start") != F.col("first"))
+    return later.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
+
+
 def transform(strings: list, cap: int):
     """Sorted suffixes of a collection of symbol arrays (uint16), with the common prefix of each and the one
     before, up to cap symbols.
@@ -322,7 +340,7 @@ def merged(starts, ends):
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
     """One row per input row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     A byte goes if a string of `length` bytes of its document's UTF-8 text covers it that also starts
@@ -331,7 +349,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
 
     A null or short text loses nothing. A null doc_id sorts before all others. Rows with equal doc_id and
     text are equally early: none repeats the other; rows of one doc_id and different texts are compared
-    by start. Other columns are ignored; an empty table gives none."""
+    by start. Other columns are ignored; an empty table gives none. A doc_id of -2^63 counts as null. Texts
+    may be of any length: they are read in pieces that overlap by length - 1 bytes. Anchors of more than
+    `block` distinct runs are settled string by string, with the same result."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     order = ["anchor", "run", "doc_id", "start"]
@@ -343,8 +363,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
     cuts = cuts.select("doc_id", "text_hash", F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("asked"))
     piece = F.expr(f"substring(raw, int(asked.start + 1), int(asked.many - 1 + {length}))")
     strings = cuts.select("asked.anchor", "doc_id", "text_hash", "asked.start", "asked.many", piece.alias("bytes"))
-    near = scratch.cut(compared(strings.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), length))
-    spans = whole.unionByName(near).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    crowded = scratch.cut(told.where("kind = 1").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block).select("anchor", F.lit(True).alias("crowded")))
+    strings = scratch.cut(strings.join(crowded, "anchor", "left"))
+    few = strings.where("crowded is null").drop("crowded")
+    near = scratch.cut(compared(few.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), length))
+    hot = scratch.cut(grouped(strings.where("crowded"), length))
+    scratch.drop(strings)
+    spans = whole.unionByName(near).unionByName(hot).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
         for batch in batches:

@@ -149,6 +149,26 @@ def test_repeated_strings(docs, texts, length, k):
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_repeated_strings_of_crowded_anchors(spark, batch):
+    """Passages inside many different texts, and one 100-byte string in all of them: anchors of more runs than a
+    block holds are settled string by string, and runs of one anchor lie in several batches."""
+    rng = random.Random(12)
+    word = "".join(rng.choices("abcdefgh ", k=300))
+    texts = [prose(rng, 12) + word[: rng.randrange(110, 300)] + prose(rng, 12) for _ in range(60)] + [None, "", word, word]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        want = removed(texts, 100)
+        for block in (1, 20, 3000):
+            got = suffix_dedup.repeated_strings(docs, block=block).collect()
+            assert len(got) == len(texts)
+            for r in got:
+                assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_transform_sorts_suffixes():
     rng = random.Random(4)
     for _ in range(20):

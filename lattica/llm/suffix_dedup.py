@@ -22,8 +22,9 @@ from .texts import chunks, keys, mix
 
 LENGTH, K = 100, 32
 PIECE = 1 << 20
-#: Runs whose transform is built together; the anchors of a block are whole, those of more runs are split.
-BLOCK = 3000
+#: Runs whose transform is built together, about: the anchors of a block are whole. Anchors of more distinct
+#: runs than CROWD are split.
+BLOCK, CROWD = 390, 1000
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
@@ -194,12 +195,15 @@ def transform(strings: list, cap: int):
     neighbours with the same symbol is one more than the least between their tails. Each round reads the
     arrays of the last one in order and writes new ones. Returns (position in the joined text, prefix)
     without the empty suffixes."""
-    lens = np.array([len(s) for s in strings])
-    text = np.concatenate(strings)
+    return columns(np.concatenate(strings), np.array([len(s) for s in strings]), cap)
+
+
+def columns(text, lens, cap: int):
+    """`transform` of the strings of the given lengths that stand one after the other in text."""
     end = np.cumsum(lens)
     is_start = np.zeros(len(text) + 1, bool)
     is_start[end - lens] = True
-    n = len(strings)
+    n = len(lens)
     at, prefix = end.astype(np.int64), np.zeros(n, np.uint8)  # the empty suffixes, at their strings' ends
     whole = lens == 0  # suffixes that are a whole string have no symbol in front
     for _ in range(int(lens.max())):
@@ -230,36 +234,47 @@ def transform(strings: list, cap: int):
     return at[n:], prefix[n:]
 
 
-def symbols(strings: list[bytes], length: int):
-    """The collection in symbols of `size` bytes, for a size that divides the length: each string in `size`
-    copies, cut at its end by 0, 1, ... bytes and at its front to whole symbols, so that each place starts
-    a suffix of one of them. Returns (arrays, size, string number and cut of each)."""
-    size = next(w for w in (4, 2, 1) if length % w == 0)
-    while True:
-        codes, owner, cut = [], [], []
-        for i, s in enumerate(strings):
-            for c in range(size):
-                m = (len(s) - c) // size
-                codes.append(np.frombuffer(s, np.uint8, m * size, len(s) - c - m * size).reshape(m, size))
-                owner.append(i), cut.append(c)
-        lens = [len(c) for c in codes]
-        joined = np.ascontiguousarray(np.concatenate(codes)).view(f"u{size}").ravel()
-        names, number = np.unique(joined, return_inverse=True)
-        if len(names) <= 65536:
-            return np.split(number.astype(np.uint16), np.cumsum(lens)[:-1]), size, np.array(owner), np.array(cut)
-        size //= 2
+def windows(x, size: int):
+    """Numbers of the strings of `size` bytes at each place of x, equal and in order as these are."""
+    if size > 8:  # by two overlapping or touching shorter ones
+        half = (size + 1) // 2
+        low = windows(x, half).astype(np.uint64)
+        code = low[: len(x) - size + 1] << U(32) | low[size - half :]
+    else:
+        code = np.zeros(len(x) - size + 1, U)
+        for i in range(size):
+            code = code << U(8) | x[i : len(x) - size + 1 + i]
+    return np.unique(code, return_inverse=True)[1]
+
+
+def symbols(x, lens, length: int):
+    """The strings of the given lengths in x, in symbols of `size` bytes, for a size that divides the length:
+    each string in `size` copies, cut at its end by 0, 1, ... bytes and at its front to whole symbols, so
+    that each place starts a suffix of one of them. A size is taken whose symbols have 16-bit numbers.
+    Returns (symbols, symbols in each copy, size, string number and cut of each copy)."""
+    begin = np.cumsum(lens) - lens
+    for size in (w for w in (10, 5, 4, 2, 1) if length % w == 0):
+        owner, cut = np.repeat(np.arange(len(lens)), size), np.tile(np.arange(size), len(lens))
+        many = (lens[owner] - cut) // size
+        first = (begin + lens)[owner] - cut - many * size
+        places = np.repeat(first - size * (np.cumsum(many) - many), many) + size * np.arange(int(many.sum()))
+        number = windows(x, size)[places]
+        if number.max() >= 65536:
+            names, number = np.unique(number, return_inverse=True)
+            if len(names) > 65536:
+                continue
+        return number.astype(np.uint16), many, size, owner, cut
 
 
 def repeats(rows, length: int = LENGTH):
     """Runs (list of (doc key, start, many, bytes)) of whole anchors: which starts are repeats of an earlier
     string, as (run number, offset). Places order by doc key, then start."""
-    strings, size, source, cut = symbols([r[3] for r in rows], length)
-    at, prefix = transform(strings, length // size)
-    lens = np.array([len(s) for s in strings])
+    size_of = np.array([len(r[3]) for r in rows])
+    text, lens, size, source, cut = symbols(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), size_of, length)
+    at, prefix = columns(text, lens, length // size)
     begin = np.cumsum(lens) - lens
     part = np.searchsorted(begin + lens, at, "right")  # a suffix of one symbol or more lies inside its string
     owner = source[part]
-    size_of = np.array([len(r[3]) for r in rows])
     offset = size_of[owner] - cut[part] - (begin[part] + lens[part] - at) * size
     group = np.cumsum(prefix < length // size)
     many = np.array([r[2] for r in rows])
@@ -318,7 +333,7 @@ def merged(starts, ends):
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = CROWD) -> DataFrame:
     """One row per input row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     A byte goes if a string of `length` bytes of its document's UTF-8 text covers it that also starts

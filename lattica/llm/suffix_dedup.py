@@ -24,7 +24,7 @@ LENGTH, K = 100, 32
 PIECE = 1 << 20
 #: Runs whose transform is built together, about: the anchors of a block are whole. Anchors of more distinct
 #: runs than CROWD are split.
-BLOCK, CROWD = 390, 1000
+BLOCK, CROWD = 390, 3000
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)

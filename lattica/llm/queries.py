@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing
+from . import decontamination, line_dedup, mixing, norm_topk, periodic_runs, ranked_search
 from .decontamination import contaminated
 from .html_text import main_text
 from .mixing import mixed
@@ -59,5 +59,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_suffix_dedup, op4_html_text, op5_decontamination, op6_token_counts, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing)}
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op10_source_mixing": mixing.ORACLE}
+def op11_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, every tenth of them made periodic."""
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.looped(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_suffix_dedup, op4_html_text, op5_decontamination, op6_token_counts, op7_resharding, op8_minhash_near_dedup, op9_quality_rules, op10_source_mixing, op11_norm_topk, op12_ranked_search, op13_periodic_runs)}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_norm_topk": norm_topk.ORACLE, "op12_ranked_search": ranked_search.ORACLE}

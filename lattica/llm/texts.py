@@ -47,9 +47,9 @@ def chunks(column, size: int = CHUNK):
         row = end
 
 
-def words(data, offsets):
-    """Words [^\\x20\\x09-\\x0D]+ of each text: (start, end, text number)."""
-    solid = SOLID[data]
+def words(data, offsets, solid=SOLID):
+    """Words [^\\x20\\x09-\\x0D]+ of each text, or runs of other bytes that `solid` says: (start, end, text number)."""
+    solid = solid[data]
     if not solid.any():
         return (np.zeros(0, np.int64),) * 3
     full = offsets[1:] > offsets[:-1]

@@ -187,7 +187,7 @@ def top_products(table: DataFrame, every: int = 20, k: int = 20, scale: int = 64
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(LAST)).alias("vec_id"), "score")
 
 
-ORACLE = """with v as (select row_number() over () as r, vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as e from embeddings
-  where embedding is not null and list_count(embedding) = len(embedding) and list_bool_and(list_transform(embedding, x -> isfinite(x)))),
-s as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]))::bigint as score from v q, v c where q.vec_id % 20 = 0 and q.r <> c.r)
+ORACLE = """with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where embedding is not null and list_count(embedding) = len(embedding) and list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score from v q, v c where q.vec_id % 20 = 0 and q.r <> c.r)
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 20"""

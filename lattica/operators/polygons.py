@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.grid import Grid, with_cells, with_hilbert, with_tiles
+from lattica.sources.order import read_order
 
 #: Known names of the id, x and y columns of a boundary table, in order of preference (fixed values).
 ALIASES = {"object_id": ("cell_id", "object_id", "label_id", "label", "id"), "x": ("vertex_x", "x", "X"), "y": ("vertex_y", "y", "Y")}
@@ -28,8 +29,10 @@ def numbered(rows: DataFrame, order: list[str | Column], by: str = "object_id")
     return rows.withColumn("vertex_no", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
 
 
-def load_boundaries(df: DataFrame, order: list[str | Column], named: dict[str, str] | None = None) -> DataFrame:
-    """Open rings (object_id, vertex_no, x, y) of a boundary table, one row per vertex."""
+def load_boundaries(df: DataFrame, order: list[str | Column] | None = None, named: dict[str, str] | None = None) -> DataFrame:
+    """Open rings (object_id, vertex_no, x, y) of a boundary table, one row per vertex, in the given order, or as
+    the rows stand in the table's files, one after the other."""
+    order = order or [read_order(df).alias("_place")]
     picked = pick_columns(df.columns, named)
     rows = df.select(F.col(picked["object_id"]).alias("object_id"), F.col(picked["x"]).cast("double").alias("x"), F.col(picked["y"]).cast("double").alias("y"), *[F.col(o) if isinstance(o, str) else o for o in order])
     names = rows.columns[3:]

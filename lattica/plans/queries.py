@@ -6,6 +6,7 @@ import math
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from lattica.operators import geometry as geo
 from lattica.operators import points as pts
 from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
+from lattica.operators import runs
+from lattica.sources import order as files
 from lattica.sources import slide
 
 from . import tables as T
@@ -67,6 +70,15 @@ def s2_scan_boundaries(spark, d):
     return poly.load_boundaries(t, list(T.VERTEX_ORDER))
 
 
+@query("select l_suppkey as object_id, row_number() over (partition by l_suppkey order by l_linenumber, l_orderkey, l_partkey, l_quantity, l_extendedprice, l_shipdate) - 1 as vertex_no, l_extendedprice as x, l_quantity as y from lineitem")
+def s2_boundary_files(spark, d):
+    """A boundary table in eight files, each with a few vertices of every ring: rings go on from file to file."""
+    path, by = folder(spark), ["l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    T.table(spark, d, "lineitem").repartitionByRange(8, *by).sortWithinPartitions(*by).write.parquet(path)
+    named = {"object_id": "l_suppkey", "x": "l_extendedprice", "y": "l_quantity"}
+    return slide.load_segments(spark, {"path": path, "named": named}, [])
+
+
 @query("select o_orderkey as id, o_totalprice as cell_area, o_orderstatus as status from orders")
 def s3_scan_attributes(spark, d):
     return T.cells(spark, d).withColumnRenamed("object_id", "id")
@@ -278,6 +290,16 @@ def j2_join_categories(spark, d):
     return categorised(spark, d).select("object_id", "cell_area", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+@query("select c_custkey as object_id, coalesce(k, -1) as category from customer left join (select o_custkey, arg_max(o_orderkey % 7, o_orderkey) as k from orders group by 1) on o_custkey = c_custkey")
+def j2_category_files(spark, d):
+    """A category CSV in six files, ids repeated: of each id the first row of the first file counts."""
+    path = folder(spark)
+    t = T.table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 7).alias("k"), "o_orderkey")
+    t.repartitionByRange(6, F.desc("o_orderkey")).sortWithinPartitions(F.desc("o_orderkey")).drop("o_orderkey").write.csv(path, header=True)
+    objects = T.table(spark, d, "customer").select(F.col("c_custkey").alias("object_id"))
+    return feat.join_categories(objects, {"category": spark.read.csv(path, header=True)}).select("object_id", F.coalesce(F.col("category").cast("long"), F.lit(-1)).alias("category"))
+
+
 @query(with_("tiled") + "select gene_id, x, y from tiled")
 def j3_encode_genes(spark, d):
     return T.coded(spark, d).select("gene_id", "x", "y")
@@ -475,6 +497,26 @@ def w5_key_runs(spark, d):
     return poly.key_runs(t, "o_orderstatus", ["o_orderkey"], "o_custkey")
 
 
+def table_runs_sql(table, key):
+    """Rows of a table numbered as they stand in it, and whether each begins a run."""
+    return f"(select *, case when i = 0 or lag(k) over (order by i) is distinct from k then 1 else 0 end as new from (select row_number() over () - 1 as i, {key} as k from {table}))"
+
+
+@query(f"select run, any_value(k) as key, min(i) as first, count(*) as length from (select *, sum(new) over (order by i)::bigint as run from {table_runs_sql('events', 'event_type')}) group by run")
+def w5_table_runs(spark, d):
+    """Runs of event types over the whole table in file order, by blocks of 1,024 rows."""
+    t, block, at = files.file_blocks(T.table(spark, d, "events").select("event_type"), 10)
+    return runs.run_table(t, "event_type", block, at).select("run", "key", "first", "length")
+
+
+@query("select event_id, user_id, sum(new) over (order by ts, event_id)::bigint as run from (select event_id, ts, user_id, case when row_number() over (order by ts, event_id) = 1 or lag(event_type) over (order by ts, event_id) is distinct from event_type then 1 else 0 end as new from events)")
+def w5_ordered_runs(spark, d):
+    """The same in the order of another column: the run of each event by time."""
+    t = T.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    t, block, at = runs.range_blocks(t, ["ts", "event_id"], folder(spark))
+    return runs.numbered_runs(t, "event_type", block, at).select("event_id", "user_id", "run")
+
+
 @query(with_("objects", more=HILBERT_OBJECTS) + 'select cell_id, n_vertices, coalesce(sum(n_vertices) over (order by cell_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from ranked')
 def w6_ragged_offsets(spark, d):
     return poly.offsets(ranked(spark, d)).select("cell_id", "n_vertices", "offset")
@@ -503,6 +545,14 @@ def w10_first_match(spark, d):
     return feat.first_per_key(T.table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"])
 
 
+@query("select o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) as o_orderkey from orders group by o_custkey")
+def w10_first_in_files(spark, d):
+    """The first row of each key in a table of eight files."""
+    path, by = folder(spark), ["o_totalprice", "o_orderkey"]
+    T.table(spark, d, "orders").repartitionByRange(8, *by).sortWithinPartitions(*by).write.parquet(path)
+    return feat.first_per_key(spark.read.parquet(path), "o_custkey").select("o_custkey", "o_orderkey")
+
+
 # Sorts, top-k
 
 
@@ -657,6 +707,19 @@ def f17_contiguity(spark, d):
     return poly.contiguous(t, "o_orderstatus", ["o_orderkey"], "o_custkey")
 
 
+GROUPED = (("orders", "o_orderkey"), ("orders", "o_orderstatus"), ("lineitem", "l_orderkey"), ("events", "event_type"), ("events", "event_id"))
+
+
+@query(" union all ".join(f"select '{t}' as source, '{k}' as key, count(distinct k) as n_keys, sum(new)::bigint as n_runs, count(distinct k) = sum(new) as grouped from {table_runs_sql(t, k)}" for t, k in GROUPED))
+def f17_grouped_tables(spark, d):
+    """Whether tables stand grouped by a key in their files."""
+    def one(name, key):
+        t, block, at = files.file_blocks(T.table(spark, d, name).select(key), 10)
+        return runs.grouped_already(t, key, block, at).select(F.lit(name).alias("source"), F.lit(key).alias("key"), "n_keys", "n_runs", "grouped")
+
+    return reduce(DataFrame.unionByName, [one(*x) for x in GROUPED])
+
+
 # Geometry
 
 

@@ -219,8 +219,6 @@ def load_segments(spark: SparkSession, source: dict, order: list[str]) -> DataFr
     if source.get("mask") or {"row_", "col_", "value"} <= set(df.columns):
         require_mask(df)
         return poly.flat_rings(geo.polygons_from_labels(df, source.get("level", Level((1.0, 1.0))), source.get("tolerance", 0.75)))
-    if not order:
-        df, order = df.withColumn("_row", F.col("_metadata.row_index")), ["_row"]
     return poly.load_boundaries(df, order, source.get("named"))
 
 

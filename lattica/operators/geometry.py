@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .polygons import edges
 from .raster import Level
+from .spans import as_spans, boxes, ragged, topmost
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -55,9 +56,9 @@ def top_hit(hits: DataFrame, key: list[str]) -> DataFrame:
 
 
 def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
-    """Label mask (row_, col_, value) of rings(object_id, vertex_no, x, y) in pixel units; where objects
-    overlap, the highest id stays. Each pixel row crosses a ring's edges in pairs (even-odd, half-open);
-    the pixels between the two of a pair are inside."""
+    """Label mask, as spans (row_, c0, c1, value), of rings(object_id, vertex_no, x, y) in pixel units; where
+    objects overlap, the highest id stays. Each pixel row crosses a ring's edges in pairs (even-odd,
+    half-open); the pixels between the two of a pair are inside. No row is made per pixel."""
     e = edges(vertices).where("y <> y2")
     e = e.withColumns({"_r0": F.greatest(F.lit(0), F.ceil(F.least("y", "y2"))), "_r1": F.least(F.lit(height - 1), F.ceil(F.greatest("y", "y2")) - 1)}).where("_r0 <= _r1")
     e = e.withColumn("row_", F.explode(F.sequence(F.col("_r0").cast("int"), F.col("_r1").cast("int"))))
@@ -65,8 +66,8 @@ def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     t = e.groupBy("object_id", "row_").agg(F.sort_array(F.collect_list("_at")).alias("_c"))  # crossings of one ring
     t = t.select("object_id", "row_", F.explode(F.sequence(F.lit(0), (F.floor(F.size("_c") / 2) - 1).cast("int"))).alias("_i"), "_c")
     a, b = F.get("_c", F.col("_i") * 2), F.get("_c", F.col("_i") * 2 + 1)
-    t = t.withColumns({"_a": F.greatest(F.lit(0), F.ceil(a)), "_b": F.least(F.lit(width - 1), F.ceil(b) - 1)}).where("_a <= _b")
-    return t.select("row_", F.explode(F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int"))).alias("col_"), "object_id").groupBy("row_", "col_").agg(F.max("object_id").alias("value"))
+    t = t.select("row_", F.greatest(F.lit(0), F.ceil(a)).alias("c0"), F.least(F.lit(width - 1), F.ceil(b) - 1).alias("c1"), F.col("object_id").alias("value"))
+    return topmost(t.where("c0 <= c1"))
 
 
 #: Side of the blocks in which neighbours are compared.
@@ -96,27 +97,31 @@ def grouped(batches, key: str, done):
 
 def boundary_pixels(mask: DataFrame, step: int = STEP) -> DataFrame:
     """(label, row_, col_, sides) of labelled pixels with a 4-neighbour of another value or none: which of
-    SIDES, a bit each. Pixels go to blocks once, those at a block's edge to the next block too; inside a
-    block neighbours are compared as an array, and only boundary pixels come out."""
-    t = mask.where("value <> 0").select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), F.col("value").cast("long").alias("value"))
-    block = lambda r, c: F.struct(F.floor((F.col("row_") + r) / step).alias("r"), F.floor((F.col("col_") + c) / step).alias("c"))
-    t = t.select("row_", "col_", "value", F.explode(F.array_distinct(F.array(block(0, 0), *[block(r, c) for r, c in SIDES]))).alias("b"))
-    t = t.select((F.col("b.r") * (1 << 31) + F.col("b.c")).alias("block"), "row_", "col_", "value").repartition("block").sortWithinPartitions("block")
+    SIDES, a bit each. Pixels or spans go to blocks once, what is at a block's edge to the next block too;
+    inside a block neighbours are compared as an array, and only boundary pixels come out."""
+    t = as_spans(mask).where("value <> 0").select(*[F.col(c).cast("long").alias(c) for c in ("row_", "c0", "c1", "value")])
+    # A span stands in the blocks of its pixels and of their neighbours: above, below, and one to each side.
+    at = lambda c: F.floor(c / step)
+    t = t.withColumn("_r", F.explode(F.array_distinct(F.array(*[at(F.col("row_") + k) for k in (-1, 0, 1)]))))
+    t = t.withColumn("_c", F.explode(F.sequence(at(F.col("c0") - 1), at(F.col("c1") + 1))))
+    t = t.select((F.col("_r") * (1 << 31) + F.col("_c")).alias("block"), "row_", F.greatest("c0", F.col("_c") * step - 1).alias("c0"), F.least("c1", F.col("_c") * step + step).alias("c1"), "value")
+    t = t.where("c0 <= c1").repartition("block").sortWithinPartitions("block")
 
     def edges_of(part: pa.Table) -> pa.RecordBatch:
-        block, rows, cols, values = (part[c].to_numpy() for c in ("block", "row_", "col_", "value"))
+        block, rows, c0, c1, values = (part[c].to_numpy() for c in ("block", "row_", "c0", "c1", "value"))
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         out = []
         for i, j in zip(first, np.append(first[1:], len(block))):
-            c0 = (block[i] + (1 << 30)) % (1 << 31) - (1 << 30)
-            r0 = (block[i] - c0) >> 31
-            y, x = rows[i:j] - r0 * step + 1, cols[i:j] - c0 * step + 1
+            col = (block[i] + (1 << 30)) % (1 << 31) - (1 << 30)
+            r0, l0 = (block[i] - col) // (1 << 31) * step, col * step
+            wide = c1[i:j] - c0[i:j] + 1
+            y, x = np.repeat(rows[i:j] - r0 + 1, wide), ragged(c0[i:j] - l0 + 1, wide)
             a = np.zeros((step + 2, step + 2), np.int64)
-            a[y, x] = values[i:j]
+            a[y, x] = np.repeat(values[i:j], wide)
             core = a[1:-1, 1:-1]
             open_ = sum(((a[1 + r : step + 1 + r, 1 + c : step + 1 + c] != core) & (core != 0)).astype(np.int8) << k for k, (r, c) in enumerate(SIDES))
             at = np.nonzero(open_)
-            out.append((core[at], at[0] + r0 * step, at[1] + c0 * step, open_[at].astype(np.int32)))
+            out.append((core[at], at[0] + r0, at[1] + l0, open_[at].astype(np.int32)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["label", "row_", "col_", "sides"])
 
     return t.mapInArrow(lambda batches: grouped(batches, "block", edges_of), "label long, row_ long, col_ long, sides int")
@@ -267,12 +272,12 @@ def triangulate_rings(objects: DataFrame) -> DataFrame:
 
 
 def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tolerance: float = 0.75, least: int = 4) -> DataFrame:
-    """(object_id, ring, pixel_area, area) of the labels of a mask(row_, col_, value) in world units.
+    """(object_id, ring, pixel_area, area) of the labels of a mask, pixels or spans, in world units.
 
     Labels under `least` pixels go, and those whose ring has under 3 vertices. Only boundary pixels
     are grouped by label; an object is traced whole, however many blocks it lies in; its longest outer
     ring stays, and holes and further pieces go."""
-    sizes = mask.where("value <> 0").groupBy(F.col("value").cast("long").alias("object_id")).agg(F.count("*").alias("pixel_area")).where(F.col("pixel_area") >= least)
+    sizes = boxes(as_spans(mask)).select(F.col("label").cast("long").alias("object_id"), "pixel_area").where(F.col("pixel_area") >= least)
     edge = boundary_pixels(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
     (sy, sx), (ty, tx) = level.scale, level.translation
 

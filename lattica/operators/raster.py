@@ -1,4 +1,5 @@
-"""Raster tables: one row per pixel (row_, col_, value), with channel and level where there are several."""
+"""Rasters: level metadata, labels and contrast over pixel tables (row_, col_, value, and channel where there are
+several). See chunks for images as arrays and spans for masks as runs."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranks import order_statistics
+from .spans import as_spans, boxes, is_spans
 
 
 @dataclass(frozen=True)
@@ -28,13 +30,21 @@ class Level:
         return (tx, ty, tx + w * sx, ty + h * sy)
 
     def chunks(self, rect: tuple[float, float, float, float]) -> tuple[int, int, int, int] | None:
-        """(first row, last row, first col, last col) of the chunks that a world rectangle touches."""
-        (sy, sx), (ty, tx) = self.scale, self.translation
-        last = math.ceil(self.shape[0] / self.chunk[0]) - 1, math.ceil(self.shape[1] / self.chunk[1]) - 1
-        r0, r1 = (math.floor((v - ty) / sy / self.chunk[0]) for v in (rect[1], rect[3]))
-        c0, c1 = (math.floor((v - tx) / sx / self.chunk[1]) for v in (rect[0], rect[2]))
-        r0, r1, c0, c1 = max(r0, 0), min(r1, last[0]), max(c0, 0), min(c1, last[1])
-        return (r0, r1, c0, c1) if r0 <= r1 and c0 <= c1 else None
+        """(first row, last row, first col, last col) of the chunks that a world rectangle touches; an end on a
+        chunk's edge doesn't touch the next chunk. None where there are none."""
+        out: list[int] = []
+        for axis, ends in ((0, (rect[1], rect[3])), (1, (rect[0], rect[2]))):
+            low, high = ((v - self.translation[axis]) / (self.scale[axis] * self.chunk[axis]) for v in ends)
+            last = math.ceil(self.shape[axis] / self.chunk[axis]) - 1
+            out += [max(0, math.floor(low)), min(last, math.ceil(high) - 1)]
+        return (out[0], out[1], out[2], out[3]) if out[0] <= out[1] and out[2] <= out[3] else None
+
+    def coarser(self, steps: int = 1) -> Level:
+        """The level `steps` coarser: each step halves the shape, odd ends up."""
+        level = self
+        for _ in range(steps):
+            level = Level((level.scale[0] * 2, level.scale[1] * 2), level.translation, ((level.shape[0] + 1) // 2, (level.shape[1] + 1) // 2), level.chunk)
+        return level
 
 
 def to_world(level: Level, row: str = "row_", col: str = "col_") -> dict[str, Column]:
@@ -46,21 +56,16 @@ def to_pixel(level: Level, x: str = "x", y: str = "y") -> dict[str, Column]:
     return {"col_": (F.col(x) - F.lit(level.translation[1])) / F.lit(level.scale[1]), "row_": (F.col(y) - F.lit(level.translation[0])) / F.lit(level.scale[0])}
 
 
-def require_mask(pixels: DataFrame) -> None:
-    if not {"row_", "col_", "value"} <= set(pixels.columns):
-        raise ValueError("a mask has the columns row_, col_ and value")
-    if not isinstance(pixels.schema["value"].dataType, T.IntegralType):
+def require_mask(mask: DataFrame) -> None:
+    if not ({"row_", "col_", "value"} <= set(mask.columns) or is_spans(mask)):
+        raise ValueError("a mask has the columns row_, value, and col_ or c0 and c1")
+    if not isinstance(mask.schema["value"].dataType, T.IntegralType):
         raise ValueError("a mask's values must be whole numbers")
 
 
-def blocked(pixels: DataFrame, step: int, width: int) -> DataFrame:
-    """Adds the block number of each pixel, blocks of step x step in rows of ceil(width / step)."""
-    return pixels.withColumn("block", (F.floor(F.col("row_") / step) * math.ceil(width / step) + F.floor(F.col("col_") / step)).cast("long"))
-
-
 def label_boxes(mask: DataFrame) -> DataFrame:
-    """Bounding box and pixel count of each label but 0, the background."""
-    return mask.where("value <> 0").groupBy(F.col("value").alias("label")).agg(F.min("row_").alias("row0"), F.min("col_").alias("col0"), F.max("row_").alias("row1"), F.max("col_").alias("col1"), F.count("*").alias("pixel_area"))
+    """Bounding box and pixel count of each label but 0, the background, of a mask of pixels or spans."""
+    return boxes(as_spans(mask))
 
 
 def drop_specks(boxes: DataFrame, least: int = 4) -> DataFrame:
@@ -108,25 +113,6 @@ def channel_maximum(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("channel").agg(F.greatest(F.lit(1), F.max("value")).alias("top"))
 
 
-def filled_share(pixels: DataFrame, by: str) -> DataFrame:
-    return pixels.groupBy(by).agg(F.max("value").alias("top"), F.avg(F.when(F.col("value") != 0, 1.0).otherwise(0.0)).alias("filled"))
-
-
-def downsample(pixels: DataFrame, how: str = "mean") -> DataFrame:
-    """The next coarser level: 2 x 2 pixels become one, by mean or by the first in row order."""
-    key = [F.shiftright("row_", 1).alias("_r"), F.shiftright("col_", 1).alias("_c")]
-    other = [c for c in ("channel",) if c in pixels.columns]
-    value = F.avg("value") if how == "mean" else F.min_by("value", F.struct("row_", "col_"))
-    return pixels.groupBy(*other, *key).agg(value.alias("value")).withColumnsRenamed({"_r": "row_", "_c": "col_"})
-
-
-def composite(pixels: DataFrame, channels: DataFrame) -> DataFrame:
-    """(row_, col_, r, g, b): channels(channel, lo, hi, r, g, b in 0 to 1) add up, clamped to 255."""
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0))))
-    t = pixels.join(channels, "channel").withColumn("_s", F.coalesce(share, F.lit(0.0)))
-    return t.groupBy("row_", "col_").agg(*[F.floor(F.least(F.lit(255.0), F.round(F.sum(F.col("_s") * F.col(c)) * 255, 6))).cast("int").alias(c) for c in "rgb"])
-
-
 def test_card(spark, size: int) -> DataFrame:
     """A structured image of size x size pixels: a checkerboard with a ripple."""
     t = spark.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("row_"), (F.col("id") % size).cast("int").alias("col_"))

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import grid as gr
+from lattica.operators import chunks as ch
 from lattica.operators import extent as ext
 from lattica.operators import features as feat
 from lattica.operators import geometry as geo
 from lattica.operators import points as pts
 from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
-from lattica.operators import runs
+from lattica.operators import runs, spans
 from lattica.sources import order as files
 from lattica.sources import slide
 
@@ -170,7 +171,8 @@ def s14_read_closed_rings(spark, d):
 
 @query(with_("pixels") + "select (row_ // 16) * 4 + col_ // 16 as block, count(*) as n, sum(value)::bigint as total from pixels group by 1")
 def s17_raster_blocks(spark, d):
-    return ras.blocked(T.pixels(spark, d), 16, 64).groupBy("block").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    t = ch.chunk_sums(ch.to_chunks(T.pixels(spark, d), (16, 16)))
+    return t.select((F.col("chunk_row") * 4 + F.col("chunk_col")).cast("long").alias("block"), "n", "total")
 
 
 @query(with_("channels") + "select channel, row_, col_, value from channels")
@@ -192,7 +194,7 @@ MASK_SQL = "drawn as (select row_, col_, max(object_id) as value from (select ob
 def s20_write_label_mask(spark, d):
     path = folder(spark)
     geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800).write.parquet(path)
-    return spark.read.parquet(path).select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "value")
+    return spans.pixels(spark.read.parquet(path)).select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "value")
 
 
 # Projections, filters
@@ -447,12 +449,14 @@ def a18_drop_report(spark, d):
 @query(with_("channels", more="s as (select row_, col_, greatest(0.0e0, least(1.0e0, (value - 800) / 400.0e0)) as v, channel from channels)") + "select row_, col_, floor(least(255.0e0, round(sum(v * case channel when 0 then 1.0e0 when 1 then 0.5e0 else 0.0e0 end) * 255, 6)))::int as r, floor(least(255.0e0, round(sum(v * case channel when 1 then 0.5e0 else 0.25e0 end) * 255, 6)))::int as g, floor(least(255.0e0, round(sum(v * case channel when 2 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as b from s group by row_, col_")
 def a19_composite(spark, d):
     looks = spark.createDataFrame([(0, 800.0, 1200.0, 1.0, 0.25, 0.0), (1, 800.0, 1200.0, 0.5, 0.5, 0.0), (2, 800.0, 1200.0, 0.0, 0.25, 1.0)], "channel long, lo double, hi double, r double, g double, b double")
-    return ras.composite(T.channels(spark, d), looks)
+    t = ch.colours(ch.composite(ch.to_chunks(T.channels(spark, d)), looks))
+    return t.withColumns({c: F.col(c).cast("long") for c in ("row_", "col_")})
 
 
 @query(with_("channels") + "select channel, row_ >> 1 as row_, col_ >> 1 as col_, round(avg(value), 6) as value from channels group by all")
 def a20_downsample(spark, d):
-    return ras.downsample(T.channels(spark, d)).withColumn("value", r("value")).withColumn("col_", F.col("col_").cast("long"))
+    t = ch.pixels(ch.downsample(ch.to_chunks(T.channels(spark, d))))
+    return t.select("channel", F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), r("value").alias("value"))
 
 
 @query(with_("genes") + "select name, gene_id from genes")
@@ -462,7 +466,7 @@ def a21_used_genes(spark, d):
 
 @query(with_("mask") + "select row_ // 64 as chunk, max(value) as top, round(avg((value <> 0)::int), 9) as filled from mask group by 1")
 def a22_filled_share(spark, d):
-    return ras.filled_share(T.mask(spark, d).withColumn("chunk", F.floor(F.col("row_") / 64)), "chunk").withColumn("filled", r("filled", 9))
+    return ch.chunk_sums(ch.to_chunks(T.mask(spark, d), (64, 64))).select(F.col("chunk_row").cast("long").alias("chunk"), "top", r("filled", 9).alias("filled"))
 
 
 # Windows
@@ -725,9 +729,9 @@ def f17_grouped_tables(spark, d):
 
 def one_span_a_row(mask):
     """(object_id) of labels that are one run of pixels in each of their rows, each run touching the one above."""
-    spans = mask.groupBy(F.col("value").alias("object_id"), "row_").agg(F.min("col_").alias("a"), F.max("col_").alias("z"), F.count("*").alias("n"))
-    up = spans.select("object_id", (F.col("row_") + 1).alias("row_"), F.col("a").alias("pa"), F.col("z").alias("pz"))
-    t = spans.join(up, ["object_id", "row_"], "left")
+    rows = mask.groupBy(F.col("value").alias("object_id"), "row_").agg(F.min("c0").alias("a"), F.max("c1").alias("z"), F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
+    up = rows.select("object_id", (F.col("row_") + 1).alias("row_"), F.col("a").alias("pa"), F.col("z").alias("pz"))
+    t = rows.join(up, ["object_id", "row_"], "left")
     ok = (F.col("n") == F.col("z") - F.col("a") + 1) & (F.col("pa").isNull() | ((F.col("pa") <= F.col("z")) & (F.col("pz") >= F.col("a"))))
     return t.groupBy("object_id").agg(F.bool_and(ok).alias("ok"), F.count_if(F.col("pa").isNull()).alias("tops")).where("ok and tops = 1").select("object_id")
 
@@ -759,7 +763,7 @@ def r3_simplify_rings(spark, d):
 
 @query(with_("small", more=MASK_SQL) + "select row_, col_, value from drawn")
 def r4_rasterize(spark, d):
-    return geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800).select(F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "value")
+    return spans.pixels(geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)).select("row_", "col_", "value")
 
 
 STARS = "stars as (select object_id, i as vertex_no, s * (1 + 0.9e0 * (1 - i % 2 * (object_id % 5 + 1) / 8.0e0) * cos(i * pi() / 6)) as x, s * (1 + 0.9e0 * (1 - i % 2 * (object_id % 5 + 1) / 8.0e0) * sin(i * pi() / 6)) as y from boxes, (select unnest(range(12)) as i)), star_edges as (select *, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from stars window w as (partition by object_id order by vertex_no))"
@@ -845,6 +849,24 @@ def e6_viewport_polygons(spark, d):
     return slide.view_polygons(spark, path, g, RECT, "cluster", ["unassigned", "3"]).select("cell_id", "colour")
 
 
+@query(with_("channels", more="""half as (select channel, row_ >> 1 as row_, col_ >> 1 as col_, avg(value) as value from channels group by all),
+s as (select row_, col_, greatest(0.0e0, least(1.0e0, (value - 800) / 400.0e0)) as v, channel from half where row_ < 48 and col_ >= 16)""") + "select row_, col_, floor(least(255.0e0, round(sum(v * case channel when 0 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as r, floor(least(255.0e0, round(sum(v * case channel when 1 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as g, floor(least(255.0e0, round(sum(v * case channel when 2 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as b from s group by row_, col_")
+def e7_viewport_image(spark, d):
+    """The chunks of a rectangle at the second level of an image of 16 x 16 chunks, composited."""
+    path = folder(spark)
+    facts = slide.write_image_layer(T.channels(spark, d), path, ras.Level((1.0, 1.0), chunk=(16, 16)), coarsest=16)
+    looks = slide.channel_looks(spark, facts).withColumns({"lo": F.lit(800.0), "hi": F.lit(1200.0)})
+    t = ch.colours(slide.view_image(spark, path, facts, (40.0, 20.0, 64.0, 90.0), 2.5, looks))
+    return t.withColumns({c: F.col(c).cast("long") for c in ("row_", "col_")})
+
+
+@query(with_("small", more=MASK_SQL) + "select row_, count(*) as pixels, count(distinct value) as labels, sum(value)::bigint as total from drawn group by row_")
+def s20_mask_spans(spark, d):
+    """The mask's longest spans: pixels, labels and sum of labels of each row."""
+    t = spans.to_spans(geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)).withColumn("n", F.col("c1") - F.col("c0") + 1)
+    return t.groupBy("row_").agg(F.sum("n").alias("pixels"), F.countDistinct("value").alias("labels"), F.sum(F.col("n") * F.col("value")).alias("total"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Points per gene, with one representative position, in each bin of a rectangle, good rows only."""
     g = T.point_grid(spark, d)

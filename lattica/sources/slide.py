@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.grid import Grid, choose_depth, choose_level, in_rect
+from lattica.operators import chunks as ch
 from lattica.operators import extent as ext
 from lattica.operators import features as feat
 from lattica.operators import geometry as geo
@@ -19,13 +20,14 @@ from lattica.operators import points as pts
 from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
 from lattica.operators.raster import Level, require_mask
+from lattica.operators.spans import is_spans
 
 FORMAT = 1
 KINDS = ("image", "segments", "points")
 BOUNDARY_FILES = (("cell", "cell_boundaries.parquet"), ("nucleus", "nucleus_boundaries.parquet"))
 MANIFEST = """format int, name string, world_units string, world_bounds array<double>, tile_depth int,
 source struct<platform:string,path:string,imported:string,tile_size:double,min_qv:double,genes_only:boolean>,
-layers array<struct<id:string,kind:string,path:string,name:string,visible:boolean,levels:int,color_by:string,categoricals:array<string>,scale:array<double>,translation:array<double>,shape:array<int>>>"""
+layers array<struct<id:string,kind:string,path:string,name:string,visible:boolean,levels:int,color_by:string,categoricals:array<string>,scale:array<double>,translation:array<double>,shape:array<int>,chunk:array<int>,channels:array<struct<channel:string,lo:double,hi:double,top:double>>>>"""
 
 
 # Files
@@ -146,35 +148,67 @@ def raster_levels(spark: SparkSession, text: str) -> list[Level]:
 # Image layers
 
 
-def image_level(pixels: DataFrame, level: Level) -> Level:
-    """The level with the shape of pixels(row_, col_) where it has none."""
+def image_level(image: DataFrame, level: Level) -> Level:
+    """The level with the shape of an image, pixels or chunks, where it has none."""
     if all(level.shape):
         return level
-    row = pixels.agg(F.max("row_").alias("h"), F.max("col_").alias("w")).first()
-    return Level(level.scale, level.translation, (int(row["h"] if row["h"] is not None else -1) + 1, int(row["w"] if row["w"] is not None else -1) + 1), level.chunk)
-
-
-def write_image_layer(pixels: DataFrame, path: str, level: Level, how: str = "mean", coarsest: int = 256) -> dict:
-    """Every channel of pixels(row_, col_, value, and channel, else 0) at level 0 and at coarser ones, each from
-    the one before, until the longer side has `coarsest` pixels at most; and the channels' contrast and
-    greatest value on the coarsest level. Files are under level=<k>/channel=<c>, clustered by chunk."""
-    spark, level, k = pixels.sparkSession, image_level(pixels, level), 0
-    t = (pixels if "channel" in pixels.columns else pixels.withColumn("channel", F.lit(0))).select("channel", "row_", "col_", "value")
-    shape = level.shape
+    ends = (F.max(F.col("row0") + F.col("height")), F.max(F.col("col0") + F.col("width"))) if ch.is_chunked(image) else (F.max("row_") + 1, F.max("col_") + 1)
+    row = image.agg(*[F.coalesce(e, F.lit(0)).cast("int") for e in ends]).first()
+    return Level(level.scale, level.translation, (row[0], row[1]), level.chunk)
+
+
+def write_image_layer(image: DataFrame, path: str, level: Level, how: str = "mean", coarsest: int = 256) -> dict:
+    """Every channel of an image, pixels(row_, col_, value, and channel, else 0) or chunks of level.chunk, at level
+    0 and at coarser ones, each from the one before, until the longer side has `coarsest` pixels at most. One
+    row per chunk under level=<k>/channel=<c>, sorted by chunk, so that a range of chunks prunes the scan. The
+    facts for the manifest hold each channel's contrast and greatest value on the coarsest level."""
+    spark, level, k = image.sparkSession, image_level(image, level), 0
+    t, shape = image if ch.is_chunked(image) else ch.to_chunks(image, level.chunk), level.shape
+    kind = t.schema["channel"].dataType
     while True:
-        block = [F.floor(F.col(c) / n) for c, n in zip(("row_", "col_"), level.chunk)]
-        t.repartitionByRange("channel", *block).sortWithinPartitions("channel", *block, "row_", "col_").write.mode("overwrite").partitionBy("channel").parquet(f"{path}/level={k}")
-        t = image_pixels(spark, path, k).withColumn("channel", F.col("channel").cast(pixels.schema["channel"].dataType if "channel" in pixels.columns else "int"))
+        t.repartitionByRange(*ch.KEYS).sortWithinPartitions(*ch.KEYS).write.mode("overwrite").partitionBy("channel").parquet(f"{path}/level={k}")
         if max(shape) <= max(coarsest, 1):
             break
-        t, shape, k = ras.downsample(t, how).select("channel", "row_", "col_", "value"), tuple((n + 1) // 2 for n in shape), k + 1
+        t = ch.downsample(image_chunks(spark, path, k).withColumn("channel", F.col("channel").cast(kind)), level.chunk, how)
+        shape, k = tuple((n + 1) // 2 for n in shape), k + 1
+    looks = []
     if any(shape):
-        ras.contrast(t).join(ras.channel_maximum(t), "channel").write.mode("overwrite").parquet(f"{path}/contrast")
-    return {"levels": k, "scale": list(level.scale), "translation": list(level.translation), "shape": list(level.shape)}
+        values = image_chunks(spark, path, k).select(F.col("channel").cast("string").alias("channel"), F.explode("values").alias("value")).where(F.col("value").isNotNull())
+        found = ras.contrast(values).join(ras.channel_maximum(values), "channel").orderBy("channel").collect()  # a row a channel
+        looks = [{"channel": r["channel"], **{c: float(r[c]) for c in ("lo", "hi", "top")}} for r in found]
+    return {"levels": k, "scale": list(level.scale), "translation": list(level.translation), "shape": list(level.shape), "chunk": list(level.chunk), "channels": looks}
+
+
+def image_chunks(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """The chunks of one level of an image layer."""
+    return spark.read.parquet(f"{path}/level={level}").select(*ch.KEYS, "row0", "col0", "height", "width", "values")
 
 
 def image_pixels(spark: SparkSession, path: str, level: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/level={level}").select("channel", "row_", "col_", "value")
+    return ch.pixels(image_chunks(spark, path, level))
+
+
+#: Colours that channels get in turn where none are given; a single channel is white.
+CHANNEL_COLOURS = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 0.0), (1.0, 0.0, 1.0), (0.0, 1.0, 1.0))
+
+
+def channel_looks(spark: SparkSession, layer: dict, colours: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+    """(channel, lo, hi, r, g, b) of an image layer of the manifest: its contrast limits, and the given colours by
+    channel or one of CHANNEL_COLOURS each."""
+    known = layer["channels"]
+    pick = lambda i, c: (colours or {}).get(c) or ((1.0, 1.0, 1.0) if len(known) == 1 else CHANNEL_COLOURS[i % len(CHANNEL_COLOURS)])
+    rows = [(c["channel"], c["lo"], c["hi"], *map(float, pick(i, c["channel"]))) for i, c in enumerate(known)]
+    return spark.createDataFrame(rows, "channel string, lo double, hi double, r double, g double, b double")
+
+
+def view_image(spark: SparkSession, path: str, layer: dict, rect, world_per_pixel: float, looks: DataFrame | None = None) -> DataFrame:
+    """The composited chunks of a viewport (see chunks.composite): the coarsest level whose pixels are not coarser
+    than the screen's, and of it only the chunks that the rectangle touches, which prunes the scan."""
+    base = Level(tuple(layer["scale"]), tuple(layer["translation"]), tuple(layer["shape"]), tuple(layer["chunk"]))
+    k = choose_level([max(base.scale) * 2**i for i in range(layer["levels"] + 1)], world_per_pixel)
+    chunks = ch.in_range(image_chunks(spark, path, k), base.coarser(k).chunks(rect))
+    looks = channel_looks(spark, layer) if looks is None else looks
+    return ch.composite(chunks.withColumn("channel", F.col("channel").cast("string")), looks.withColumn("channel", F.col("channel").cast("string")))
 
 
 # Point layers
@@ -214,9 +248,9 @@ def view_points(spark: SparkSession, path: str, grid: Grid, rect, world_per_pixe
 
 
 def load_segments(spark: SparkSession, source: dict, order: list[str]) -> DataFrame:
-    """Vertices (object_id, vertex_no, x, y) from a boundary table or a label mask."""
+    """Vertices (object_id, vertex_no, x, y) from a boundary table or a label mask of pixels or spans."""
     df = spark.read.parquet(source["path"])
-    if source.get("mask") or {"row_", "col_", "value"} <= set(df.columns):
+    if source.get("mask") or {"row_", "col_", "value"} <= set(df.columns) or is_spans(df):
         require_mask(df)
         return poly.flat_rings(geo.polygons_from_labels(df, source.get("level", Level((1.0, 1.0))), source.get("tolerance", 0.75)))
     return poly.load_boundaries(df, order, source.get("named"))

@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .outlines import grouped, linked, side_chains
 from .polygons import edges
 from .raster import Level
-from .spans import as_spans, boxes, ragged, topmost
+from .spans import as_spans, boxes, topmost
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -70,104 +71,6 @@ def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     return topmost(t.where("c0 <= c1"))
 
 
-#: Side of the blocks in which neighbours are compared.
-STEP = 256
-#: Steps to the neighbours of a pixel in the order of its sides: top, right, bottom, left.
-SIDES = ((-1, 0), (0, 1), (1, 0), (0, -1))
-
-
-def grouped(batches, key: str, done):
-    """Batches of rows sorted by key, cut so that a key's rows come whole: done(table) for each part."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        at = batch.column(batch.schema.get_field_index(key)).to_numpy()
-        if not len(at):
-            continue
-        cut = int(np.searchsorted(at, at[-1], "left"))  # the last key may go on in the next batch
-        if cut:
-            yield done(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks())
-            rest = []
-        elif rest and rest[-1].column(batch.schema.get_field_index(key))[-1].as_py() != at[0]:
-            yield done(pa.Table.from_batches(rest).combine_chunks())
-            rest = []
-        rest.append(batch.slice(cut))
-    if rest:
-        yield done(pa.Table.from_batches(rest).combine_chunks())
-
-
-def boundary_pixels(mask: DataFrame, step: int = STEP) -> DataFrame:
-    """(label, row_, col_, sides) of labelled pixels with a 4-neighbour of another value or none: which of
-    SIDES, a bit each. Pixels or spans go to blocks once, what is at a block's edge to the next block too;
-    inside a block neighbours are compared as an array, and only boundary pixels come out."""
-    t = as_spans(mask).where("value <> 0").select(*[F.col(c).cast("long").alias(c) for c in ("row_", "c0", "c1", "value")])
-    # A span stands in the blocks of its pixels and of their neighbours: above, below, and one to each side.
-    at = lambda c: F.floor(c / step)
-    t = t.withColumn("_r", F.explode(F.array_distinct(F.array(*[at(F.col("row_") + k) for k in (-1, 0, 1)]))))
-    t = t.withColumn("_c", F.explode(F.sequence(at(F.col("c0") - 1), at(F.col("c1") + 1))))
-    t = t.select((F.col("_r") * (1 << 31) + F.col("_c")).alias("block"), "row_", F.greatest("c0", F.col("_c") * step - 1).alias("c0"), F.least("c1", F.col("_c") * step + step).alias("c1"), "value")
-    t = t.where("c0 <= c1").repartition("block").sortWithinPartitions("block")
-
-    def edges_of(part: pa.Table) -> pa.RecordBatch:
-        block, rows, c0, c1, values = (part[c].to_numpy() for c in ("block", "row_", "c0", "c1", "value"))
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        out = []
-        for i, j in zip(first, np.append(first[1:], len(block))):
-            col = (block[i] + (1 << 30)) % (1 << 31) - (1 << 30)
-            r0, l0 = (block[i] - col) // (1 << 31) * step, col * step
-            wide = c1[i:j] - c0[i:j] + 1
-            y, x = np.repeat(rows[i:j] - r0 + 1, wide), ragged(c0[i:j] - l0 + 1, wide)
-            a = np.zeros((step + 2, step + 2), np.int64)
-            a[y, x] = np.repeat(values[i:j], wide)
-            core = a[1:-1, 1:-1]
-            open_ = sum(((a[1 + r : step + 1 + r, 1 + c : step + 1 + c] != core) & (core != 0)).astype(np.int8) << k for k, (r, c) in enumerate(SIDES))
-            at = np.nonzero(open_)
-            out.append((core[at], at[0] + r0, at[1] + l0, open_[at].astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["label", "row_", "col_", "sides"])
-
-    return t.mapInArrow(lambda batches: grouped(batches, "block", edges_of), "label long, row_ long, col_ long, sides int")
-
-
-def trace(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
-    """For each object (ascending ids), the longest outer contour as an open ring (x, y).
-
-    Contour at level 0.5 between pixel centres: each open side of a pixel gives a half-way point. The side
-    after a side, with the object on the right, is the next one of the same pixel, or else the same one
-    of the pixel ahead, or else one of the pixel across the corner; all are looked up at once. Contours
-    are closed walks along these; those of holes turn the other way."""
-    number = np.cumsum(np.append(False, ids[1:] != ids[:-1]))
-    r0, c0 = rows.min() - 1, cols.min() - 1
-    width = int(cols.max() - c0) + 2
-    height = int(rows.max() - r0) + 2
-    at, side = np.nonzero((sides[:, None] >> np.arange(4)) & 1)
-    key = lambda n, r, c, s: ((n * height + (r - r0)) * width + (c - c0)) * 4 + s
-    keys = key(number[at], rows[at], cols[at], side)
-    order = np.argsort(keys)
-    keys, at, side = keys[order], at[order], side[order]
-    n, r, c = number[at], rows[at], cols[at]
-    out_r, out_c = (np.array(SIDES)[side, k] for k in (0, 1))
-    on_r, on_c = (np.array(SIDES)[(side + 1) % 4, k] for k in (0, 1))
-    after = np.full(len(keys), -1)
-    for want in (key(n, r, c, (side + 1) % 4), key(n, r + on_r, c + on_c, side), key(n, r + on_r + out_r, c + on_c + out_c, (side + 3) % 4)):
-        place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        good = (after < 0) & (keys[place] == want)
-        after[good] = place[good]
-    x, y = c + out_c / 2, r + out_r / 2
-    follow, left = after.tolist(), [True] * len(keys)
-    best: list[np.ndarray] = [np.zeros(0, np.int64)] * (int(number[-1]) + 1)
-    for start, k in enumerate(n.tolist()):
-        if left[start]:
-            walk, e = [], start
-            while e >= 0 and left[e]:
-                left[e] = False
-                walk.append(e)
-                e = follow[e]
-            if len(walk) > len(best[k]):
-                w = np.array(walk)
-                if np.sum(x[w] * np.roll(y[w], -1) - np.roll(x[w], -1) * y[w]) > 0:
-                    best[k] = w
-    return [np.stack([x[w], y[w]], 1) for w in best]
-
-
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas-Peucker on an open ring, started at the vertex furthest from the mean of all."""
     if tolerance <= 0 or len(ring) < 4:
@@ -274,21 +177,24 @@ def triangulate_rings(objects: DataFrame) -> DataFrame:
 def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tolerance: float = 0.75, least: int = 4) -> DataFrame:
     """(object_id, ring, pixel_area, area) of the labels of a mask, pixels or spans, in world units.
 
-    Labels under `least` pixels go, and those whose ring has under 3 vertices. Only boundary pixels
-    are grouped by label; an object is traced whole, however many blocks it lies in; its longest outer
-    ring stays, and holes and further pieces go."""
+    Labels under `least` pixels go, and those whose ring has under 3 vertices. Sides are linked to chains inside
+    blocks, and the chains of an object meet in one task, as its ring is one row; its longest outer ring stays,
+    and holes and further pieces go. outlines() has the rings of objects too wide for that in long form."""
     sizes = boxes(as_spans(mask)).select(F.col("label").cast("long").alias("object_id"), "pixel_area").where(F.col("pixel_area") >= least)
-    edge = boundary_pixels(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
     (sy, sx), (ty, tx) = level.scale, level.translation
 
-    def traced(t: pa.Table) -> pa.RecordBatch:
-        ids, rows, cols, sides = (t[c].to_numpy() for c in ("object_id", "row_", "col_", "sides"))
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        rings = [simplify(ring, tolerance) * [sx, sy] + [tx, ty] for ring in trace(ids, rows, cols, sides)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[first]), _struct(rings)], names=["object_id", "ring"])
-
-    # Whole objects meet in a partition; an object's pixels are those of its boundary only.
-    found = edge.repartition("object_id").sortWithinPartitions("object_id").select("object_id", "row_", "col_", "sides").mapInArrow(lambda batches: grouped(batches, "object_id", traced), f"object_id long, ring {RING}")
+    def traced(part: pa.Table) -> pa.RecordBatch:
+        label, x, y, n, outer = linked(part)
+        rank = np.lexsort((np.arange(len(n)), -n, ~outer, label))
+        best = rank[np.append(True, label[rank][1:] != label[rank][:-1])]
+        ends = np.cumsum(n)
+        rings = [simplify(np.stack([x[j - m : j], y[j - m : j]], 1), tolerance) * [sx, sy] + [tx, ty] for j, m in zip(ends[best].tolist(), n[best].tolist())]
+        rings = [r if o else r[:0] for r, o in zip(rings, outer[best].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(label[best]), _struct(rings)], names=["object_id", "ring"])
+
+    chains = side_chains(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
+    chains = chains.withColumnRenamed("object_id", "label").repartition("label").sortWithinPartitions("label")
+    found = chains.mapInArrow(lambda batches: grouped(batches, "label", traced), f"object_id long, ring {RING}")
     return found.where(F.size("ring") >= 3).join(sizes, "object_id").withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))
 
 

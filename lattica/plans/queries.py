@@ -20,6 +20,7 @@ from lattica.operators import points as pts
 from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
 from lattica.operators import runs, spans
+from lattica.operators.outlines import outlines
 from lattica.sources import order as files
 from lattica.sources import slide
 
@@ -756,6 +757,14 @@ def r2_trace_outlines(spark, d):
     return rings.join(one_span_a_row(m), "object_id", "left_semi")
 
 
+@query(with_("small", more=OUTLINE_SQL) + "select value as object_id, sum(open)::bigint as n_vertices from sides join whole using (value) group by value")
+def r2_wide_outlines(spark, d):
+    """Outlines ranked across blocks of 64 pixels, in long form."""
+    m = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    t = outlines(m, folder(spark), 64).groupBy("object_id").agg(F.countDistinct("vertex_no").alias("n_vertices"))
+    return t.join(one_span_a_row(m), "object_id", "left_semi")
+
+
 @query()
 def r3_simplify_rings(spark, d):
     return geo.simplify_rings(poly.rings(T.boundaries(spark, d)), 1500.0).select("object_id", F.size("ring").cast("long").alias("n_vertices"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import chunks as ch
 from lattica.operators import geometry as geo
+from lattica.operators import outlines
 from lattica.operators import raster as ras
 from lattica.operators import spans
 from lattica.sources import slide
@@ -141,8 +142,9 @@ def test_spans_of_masks(spark):
     assert key(spans.to_spans(cut)) == key(longest)
     columns = ["label", "row0", "col0", "row1", "col1", "pixel_area"]
     assert key(ras.label_boxes(px).select(columns)) == key(ras.label_boxes(cut).select(columns))
-    for step in (4, 256):  # pixels, the longest spans and cut ones have the same boundary
-        assert key(geo.boundary_pixels(px, step)) == key(geo.boundary_pixels(longest, step)) == key(geo.boundary_pixels(cut, step))
+    chains = lambda df, step: sorted(((r["label"], r["start"], r["next"], r["points"]) for r in outlines.side_chains(df, step).collect()), key=repr)
+    for step in (4, 256):  # pixels, the longest spans and cut ones have the same sides
+        assert chains(px, step) == chains(longest, step) == chains(cut, step)
 
 
 def test_a_large_object_is_few_rows(spark):
@@ -152,3 +154,39 @@ def test_a_large_object_is_few_rows(spark):
     m = geo.rasterize(spark.createDataFrame([(a, b, float(x), float(y)) for a, b, x, y in ring], "object_id long, vertex_no int, x double, y double"), n + 10, n + 10)
     assert m.count() == n * -(-n // spans.COLS)
     assert ras.label_boxes(m).first()["pixel_area"] == n * n
+
+
+def snail(turns):
+    """A way of one label that winds inwards, with a gap of one pixel: its outline passes through all blocks."""
+    n = 4 * turns + 3
+    a = np.zeros((n, n), int)
+    for k in range(0, 2 * turns, 2):
+        a[k, max(k - 2, 0) : n - k] = a[k : n - k, n - k - 1] = a[n - k - 1, k : n - k] = 1
+        a[k + 2 : n - k, k] = 1
+    return a
+
+
+@pytest.mark.parametrize("step", [4, 16])
+def test_outlines_over_blocks(spark, tmp_path, step):
+    """Rings in long form, ranked over blocks of any size, are those linked in one task, point by point."""
+    rng = np.random.default_rng(step)
+    a = np.zeros((60, 60), int)
+    a[:59, :59] = snail(14)
+    for k in range(2, 9):
+        r, c = rng.integers(0, 50, 2)
+        a[r : r + 9, c : c + 9] = k
+    a[rng.random(a.shape) < 0.05] = 0
+    px = spark.createDataFrame([(int(r), int(c), int(a[r, c])) for r, c in np.ndindex(a.shape)], "row_ int, col_ int, value int")
+    want = {r["object_id"]: [(p["x"], p["y"]) for p in r["ring"]] for r in geo.polygons_from_labels(px, tolerance=0.0, least=1).collect()}
+    got = {}
+    for r in outlines.outlines(px, f"file://{tmp_path}/o", step).orderBy("object_id", "vertex_no").collect():
+        got.setdefault(r["object_id"], []).append((r["vertex_no"], (r["x"], r["y"])))
+    assert {k: [i for i, _ in v] for k, v in got.items()} == {k: list(range(len(v))) for k, v in want.items()}
+    assert {k: [p for _, p in v] for k, v in got.items()} == want
+
+
+def test_paths_and_rings():
+    after = np.array([3, -1, 5, 1, 6, 2, 8, 7, 4])  # 0 3 1; 2 5; 4 6 8; 7
+    order, begins, ring = outlines.ordered(after)
+    assert order.tolist() == [0, 3, 1, 2, 5, 4, 6, 8, 7] and begins.tolist() == [0, 3, 5, 8] and ring.tolist() == [False, True, True, True]
+    assert [len(x) for x in outlines.ordered(np.zeros(0, np.int64))] == [0, 0, 0]

@@ -10,6 +10,7 @@ from lattica.functions import grid as gr
 from lattica.operators import extent as ext
 from lattica.operators import features as feat
 from lattica.operators import geometry as geo
+from lattica.operators import outlines as out
 from lattica.operators import points as pts
 from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
@@ -170,17 +171,18 @@ def test_order_statistics(spark):
         assert (got["a"]["first"], got["a"]["mid"], got["a"]["last"], got["a"]["n"]) == (s[0], s[-(-len(s) // 2) - 1], s[-1], len(s)) and got["b"]["mid"] == 2.0
 
 
-def test_boundary_pixels_against_neighbours(spark):
+def test_open_sides_against_neighbours(spark):
     rng = np.random.default_rng(4)
     a = np.repeat(np.repeat(rng.integers(0, 4, (9, 11)), 3, 0), 3, 1)
     a[rng.random(a.shape) < 0.1] = 0
-    want = {}
+    want = []
     for r, c in zip(*np.nonzero(a)):
-        near = [a[r + y, c + x] if 0 <= r + y < a.shape[0] and 0 <= c + x < a.shape[1] else 0 for y, x in geo.SIDES]
-        if any(v != a[r, c] for v in near):
-            want[int(r), int(c)] = (int(a[r, c]), sum((v != a[r, c]) << k for k, v in enumerate(near)))
+        for y, x in out.SIDES:
+            if (a[r + y, c + x] if 0 <= r + y < a.shape[0] and 0 <= c + x < a.shape[1] else 0) != a[r, c]:
+                want.append((int(a[r, c]), c + x / 2, r + y / 2))
     for step in (4, 256):
-        assert {(x["row_"], x["col_"]): (x["label"], x["sides"]) for x in geo.boundary_pixels(mask(spark, a), step).collect()} == want
+        got = out.side_chains(mask(spark, a), step).select("label", F.explode("points").alias("p")).select("label", "p.x", "p.y")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_traced_rings_against_a_walk(spark):
@@ -200,14 +202,14 @@ def test_traced_rings_against_a_walk(spark):
                 ring, y, x, s = [], r, c, 0
                 while (y, x, s) not in seen:
                     seen.add((y, x, s))
-                    ring.append((x + geo.SIDES[s][1] / 2, y + geo.SIDES[s][0] / 2))
-                    ahead = geo.SIDES[(s + 1) % 4]
+                    ring.append((x + out.SIDES[s][1] / 2, y + out.SIDES[s][0] / 2))
+                    ahead = out.SIDES[(s + 1) % 4]
                     if not full(k, y + ahead[0], x + ahead[1]):
                         s = (s + 1) % 4
-                    elif not full(k, y + ahead[0] + geo.SIDES[s][0], x + ahead[1] + geo.SIDES[s][1]):
+                    elif not full(k, y + ahead[0] + out.SIDES[s][0], x + ahead[1] + out.SIDES[s][1]):
                         y, x = y + ahead[0], x + ahead[1]
                     else:
-                        y, x, s = y + ahead[0] + geo.SIDES[s][0], x + ahead[1] + geo.SIDES[s][1], (s + 3) % 4
+                        y, x, s = y + ahead[0] + out.SIDES[s][0], x + ahead[1] + out.SIDES[s][1], (s + 3) % 4
                 if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) > 0:
                     rings.append(ring)
         want[k] = max(map(len, rings))
@@ -351,9 +353,9 @@ def test_image_levels(spark, tmp_path):
 
 
 def test_import_folder(spark, tmp_path):
-    root, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    root, to = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     with pytest.raises(ValueError):
-        slide.import_folder(spark, root, out, "s")
+        slide.import_folder(spark, root, to, "s")
     vertices(spark, square(1, 0, 0, 20) + square(2, 50, 50, 30)).toDF("cell_id", "n", "vertex_x", "vertex_y").coalesce(1).write.parquet(f"{root}/cell_boundaries.parquet")
     spark.createDataFrame([(1, 5.0), (2, 6.0)], "cell_id int, total double").write.parquet(f"{root}/cells.parquet")
     for name in ("kmeans_2_clusters", "graphclust"):
@@ -365,13 +367,13 @@ def test_import_folder(spark, tmp_path):
         mask(spark, np.ones((300, 10), int)).write.parquet(f"{root}/images/{name}.parquet")
     (tmp_path / "in/images/dapi.json").write_text('{"multiscales": [{"datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1, 20]}]}]}]}')
     assert [(s["kind"], s["id"]) for s in slide.discover(spark, root)] == [("image", "dapi"), ("image", "a"), ("segments", "cell"), ("segments", "other")]
-    m = slide.import_folder(spark, root, out, "s")
+    m = slide.import_folder(spark, root, to, "s")
     assert m["world_bounds"] == [0.0, 0.0, 200.0, 300.0]
-    assert [(l["id"], l["kind"], l["levels"]) for l in slide.layers(spark, out).orderBy("position").collect()] == [("dapi", "image", 1), ("a", "image", 1), ("cell", "segments", 0), ("other", "segments", 0)]
-    slide.check_layers(spark, out)
-    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{out}/cell/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
-    assert "total" not in spark.read.parquet(f"{out}/other/features").columns
-    assert slide.image_pixels(spark, f"{out}/images/dapi", 1).count() == 150 * 5
+    assert [(l["id"], l["kind"], l["levels"]) for l in slide.layers(spark, to).orderBy("position").collect()] == [("dapi", "image", 1), ("a", "image", 1), ("cell", "segments", 0), ("other", "segments", 0)]
+    slide.check_layers(spark, to)
+    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{to}/cell/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
+    assert "total" not in spark.read.parquet(f"{to}/other/features").columns
+    assert slide.image_pixels(spark, f"{to}/images/dapi", 1).count() == 150 * 5
 
 
 def test_tile_stream(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,55 @@ def robust_domain(df: DataFrame, column: str, low: float = 0.02) -> DataFrame:
     return t.select("lo", F.when(F.coalesce("hi", "lo") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
 
 
+#: Ranges of values a power of two has: their relative width is under 1 / 100.
+STEPS = 128
+
+
+def value_range(value: Column) -> Column:
+    """The number of a value's range: the same for all tables, ascending with the value, fine around 0."""
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1025.0)) * STEPS).cast("int") + 1100 * STEPS  # doubles begin at 2 ** -1074
+    return F.when(value == 0, 0).otherwise(F.when(value > 0, size).otherwise(-size))
+
+
+def value_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, range, n, least, greatest): how many values of each column lie in each range. One pass over df, at
+    most some 280,000 rows a column; tables of several layers are merged by merged_ranges."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, range int, n long, least double, greatest double")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    t = df.select(F.explode(pairs).alias("p")).select("p.column", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return t.groupBy("column", value_range(F.col("v")).alias("range")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+
+
+def merged_ranges(*tables: DataFrame) -> DataFrame:
+    """The ranges of all layers together."""
+    both = reduce(DataFrame.unionByName, tables)
+    return both.groupBy("column", "range").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+def domains(df: DataFrame, ranges: DataFrame, low: float = 0.02) -> DataFrame:
+    """(column, n, lo, hi) of every column of value_ranges: the domain that robust_domain gives. The ranges say
+    where the percentiles lie; only the values there are counted one by one, in one pass over df."""
+    whole = Window.partitionBy("column")
+    t = ranges.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(whole.orderBy("range")), "a": F.min("least").over(whole), "z": F.max("greatest").over(whole)})
+    rank = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(low)))
+    t = t.withColumn("asked", F.explode(F.array(F.struct(F.lit("lo").alias("what"), rank.alias("rank")), F.struct(F.lit("hi").alias("what"), (F.col("total") + 1 - rank).alias("rank")))))
+    t = t.where((F.col("asked.rank") <= F.col("upto")) & (F.col("asked.rank") > F.col("upto") - F.col("n")))
+    t = t.select("column", "range", "asked.what", (F.col("asked.rank") - F.col("upto") + F.col("n")).alias("rank"), "total", "a", "z")
+    columns = [r["column"] for r in ranges.select("column").distinct().collect()]  # columns of a table
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n long, lo double, hi double")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in sorted(columns)])
+    values = df.select(F.explode(pairs).alias("p")).select("p.column", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = values.withColumn("range", value_range(F.col("v"))).join(t.select("column", "range").distinct(), ["column", "range"]).groupBy("column", "range", "v").agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy("column", "range").orderBy("v")))
+    found = t.join(values, ["column", "range"]).where("upto >= rank").groupBy("column", "what", "total", "a", "z").agg(F.min("v").alias("v"))
+    one = found.groupBy("column", F.col("total").alias("n"), "a", "z").agg(F.min(F.when(F.col("what") == "lo", F.col("v"))).alias("lo"), F.min(F.when(F.col("what") == "hi", F.col("v"))).alias("hi"))
+    flat = F.col("hi") <= F.col("lo")
+    one = one.select("column", "n", F.when(flat, F.col("a")).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("z")).otherwise(F.col("hi")).alias("hi"))
+    return one.select("column", "n", "lo", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
+
+
 def ramp_position(value: Column, lo: Column, hi: Column) -> Column:
     """0 to 255 along a value ramp; null values lie at its bottom."""
     inside = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value - lo) * 255 / (hi - lo) + 0.5))).cast("int")

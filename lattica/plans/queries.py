@@ -332,7 +332,10 @@ def rects(spark, d):
 
 @query(with_("tiled", more=RECTS_SQL) + COVERED)
 def j6_written_rectangle_tiles(spark, d):
-    return gr.rect_tiles(T.tiled(spark, d), T.point_grid(spark, d), rects(spark, d))
+    """From the index of a written layer; no points are read for it."""
+    path, g = folder(spark), T.point_grid(spark, d)
+    slide.write_point_layer(T.good_points(spark, d), path, g)
+    return gr.rect_tiles(slide.tile_index(spark, path), g, rects(spark, d))
 
 
 @query(with_("cells", "clusters") + "select object_id from cells where object_id not in (select barcode from clusters)")
@@ -410,6 +413,23 @@ def a11_robust_domain(spark, d):
     return feat.robust_domain(T.cells(spark, d), "cell_area")
 
 
+DOMAIN_SQL = """v as (select 'o_totalprice' as "column", o_totalprice as v from orders union all select 'o_custkey', o_custkey from orders union all select 'l_discount', l_discount from lineitem),
+q as (select "column", count(*) as n, quantile_disc(v, 0.02) as lo, -quantile_disc(-v, 0.02) as hi, min(v) as a, max(v) as z from v group by 1)"""
+
+
+@query(f"""with {DOMAIN_SQL} select "column", n, case when hi <= lo then a else lo end as lo, case when hi <= lo then case when z <= a then a + 1 else z end else hi end as hi from q""")
+def a11_merged_domains(spark, d):
+    """Domains of the columns of two layers, from the ranges that each of them keeps."""
+    path = folder(spark)
+    parts = {"orders": ["o_totalprice", "o_custkey"], "lineitem": ["l_discount"]}
+    for name, columns in parts.items():
+        feat.value_ranges(T.table(spark, d, name), columns).write.parquet(f"{path}/{name}")
+    ranges = feat.merged_ranges(*[spark.read.parquet(f"{path}/{name}") for name in parts])
+    values = T.table(spark, d, "orders").select(*parts["orders"], F.lit(None).cast("double").alias("l_discount"))
+    values = values.unionByName(T.table(spark, d, "lineitem").select(F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("long").alias("o_custkey"), "l_discount"))
+    return feat.domains(values, ranges)
+
+
 @query(with_("boxes_of") + "select * from boxes_of")
 def a12_label_boxes(spark, d):
     return ras.label_boxes(T.mask(spark, d))
@@ -432,6 +452,15 @@ def a15_coarse_tile_index(spark, d):
     return gr.coarser_tiles(T.tiled(spark, d), 2)
 
 
+@query(LEVELS_SQL.rstrip() + """, fine as (select 0 as level, tile_row, tile_col, count(*) as "rows", count(*) as points, min(gene_id) as first_gene, max(gene_id) as last_gene, 1 as tile_max from tiled group by all)
+select * from fine union all select level, tile_row, tile_col, count(*), sum(count)::bigint, min(gene_id), max(gene_id), max(count) from levels group by all""")
+def a15_stored_tile_index(spark, d):
+    """The index that a point layer keeps: all tiles of all levels."""
+    path = folder(spark)
+    slide.write_point_layer(T.good_points(spark, d), path, T.point_grid(spark, d))
+    return spark.read.parquet(f"{path}/index")
+
+
 @query(LEVELS_SQL + "select level, tile_row, tile_col, max(count) as tile_max, count(*) as n from levels group by all")
 def a16_tile_maximum(spark, d):
     return pts.tile_maximum(levels(spark, d)).groupBy("level", *TILE).agg(F.max("tile_max").alias("tile_max"), F.count("*").alias("n"))
@@ -622,8 +651,10 @@ def u3_all_but_one(spark, d):
 
 @query(with_("tiled", more=RECTS_SQL) + f"select distinct tile_row, tile_col from ({COVERED})")
 def u4_tile_intersection(spark, d):
-    covered = gr.rect_tiles(T.tiled(spark, d), T.point_grid(spark, d), rects(spark, d)).select(*TILE)
-    return covered.intersect(T.tiled(spark, d).select(F.col("tile_row").cast("int"), F.col("tile_col").cast("int")))
+    path = folder(spark)
+    slide.write_tile_index(T.tiled(spark, d).withColumns({"level": F.lit(0), "count": F.lit(1).cast("long")}), path)
+    index = slide.tile_index(spark, path)
+    return gr.rect_tiles(index, T.point_grid(spark, d), rects(spark, d)).select(*TILE).intersect(index.select(*TILE))
 
 
 @query(LEVELS_SQL + "select level, count(*) as n, sum(count)::bigint as points from levels group by level")
@@ -631,6 +662,22 @@ def u5_union_levels(spark, d):
     return levels(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.sum("count").alias("points"))
 
 
+@query("select id, kind, visible, n from (select 'image' as kind, 'dapi' as id, true as visible, count(*) as n from embeddings union all select 'segments', 'cell', true, count(distinct l_orderkey) from lineitem union all select 'segments', 'nucleus', false, count(distinct l_suppkey) from lineitem union all select 'points', 'transcripts', true, count(*) from lineitem)")
+def u1_discovered_layouts(spark, d):
+    """A dataset folder in which one layer lies in several layouts: the source that counts, and its rows."""
+    root = folder(spark)
+    lines, px = T.table(spark, d, "lineitem"), T.pixels(spark, d).select("row_", "col_", "value")
+    vertices = lambda key: lines.select(F.col(key).alias("cell_id"), F.col("l_extendedprice").alias("vertex_x"), F.col("l_quantity").alias("vertex_y"))
+    lines.write.parquet(f"{root}/transcripts.parquet")
+    vertices("l_orderkey").write.parquet(f"{root}/cell_boundaries.parquet")
+    vertices("l_suppkey").write.parquet(f"{root}/nucleus_boundaries.parquet")
+    for place in ("dapi.ome.parquet", "images/other.parquet", "morphology_focus/x.parquet", "labels/cell.parquet"):
+        (px.where("col_ = 0") if place.startswith("dapi") else px.limit(5)).write.parquet(f"{root}/{place}")
+    count = {"image": F.count("*"), "points": F.count("*"), "segments": F.countDistinct("cell_id")}
+    one = lambda s: spark.read.parquet(s["path"]).agg(count[s["kind"]].alias("n")).select(F.lit(s["id"]).alias("id"), F.lit(s["kind"]).alias("kind"), F.lit(s.get("visible", True)).alias("visible"), "n")
+    return reduce(DataFrame.unionByName, [one(s) for s in slide.discover(spark, root)])
+
+
 # Scalar functions
 
 
@@ -817,9 +864,20 @@ def imported(spark, d):
     return path
 
 
-@query("select 0 as position, 'cells' as id, 'segments' as kind, 'cell_area' as color_by union all select 1, 'points', 'points', null")
+IMPORT_SQL = """world as (select min(x) as minx, min(y) as miny, greatest(max(x) - min(x), max(y) - min(y)) as span from (select x, y from good union all select x, y from boundaries)),
+wt as (select 2 ** greatest(0, least(16, round_even(log2(greatest(span / 6500.0e0, 1)), 0))) as tiles, minx, miny, span from world),
+places as (select 'cells' as id, cx as x, cy as y, 1 as n from objects union all select 'points', x, y, 1 from good)"""
+
+
+@query(with_("objects", "good", more=IMPORT_SQL) + "select id, greatest(0, least(tiles - 1, floor((y - miny) / span * tiles)))::int as tile_row, greatest(0, least(tiles - 1, floor((x - minx) / span * tiles)))::int as tile_col, sum(n)::bigint as n from places, wt group by all")
 def e1_import_slide(spark, d):
-    return slide.layers(spark, imported(spark, d)).select("position", "id", "kind", "color_by")
+    """A slide imported whole: the objects and points of every tile of both layers, as the manifest has them."""
+    path = imported(spark, d)
+    m = slide.read_manifest(spark, path)
+    count = {"segments": "objects", "points": "points"}
+    index = lambda l: spark.read.parquet(f"{path}/{l['path']}/index")
+    one = lambda l: (index(l).where("level = 0") if l["kind"] == "points" else index(l)).select(F.lit(l["id"]).alias("id"), F.col("tile_row").cast("int").alias("tile_row"), F.col("tile_col").cast("int").alias("tile_col"), F.col(count[l["kind"]]).alias("n"))
+    return reduce(DataFrame.unionByName, [one(l) for l in m["layers"]])
 
 
 @query(with_("boxes") + "select 'cells-2' as id, count(*) as objects from boxes")
@@ -858,6 +916,17 @@ def e6_viewport_polygons(spark, d):
     return slide.view_polygons(spark, path, g, RECT, "cluster", ["unassigned", "3"]).select("cell_id", "colour")
 
 
+RAMP_SQL = "q as (select quantile_disc(cell_area, 0.02) as lo, -quantile_disc(-cell_area, 0.02) as hi from ranked join cells using (object_id))"
+
+
+@query(with_("objects", "cells", more=HILBERT_OBJECTS + ", ospan as (select minx, miny, span from ob), " + RAMP_SQL) + f"select cell_id, greatest(0, least(255, floor((cell_area - lo) * 255 / (hi - lo) + 0.5)))::int as colour from ranked left join cells using (object_id), ospan, q where {rect_sql()}")
+def e6_viewport_ramp(spark, d):
+    """The polygons of a rectangle coloured by a measurement over its stored domain."""
+    path, g = folder(spark), object_grid(spark, d)
+    slide.write_segment_layer(T.boundaries(spark, d), path, g, T.cells(spark, d))
+    return slide.view_polygons(spark, path, g, RECT, "cell_area").select("cell_id", "colour")
+
+
 @query(with_("channels", more="""half as (select channel, row_ >> 1 as row_, col_ >> 1 as col_, avg(value) as value from channels group by all),
 s as (select row_, col_, greatest(0.0e0, least(1.0e0, (value - 800) / 400.0e0)) as v, channel from half where row_ < 48 and col_ >= 16)""") + "select row_, col_, floor(least(255.0e0, round(sum(v * case channel when 0 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as r, floor(least(255.0e0, round(sum(v * case channel when 1 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as g, floor(least(255.0e0, round(sum(v * case channel when 2 then 1.0e0 else 0.0e0 end) * 255, 6)))::int as b from s group by row_, col_")
 def e7_viewport_image(spark, d):

@@ -5,7 +5,6 @@ Files are reached by Spark's own readers and Hadoop's file system, so a slide ca
 from __future__ import annotations
 
 import datetime
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,109 +21,11 @@ from lattica.operators import raster as ras
 from lattica.operators.raster import Level, require_mask
 from lattica.operators.spans import is_spans
 
-FORMAT = 1
-KINDS = ("image", "segments", "points")
-BOUNDARY_FILES = (("cell", "cell_boundaries.parquet"), ("nucleus", "nucleus_boundaries.parquet"))
-MANIFEST = """format int, name string, world_units string, world_bounds array<double>, tile_depth int,
-source struct<platform:string,path:string,imported:string,tile_size:double,min_qv:double,genes_only:boolean>,
-layers array<struct<id:string,kind:string,path:string,name:string,visible:boolean,levels:int,color_by:string,categoricals:array<string>,scale:array<double>,translation:array<double>,shape:array<int>,chunk:array<int>,channels:array<struct<channel:string,lo:double,hi:double,top:double>>>>"""
+from . import store
+from .layouts import discover
+from .manifest import FORMAT, check_layers, commit, free_id, grid_of, latest, layer_path, layers, read_manifest, write_manifest
 
-
-# Files
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _entries(spark: SparkSession, path: str) -> dict[str, str]:
-    """Names and paths of what a folder holds, in order; nothing where it is absent, no hidden files."""
-    fs, p = _fs(spark, path)
-    found = {s.getPath().getName(): s.getPath().toString() for s in (fs.listStatus(p) if fs.exists(p) else ())}
-    return {n: found[n] for n in sorted(found) if n[0] not in "._"}
-
-
-def category_name(entry: str) -> str:
-    """The feature's name of a clustering; the graph clustering is just `cluster`."""
-    name = entry.removesuffix(".csv").removeprefix("gene_expression_")
-    return "cluster" if name == "graphclust" else name.removesuffix("_clusters")
-
-
-def discover(spark: SparkSession, root: str) -> list[dict]:
-    """What a dataset folder offers: kind, id, path and options. A zipped or flat layout: transcripts.parquet,
-    boundary tables with a shared attribute table and category CSVs under clusters/ (a file or a folder each),
-    label masks under labels/, images under images/ as pixel tables, with multiscale JSON of the same name
-    beside. A boundary table goes before a mask of the same id, a nuclear stain before other images."""
-    out = []
-    if exists(spark, f"{root}/transcripts.parquet"):
-        out.append({"kind": "points", "id": "transcripts", "path": f"{root}/transcripts.parquet"})
-    cells = f"{root}/cells.parquet" if exists(spark, f"{root}/cells.parquet") else None
-    categories = sorted(((category_name(n), p) for n, p in _entries(spark, f"{root}/clusters").items()), key=lambda c: (c[0] != "cluster", len(c[0]), c[0]))
-    for id_, file in BOUNDARY_FILES:
-        if exists(spark, f"{root}/{file}"):
-            out.append({"kind": "segments", "id": id_, "path": f"{root}/{file}", "cells": cells, "categories": categories})
-    taken = {s["id"] for s in out}
-    for name, path in _entries(spark, f"{root}/labels").items():
-        id_ = name.removesuffix(".parquet")
-        if id_ not in taken:
-            out.append({"kind": "segments", "id": id_, "path": path, "mask": True})
-    images = _entries(spark, f"{root}/images")
-    for name, path in images.items():
-        if not name.endswith(".json"):
-            id_ = name.removesuffix(".parquet")
-            out.append({"kind": "image", "id": id_, "path": path, "levels": images.get(f"{id_}.json")})
-    return sorted(out, key=lambda s: (KINDS.index(s["kind"]), s["kind"] == "image" and "dapi" not in s["id"].lower(), s["id"]))
-
-
-def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
-    """Writes the manifest under another name, then renames it over the old one in one step, after all layers
-    are there: a reader sees the old or the new one."""
-    fs, final = _fs(spark, f"{root}/manifest.json")
-    _, temp = _fs(spark, f"{root}/.manifest-{uuid.uuid4().hex}.json")
-    out = fs.create(temp, True)
-    out.write(bytearray(json.dumps(manifest, indent=1).encode()))
-    out.close()
-    sc = spark.sparkContext
-    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
-    over = sc._gateway.new_array(rename, 1)
-    over[0] = rename.OVERWRITE
-    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
-    files.rename(fs.makeQualified(temp), fs.makeQualified(final), over)
-
-
-def read_manifest(spark: SparkSession, root: str) -> dict:
-    """The manifest as a dict; a newer format is refused."""
-    row = spark.read.schema(MANIFEST).json(f"{root}/manifest.json", multiLine=True).first()
-    if row is None or row["format"] is None:
-        raise ValueError(f"{root}: no manifest")
-    if row["format"] > FORMAT:
-        raise ValueError(f"{root}: format {row['format']} is newer than {FORMAT}")
-    return row.asDict(recursive=True)
-
-
-def layers(spark: SparkSession, root: str) -> DataFrame:
-    """One row per layer, with defaults for missing fields; layers of unknown kind are skipped."""
-    read_manifest(spark, root)
-    t = spark.read.schema(MANIFEST).json(f"{root}/manifest.json", multiLine=True).select(F.posexplode("layers").alias("position", "l")).select("position", "l.*")
-    d = {"name": F.col("id"), "path": F.col("id"), "visible": F.lit(True), "levels": F.lit(0), "categoricals": F.array().cast("array<string>")}
-    return t.where(F.col("kind").isin(*KINDS)).withColumns({k: F.coalesce(F.col(k), v) for k, v in d.items()})
-
-
-def check_layers(spark: SparkSession, root: str) -> None:
-    """Raises if a layer is listed but not there."""
-    gone = [r["id"] for r in layers(spark, root).collect() if not exists(spark, f"{root}/{r['path']}")]
-    if gone:
-        raise FileNotFoundError(f"{root}: missing layers {', '.join(gone)}")
-
-
-def grid_of(manifest: dict) -> Grid:
-    return Grid(*manifest["world_bounds"], manifest["tile_depth"])
+__all__ = ["check_layers", "discover", "grid_of", "layer_path", "layers", "read_manifest", "write_manifest"]
 
 
 # Raster metadata
@@ -214,9 +115,25 @@ def view_image(spark: SparkSession, path: str, layer: dict, rect, world_per_pixe
 # Point layers
 
 
+def write_tile_index(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The written tiles of tiles(level, tile_row, tile_col, gene_id, count): rows, points, and the range of genes of
+    each. What asks which tiles there are reads this small table and no points."""
+    t = tiles.groupBy("level", "tile_row", "tile_col").agg(F.count("*").alias("rows"), F.sum("count").alias("points"), F.min("gene_id").alias("first_gene"), F.max("gene_id").alias("last_gene"), F.max("count").alias("tile_max"))
+    t.repartitionByRange(1, "level", "tile_row", "tile_col").write.mode(mode).parquet(f"{path}/index")
+
+
+def tile_index(spark: SparkSession, path: str, level: int = 0, genes: list[int] | None = None) -> DataFrame:
+    """The written tiles of a level; with genes, those that may hold one of them."""
+    t = spark.read.parquet(f"{path}/index").where(F.col("level") == level)
+    if genes is not None:
+        t = t.where(F.exists(F.array(*map(F.lit, sorted(genes))).cast("array<int>"), lambda g: (g >= F.col("first_gene")) & (g <= F.col("last_gene"))))
+    return t
+
+
 def write_point_layer(points: DataFrame, path: str, grid: Grid) -> dict:
-    """Tiles of points(name, x, y) at all levels, and the gene table. Files are clustered by level and
-    Hilbert tile, gene-major in a tile, so that filters on tiles and genes prune row groups."""
+    """Tiles of points(name, x, y) at all levels, the gene table and the tile index. Files are clustered by level
+    and Hilbert tile, gene-major in a tile, so that filters on tiles and genes prune row groups. The points are
+    read for the genes and for level 0; the coarser levels come from what level 0 has written."""
     genes = pts.gene_table(points)
     genes.orderBy("gene_id").write.mode("overwrite").parquet(f"{path}/genes")
     spark = points.sparkSession
@@ -224,9 +141,13 @@ def write_point_layer(points: DataFrame, path: str, grid: Grid) -> dict:
     fine = pts.fine_tiles(coded, grid).select("level", "tile_row", "tile_col", "gene_id", "x", "y", "count", "hilbert")
     fine = fine.withColumn("tile_key", F.shiftright("hilbert", 2 * (16 - grid.depth)))
     fine.repartitionByRange("tile_key", "hilbert").sortWithinPartitions("tile_key", "gene_id", "hilbert").drop("hilbert", "tile_key").write.mode("overwrite").parquet(f"{path}/tiles/level=0")
+    tiles = spark.read.parquet(f"{path}/tiles/level=0")
+    tiles = tiles.select(F.lit(0).alias("level"), "tile_row", "tile_col", "gene_id", "x", "y", "count")
     if grid.depth:
-        coarse = pts.point_levels(coded, grid)
+        coarse = pts.point_levels(tiles, grid)
         coarse.repartitionByRange("level", "tile_row", "tile_col").sortWithinPartitions("level", "tile_row", "tile_col", "gene_id", "y", "x").write.mode("overwrite").partitionBy("level").parquet(f"{path}/coarse")
+        tiles = tiles.unionByName(spark.read.parquet(f"{path}/coarse").select(tiles.columns))
+    write_tile_index(tiles, path)
     return {"levels": grid.depth}
 
 
@@ -247,7 +168,7 @@ def view_points(spark: SparkSession, path: str, grid: Grid, rect, world_per_pixe
 # Polygon layers
 
 
-def load_segments(spark: SparkSession, source: dict, order: list[str]) -> DataFrame:
+def load_segments(spark: SparkSession, source: dict, order: list[str] | None = None) -> DataFrame:
     """Vertices (object_id, vertex_no, x, y) from a boundary table or a label mask of pixels or spans."""
     df = spark.read.parquet(source["path"])
     if source.get("mask") or {"row_", "col_", "value"} <= set(df.columns) or is_spans(df):
@@ -257,7 +178,8 @@ def load_segments(spark: SparkSession, source: dict, order: list[str]) -> DataFr
 
 
 def write_segment_layer(vertices: DataFrame, path: str, grid: Grid, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None) -> dict:
-    """Polygon tiles (ring, triangles) and the feature table of vertices(object_id, vertex_no, x, y)."""
+    """Polygon tiles (ring, triangles) and the feature table of vertices(object_id, vertex_no, x, y), with the tile
+    index, and ranges and domains of the columns that objects can be coloured by."""
     spark = vertices.sparkSession
     objects = poly.summaries(vertices).withColumnsRenamed({"cx": "x_centroid", "cy": "y_centroid"})
     objects = objects.withColumns({"cx": F.col("x_centroid"), "cy": F.col("y_centroid")})
@@ -265,9 +187,14 @@ def write_segment_layer(vertices: DataFrame, path: str, grid: Grid, attributes:
     table = feat.join_attributes(placed, attributes) if attributes is not None else placed
     table = feat.join_categories(table, categories) if categories else table
     table.repartitionByRange("cell_id").sortWithinPartitions("cell_id").write.mode("overwrite").parquet(f"{path}/features")
-    keys = spark.read.parquet(f"{path}/features").select("object_id", "cell_id", "tile_row", "tile_col", "hilbert", "n_vertices")
+    written = spark.read.parquet(f"{path}/features")
+    feat.value_ranges(written, feat.colour_columns(written)).write.mode("overwrite").parquet(f"{path}/ranges")
+    feat.domains(written, spark.read.parquet(f"{path}/ranges")).write.mode("overwrite").parquet(f"{path}/domains")
+    keys = written.select("object_id", "cell_id", "tile_row", "tile_col", "hilbert", "n_vertices")
     tiles = geo.triangulate_rings(poly.rings(vertices)).join(keys, "object_id").select("tile_row", "tile_col", "cell_id", "ring", "triangles")
     tiles.repartitionByRange("cell_id").sortWithinPartitions("cell_id").write.mode("overwrite").parquet(f"{path}/polygons")
+    index = written.groupBy("tile_row", "tile_col").agg(F.count("*").alias("objects"), F.sum("n_vertices").alias("vertices"))
+    index.repartitionByRange(1, "tile_row", "tile_col").write.mode("overwrite").parquet(f"{path}/index")
     return {"color_by": feat.default_colour(table), "categoricals": sorted(categories or {})}
 
 
@@ -278,15 +205,17 @@ def polygon_tiles(spark: SparkSession, path: str, grid: Grid, rect) -> DataFrame
 
 
 def view_polygons(spark: SparkSession, path: str, grid: Grid, rect, colour_by: str, hidden: list[str] = ()) -> DataFrame:
-    """The polygons of a viewport with a colour position: a ramp over the robust domain of all objects for a
-    measurement, a palette slot for a categorical column, whose hidden categories are left out."""
+    """The polygons of a viewport with a colour position: a ramp over the layer's stored domain of all objects for
+    a measurement, a palette slot for a categorical column, whose hidden categories are left out. Only the
+    rectangle's tiles of shapes and of features are read, and one row of the domains."""
     table = spark.read.parquet(f"{path}/features")
-    shapes = polygon_tiles(spark, path, grid, rect).join(table.select("cell_id", colour_by), "cell_id")
+    shapes = polygon_tiles(spark, path, grid, rect).join(in_rect(table, grid, rect).select("cell_id", colour_by), "cell_id")
     if feat.is_categorical(table.schema[colour_by]):
         shapes = feat.hide_categories(shapes, colour_by, list(hidden))
         return shapes.withColumn("colour", feat.palette_slot(F.col(colour_by), 20))
-    domain = feat.robust_domain(table, colour_by).first()
-    return shapes.withColumn("colour", feat.ramp_position(F.col(colour_by).cast("double"), F.lit(domain["lo"]), F.lit(domain["hi"])))
+    domain = spark.read.parquet(f"{path}/domains").where(F.col("column") == colour_by).first()
+    lo, hi = (domain["lo"], domain["hi"]) if domain else (0.0, 1.0)  # a column without values
+    return shapes.withColumn("colour", feat.ramp_position(F.col(colour_by).cast("double"), F.lit(lo), F.lit(hi)))
 
 
 def layer_statistics(spark: SparkSession, path: str) -> DataFrame:
@@ -298,66 +227,128 @@ def layer_statistics(spark: SparkSession, path: str) -> DataFrame:
 # Jobs
 
 
-def import_slide(spark: SparkSession, out: str, name: str, points: DataFrame | None = None, segments: dict[str, DataFrame] | None = None, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None, extra: dict[str, DataFrame] | None = None, tile_size: float = 500.0, min_qv: float | None = 20, genes_only: bool = True, source: str = "", images: dict[str, tuple[DataFrame, Level]] | None = None, bare: tuple[str, ...] = ()) -> dict:
+def new_folder(kind: str) -> str:
+    """A layer's folder, of a name that no other layer has: what is written there is seen once it is committed."""
+    return f"{kind}/{uuid.uuid4().hex}"
+
+
+def import_slide(spark: SparkSession, out: str, name: str, points: DataFrame | None = None, segments: dict[str, DataFrame] | None = None, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None, extra: dict[str, DataFrame] | None = None, tile_size: float = 500.0, min_qv: float | None = 20, genes_only: bool = True, source: str = "", images: dict[str, tuple[DataFrame, Level]] | None = None, bare: tuple[str, ...] = (), facts: dict[str, dict] | None = None) -> dict:
     """Builds a slide: one world around all layers, every layer tiled on it, then the manifest. points is a raw
-    point table; segments are vertex tables by id; extra ones must fit the world so far before they
-    widen it, in order. images are pixel tables by id with their finest level. Segments named in bare
-    don't take the attributes and categories."""
+    point table; segments are vertex tables by id; extra ones must fit the world so far before they widen it,
+    in order, and get an id like cell-2 where theirs is taken. images are pixel or chunk tables by id with
+    their finest level. Segments named in bare don't take the attributes and categories; facts by id, such as
+    visible or colormap, go to the manifest as they are.
+
+    Layers are written to new folders; the manifest that names them comes last, and the layers of the slide that
+    was there before go after that. If anything fails, that slide stays as it is."""
     good = pts.load_points(points, min_qv, genes_only) if points is not None else None
     images = {id_: (df, image_level(df, level)) for id_, (df, level) in (images or {}).items()}
-    parts = [ext.extent(df) for df in ([good] if good is not None else []) + list((segments or {}).values())]
+    all_segments = dict(segments or {})
+    parts = [ext.extent(df) for df in ([good] if good is not None else []) + list(all_segments.values())]
     parts += [spark.createDataFrame([tuple(map(float, level.bounds))], ", ".join(f"{b} double" for b in ext.BOUNDS)) for _, level in images.values()]
-    world = ext.union_extent(*parts)
+    world = ext.union_extent(*parts) if parts else None
     for id_, df in (extra or {}).items():
         bounds = ext.extent(df)
-        ext.check_fits(bounds, world, id_)
-        world = ext.union_extent(world, bounds)
-    row = world.first()
+        if world is not None:
+            ext.check_fits(bounds, world, id_)
+        world = bounds if world is None else ext.union_extent(world, bounds)
+        all_segments[free_id(id_, set(all_segments))] = df
+    row = world.first() if world is not None else None
+    if row is None or row["minx"] is None:
+        raise ValueError(f"{source or name}: no layer has an extent")
     bounds = tuple(float(row[b]) for b in ext.BOUNDS)
     grid = Grid(*bounds, choose_depth(bounds, tile_size))
-    found = [{"id": id_, "kind": "image", "path": f"images/{id_}", **write_image_layer(df, f"{out}/images/{id_}", level)} for id_, (df, level) in images.items()]
-    for id_, df in {**(segments or {}), **(extra or {})}.items():
-        facts = write_segment_layer(df, f"{out}/{id_}", grid, *((None, None) if id_ in bare else (attributes, categories)))
-        found.append({"id": id_, "kind": "segments", "path": id_, **facts})
+    found = []
+
+    def add(id_: str, kind: str, write) -> None:
+        path = new_folder(kind)
+        found.append({"id": id_, "kind": kind, "path": path} | write(f"{out}/{path}") | {k: v for k, v in (facts or {}).get(id_, {}).items() if v is not None})
+
+    for id_, (df, level) in images.items():
+        add(id_, "image", lambda path, df=df, level=level: write_image_layer(df, path, level))
+    for id_, df in all_segments.items():
+        more = (None, None) if id_ in bare else (attributes, categories)
+        add(id_, "segments", lambda path, df=df, more=more: write_segment_layer(df, path, grid, *more))
     if good is not None:
-        found.append({"id": "points", "kind": "points", "path": "points", **write_point_layer(good, f"{out}/points", grid)})
+        add("points", "points", lambda path: write_point_layer(good, path, grid))
     manifest = {"format": FORMAT, "name": name, "world_units": "um", "world_bounds": list(bounds), "tile_depth": grid.depth, "layers": found, "source": {"platform": "tables", "path": source, "imported": datetime.datetime.now(datetime.timezone.utc).isoformat(), "tile_size": tile_size, "min_qv": min_qv, "genes_only": genes_only}}
-    write_manifest(spark, out, manifest)
+    old = []
+
+    def swap(before: dict | None) -> dict:
+        old[:] = [layer["path"] for layer in (before or {}).get("layers") or [] if layer.get("path")]
+        return manifest
+
+    manifest = commit(spark, out, swap)
+    for path in old:
+        store.delete(spark, f"{out}/{path}")
     return manifest
 
 
-def import_folder(spark: SparkSession, root: str, out: str, name: str, **options) -> dict:
-    """import_slide of all that discover finds under root; options are import_slide's."""
-    found = discover(spark, root)
+def _loaded(spark: SparkSession, source: dict) -> DataFrame:
+    """load_segments of a source, a mask's scale taken from the JSON beside it."""
+    return load_segments(spark, source | ({"level": _first_level(spark, source["levels"])} if source.get("levels") else {}), [])
+
+
+def _first_level(spark: SparkSession, path: str | None) -> Level:
+    return raster_levels(spark, spark.read.text(path, wholetext=True).first()[0])[0] if path else Level((1.0, 1.0))
+
+
+def _attributes(spark: SparkSession, path: str) -> DataFrame:
+    t = spark.read.parquet(path)
+    return t if "object_id" in t.columns else t.withColumnRenamed("cell_id", "object_id")
+
+
+def import_folder(spark: SparkSession, root: str, out: str, name: str, images: list[tuple[str, str | None]] | None = None, **options) -> dict:
+    """import_slide of all that discover finds under root; images (path, colour map) replace those found; other
+    options are import_slide's."""
+    found = discover(spark, root, images)
     if not found:
         raise ValueError(f"{root}: nothing to import")
-    images, segments, points, attributes, categories = {}, {}, None, None, {}
-    for s in found:
-        if s["kind"] == "image":
-            text = spark.read.text(s["levels"], wholetext=True).first()[0] if s["levels"] else None
-            images[s["id"]] = spark.read.parquet(s["path"]), raster_levels(spark, text)[0] if text else Level((1.0, 1.0))
-        elif s["kind"] == "points":
-            points = spark.read.parquet(s["path"])
-        else:
-            segments[s["id"]] = load_segments(spark, s, [])
-            if s.get("cells"):
-                attributes = spark.read.parquet(s["cells"])
-                attributes = attributes.withColumnRenamed("cell_id", "object_id") if "object_id" not in attributes.columns else attributes
-            categories |= {n: spark.read.csv(p, header=True) for n, p in s.get("categories", [])}
-    bare = tuple(s["id"] for s in found if s.get("mask"))
-    return import_slide(spark, out, name, points, segments, attributes, categories, images=images, bare=bare, source=root, **options)
-
-
-def add_segments(spark: SparkSession, root: str, id_: str, vertices: DataFrame, attributes: DataFrame | None = None) -> dict:
-    """Adds a segmentation to a slide on the grid it has; ids get -2, -3, ... if taken."""
-    manifest = read_manifest(spark, root)
-    taken, base, n = {l["id"] for l in manifest["layers"]}, id_, 1
-    while id_ in taken:
-        n += 1
-        id_ = f"{base}-{n}"
+    of = lambda kind: [s for s in found if s["kind"] == kind]
+    tables = [s for s in of("segments") if not s.get("mask")]
+    attributes = next((_attributes(spark, s["cells"]) for s in tables if s["cells"]), None)
+    categories = {n: spark.read.csv(p, header=True) for s in tables for n, p in s["categories"]}
+    return import_slide(
+        spark, out, name, next((spark.read.parquet(s["path"]) for s in of("points")), None), {s["id"]: _loaded(spark, s) for s in of("segments")}, attributes, categories,
+        images={s["id"]: (spark.read.parquet(s["path"]), _first_level(spark, s["levels"])) for s in of("image")}, bare=tuple(s["id"] for s in of("segments") if s.get("mask")),
+        facts={s["id"]: {"visible": s.get("visible"), "colormap": s.get("colormap")} for s in found}, source=root, **options,
+    )
+
+
+def add_segments(spark: SparkSession, root: str, id_: str, vertices: DataFrame, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None, source: str = "") -> dict:
+    """Adds a segmentation to a slide on the grid it has; its id gets -2, -3, ... if taken. The layer is written
+    before the manifest names it; of several added at once none is lost."""
+    manifest = latest(spark, root)
+    if manifest is None:
+        raise ValueError(f"{root}: no manifest")
     world = spark.createDataFrame([tuple(manifest["world_bounds"])], ", ".join(f"{b} double" for b in ext.BOUNDS))
     ext.check_fits(ext.extent(vertices), world, id_)
-    facts = write_segment_layer(vertices, f"{root}/{id_}", grid_of(manifest), attributes)
-    manifest["layers"].append({"id": id_, "kind": "segments", "path": id_, **facts})
-    write_manifest(spark, root, manifest)
-    return manifest
+    path = new_folder("segments")
+    facts = write_segment_layer(vertices, f"{root}/{path}", grid_of(manifest), attributes, categories)
+
+    def change(newest: dict) -> dict:
+        layer = {"id": free_id(id_, {known["id"] for known in newest["layers"]}), "kind": "segments", "path": path, **facts}
+        return newest | {"layers": [*newest["layers"], layer], "added": [*(newest.get("added") or []), {"kind": "segments", "id": layer["id"], "path": source}]}
+
+    return commit(spark, root, change)
+
+
+def add_segments_from(spark: SparkSession, root: str, path: str, id_: str | None = None, cells: str | None = None, categories: dict[str, str] | None = None, named: dict[str, str] | None = None, tolerance: float = 0.75) -> dict:
+    """add_segments of a boundary table or a mask, with its attribute table and category CSVs by feature name. A mask
+    takes its scale from the JSON of its name beside it; that its extent fits is checked before it is traced,
+    and it takes no attributes and categories, as its labels are not the objects' ids."""
+    manifest = latest(spark, root)
+    stem = store.name(path).removesuffix(".parquet")
+    beside = f"{store.folder(path)}/{stem}.json"
+    df = spark.read.parquet(path)
+    mask = {"row_", "col_", "value"} <= set(df.columns) or is_spans(df)
+    source = {"path": path, "named": named, "tolerance": tolerance, "mask": mask}
+    if mask and manifest is not None:
+        level = _first_level(spark, beside if store.exists(spark, beside) else None)
+        last = df.agg(F.max("row_").alias("row_"), F.max("c1" if is_spans(df) else "col_").alias("col_")).first()
+        level = Level(level.scale, level.translation, ((last["row_"] or 0) + 1, (last["col_"] or 0) + 1), level.chunk)
+        rows = ", ".join(f"{b} double" for b in ext.BOUNDS)
+        ext.check_fits(spark.createDataFrame([tuple(map(float, level.bounds))], rows), spark.createDataFrame([tuple(manifest["world_bounds"])], rows), path)
+        source["level"] = level
+    more = (None, None) if mask else (_attributes(spark, cells) if cells else None, {n: spark.read.csv(p, header=True) for n, p in (categories or {}).items()})
+    return add_segments(spark, root, id_ or stem, load_segments(spark, source, []), *more, source=path)

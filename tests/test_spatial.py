@@ -320,10 +320,10 @@ def test_slide_round_trip(spark, tmp_path):
     m = slide.import_slide(spark, root, "s", raw, {"cells": cells}, tile_size=25.0)
     assert m["tile_depth"] == 2
     g = slide.grid_of(slide.read_manifest(spark, root))
-    assert slide.view_points(spark, f"{root}/points", g, (0, 0, 90, 90), 0.0).count() == 100
-    assert slide.view_points(spark, f"{root}/points", g, (0, 0, 90, 90), 0.0, []).count() == 0
-    assert slide.view_polygons(spark, f"{root}/cells", g, (0, 0, 20, 20), "area").count() == 1
-    assert slide.layer_statistics(spark, f"{root}/cells").first()["triangles"] == 4
+    assert slide.view_points(spark, slide.layer_path(m, root, "points"), g, (0, 0, 90, 90), 0.0).count() == 100
+    assert slide.view_points(spark, slide.layer_path(m, root, "points"), g, (0, 0, 90, 90), 0.0, []).count() == 0
+    assert slide.view_polygons(spark, slide.layer_path(m, root, "cells"), g, (0, 0, 20, 20), "area").count() == 1
+    assert slide.layer_statistics(spark, slide.layer_path(m, root, "cells")).first()["triangles"] == 4
     assert slide.add_segments(spark, root, "cells", cells)["layers"][-1]["id"] == "cells-2"
     slide.check_layers(spark, root)
     with pytest.raises(ValueError):
@@ -371,9 +371,9 @@ def test_import_folder(spark, tmp_path):
     assert m["world_bounds"] == [0.0, 0.0, 200.0, 300.0]
     assert [(l["id"], l["kind"], l["levels"]) for l in slide.layers(spark, to).orderBy("position").collect()] == [("dapi", "image", 1), ("a", "image", 1), ("cell", "segments", 0), ("other", "segments", 0)]
     slide.check_layers(spark, to)
-    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{to}/cell/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
-    assert "total" not in spark.read.parquet(f"{to}/other/features").columns
-    assert slide.image_pixels(spark, f"{to}/images/dapi", 1).count() == 150 * 5
+    assert {(r["object_id"], r["total"], r["cluster"], r["kmeans_2"]) for r in spark.read.parquet(f"{slide.layer_path(m, to, 'cell')}/features").collect()} == {(1, 5.0, "4", "4"), (2, 6.0, None, None)}
+    assert "total" not in spark.read.parquet(f"{slide.layer_path(m, to, 'other')}/features").columns
+    assert slide.image_pixels(spark, slide.layer_path(m, to, "dapi"), 1).count() == 150 * 5
 
 
 def test_tile_stream(spark, tmp_path):

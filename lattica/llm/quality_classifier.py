@@ -162,13 +162,15 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int =
     finds most of the bad ones. Fitted on labelled_rows labelled and pool_rows unlabelled documents, the
     first by a hash of their id; the text view hashes words to word_slots slots, a power of two. Every
     document is scored, a very long one whole, in one task. Equal rows score alike; a doc_id with several
-    labels has the greatest. Null texts and metadata have empty features; null ids are scored, never sampled;
+    labels has the greatest, and one with several rows enters the sample once, with the least of their
+    features. Where too few labels of a kind are there to hold some out (see held_out), margins are not
+    calibrated and the text margin alone makes the score. Null texts and metadata have empty features; null ids are scored, never sampled;
     repeated rows score alike; other columns are ignored; without labels of both kinds the score is 0.5 and
     all is kept; an empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    pool = docs.select("doc_id").where("doc_id is not null").join(truth, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+    pool = docs.select("doc_id").where("doc_id is not null").distinct().join(truth, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
     known = truth.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = scratch.cut(hash_sample(known, labelled_rows, "doc_id").unionByName(hash_sample(pool, pool_rows, "doc_id")))
 
@@ -180,7 +182,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, labelled_rows: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), batch.column(5).slice(row, len(x)), pa.array([r.tobytes() for r in x], pa.binary()), lists(slots, pa.int32()), lists(values, pa.float32())], names=["doc_id", "quality", "x", "slots", "times"])
 
     sample = docs.join(F.broadcast(chosen), "doc_id")  # labelled_rows + pool_rows pairs of numbers
-    rows = sample.select(*COLUMNS, "quality").mapInArrow(features, "doc_id long, quality int, x binary, slots array<int>, times array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    rows = sample.select(*COLUMNS, "quality").mapInArrow(features, "doc_id long, quality int, x binary, slots array<int>, times array<float>")
+    least = F.min(F.struct("quality", "x", "slots", "times")).alias("r")  # of rows that share an id the same one in each run
+    rows = rows.groupBy("doc_id").agg(least).select("doc_id", "r.*").toArrow().sort_by("doc_id").combine_chunks()
     y = rows["quality"].to_numpy()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(y), WIDTH)
     n = rows["slots"].combine_chunks().value_lengths().to_numpy()

@@ -179,10 +179,11 @@ def grouped(strings: DataFrame, length: int) -> DataFrame:
     """Spans of repeats among runs of anchors that have too many distinct ones for one block: their strings,
     one by one, meet by content in a grouping that is pre-aggregated before the shuffle, so that neither a
     hot anchor nor a hot string fills a task; the join back is one that Spark splits by partition size."""
-    each = strings.select("doc_id", "text_hash", F.posexplode(F.expr(f"transform(sequence(1, int(many)), i -> xxhash64(substring(bytes, i, {length})))")).alias("i", "string"), "start")
-    each = each.select("string", "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"))
-    first = each.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = each.join(first, "string").where(F.struct("doc_id", "start") != F.col("first"))
+    each = strings.select("anchor", "doc_id", "text_hash", F.posexplode(F.expr(f"transform(sequence(1, int(many)), i -> xxhash64(substring(bytes, i, {length})))")).alias("i", "string"), "start")
+    each = each.select("anchor", "string", "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"))
+    # Hashes meet inside an anchor only, so their number does not make other strings equal.
+    first = each.groupBy("anchor", "string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = each.join(first, ["anchor", "string"]).where(F.struct("doc_id", "start") != F.col("first"))
     return later.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
 
 
@@ -204,21 +205,21 @@ def columns(text, lens, cap: int):
     is_start = np.zeros(len(text) + 1, bool)
     is_start[end - lens] = True
     n = len(lens)
-    at, prefix = end.astype(np.int64), np.zeros(n, np.uint8)  # the empty suffixes, at their strings' ends
+    at, prefix = end.astype(np.int64), np.zeros(n, np.uint16)  # the empty suffixes, at their strings' ends
     whole = lens == 0  # suffixes that are a whole string have no symbol in front
     for _ in range(int(lens.max())):
         open_ = np.flatnonzero(~whole)
         symbol = text[at[open_] - 1]
         by = np.argsort(symbol, kind="stable")
         order, symbol = open_[by], symbol[by]
-        value = np.zeros(len(order), np.uint8)
+        value = np.zeros(len(order), np.uint16)
         ask = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
         if len(ask):  # least prefix between consecutive places of one symbol, over ranges of doubled length
             lo = order[ask - 1] + 1
             width = order[ask] - lo + 1
             level = np.frexp(width.astype(float))[1] - 1
             table, span, top = prefix, 1, int(level.max())
-            got = np.zeros(len(ask), np.uint8)
+            got = np.zeros(len(ask), np.uint16)
             for depth in range(top + 1):
                 here = np.flatnonzero(level == depth)
                 if len(here):
@@ -229,7 +230,7 @@ def columns(text, lens, cap: int):
             value[ask] = np.minimum(got.astype(np.int64) + 1, cap)
         inserted = at[order] - 1
         at = np.concatenate([end, inserted])
-        prefix = np.concatenate([np.zeros(n, np.uint8), value])
+        prefix = np.concatenate([np.zeros(n, np.uint16), value])
         whole = np.concatenate([lens == 0, is_start[inserted]])
     return at[n:], prefix[n:]
 
@@ -345,6 +346,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K, block: i
     by start. Other columns are ignored; an empty table gives none. A doc_id of -2^63 counts as null. Texts
     may be of any length: they are read in pieces that overlap by length - 1 bytes. Anchors of more than
     `block` distinct runs are settled string by string, with the same result."""
+    if not k < length < 1 << 16:
+        raise ValueError(f"strings must be longer than an anchor's {k} bytes, and shorter than 65,536")
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     order = ["anchor", "run", "doc_id", "start"]

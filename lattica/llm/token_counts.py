@@ -16,8 +16,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer's pattern that belongs to the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "last", "largest")
-#: A long run of white space (of the pattern's \s), on which the pattern's search would run out of stack.
-BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: A run of white space (of the pattern's \s) that is cut out: the pattern's search takes the square of its length,
+#: and runs out of stack on very long ones.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{64,}")
 
 
 def encoding(path: str, pattern: str):

@@ -522,3 +522,48 @@ def test_empty_tables(spark, docs, labels):
     assert resharding.reshard(none, F.lit(0), 1)[0].count() == 0
     assert decontamination.contaminated(none, bench).count() == 0 == decontamination.contaminated(docs, bench).count()
     assert line_dedup.line_dedup(pages).count() == 0 == html_text.main_text(pages).count()
+
+
+def test_classifier_takes_each_id_once(spark, monkeypatch):
+    """Thousands of rows of one id, with different texts: a sample of distinct ids, the same in each run."""
+    rng = random.Random(3)
+    good, bad = ("river stone", "!!! $$$")
+    rows = [(i, f"{good if i % 2 else bad} {prose(rng, 30)}", "en", "s", 50) for i in range(120)]
+    rows += [(200, prose(rng, 20), "en", "s", 50) for _ in range(3000)] + [(1, good + prose(rng, 20), "en", "s", 50) for _ in range(50)]
+    truth = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "co_train", lambda both, y, f=quality_classifier.co_train: seen.append(len(y)) or f(both, y))
+    runs = [sorted((r["doc_id"], r["score"]) for r in quality_classifier.quality_classifier(docs.repartition(n), truth, pool_rows=15).collect()) for n in (2, 7)]
+    assert seen == [115, 115] and len(runs[0]) == len(rows)
+    assert np.allclose([s for _, s in runs[0]], [s for _, s in runs[1]])
+
+
+@pytest.mark.parametrize("length", [128, 257, 509])
+def test_repeats_of_other_lengths(length):
+    """Lengths that symbols of several bytes don't divide: two equal runs repeat at each of their places."""
+    rng = np.random.default_rng(length)
+    run = rng.integers(0, 256, length + 50, np.uint8).tobytes()
+    owner, offset = suffix_dedup.repeats([(1, 0, 51, run), (2, 7, 51, run)], length)
+    assert sorted(zip(owner.tolist(), offset.tolist())) == [(1, i) for i in range(51)]
+
+
+def test_limits_of_arguments(docs):
+    with pytest.raises(ValueError):
+        near_dedup.near_groups(docs, percent=50)
+    for length in (32, 1 << 16):
+        with pytest.raises(ValueError):
+            suffix_dedup.repeated_strings(docs, length)
+
+
+def test_token_counts_of_many_short_blanks(spark):
+    """A text of white-space runs just under ten thousand takes no square of them."""
+    import time
+
+    text = ("a" + " " * 9999) * 30 + "b\n" + "\t" * 70
+    began = time.time()
+    tokenizer, _ = token_counts.encoding(token_counts.VOCABULARY, token_counts.PATTERN)
+    got = token_counts.tokens_of(tokenizer, text.encode())
+    assert tokenizer.decode(got.tolist()) == text and time.time() - began < 10
+    for t in ("x" + " " * 63 + "y", "x" + " " * 64 + "y", "x" + " " * 65 + "y", " " * 100, "\n" * 70 + "z"):
+        assert token_counts.tokens_of(tokenizer, t.encode()).tolist() == tokenizer.encode(t)

@@ -72,7 +72,8 @@ def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on an open ring, started at the vertex furthest from the mean of all."""
+    """Douglas-Peucker on an open ring, started at the vertex furthest from the mean of all: no vertex lies further
+    than the tolerance from what is left."""
     if tolerance <= 0 or len(ring) < 4:
         return ring
     start = int(((ring - ring.mean(0)) ** 2).sum(1).argmax())
@@ -86,8 +87,8 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
             continue
         p, q, m = line[i], line[j], line[i + 1 : j]
         d = q - p
-        norm = np.hypot(*d)
-        far = np.hypot(*(m - p).T) if norm == 0 else np.abs(d[0] * (m[:, 1] - p[1]) - d[1] * (m[:, 0] - p[0])) / norm
+        share = np.clip((m - p) @ d / max(d @ d, 1e-300), 0, 1)  # beyond an end the end itself is nearest
+        far = np.hypot(*(m - p - share[:, None] * d).T)
         k = int(far.argmax())
         if far[k] > tolerance:
             keep[i + 1 + k] = True
@@ -141,6 +142,71 @@ def triangulate(ring: np.ndarray) -> list[int]:
     return out + [before[at], at, after[at]]
 
 
+#: Rings of so many vertices at most are triangulated together, as arrays of one row a ring.
+TOGETHER = 64
+
+
+def triangulate_alike(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`triangulate` of rings of one number of vertices, a row each, in step: at every turn each ring tests its next
+    corner. Returns the triangles, and which rings have none as they cross themselves or are flat."""
+    m, n = x.shape
+    area = (np.roll(x, 1, 1) * y - x * np.roll(y, 1, 1)).sum(1)
+    after = np.tile(np.roll(np.arange(n), -1), (m, 1))
+    before = np.tile(np.roll(np.arange(n), 1), (m, 1))
+    turned = area < 0
+    after[turned], before[turned] = before[turned], after[turned]
+    ring = np.arange(m)
+    at = np.where(turned, n - 1, 0)
+    cross = lambda r, a, b, c: (x[r, b] - x[r, a]) * (y[r, c] - y[r, a]) - (y[r, b] - y[r, a]) * (x[r, c] - x[r, a])
+    every = ring[:, None]
+    inward = cross(every, before, np.arange(n)[None, :], after) <= 0
+    out, made, tried, hard = np.zeros((m, n - 2, 3), np.int32), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, bool)
+    r = ring if n > 3 else ring[:0]
+    while len(r):
+        a, b, c = before[r, at[r]], at[r], after[r, at[r]]
+        p, some = np.arange(n)[None, :], r[:, None]
+        a_, b_, c_ = a[:, None], b[:, None], c[:, None]
+        within = (cross(some, a_, b_, p) >= 0) & (cross(some, b_, c_, p) >= 0) & (cross(some, c_, a_, p) >= 0) & inward[r] & (p != a_) & (p != c_)
+        for v in (a_, b_, c_):  # a vertex at the place of a corner doesn't lie in the ear
+            within &= (x[r] != x[some, v]) | (y[r] != y[some, v])
+        ear = ~inward[r, b] & ~within.any(1)
+        e, ea, eb, ec = r[ear], a[ear], b[ear], c[ear]
+        out[e, made[e]] = np.stack([ea, eb, ec], 1)
+        after[e, ea], before[e, ec] = ec, ea
+        inward[e, eb] = False
+        for v in (ea, ec):
+            inward[e, v] = cross(e, before[e, v], v, after[e, v]) <= 0
+        made[e] += 1
+        tried[r] = np.where(ear, 0, tried[r] + 1)
+        at[r] = c
+        hard[r] = tried[r] >= n - made[r]
+        r = r[(n - made[r] > 3) & ~hard[r]]
+    out[ring, n - 3] = np.stack([before[ring, at], at, after[ring, at]], 1)
+    return out, hard
+
+
+def triangulated(rings: pa.Array) -> pa.Array:
+    """The triangles of each of a column of rings, small ones by number of vertices, in step."""
+    lens = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rings.flatten()
+    x, y = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    begin = np.cumsum(lens) - lens
+    sizes = 3 * np.maximum(lens - 2, 0)
+    ends = np.append(0, np.cumsum(sizes))
+    out = np.zeros(int(ends[-1]), np.int32)
+    for n in np.unique(lens[lens >= 3]).tolist():
+        which = np.flatnonzero(lens == n)
+        hard = which
+        if n <= TOGETHER:
+            place = begin[which][:, None] + np.arange(n)
+            found, hopeless = triangulate_alike(x[place], y[place])
+            out[ends[which][:, None] + np.arange(3 * (n - 2))] = found.reshape(len(which), -1)
+            hard = which[hopeless]
+        for i in hard.tolist():
+            out[ends[i] : ends[i + 1]] = triangulate(np.stack([x[begin[i] : begin[i] + n], y[begin[i] : begin[i] + n]], 1))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
+
+
 def _rings(column) -> list[np.ndarray]:
     out = []
     for v in column:
@@ -169,7 +235,7 @@ def triangulate_rings(objects: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([triangulate(r) for r in _rings(batch.column(1))], pa.list_(pa.int32()))], names=["object_id", "ring", "triangles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), triangulated(batch.column(1))], names=["object_id", "ring", "triangles"])
 
     return objects.select("object_id", "ring").mapInArrow(run, f"object_id {objects.schema['object_id'].dataType.simpleString()}, ring {RING}, triangles array<int>")
 
@@ -210,6 +276,21 @@ def round_trip(vertices: DataFrame, width: int, height: int, tolerance: float =
     return t.withColumn("error", F.abs(F.col("traced_area") - F.col("pixel_area")) / F.col("pixel_area"))
 
 
+def ring_distance(points: Column, ring: Column) -> Column:
+    """The greatest distance of a list of points from the closed ring's sides: one half of the Hausdorff distance of
+    a ring and its simplification, the other being 0 as the latter's vertices are some of the former's."""
+    nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def side(p, e):
+        dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+        share = ((p["x"] - e["p"]["x"]) * dx + (p["y"] - e["p"]["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0))))
+        return F.hypot(p["x"] - e["p"]["x"] - t * dx, p["y"] - e["p"]["y"] - t * dy)
+
+    sides = F.arrays_zip(ring.alias("p"), nxt.alias("q"))
+    return F.array_max(F.transform(points, lambda p: F.array_min(F.transform(sides, lambda e: side(p, e)))))
+
+
 def furthest_vertex(vertices: DataFrame) -> DataFrame:
     """(object_id, vertex_no): the vertex furthest from the mean of its ring, the first of equals."""
     mean = vertices.groupBy("object_id").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))

@@ -812,9 +812,24 @@ def r2_wide_outlines(spark, d):
     return t.join(one_span_a_row(m), "object_id", "left_semi")
 
 
-@query()
+@query(with_("boundaries", more="""m as (select object_id, avg(x) as mx, avg(y) as my, count(*) as n from boundaries group by object_id),
+far as (select object_id, max((x - mx) ** 2 + (y - my) ** 2) as far from boundaries join m using (object_id) group by object_id)""") + "select object_id, n as before, true as kept, true as near, true as starts_far from m join far using (object_id)")
 def r3_simplify_rings(spark, d):
-    return geo.simplify_rings(poly.rings(T.boundaries(spark, d)), 1500.0).select("object_id", F.size("ring").cast("long").alias("n_vertices"))
+    """Simplified rings held against their rings: only vertices of the ring stay, in the ring's order; no vertex
+    lies further off than the tolerance; and the one furthest from the mean stays, first."""
+    rings = poly.rings(T.boundaries(spark, d))
+    simple = geo.simplify_rings(rings, 1500.0).withColumnRenamed("ring", "simple")
+    t = rings.join(simple, "object_id")
+    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)
+    off = lambda v: F.pow(v["x"] - mean(xs), F.lit(2.0)) + F.pow(v["y"] - mean(ys), F.lit(2.0))
+    place = F.transform("simple", lambda v: F.array_position("ring", v))
+    turned = F.transform(place, lambda i: F.pmod(i - F.get(place, F.lit(0)), F.size("ring").cast("long")))
+    few = F.size("ring") < 4  # stay as they are
+    kept = (F.array_min(place) > 0) & (few | (F.size("ring") > F.size(F.array_distinct("ring"))) | (turned == F.array_sort(turned)))
+    far = few | (off(F.get("simple", F.lit(0))) >= F.array_max(F.transform("ring", off)) * (1 - 1e-9))
+    near = geo.ring_distance(F.col("ring"), F.col("simple")) <= 1500.0 + 1e-6
+    return t.select("object_id", F.size("ring").cast("long").alias("before"), kept.alias("kept"), near.alias("near"), far.alias("starts_far"))
 
 
 @query(with_("small", more=MASK_SQL) + "select row_, col_, value from drawn")
@@ -850,9 +865,14 @@ def r6_tile_local_triangles(spark, d):
     return all_.select("cell_id", F.array_min("triangles").cast("long").alias("first"), F.array_max("triangles").cast("long").alias("last"), F.size(F.array_distinct("triangles")).cast("long").alias("used"), F.size("triangles").cast("long").alias("n"))
 
 
-@query()
+@query(with_("small", more=OUTLINE_SQL) + "select value as object_id, count(*) as pixel_area, true as close from drawn join whole using (value) group by value having count(*) >= 4")
 def r7_round_trip(spark, d):
-    return geo.round_trip(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    """Rings drawn as a mask and traced back, of objects in one piece: a contour through half-way points cuts at most
+    an eighth of a pixel from each of its corners, and there are no more corners than vertices."""
+    mask = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    t = geo.polygons_from_labels(mask, tolerance=0.0).join(one_span_a_row(mask), "object_id", "left_semi")
+    close = F.abs(geo.ring_area(F.col("ring")) - F.col("pixel_area")) <= F.size("ring") / 8
+    return t.select("object_id", "pixel_area", close.alias("close"))
 
 
 # Jobs

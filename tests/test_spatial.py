@@ -229,6 +229,38 @@ def test_triangles_of_a_large_ring():
     assert len(t) == 598 and abs(sum(area(ring[k]) for k in t) - area(ring)) < 1e-9 and all(area(ring[k]) > 0 for k in t)
 
 
+def test_rings_triangulated_together():
+    """Rings of one size in step have the triangles that each has by itself, self-crossing ones too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rings = []
+    for k in range(300):
+        n = int(rng.choice([0, 1, 2, 3, 4, 5, 12, 40, 70]))
+        turn = np.sort(rng.random(n)) * 2 * np.pi
+        ring = (1 + 0.8 * rng.random((n, 1)) * (k % 3)) * np.stack([np.cos(turn), np.sin(turn)], 1)
+        ring = ring[::-1] if k % 2 else ring
+        rings.append(rng.random((n, 2)) if k % 11 == 0 else np.round(ring, 1) if k % 7 == 0 else ring)
+    column = pa.array([[{"x": float(x), "y": float(y)} for x, y in r] for r in rings] + [None], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    got = geo.triangulated(column).to_pylist()
+    assert got == [geo.triangulate(r) for r in rings] + [[]]
+
+
+def test_distance_of_a_ring(spark):
+    rng = np.random.default_rng(7)
+    turn = np.sort(rng.random(200)) * 2 * np.pi
+    ring = np.stack([np.cos(turn) * (5 + rng.random(200)), np.sin(turn) * 5], 1)
+    nested = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    for tolerance in (0.05, 0.5, 2.0):
+        simple = geo.simplify(ring, tolerance)
+        t = spark.createDataFrame([(nested(ring), nested(simple))], f"ring {geo.RING}, simple {geo.RING}")
+        p, q = simple[None], np.roll(simple, -1, 0)[None]
+        share = np.clip(((ring[:, None] - p) * (q - p)).sum(2) / ((q - p) ** 2).sum(2), 0, 1)
+        want = np.hypot(*np.moveaxis(ring[:, None] - p - share[..., None] * (q - p), 2, 0)).min(1).max()
+        got = t.select(geo.ring_distance(F.col("ring"), F.col("simple"))).first()[0]
+        assert abs(got - want) < 1e-9 and got <= tolerance
+
+
 def test_points_in_boxes_of_very_different_sizes(spark):
     rng = random.Random(3)
     boxes = [(i, rng.uniform(0, 100), rng.uniform(0, 100), 10.0 ** rng.uniform(-1, 2)) for i in range(60)]

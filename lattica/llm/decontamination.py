@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Scratch
@@ -145,6 +145,17 @@ def probes(docs: DataFrame, n: int, classes: list[int], key_bloom, shingle_bloom
     return docs.mapInArrow(run, "doc_id long, keys array<long>, shingles array<long>")
 
 
+def rare_meetings(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, item_id) of the documents of found(doc_id, shingles) that hold one of an item's rarest shingles, by
+    the number of items that have it. Who holds `percent` of an item's n shingles holds one of any n -
+    ceil(percent / 100 * n) + 1 of them; so what many items share is asked for only where they differ in less."""
+    common = sets.groupBy("shingle").agg(F.count("*").alias("items"))
+    item = Window.partitionBy("item_id")
+    t = sets.join(common, "shingle").withColumns({"place": F.row_number().over(item.orderBy("items", "shingle")), "n": F.count("*").over(item)})
+    rare = t.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("item_id", "shingle")
+    return found.select("doc_id", F.explode("shingles").alias("shingle")).join(rare, "shingle").select("doc_id", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): the pairs where the document holds at least
     `percent` per cent of the item's distinct `words`-word shingles (lower-cased A-Z).
@@ -152,10 +163,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     Candidates come from MinHash: items are partitioned by size, and each size class is compared with
     windows of whole documents of about twice that size, so that a short item inside a long document
     keeps a Jaccard similarity of 0.19 or more; one equal slot of 64 makes a candidate (a contained
-    contiguous item is missed with a probability below 2e-6). Bloom filters of fixed size thin out the
-    documents' keys before the join with the items; candidates are verified on the full sets, so that a
-    phrase that all items and documents have costs nothing without an equal slot. A very long document is
-    one row of shingles that some item may have.
+    contiguous item is missed with a probability below 2e-6). Bloom filters of fixed size leave the documents
+    with such a slot; these meet items by the items' rarest shingles, so that a phrase that all items begin
+    with brings no pairs; pairs with an equal slot are verified on the full sets. A very long document is one
+    row of shingles that some item may have.
 
     An item or document of under `words` words is one shingle; null and blank ones have none and match
     nothing. Null ids are left out. Rows that share an id are one document or item. Other columns are
@@ -167,11 +178,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
     signs = scratch.cut(item_signatures(sets))
     classes = sorted(r["size_class"] for r in signs.select("size_class").distinct().collect())  # powers of two
     found = scratch.cut(probes(docs, words, classes, bloom_filter(signs.select("key")), bloom_filter(sets.select("shingle"))))
-    candidates = found.select("doc_id", F.explode("keys").alias("key")).join(signs.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    # Only candidates are counted.
-    sizes = sets.groupBy("item_id").agg(F.count("*").alias("n_item"), F.collect_list("shingle").alias("own"))
-    held = found.select("doc_id", "shingles").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
-    out = scratch.cut(candidates).join(sizes, "item_id").join(held, "doc_id")
+    sizes = sets.groupBy("item_id").agg(F.count("*").alias("n_item"), F.collect_list("shingle").alias("own")).join(signs.groupBy("item_id").agg(F.collect_list("key").alias("own_keys")), "item_id")
+    held = found.groupBy("doc_id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("keys", "shingles")])
+    out = scratch.cut(rare_meetings(found, sets, percent)).join(sizes, "item_id").join(held, "doc_id").where(F.arrays_overlap("keys", "own_keys"))
     out = out.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
     return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 

@@ -606,3 +606,17 @@ def test_token_counts_of_many_short_blanks(spark):
     assert tokenizer.decode(got.tolist()) == text and time.time() - began < 10
     for t in ("x" + " " * 63 + "y", "x" + " " * 64 + "y", "x" + " " * 65 + "y", " " * 100, "\n" * 70 + "z"):
         assert token_counts.tokens_of(tokenizer, t.encode()).tolist() == tokenizer.encode(t)
+
+
+def test_items_of_one_opening(spark):
+    """A thousand items that begin alike: documents with the opening meet none of them, those with an item its own."""
+    rng = random.Random(8)
+    opening = prose(rng, 20)
+    items = [(i, f"{opening} {prose(rng, 25)}") for i in range(1000)]
+    docs = [(i, f"{prose(rng, 30)} {opening} {prose(rng, 40)}") for i in range(60)] + [(100 + i, f"{prose(rng, 9)} {items[i * 9][1]} {prose(rng, 9)}") for i in range(40)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(docs, items)
+    assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in got.collect()) == [(100 + i, i * 9, 1.0) for i in range(40)]
+    sets = decontamination.item_sets(items, 5).distinct()
+    held = decontamination.item_sets(docs.toDF("item_id", "text"), 5).groupBy(F.col("item_id").alias("doc_id")).agg(F.collect_list("shingle").alias("shingles"))
+    assert 40 <= decontamination.rare_meetings(held, sets, 80).count() < 100  # and chance meetings

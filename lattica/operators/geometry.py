@@ -98,7 +98,8 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
 
 def triangulate(ring: np.ndarray) -> list[int]:
     """Ear clipping of a simple open ring: vertex indices, three a triangle. Only corners that turn inwards can
-    lie in an ear, so a convex ring takes one pass, and others the ring's vertices times its inward ones."""
+    lie in an ear, so a convex ring takes one pass, and others the ring's vertices times its inward ones, which are
+    tested as arrays."""
     n = len(ring)
     if n < 3:
         return []
@@ -109,13 +110,22 @@ def triangulate(ring: np.ndarray) -> list[int]:
     before = {b: a for a, b in zip(left[-1:] + left, left)}
     after = {a: b for b, a in before.items()}
     cross = lambda a, b, c: (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
-    inward = {v for v in left if cross(before[v], v, after[v]) <= 0}
+    xs, ys = ring[:, 0], ring[:, 1]
+    inward = np.zeros(n, bool)
+    inward[[v for v in left if cross(before[v], v, after[v]) <= 0]] = True
+    some = np.flatnonzero(inward)
 
     def is_ear(a, b, c):
-        if b in inward:
+        if inward[b]:
             return False
-        ends = ((x[a], y[a]), (x[b], y[b]), (x[c], y[c]))
-        return not any(p != a and p != c and cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 and (x[p], y[p]) not in ends for p in inward)
+        p, q = xs[some], ys[some]
+        hit = np.ones(len(some), bool)
+        for u, v in ((a, b), (b, c), (c, a)):
+            hit &= (x[v] - x[u]) * (q - y[u]) - (y[v] - y[u]) * (p - x[u]) >= 0
+        if hit.any():  # a vertex at the place of a corner doesn't lie in the ear
+            for u in (a, b, c):
+                hit &= (p != x[u]) | (q != y[u])
+        return not hit.any()
 
     out: list[int] = []
     at, tried = left[0], 0
@@ -132,12 +142,11 @@ def triangulate(ring: np.ndarray) -> list[int]:
             continue
         out += [a, at, c]
         after[a], before[c] = c, a
-        inward.discard(at)
-        for v in (a, c):
-            if cross(before[v], v, after[v]) > 0:
-                inward.discard(v)
-            else:
-                inward.add(v)
+        changed = [at, a, c]
+        was = inward[changed].tolist()
+        inward[changed] = False, cross(before[a], a, after[a]) <= 0, cross(before[c], c, after[c]) <= 0
+        if inward[changed].tolist() != was:
+            some = np.flatnonzero(inward)
         at, n, tried = c, n - 1, 0
     return out + [before[at], at, after[at]]
 
@@ -164,11 +173,12 @@ def triangulate_alike(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     r = ring if n > 3 else ring[:0]
     while len(r):
         a, b, c = before[r, at[r]], at[r], after[r, at[r]]
-        p, some = np.arange(n)[None, :], r[:, None]
-        a_, b_, c_ = a[:, None], b[:, None], c[:, None]
-        within = (cross(some, a_, b_, p) >= 0) & (cross(some, b_, c_, p) >= 0) & (cross(some, c_, a_, p) >= 0) & inward[r] & (p != a_) & (p != c_)
-        for v in (a_, b_, c_):  # a vertex at the place of a corner doesn't lie in the ear
-            within &= (x[r] != x[some, v]) | (y[r] != y[some, v])
+        px, py, within = x[r], y[r], inward[r]
+        corners = [(px[np.arange(len(r)), v][:, None], py[np.arange(len(r)), v][:, None]) for v in (a, b, c)]
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+            within &= (x2 - x1) * (py - y1) >= (y2 - y1) * (px - x1)
+        for cx, cy in corners:  # the corners themselves, and vertices at their places, don't lie in the ear
+            within &= (px != cx) | (py != cy)
         ear = ~inward[r, b] & ~within.any(1)
         e, ea, eb, ec = r[ear], a[ear], b[ear], c[ear]
         out[e, made[e]] = np.stack([ea, eb, ec], 1)

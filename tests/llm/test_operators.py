@@ -620,3 +620,64 @@ def test_items_of_one_opening(spark):
     sets = decontamination.item_sets(items, 5).distinct()
     held = decontamination.item_sets(docs.toDF("item_id", "text"), 5).groupBy(F.col("item_id").alias("doc_id")).agg(F.collect_list("shingle").alias("shingles"))
     assert 40 <= decontamination.rare_meetings(held, sets, 80).count() < 100  # and chance meetings
+
+
+def test_verdicts_by_a_plain_forest(spark, docs, labels):
+    """Path lengths by walking each tree, the threshold by trying each, and the verdicts that follow."""
+    stats = sorted((r.asDict() for r in quality_rules.rule_statistics(docs).collect() if r["n_words"] >= 20), key=lambda r: [r["doc_id"], *[r[c] for c in quality_rules.COUNTS]])
+    pick = lambda rows: quality_rules.features(lambda c: np.array([float(r[c]) for r in rows]))
+    trees, usual = quality_rules.fit_forest(pick(stats))
+
+    def steps(tree, x):
+        feature, split, left, right, length = tree
+        at = 0
+        while left[at] >= 0:
+            at = left[at] if x[feature[at]] <= split[at] else right[at]
+        return length[at]
+
+    rows = [r.asDict() for r in quality_rules.rule_statistics(docs).collect()]
+    score = [2.0 ** -(sum(steps(t, x) for t in trees) / len(trees) / usual) for x in pick(rows)]
+    failed = [r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"] for r in rows]
+    truth = {(r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None}
+    known = [(s, q) for r, s, f in zip(rows, score, failed) if not f for i, q in truth if i == r["doc_id"]]
+    good, bad = ([s for s, q in known if (q > 0) == wanted] for wanted in (True, False))
+    limit, best = 0.75, -1.0
+    if good and bad:
+        for k in range(quality_rules.BINS + 2):
+            lost, found = (sum(int(s * quality_rules.BINS) >= k for s in part) / len(part) for part in (good, bad))
+            if lost <= quality_rules.GOOD_LOSS and found - lost > best:
+                limit, best = k / quality_rules.BINS, found - lost
+    want = sorted((r["doc_id"], r["text_hash"], f, not f and s < limit) for r, s, f in zip(rows, score, failed))
+    got = quality_rules.quality_rules(docs, labels).collect()
+    assert sorted((r["doc_id"], r["text_hash"], r["base_failed"], r["kept"]) for r in got) == want
+    assert np.allclose(sorted(r["anomaly"] for r in got), sorted(score))
+
+
+def test_scores_by_the_two_margins(docs, labels):
+    """The calibrated score is one affine function of both views' margins for all rows."""
+    rows = quality_classifier.quality_classifier(docs, labels).collect()
+    x = np.array([[r["text_margin"], r["meta_margin"], 1.0] for r in rows])
+    y = np.array([np.log(r["score"] / (1 - r["score"])) for r in rows])
+    inner = np.abs(y) < 20
+    scale = np.linalg.lstsq(x[inner], y[inner], rcond=None)[0]
+    assert np.allclose(x[inner] @ scale, y[inner], atol=1e-6) and scale[0] >= 0
+
+
+def test_placement_one_row_after_the_other(docs):
+    """Shards and slots by a walk over the rows of each old shard in hashed order."""
+    old = F.crc32(F.coalesce("source", F.lit(""))) % 3
+    placed, transfers = resharding.reshard(docs, old, 3, 5)
+    rows = [r.asDict() for r in placed.withColumn("draw", F.xxhash64("doc_id", "text_crc32")).drop("row").collect()]
+    slots = dict.fromkeys(range(5), 0)
+    place = lambda r: (r["block"], r["draw"], (r["doc_id"] is not None, r["doc_id"] or 0), r["text_crc32"], r["size"])
+    for i in range(3):
+        runs = sorted(((b, j) for a, j, b in transfers if a == i), key=lambda t: (t[1] != i, t[1]))
+        ends = np.cumsum([b for b, _ in runs])
+        at = 0
+        for r in sorted((r for r in rows if r["old_shard"] == i), key=place):
+            r["want"] = runs[int(np.searchsorted(ends, at + r["size"] / 2, "right"))][1]
+            at += r["size"]
+        assert at == (ends[-1] if len(ends) else 0)
+    for r in sorted(rows, key=lambda r: (r["old_shard"], *place(r))):
+        assert (r["shard"], r["slot"]) == (r["want"], slots[r["want"]])
+        slots[r["want"]] += 1

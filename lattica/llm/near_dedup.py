@@ -163,7 +163,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Null or blank texts have an empty set and are linked with nothing. A null doc_id takes part in no
     link of its own: its component_id is that of its equals, or null, and kept is false. Rows that share
-    a doc_id are one document. Columns besides doc_id and text are ignored. An empty table gives none."""
+    a doc_id are one document. A very long text is read whole, in one task each time. Columns besides doc_id and
+    text are ignored. An empty table gives none. percent is 80 to 100."""
     if not 80 <= percent <= 100:  # bands and the sets of under 4 shingles are right from 80 on
         raise ValueError("percent must be 80 to 100")
     spark = docs.sparkSession

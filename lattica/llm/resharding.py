@@ -79,7 +79,8 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, shards: int = 16, cap
     bytes), moves and stays.
 
     A null text counts as empty; null ids, repeated and equal rows are rows like others; an empty table
-    gives an empty result. Where row is read, texts are shuffled once, by ranges of (old_shard, block)."""
+    gives an empty result. The law knows no groups: equal texts may go to different shards. A very long text is a row
+    like others. Where row is read, texts are shuffled once, by ranges of (old_shard, block)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("draw", F.xxhash64("doc_id", "text_crc32")).withColumn("block", F.pmod("draw", F.lit(BLOCKS)).cast("int"))
     blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("block_size"))

@@ -11,6 +11,7 @@ transform and common prefixes are built, one symbol per run and round, in at mos
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from .texts import chunks, keys, mix
 
 LENGTH, K = 100, 32
 PIECE = 1 << 20
-#: Runs whose transform is built together, about: the anchors of a block are whole. Anchors of more distinct
-#: runs than CROWD are split.
+#: Runs whose transform is built together, about: the anchors of a block are whole. The runs of anchors of more
+#: distinct ones than CROWD are cut around longer anchors until none has more.
 BLOCK, CROWD = 390, 3000
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
@@ -175,16 +176,66 @@ def judged(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
-def grouped(strings: DataFrame, length: int) -> DataFrame:
-    """Spans of repeats among runs of anchors that have too many distinct ones for one block: their strings,
-    one by one, meet by content in a grouping that is pre-aggregated before the shuffle, so that neither a
-    hot anchor nor a hot string fills a task; the join back is one that Spark splits by partition size."""
-    each = strings.select("anchor", "doc_id", "text_hash", F.posexplode(F.expr(f"transform(sequence(1, int(many)), i -> xxhash64(substring(bytes, i, {length})))")).alias("i", "string"), "start")
-    each = each.select("anchor", "string", "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"))
-    # Hashes meet inside an anchor only, so their number does not make other strings equal.
-    first = each.groupBy("anchor", "string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = each.join(first, ["anchor", "string"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return later.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
+def placed(strings: DataFrame, k: int) -> DataFrame:
+    """strings(anchor, ..., bytes) with the place of the anchor in each run (`at`) and its bytes (`core`)."""
+    symbol = keys(256, 11)
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw = batch.column("bytes").to_pylist()
+            x = np.frombuffer(b"".join(raw), np.uint8)
+            lens = np.array([len(r) for r in raw])
+            sums = np.append(U(0), np.cumsum(symbol[x] * powers(ODD, len(x))))
+            grams = mix((sums[k:] - sums[:-k]) * powers(INVERSE, len(x) - k + 1))
+            owner = np.repeat(np.arange(len(raw)), lens)[: len(grams)]
+            hit = np.flatnonzero(grams == batch.column("anchor").to_numpy().view(U)[owner])
+            # A run's anchor is the first of its equals; those over the edge of two runs come after it.
+            at = hit[np.unique(owner[hit], return_index=True)[1]] - (np.cumsum(lens) - lens)
+            yield batch.append_column("at", pa.array(at.astype(np.int32))).append_column("core", pa.array(np.full(len(at), k, np.int32)))
+
+    return strings.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.schema) + ", at int, core int")
+
+
+def recut(strings: DataFrame, length: int) -> DataFrame:
+    """Each run cut in two at most, around longer anchors. A string of `length` bytes with its anchor's `core`
+    in it has half of its other bytes or more to the left of that, or to the right: the strings of the first
+    kind take that half before the core into their anchor, those of the other kind the half behind. Equal
+    strings hold the core at equal places, so they get equal anchors again, and after seven cuts of a core of
+    32 in 100 bytes an anchor is a whole string."""
+    half = F.expr(f"int(({length} - core + 1) div 2)")
+    other = F.lit(length) - F.col("core") - half + 1
+    skip = F.greatest(F.lit(0), F.col("at") - half + 1)
+    kept = F.least(F.col("many"), F.col("at") - half + 1)
+
+    def part(side, core, start, many, raw, at, longer):
+        return F.struct(F.xxhash64("anchor", F.lit(side), core).alias("anchor"), start.cast("long").alias("start"), many.cast("long").alias("many"), raw.alias("bytes"), at.cast("int").alias("at"), (F.col("core") + longer).cast("int").alias("core"))
+
+    raw, at = F.col("bytes"), F.col("at")
+    left = part(0, F.substring(raw, at - half + 1, half), F.col("start"), kept, F.substring(raw, F.lit(1), (kept - 1 + length).cast("int")), at - half, half)
+    right = part(1, F.substring(raw, at + F.col("core") + 1, other), F.col("start") + skip, F.col("many") - skip, F.substring(raw, skip + 1, F.lit(2 * length)), at - skip, other)
+    cut = strings.select("doc_id", "text_hash", F.explode(F.filter(F.array(left, right), lambda p: p["many"] > 0)).alias("p"))
+    return cut.select("p.anchor", "doc_id", "text_hash", "p.start", "p.many", "p.bytes", "p.at", "p.core")
+
+
+def uncrowded(strings: DataFrame, scratch: Scratch, length: int, k: int, block: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The distinct runs of crowded anchors cut until none has more than `block`: (spans that are repeats as a
+    whole, runs to be compared). Equal runs meet by their bytes, pre-aggregated before the shuffle, so a hot
+    anchor or run fills no task."""
+    spans, few = [], []
+    columns_ = ["anchor", "doc_id", "text_hash", "start", "many", "bytes"]
+    hot = placed(strings, k)
+    while not hot.isEmpty():
+        hot = scratch.cut(recut(hot, length))
+        first = scratch.cut(hot.groupBy("anchor", "bytes").agg(F.min(F.struct("doc_id", "start")).alias("first")))
+        runs_of = scratch.cut(first.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"))
+        met = hot.join(first, ["anchor", "bytes"]).withColumn("later", F.struct("doc_id", "start") != F.col("first"))
+        spans.append(met.where("later").select("doc_id", "text_hash", "start", (F.col("start") + F.col("many") - 1 + length).alias("end")))
+        met = met.where("not later").join(runs_of, "anchor")
+        few.append(met.where(F.col("runs") <= block).select(*columns_))
+        hot = met.where(F.col("runs") > block).select(*columns_, "at", "core")
+    return spans, few
 
 
 def transform(strings: list, cap: int):
@@ -344,8 +395,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K, block: i
     A null or short text loses nothing. A null doc_id sorts before all others. Rows with equal doc_id and
     text are equally early: none repeats the other; rows of one doc_id and different texts are compared
     by start. Other columns are ignored; an empty table gives none. A doc_id of -2^63 counts as null. Texts
-    may be of any length: they are read in pieces that overlap by length - 1 bytes. Anchors of more than
-    `block` distinct runs are settled string by string, with the same result."""
+    may be of any length: they are read in pieces that overlap by length - 1 bytes. The runs of anchors of
+    more than `block` distinct ones are cut around longer anchors first, so that a transform has a bounded
+    number of members at any size."""
     if not k < length < 1 << 16:
         raise ValueError(f"strings must be longer than an anchor's {k} bytes, and shorter than 65,536")
     scratch = Scratch(docs.sparkSession)
@@ -359,13 +411,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = K, block: i
     cuts = cuts.select("doc_id", "text_hash", F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("asked"))
     piece = F.expr(f"substring(raw, int(asked.start + 1), int(asked.many - 1 + {length}))")
     strings = cuts.select("asked.anchor", "doc_id", "text_hash", "asked.start", "asked.many", piece.alias("bytes"))
-    crowded = scratch.cut(told.where("kind = 1").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block).select("anchor", F.lit(True).alias("crowded")))
-    strings = scratch.cut(strings.join(crowded, "anchor", "left"))
-    few = strings.where("crowded is null").drop("crowded")
+    crowded = scratch.cut(told.where("kind = 1").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block).select("anchor"))
+    strings = scratch.cut(strings)
+    again, few = uncrowded(strings.join(crowded, "anchor", "left_semi"), scratch, length, k, block)
+    few = reduce(DataFrame.unionByName, few, strings.join(crowded, "anchor", "left_anti"))
     near = scratch.cut(compared(few.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), length))
-    hot = scratch.cut(grouped(strings.where("crowded"), length))
-    scratch.drop(strings)
-    spans = whole.unionByName(near).unionByName(hot).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    again = [scratch.cut(reduce(DataFrame.unionByName, again))] if again else []
+    scratch.keep(told, near, *again)
+    spans = reduce(DataFrame.unionByName, [near, *again], whole).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
         for batch in batches:

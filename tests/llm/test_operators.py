@@ -152,7 +152,7 @@ def test_repeated_strings(docs, texts, length, k):
 @pytest.mark.parametrize("batch", [1, 7, 10_000])
 def test_repeated_strings_of_crowded_anchors(spark, batch):
     """Passages inside many different texts, and one 100-byte string in all of them: anchors of more runs than a
-    block holds are settled string by string, and runs of one anchor lie in several batches."""
+    block holds are cut around longer ones, and runs of one anchor lie in several batches."""
     rng = random.Random(12)
     word = "".join(rng.choices("abcdefgh ", k=300))
     texts = [prose(rng, 12) + word[: rng.randrange(110, 300)] + prose(rng, 12) for _ in range(60)] + [None, "", word, word]
@@ -169,6 +169,28 @@ def test_repeated_strings_of_crowded_anchors(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_recut_runs_hold_each_string_once(spark):
+    """Each cut gives a run's strings to two runs at most, one by one around longer anchors, and ends at whole strings."""
+    rng = random.Random(8)
+    row = lambda i, at, many: (7, i, 0, 1000 * i, many, bytes(rng.choices(range(256), k=many + 99)), at, 32)
+    rows = [row(1, 68, 69), row(2, 0, 1), row(3, 68, 1), row(4, 40, 30)]
+    cut = spark.createDataFrame(rows, "anchor long, doc_id long, text_hash long, start long, many long, bytes binary, at int, core int")
+    texts = {r[1]: r[5] for r in rows}
+    strings = sorted((r[1], r[3] + i) for r in rows for i in range(r[4]))
+    before = len(rows)
+    for level in range(7):
+        cut = spark.createDataFrame(suffix_dedup.recut(cut, 100).collect(), cut.schema)
+        got = cut.collect()
+        assert len(got) <= 2 * before
+        before = len(got)
+        assert sorted((r["doc_id"], r["start"] + i) for r in got for i in range(r["many"])) == strings
+        for r in got:
+            at = r["start"] - 1000 * r["doc_id"]
+            assert bytes(r["bytes"]) == texts[r["doc_id"]][at : at + r["many"] + 99]
+            assert r["at"] - r["many"] + 1 >= 0 and r["at"] + r["core"] <= 100
+    assert all(r["core"] == 100 and r["many"] == 1 for r in got)
+
+
 def test_transform_sorts_suffixes():
     rng = random.Random(4)
     for _ in range(20):

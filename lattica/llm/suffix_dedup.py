@@ -138,7 +138,8 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def judged(found: DataFrame, length: int) -> DataFrame:
     """Spans that are repeats as a whole (kind 0: start, end in bytes), and the first of each of the distinct
-    runs of an anchor that has several (kind 1: start, many), from occurrences sorted within anchors.
+    runs of an anchor that has several (kind 1: start, many), from occurrences sorted within anchors. A run at
+    the place of the first one in another text of its doc_id counts as distinct too.
 
     Of earlier batches only the first row of the last run is remembered, and the last anchor's first run
     until a second one turns up: an anchor of any number of occurrences takes no more memory than a batch."""
@@ -150,17 +151,18 @@ def judged(found: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(batch.column(c).take(pick) for c in ("anchor", "run", "doc_id", "text_hash", "start")), pa.array(many)], names=[f.split()[0] for f in schema.split(", ")])
 
     def run(batches):
-        last = held = None  # last: anchor, run, and doc_id and start of the run's first row
+        last = held = None  # last: anchor, run, and doc_id, start and text of the run's first row
         for batch in batches:
             if not len(batch):
                 continue
-            a, r, d, s, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "run", "doc_id", "start", "many"))
+            a, r, d, s, m, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "run", "doc_id", "start", "many", "text_hash"))
             new_a = np.append(last is None or a[0] != last[0], a[1:] != a[:-1])
             new_r = new_a | np.append(last is None or r[0] != last[1], r[1:] != r[:-1])
             lead = np.maximum.accumulate(np.where(new_r, np.arange(len(a)), -1))
-            before = (0, 0) if last is None else last[2:]
-            lead_d, lead_s = np.where(lead < 0, before[0], d[lead]), np.where(lead < 0, before[1], s[lead])
-            later = ~new_r & ~((d == lead_d) & (s == lead_s)) | (m < 0)
+            before = (0, 0, 0) if last is None else last[2:]
+            lead_d, lead_s, lead_h = (np.where(lead < 0, b, c[lead]) for b, c in zip(before, (d, s, h)))
+            equal = (d == lead_d) & (s == lead_s)
+            later = ~new_r & ~equal | (m < 0)
             distinct = np.flatnonzero(new_r)
             several = np.zeros(len(a), bool)
             if len(distinct):
@@ -169,9 +171,9 @@ def judged(found: DataFrame, length: int) -> DataFrame:
                 if held is not None and not opens[0]:
                     yield held
                 held = told(batch, np.ones(1), distinct[-1:]) if opens[-1] and not later[distinct[-1]] else None
-            keep = np.flatnonzero(later | several)
+            keep = np.flatnonzero(later | several | equal & (h != lead_h))
             yield told(batch, np.where(later[keep], 0, 1), keep)
-            last = a[-1], r[-1], lead_d[-1], lead_s[-1]
+            last = a[-1], r[-1], lead_d[-1], lead_s[-1], lead_h[-1]
 
     return found.mapInArrow(run, schema)
 

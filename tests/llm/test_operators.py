@@ -169,6 +169,18 @@ def test_repeated_strings_of_crowded_anchors(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("block", [1, 3000])
+def test_repeated_strings_of_one_id_with_different_texts(spark, block):
+    """Two texts of one doc_id hold the same run at the same place: both lose what stands in an earlier document."""
+    rng = random.Random(5)
+    p = "".join(rng.choices("abcdefgh ", k=140))
+    ends = [f"{i}" + prose(rng, 30) for i in range(4)]
+    rows = [(3, "zz " + p[:125] + ends[0]), (5, p + ends[1]), (5, p + ends[2]), (5, p + ends[2]), (9, p + ends[3])]
+    got = suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    removed_of = sorted((r["doc_id"], r["n_removed"]) for r in got)
+    assert removed_of == [(3, 0), (5, 125), (5, 125), (5, 125), (9, 140)]
+
+
 def test_recut_runs_hold_each_string_once(spark):
     """Each cut gives a run's strings to two runs at most, one by one around longer anchors, and ends at whole strings."""
     rng = random.Random(8)

@@ -7,10 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .outlines import grouped, linked, side_chains
-from .polygons import edges
+from .outlines import linked, side_chains
 from .raster import Level
-from .spans import as_spans, boxes, topmost
+from .spans import as_spans, boxes, grouped, ragged, spread, thinned, topmost
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -56,19 +55,43 @@ def top_hit(hits: DataFrame, key: list[str]) -> DataFrame:
     return hits.groupBy(*key).agg(F.max("object_id").alias("object_id"))
 
 
+def crossings(part: pa.Table, width: int, height: int) -> pa.RecordBatch:
+    """The spans (row_, c0, c1, value) inside each of a part's rings, whose vertices come whole; of equal
+    extents that of the highest id."""
+    id_, no, x, y = (part[c].to_numpy() for c in ("object_id", "vertex_no", "x", "y"))
+    order = np.lexsort((no, id_))
+    id_, x, y = id_[order], x[order], y[order]
+    first = np.flatnonzero(np.append(True, id_[1:] != id_[:-1]))
+    after = np.arange(1, len(id_) + 1)
+    after[np.append(first[1:], len(id_)) - 1] = first
+    with np.errstate(invalid="ignore"):
+        low, high = np.maximum(0, np.ceil(np.minimum(y, y[after]))), np.minimum(height - 1, np.ceil(np.maximum(y, y[after])) - 1)
+        e = np.flatnonzero((y != y[after]) & (low <= high) & ~np.isnan(x + x[after]))
+    n = (high[e] - low[e]).astype(np.int64) + 1
+    row, e = ragged(low[e].astype(np.int64), n), np.repeat(e, n)
+    f = after[e]
+    at = x[e] + (row - y[e]) * (x[f] - x[e]) / (y[f] - y[e])
+    order = np.lexsort((at, row, id_[e]))
+    id_, row, at = id_[e][order], row[order], at[order]
+    # Crossings of a ring and row come in pairs; a ring is closed, so that their number is even.
+    new = np.append(True, (id_[1:] != id_[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+    place = np.arange(len(row)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    a = np.flatnonzero((place % 2 == 0) & np.append(~new[1:], False)[: len(row)])
+    c0, c1 = np.maximum(0, np.ceil(at[a])), np.minimum(width - 1, np.ceil(at[a + 1]) - 1)
+    seen = c0 <= c1
+    found = row[a[seen]], c0[seen].astype(np.int64), c1[seen].astype(np.int64), id_[a[seen]]
+    stay = thinned(*found)
+    return pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in found], names=["row_", "c0", "c1", "value"])
+
+
 def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     """Label mask, as spans (row_, c0, c1, value), of rings(object_id, vertex_no, x, y) in pixel units; where
     objects overlap, the highest id stays. Each pixel row crosses a ring's edges in pairs (even-odd,
-    half-open); the pixels between the two of a pair are inside. No row is made per pixel."""
-    e = edges(vertices).where("y <> y2")
-    e = e.withColumns({"_r0": F.greatest(F.lit(0), F.ceil(F.least("y", "y2"))), "_r1": F.least(F.lit(height - 1), F.ceil(F.greatest("y", "y2")) - 1)}).where("_r0 <= _r1")
-    e = e.withColumn("row_", F.explode(F.sequence(F.col("_r0").cast("int"), F.col("_r1").cast("int"))))
-    e = e.withColumn("_at", F.col("x") + (F.col("row_") - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y")))
-    t = e.groupBy("object_id", "row_").agg(F.sort_array(F.collect_list("_at")).alias("_c"))  # crossings of one ring
-    t = t.select("object_id", "row_", F.explode(F.sequence(F.lit(0), (F.floor(F.size("_c") / 2) - 1).cast("int"))).alias("_i"), "_c")
-    a, b = F.get("_c", F.col("_i") * 2), F.get("_c", F.col("_i") * 2 + 1)
-    t = t.select("row_", F.greatest(F.lit(0), F.ceil(a)).alias("c0"), F.least(F.lit(width - 1), F.ceil(b) - 1).alias("c1"), F.col("object_id").alias("value"))
-    return topmost(t.where("c0 <= c1"))
+    half-open); the pixels between the two of a pair are inside. No row is made per pixel, and Spark moves
+    the vertices, not their crossings."""
+    t = vertices.select(*[F.col(c).cast(k).alias(c) for c, k in (("object_id", "long"), ("vertex_no", "long"), ("x", "double"), ("y", "double"))])
+    t = spread(t.dropna(), "object_id").sortWithinPartitions("object_id")
+    return topmost(t.mapInArrow(lambda batches: grouped(batches, "object_id", lambda part: crossings(part, width, height)), "row_ long, c0 long, c1 long, value long"))
 
 
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:

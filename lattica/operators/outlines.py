@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import as_spans, ragged
+from .spans import as_spans, grouped, ragged, spread
 
 #: Side of the blocks in which sides are linked.
 STEP = 256
@@ -22,25 +22,6 @@ POINTS = "array<struct<x:double,y:double>>"
 CHAIN = f"label long, start long, next long, cross double, points {POINTS}"
 
 
-def grouped(batches, key: str, done):
-    """Batches of rows sorted by key, cut so that a key's rows come whole: done(table) for each part."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        at = batch.column(batch.schema.get_field_index(key)).to_numpy()
-        if not len(at):
-            continue
-        cut = int(np.searchsorted(at, at[-1], "left"))  # the last key may go on in the next batch
-        if cut:
-            yield done(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks())
-            rest = []
-        elif rest and rest[-1].column(batch.schema.get_field_index(key))[-1].as_py() != at[0]:
-            yield done(pa.Table.from_batches(rest).combine_chunks())
-            rest = []
-        rest.append(batch.slice(cut))
-    if rest:
-        yield done(pa.Table.from_batches(rest).combine_chunks())
-
-
 def structs(x: np.ndarray, y: np.ndarray, lens: np.ndarray) -> pa.Array:
     """Lists of points from flat coordinates."""
     ends = np.append(0, np.cumsum(lens)).astype(np.int32)

@@ -25,7 +25,7 @@ def as_spans(mask: DataFrame) -> DataFrame:
 
 def to_spans(mask: DataFrame) -> DataFrame:
     """The longest spans of a mask of either form, background left out."""
-    t = as_spans(mask).where("value <> 0")
+    t = spread(as_spans(mask).where("value <> 0"), "row_", "value")
     w = Window.partitionBy("row_", "value").orderBy("c0")
     new = F.coalesce(F.col("c0") > F.lag("c1").over(w) + 1, F.lit(True)).cast("int")
     t = t.withColumn("_n", new).withColumn("_n", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -48,31 +48,67 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum())) + np.repeat(starts - np.cumsum(lens) + lens, lens)
 
 
+def grouped(batches, key: str, done):
+    """Batches of rows sorted by key, cut so that a key's rows come whole: done(table) for each part."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        if not len(at):
+            continue
+        cut = int(np.searchsorted(at, at[-1], "left"))  # the last key may go on in the next batch
+        if cut:
+            yield done(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks())
+            rest = []
+        elif rest and rest[-1].column(batch.schema.get_field_index(key))[-1].as_py() != at[0]:
+            yield done(pa.Table.from_batches(rest).combine_chunks())
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield done(pa.Table.from_batches(rest).combine_chunks())
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df with equal keys in one task, in as many tasks as Spark's setting names: joined by their compressed size, as
+    Spark would otherwise do, few tasks hold all rows until each reads tens of megabytes of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def thinned(row, c0, c1, value) -> np.ndarray:
+    """Which of some spans stay of equal extents: the one of highest value."""
+    order = np.lexsort((value, c1, c0, row))
+    return order[np.append(np.any([v[order][1:] != v[order][:-1] for v in (row, c0, c1)], 0), True)[: len(order)]]
+
+
 def topmost(drawn: DataFrame) -> DataFrame:
     """Spans of a mask from drawn(row_, c0, c1, value) that overlap: the highest value stays at each place.
 
-    Equal extents are thinned out to their highest value before anything is shuffled together. Then spans are cut
-    at the edges of blocks; in a block their ends cut the rows into pieces, and values are laid on
-    these in ascending order, a sweep of all rows at once. Pieces of one label that touch become one span."""
-    t = drawn.select(F.col("row_").cast("long").alias("row_"), F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"), F.col("value").cast("long").alias("value"))
-    t = t.where("c0 <= c1").groupBy("row_", "c0", "c1").agg(F.max("value").alias("value"))
+    Equal extents are thinned out to their highest value before blocks are put together. Then spans are cut at the edges of blocks, and their places in a block are packed into one number; in a block their ends cut the
+    rows into pieces, and values are laid on these in ascending order, a sweep of all rows at once. Pieces of one
+    label that touch become one span."""
+    t = drawn.select(*[F.col(c).cast("long").alias(c) for c in ("row_", "c0", "c1", "value")])
+    t = spread(t.where("c0 <= c1"), "row_", "c0", "c1").groupBy("row_", "c0", "c1").agg(F.max("value").alias("value"))
     t = t.withColumn("_b", F.explode(F.sequence(F.floor(F.col("c0") / COLS), F.floor(F.col("c1") / COLS))))
-    t = t.select(F.struct(F.floor(F.col("row_") / ROWS).alias("r"), F.col("_b").alias("c")).alias("_k"), "row_", F.greatest("c0", F.col("_b") * COLS).alias("c0"), F.least("c1", F.col("_b") * COLS + COLS - 1).alias("c1"), "value")
-
-    def settle(part: pa.Table) -> pa.Table:
-        row, c0, c1, value = (part[c].to_numpy() for c in ("row_", "c0", "c1", "value"))
-        r0, left = row.min(), c0.min()
-        width = int(c1.max() - left) + 2  # a column between rows, so that no span goes on in the next one
-        start, end = (row - r0) * width + c0 - left, (row - r0) * width + c1 - left + 1
+    left, high = F.col("_b") * COLS, F.floor(F.col("row_") / ROWS)
+    place = ((F.col("row_") - high * ROWS) * COLS + F.greatest("c0", left) - left) * COLS + F.least("c1", left + COLS - 1) - left
+    t = t.select((high * (1 << 31) + F.col("_b") + (1 << 30)).alias("block"), place.cast("int").alias("place"), "value")
+
+    def settle(part: pa.Table) -> pa.RecordBatch:
+        block, place, value = (part[c].to_numpy() for c in ("block", "place", "value"))
+        first = np.append(True, block[1:] != block[:-1])
+        blocks, width = block[first], COLS + 1  # a column between rows, so that no span goes on in the next one
+        line = ((np.cumsum(first) - 1) * ROWS + place // COLS**2) * width
+        start, end = line + place // COLS % COLS, line + place % COLS + 1
         ends = np.unique(np.append(start, end))
-        first, last = np.searchsorted(ends, start), np.searchsorted(ends, end)
+        begin, stop = np.searchsorted(ends, start), np.searchsorted(ends, end)
         order = np.argsort(value, kind="stable")
         top, there = np.zeros(len(ends), np.int64), np.zeros(len(ends), bool)
-        at = ragged(first[order], (last - first)[order])
-        top[at], there[at] = np.repeat(value[order], (last - first)[order]), True  # of equal places the last one stays
+        at = ragged(begin[order], (stop - begin)[order])
+        top[at], there[at] = np.repeat(value[order], (stop - begin)[order]), True  # of equal places the last one stays
         begins = there & np.append(True, ~there[:-1] | (top[1:] != top[:-1]))
         stops = there & np.append(~there[1:] | (top[1:] != top[:-1]), True)
         a, b = ends[begins], np.append(ends[1:], ends[-1])[stops]
-        return pa.table({"row_": a // width + r0, "c0": a % width + left, "c1": (b - 1) % width + left, "value": top[begins]})
+        of = blocks[a // width // ROWS]
+        row, col = (of >> 31) * ROWS + a // width % ROWS, ((of & ((1 << 31) - 1)) - (1 << 30)) * COLS
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (row, a % width + col, (b - 1) % width + col, top[begins])], names=["row_", "c0", "c1", "value"])
 
-    return t.groupBy("_k").applyInArrow(settle, "row_ long, c0 long, c1 long, value long")
+    return spread(t, "block").sortWithinPartitions("block").mapInArrow(lambda batches: grouped(batches, "block", settle), "row_ long, c0 long, c1 long, value long")

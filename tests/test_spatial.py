@@ -303,6 +303,19 @@ def test_trace_square_and_friends(spark):
     assert ras.drop_report(ras.label_boxes(mask(spark, a))).first()["too_small"] == 1
 
 
+def test_mask_in_as_many_tasks_as_set(spark):
+    """Spark doesn't join a mask's small tasks to a few large ones; equal and overlapping squares keep the highest id."""
+    rows = [v for i in range(1, 60) for v in square(i, i % 20 * 30 - 0.5, i % 7 * 20 - 0.5, 8 + i % 3)]
+    m = geo.rasterize(vertices(spark, rows), 3000, 200)
+    assert m.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spans.to_spans(m).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {}
+    for i in range(1, 60):
+        want |= {(i % 7 * 20 + r, i % 20 * 30 + c): i for r in range(8 + i % 3) for c in range(8 + i % 3)}
+    assert {(r["row_"], r["col_"]): r["value"] for r in spans.pixels(m).collect()} == want
+    assert geo.rasterize(vertices(spark, rows).limit(0), 30, 20).count() == 0
+
+
 def test_rasterize_round_trip(spark):
     rows = [(o, n, x - 0.5, y - 0.5) for o, n, x, y in square(1, 3, 3, 10) + square(2, 20, 5, 8) + square(3, 24, 9, 8)]
     m = {(r["row_"], r["col_"]): r["value"] for r in spans.pixels(geo.rasterize(vertices(spark, rows), 40, 40)).collect()}

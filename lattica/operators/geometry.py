@@ -240,6 +240,39 @@ def triangulated(rings: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
 
+def summarised(rings: pa.Array) -> list[pa.Array]:
+    """n_vertices, cx, cy and area of each of a column of rings, as polygons.summaries has them: sums go from vertex to
+    vertex, those of all rings of a batch together, and pass over nulls."""
+    lens = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rings.flatten()
+    x, y = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (0, 1))
+    begin = np.cumsum(lens) - lens
+    sums, known = np.zeros((3, len(lens))), np.zeros((3, len(lens)), np.int64)
+    for k in range(int(lens.max(initial=0))):
+        which = np.flatnonzero(lens > k)
+        first = begin[which]
+        at, nxt = first + k, first + np.where(k + 1 < lens[which], k + 1, 0)
+        x2, y2 = (np.where(np.isnan(c[nxt]), c[first], c[nxt]) for c in (x, y))
+        for i, v in enumerate((x[at], y[at], x[at] * y2 - x2 * y[at])):
+            there = ~np.isnan(v)
+            sums[i, which[there]] += v[there]
+            known[i, which[there]] += 1
+    parts = sums[0] / np.maximum(known[0], 1), sums[1] / np.maximum(known[1], 1), np.abs(sums[2]) / 2
+    return [pa.array(lens), *[pa.array(v, mask=n == 0) for v, n in zip(parts, known)]]
+
+
+def shapes(objects: DataFrame) -> DataFrame:
+    """objects(object_id, ring) with `triangles`, n_vertices, cx, cy and area."""
+    names = ["object_id", "ring", "triangles", "n_vertices", "cx", "cy", "area"]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), triangulated(batch.column(1)), *summarised(batch.column(1))], names=names)
+
+    kind = objects.schema["object_id"].dataType.simpleString()
+    return objects.select("object_id", "ring").mapInArrow(run, f"object_id {kind}, ring {RING}, triangles array<int>, n_vertices long, cx double, cy double, area double")
+
+
 def _rings(column) -> list[np.ndarray]:
     out = []
     for v in column:

@@ -179,9 +179,12 @@ def load_segments(spark: SparkSession, source: dict, order: list[str] | None = N
 
 def write_segment_layer(vertices: DataFrame, path: str, grid: Grid, attributes: DataFrame | None = None, categories: dict[str, DataFrame] | None = None) -> dict:
     """Polygon tiles (ring, triangles) and the feature table of vertices(object_id, vertex_no, x, y), with the tile
-    index, and ranges and domains of the columns that objects can be coloured by."""
+    index, and ranges and domains of the columns that objects can be coloured by. Rings are put together,
+    triangulated and summed up once, and written under path until features and polygons are made from them."""
     spark = vertices.sparkSession
-    objects = poly.summaries(vertices).withColumnsRenamed({"cx": "x_centroid", "cy": "y_centroid"})
+    geo.shapes(poly.rings(vertices)).write.mode("overwrite").parquet(f"{path}/shapes")
+    shapes = spark.read.parquet(f"{path}/shapes")
+    objects = shapes.drop("ring", "triangles").withColumnsRenamed({"cx": "x_centroid", "cy": "y_centroid"})
     objects = objects.withColumns({"cx": F.col("x_centroid"), "cy": F.col("y_centroid")})
     placed = poly.dense_ids(poly.placed(objects, grid)).drop("cx", "cy", "gx", "gy")
     table = feat.join_attributes(placed, attributes) if attributes is not None else placed
@@ -190,9 +193,10 @@ def write_segment_layer(vertices: DataFrame, path: str, grid: Grid, attributes:
     written = spark.read.parquet(f"{path}/features")
     feat.value_ranges(written, feat.colour_columns(written)).write.mode("overwrite").parquet(f"{path}/ranges")
     feat.domains(written, spark.read.parquet(f"{path}/ranges")).write.mode("overwrite").parquet(f"{path}/domains")
-    keys = written.select("object_id", "cell_id", "tile_row", "tile_col", "hilbert", "n_vertices")
-    tiles = geo.triangulate_rings(poly.rings(vertices)).join(keys, "object_id").select("tile_row", "tile_col", "cell_id", "ring", "triangles")
+    keys = written.select("object_id", "cell_id", "tile_row", "tile_col")
+    tiles = shapes.join(keys, "object_id").select("tile_row", "tile_col", "cell_id", "ring", "triangles")
     tiles.repartitionByRange("cell_id").sortWithinPartitions("cell_id").write.mode("overwrite").parquet(f"{path}/polygons")
+    store.delete(spark, f"{path}/shapes")
     index = written.groupBy("tile_row", "tile_col").agg(F.count("*").alias("objects"), F.sum("n_vertices").alias("vertices"))
     index.repartitionByRange(1, "tile_row", "tile_col").write.mode("overwrite").parquet(f"{path}/index")
     return {"color_by": feat.default_colour(table), "categoricals": sorted(categories or {})}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import grid as gr
 from lattica.operators import features as feat
+from lattica.operators import geometry as geo
+from lattica.operators import polygons as poly
 from lattica.sources import layouts, manifest, slide, store
 
 
@@ -186,3 +188,26 @@ def test_views_read_the_rectangle_only(spark, tmp_path):
     lo, hi = feat.robust_domain(spark.read.parquet(f"{path}/features"), "area").first()
     table = spark.read.parquet(f"{path}/features").where("object_id < 2").select("cell_id", feat.ramp_position(F.col("area"), F.lit(lo), F.lit(hi)).alias("colour"))
     assert sorted(map(tuple, view.select("cell_id", "colour").collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_segment_layer_puts_rings_together_once(spark, tmp_path):
+    """The vertices are read once for features, shapes and their sampled ranges; the shapes kept for that go."""
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    rows = [(i, j, x + 10.0 * i, y) for i in range(50) for j, (x, y) in enumerate(((0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)))]
+    kind = "object_id long, vertex_no int, x double, y double"
+    cells = spark.createDataFrame(rows, kind)
+    path = f"file://{tmp_path}/layer"
+    slide.write_segment_layer(cells.mapInArrow(counted, kind), path, gr.Grid(0, 0, 500, 500, 2))
+    assert n.value == len(rows)
+    assert not (tmp_path / "layer" / "shapes").exists()
+    assert {(r["object_id"], r["n_vertices"], r["area"], r["x_centroid"]) for r in spark.read.parquet(f"{path}/features").collect()} == {(i, 4, 12.0, 10.0 * i + 2) for i in range(50)}
+    one = lambda t: sorted(map(tuple, t.select("object_id", "n_vertices", "cx", "cy", "area").collect()))
+    assert one(geo.shapes(poly.rings(cells))) == one(poly.summaries(cells))
+    odd = spark.createDataFrame([(1, 0, 0.1, 0.2), (1, 1, None, 3.0), (1, 2, 5.7, 0.3), (2, 0, None, None), (3, 0, 1.1, 2.2)], kind)
+    assert one(geo.shapes(poly.rings(odd))) == one(poly.summaries(odd))

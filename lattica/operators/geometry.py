@@ -325,7 +325,7 @@ def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tole
         return pa.RecordBatch.from_arrays([pa.array(label[best]), _struct(rings)], names=["object_id", "ring"])
 
     chains = side_chains(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
-    chains = chains.withColumnRenamed("object_id", "label").repartition("label").sortWithinPartitions("label")
+    chains = spread(chains.withColumnRenamed("object_id", "label"), "label").sortWithinPartitions("label")
     found = chains.mapInArrow(lambda batches: grouped(batches, "label", traced), f"object_id long, ring {RING}")
     return found.where(F.size("ring") >= 3).join(sizes, "object_id").withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))
 

@@ -75,7 +75,7 @@ def side_chains(mask: DataFrame, step: int = STEP) -> DataFrame:
     t = t.withColumn("_r", F.explode(F.array_distinct(F.array(*[at(F.col("row_") + k) for k in (-1, 0, 1)]))))
     t = t.withColumn("_c", F.explode(F.sequence(at(F.col("c0") - 1), at(F.col("c1") + 1))))
     t = t.select(((F.col("_r") + 1) * (1 << 31) + F.col("_c") + 1).alias("block"), "row_", F.greatest("c0", F.col("_c") * step - 1).alias("c0"), F.least("c1", F.col("_c") * step + step).alias("c1"), "value")
-    t = t.where("c0 <= c1").repartition("block").sortWithinPartitions("block")
+    t = spread(t.where("c0 <= c1"), "block").sortWithinPartitions("block")
 
     def chains_of(block: int, rows, c0, c1, values):
         r0, l0 = ((block >> 31) - 1) * step, ((block & ((1 << 31) - 1)) - 1) * step
@@ -160,6 +160,8 @@ def outlines(mask: DataFrame, path: str, step: int = STEP) -> DataFrame:
     spark = mask.sparkSession
     side_chains(mask, step).write.parquet(f"{path}/chains")
     chains = spark.read.parquet(f"{path}/chains").withColumn("n", F.size("points").cast("long"))
+    # A chain that is a ring by itself has its place already.
+    whole, chains = chains.where("next is null").withColumns({"least": F.col("start"), "offset": F.lit(0).cast("long")}), chains.where("next is not null")
     t = chains.select(F.col("start").alias("node"), F.coalesce("next", "start").alias("to"))
     t = t.select("node", "to", F.least("node", "to").alias("least"), F.lit(True).alias("moved"))
 
@@ -177,7 +179,7 @@ def outlines(mask: DataFrame, path: str, step: int = STEP) -> DataFrame:
         return t.join(other, "back", "left").select("node", F.col("back2").alias("back"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"))
 
     place = rounds(t, f"{path}/place", before, "back is not null").select("node", "offset").join(ring, "node")
-    chains = chains.withColumnRenamed("start", "node").join(place, "node")
+    chains = chains.withColumnRenamed("start", "node").join(place, "node").unionByName(whole.withColumnRenamed("start", "node"))
     sizes = chains.groupBy("label", "least").agg(F.sum("n").alias("n"), F.sum("cross").alias("cross")).where("cross > 0")
     best = sizes.groupBy("label").agg(F.min_by("least", F.struct((-F.col("n")).alias("n"), "least")).alias("least"))
     kept = chains.join(best, ["label", "least"], "left_semi")

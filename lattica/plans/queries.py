@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import grid as gr
@@ -776,17 +776,26 @@ def f17_grouped_tables(spark, d):
 
 
 def one_span_a_row(mask):
-    """(object_id) of labels that are one run of pixels in each of their rows, each run touching the one above."""
+    """(object_id) of labels that are one run of pixels in each of their rows, each run touching the one above. Spans
+    are joined up per task first; then a label's rows lie in one task for all that follows."""
     rows = mask.groupBy(F.col("value").alias("object_id"), "row_").agg(F.min("c0").alias("a"), F.max("c1").alias("z"), F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
-    up = rows.select("object_id", (F.col("row_") + 1).alias("row_"), F.col("a").alias("pa"), F.col("z").alias("pz"))
-    t = rows.join(up, ["object_id", "row_"], "left")
+    w = Window.partitionBy("object_id").orderBy("row_")
+    above = F.lag("row_").over(w) == F.col("row_") - 1
+    t = rows.withColumns({"pa": F.when(above, F.lag("a").over(w)), "pz": F.when(above, F.lag("z").over(w))})
     ok = (F.col("n") == F.col("z") - F.col("a") + 1) & (F.col("pa").isNull() | ((F.col("pa") <= F.col("z")) & (F.col("pz") >= F.col("a"))))
     return t.groupBy("object_id").agg(F.bool_and(ok).alias("ok"), F.count_if(F.col("pa").isNull()).alias("tops")).where("ok and tops = 1").select("object_id")
 
 
+def drawn_mask(spark, d):
+    """The mask of the small boxes, written, as it is read more than once."""
+    path = folder(spark)
+    geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(with_("small", more=MASK_SQL) + "select value as object_id, count(*) as pixel_area, count(*) * 0.25e0 as area from drawn group by value having count(*) >= 4")
 def r1_masks_to_polygons(spark, d):
-    m = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    m = drawn_mask(spark, d)
     return geo.polygons_from_labels(m, ras.Level((0.5, 0.5)), 0.0).select("object_id", "pixel_area", "area")
 
 
@@ -799,7 +808,7 @@ whole as (select value from (select *, lag(a) over w as pa, lag(z) over w as pz,
 
 @query(with_("small", more=OUTLINE_SQL) + "select value as object_id, sum(open)::bigint as n_vertices from sides join whole using (value) group by value having count(*) >= 4")
 def r2_trace_outlines(spark, d):
-    m = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    m = drawn_mask(spark, d)
     rings = geo.polygons_from_labels(m, tolerance=0.0).select("object_id", F.size("ring").cast("long").alias("n_vertices"))
     return rings.join(one_span_a_row(m), "object_id", "left_semi")
 
@@ -807,7 +816,7 @@ def r2_trace_outlines(spark, d):
 @query(with_("small", more=OUTLINE_SQL) + "select value as object_id, sum(open)::bigint as n_vertices from sides join whole using (value) group by value")
 def r2_wide_outlines(spark, d):
     """Outlines ranked across blocks of 64 pixels, in long form."""
-    m = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    m = drawn_mask(spark, d)
     t = outlines(m, folder(spark), 64).groupBy("object_id").agg(F.countDistinct("vertex_no").alias("n_vertices"))
     return t.join(one_span_a_row(m), "object_id", "left_semi")
 
@@ -869,7 +878,7 @@ def r6_tile_local_triangles(spark, d):
 def r7_round_trip(spark, d):
     """Rings drawn as a mask and traced back, of objects in one piece: a contour through half-way points cuts at most
     an eighth of a pixel from each of its corners, and there are no more corners than vertices."""
-    mask = geo.rasterize(T.small_boxes(spark, d), T.mask_width(spark, d), 800)
+    mask = drawn_mask(spark, d)
     t = geo.polygons_from_labels(mask, tolerance=0.0).join(one_span_a_row(mask), "object_id", "left_semi")
     close = F.abs(geo.ring_area(F.col("ring")) - F.col("pixel_area")) <= F.size("ring") / 8
     return t.select("object_id", "pixel_area", close.alias("close"))

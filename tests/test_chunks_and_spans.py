@@ -190,3 +190,14 @@ def test_paths_and_rings():
     order, begins, ring = outlines.ordered(after)
     assert order.tolist() == [0, 3, 1, 2, 5, 4, 6, 8, 7] and begins.tolist() == [0, 3, 5, 8] and ring.tolist() == [False, True, True, True]
     assert [len(x) for x in outlines.ordered(np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_closed_chains_are_not_ranked(spark, tmp_path):
+    """A ring inside one block takes no part in the rounds; one across blocks does, and both come out."""
+    t = spark.createDataFrame([(r, c, c + 2, v) for c, v in ((2, 1), (7, 2)) for r in (2, 3, 4)], "row_ long, c0 long, c1 long, value long")
+    path = f"file://{tmp_path}/o"
+    got = [tuple(r) for r in outlines.outlines(t, path, 8).groupBy("object_id").agg(F.count("*"), F.countDistinct("vertex_no"), F.max("vertex_no")).orderBy("object_id").collect()]
+    assert got == [(1, 12, 12, 11), (2, 12, 12, 11)]
+    chains = spark.read.parquet(f"{path}/chains")
+    closed = {r["start"] for r in chains.where("next is null").collect()}
+    assert closed and not closed & {r["node"] for r in spark.read.parquet(f"{path}/least/0").collect()}

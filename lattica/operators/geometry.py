@@ -273,11 +273,13 @@ def shapes(objects: DataFrame) -> DataFrame:
     return objects.select("object_id", "ring").mapInArrow(run, f"object_id {kind}, ring {RING}, triangles array<int>, n_vertices long, cx double, cy double, area double")
 
 
-def _rings(column) -> list[np.ndarray]:
-    out = []
-    for v in column:
-        out.append(np.stack([v.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1) if v.is_valid and len(v) else np.zeros((0, 2)))
-    return out
+def _rings(column: pa.Array) -> list[np.ndarray]:
+    """Each ring of a column as an array, cut from the column's coordinates."""
+    lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    points = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+    ends = np.cumsum(lens).tolist()
+    return [points[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _struct(rings: list[np.ndarray]) -> pa.Array:
@@ -286,14 +288,16 @@ def _struct(rings: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"]))
 
 
-def simplify_rings(objects: DataFrame, tolerance: float = 0.75) -> DataFrame:
-    """objects(object_id, ring) with simplified rings."""
+def simplify_rings(objects: DataFrame, tolerance: float = 0.75, name: str = "ring") -> DataFrame:
+    """objects(object_id, ring) with simplified rings; under another name they stand beside the rings."""
+    kept = ["object_id"] if name == "ring" else ["object_id", "ring"]
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _struct([simplify(r, tolerance) for r in _rings(batch.column(1))])], names=["object_id", "ring"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], _struct([simplify(r, tolerance) for r in _rings(batch.column(1))])], names=[*kept, name])
 
-    return objects.select("object_id", "ring").mapInArrow(run, f"object_id {objects.schema['object_id'].dataType.simpleString()}, ring {RING}")
+    kinds = [objects.schema["object_id"].dataType.simpleString(), RING]
+    return objects.select("object_id", "ring").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip([*kept, name], [*kinds[: len(kept)], RING])))
 
 
 def triangulate_rings(objects: DataFrame) -> DataFrame:

@@ -826,9 +826,7 @@ far as (select object_id, max((x - mx) ** 2 + (y - my) ** 2) as far from boundar
 def r3_simplify_rings(spark, d):
     """Simplified rings held against their rings: only vertices of the ring stay, in the ring's order; no vertex
     lies further off than the tolerance; and the one furthest from the mean stays, first."""
-    rings = poly.rings(T.boundaries(spark, d))
-    simple = geo.simplify_rings(rings, 1500.0).withColumnRenamed("ring", "simple")
-    t = rings.join(simple, "object_id")
+    t = geo.simplify_rings(poly.rings(T.boundaries(spark, d)), 1500.0, "simple")
     xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)
     off = lambda v: F.pow(v["x"] - mean(xs), F.lit(2.0)) + F.pow(v["y"] - mean(ys), F.lit(2.0))

@@ -434,3 +434,11 @@ def test_tile_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("tiles").collect())) == sorted(map(tuple, tile_stream(batch, g).collect()))
+
+
+def test_simplified_rings_stand_beside_rings(spark):
+    rings = poly.rings(vertices(spark, [(1, 0, 0.0, 0.0), (1, 1, 4.0, 0.1), (1, 2, 8.0, 0.0), (1, 3, 8.0, 8.0), (1, 4, 0.0, 8.0), *square(2, 0, 0, 3)]))
+    got = {r["object_id"]: (r["ring"], r["simple"]) for r in geo.simplify_rings(rings, 0.5, "simple").collect()}
+    assert {k: (len(a), len(b)) for k, (a, b) in got.items()} == {1: (5, 4), 2: (4, 4)}
+    assert {r["object_id"]: r["ring"] for r in geo.simplify_rings(rings, 0.5).collect()} == {k: b for k, (_, b) in got.items()}
+    assert geo.simplify_rings(rings, 0.5, "simple").select("ring").exceptAll(rings.select("ring")).isEmpty()

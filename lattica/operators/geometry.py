@@ -14,13 +14,23 @@ from .spans import as_spans, boxes, grouped, ragged, spread, thinned, topmost
 RING = "array<struct<x:double,y:double>>"
 
 
-def inside_ring(ring: Column, px: Column, py: Column) -> Column:
-    """Even-odd rule, half-open: an edge counts if (y1 > py) differs from (y2 > py) and it lies right of px."""
+def slanted(ring: Column) -> Column:
+    """The sides (x, y, y2, dx, dy) of a ring but for level ones, which no test counts."""
     nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    pairs = F.arrays_zip(ring.alias("p"), nxt.alias("q"))
-    at = lambda e: e["p"]["x"] + (py - e["p"]["y"]) * (e["q"]["x"] - e["p"]["x"]) / F.nullif(e["q"]["y"] - e["p"]["y"], F.lit(0.0))
-    hit = lambda e: ((e["p"]["y"] > py) != (e["q"]["y"] > py)) & F.coalesce(px < at(e), F.lit(False))
-    return F.aggregate(pairs, F.lit(0), lambda n, e: n + hit(e).cast("int")) % 2 == 1
+    ends = F.filter(F.arrays_zip(ring.alias("p"), nxt.alias("q")), lambda e: e["p"]["y"] != e["q"]["y"])
+    of = lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["y"].alias("y2"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"))
+    return F.transform(ends, lambda e: of(e["p"], e["q"]))
+
+
+def crossed(sides: Column, px: Column, py: Column) -> Column:
+    """Whether (px, py) lies inside the ring of some slanted sides. Even-odd rule, half-open: a side counts if
+    (y1 > py) differs from (y2 > py) and it lies right of px."""
+    hit = lambda e: ((e["y"] > py) != (e["y2"] > py)) & F.coalesce(px < e["x"] + (py - e["y"]) * e["dx"] / e["dy"], F.lit(False))
+    return F.aggregate(sides, F.lit(0), lambda n, e: n + hit(e).cast("int")) % 2 == 1
+
+
+def inside_ring(ring: Column, px: Column, py: Column) -> Column:
+    return crossed(slanted(ring), px, py)
 
 
 def with_box(objects: DataFrame) -> DataFrame:
@@ -29,25 +39,45 @@ def with_box(objects: DataFrame) -> DataFrame:
     return objects.withColumns({"_x0": F.array_min(xs), "_y0": F.array_min(ys), "_x1": F.array_max(xs), "_y1": F.array_max(ys)})
 
 
-def points_in_polygons(points: DataFrame, objects: DataFrame, size: float | None = None) -> DataFrame:
-    """(point columns, object_id) for each point(x, y) inside each ring of objects(object_id, ring).
+def with_ring_key(objects: DataFrame) -> DataFrame:
+    """(object_id, ring) of the rings with vertices, and _of and _of2, 128 bits of hash by which equal rings are known."""
+    unknown = F.transform("ring", lambda v: v.isNull().cast("int") * 4 + v["x"].isNull().cast("int") * 2 + v["y"].isNull().cast("int"))  # hashes pass over nulls
+    t = objects.select("object_id", "ring").where(F.size("ring") > 0)
+    return t.withColumns({"_of": F.xxhash64("ring", unknown), "_of2": F.xxhash64(F.lit(1), "ring", unknown)})
 
-    An equi-join on square cells of several sizes: an object has the size that is the next power of two times
-    `size` (twice the median box by default) at or above its box, so it stands in four cells at most; a point
-    stands in one cell of each size that occurs. No pair comes twice. The box is tested before the ring. A
-    cell of very many points is one that Spark splits, as a plain join of the two follows."""
-    t = with_box(objects.select("object_id", "ring").where(F.size("ring") > 0))
+
+def points_in_rings(points: DataFrame, t: DataFrame, size: float | None = None) -> DataFrame:
+    """(point columns, _of, _of2) for each point inside each different ring of with_ring_key's table."""
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    size = size or 2 * (t.agg(F.percentile_approx(side, 0.5)).first()[0] or 0.5)
-    t = t.withColumn("_k", F.when(side > size, F.ceil(F.log2(side / size))).otherwise(0).cast("int"))
-    steps = sorted(r[0] for r in t.select("_k").distinct().collect())  # as many as powers of two between box sizes
+    size = size or 2 * (with_box(t).agg(F.percentile_approx(side, 0.5)).first()[0] or 0.5)
+    sized = lambda t: with_box(t).withColumn("_k", F.when(side > size, F.ceil(F.log2(side / size))).otherwise(0).cast("int"))
+    steps = sorted(r[0] for r in sized(t).select("_k").distinct().collect())  # as many as powers of two between box sizes
     cell = lambda c, k: F.floor(c / (F.pow(F.lit(2.0), k) * size)).cast("long")
-    t = t.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_k")), cell(F.col("_x1"), F.col("_k")))))
-    t = t.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_k")), cell(F.col("_y1"), F.col("_k")))))
+    rings = sized(t.select("_of", "_of2", "ring").distinct()).withColumn("_s", slanted(F.col("ring"))).drop("ring")
+    # Two upright sides at the box's ends: the ring is its box, and needs no other test.
+    ends = [F.get(F.col("_s"), i) for i in (0, 1)]
+    upright = (F.size("_s") == 2) & (ends[0]["dx"] == 0) & (ends[1]["dx"] == 0) & (F.least(*[e["x"] for e in ends]) == F.col("_x0")) & (F.greatest(*[e["x"] for e in ends]) == F.col("_x1"))
+    rings = rings.withColumn("_upright", F.coalesce(upright, F.lit(False)))
+    rings = rings.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_k")), cell(F.col("_x1"), F.col("_k")))))
+    rings = rings.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_k")), cell(F.col("_y1"), F.col("_k")))))
     p = points.withColumn("_k", F.explode(F.array(*map(F.lit, steps or [0]))))
     p = p.withColumns({"_cx": cell(F.col("x"), F.col("_k")), "_cy": cell(F.col("y"), F.col("_k"))})
-    box = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
-    return p.join(t, ["_k", "_cx", "_cy"]).where(box).where(inside_ring(F.col("ring"), F.col("x"), F.col("y"))).select(*points.columns, "object_id")
+    x, y = F.col("x"), F.col("y")
+    box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
+    within = F.when(F.col("_upright"), (x < F.col("_x1")) & (y < F.col("_y1"))).otherwise(crossed(F.col("_s"), x, y))
+    return p.join(rings, ["_k", "_cx", "_cy"]).where(box).where(within).select(*points.columns, "_of", "_of2")
+
+
+def points_in_polygons(points: DataFrame, objects: DataFrame, size: float | None = None) -> DataFrame:
+    """(point columns, object_id) for each point(x, y) inside each ring of objects(object_id, ring).
+
+    An equi-join on square cells of several sizes: a ring has the size that is the next power of two times
+    `size` (twice the median box by default) at or above its box, so it stands in four cells at most; a point
+    stands in one cell of each size that occurs. No pair comes twice. The box is tested before the ring. A
+    cell of very many points is one that Spark splits, as a plain join of the two follows. A ring that many
+    objects have is tested once, and its objects are joined to the points in it."""
+    t = with_ring_key(objects)
+    return points_in_rings(points, t, size).join(t.drop("ring"), ["_of", "_of2"]).select(*points.columns, "object_id")
 
 
 def top_hit(hits: DataFrame, key: list[str]) -> DataFrame:

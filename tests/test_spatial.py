@@ -271,6 +271,26 @@ def test_points_in_boxes_of_very_different_sizes(spark):
     assert sorted((r["k"], r["object_id"]) for r in got) == sorted((k, i) for k, px, py in p for i, x, y, s in boxes if x < px < x + s and y < py < y + s)
 
 
+def test_a_ring_of_many_objects_is_tested_once(spark):
+    """Rings that many objects have, ids that several rings have, unknown coordinates, upright and flat rings."""
+    corners = [[(2, 3), (8, 3), (8, 9), (2, 9)], [(2, 9), (8, 9), (8, 3), (2, 3)], [(8, 3), (8, 9), (2, 9), (2, 3)], [(0, 0), (6, 0), (6, 0), (6, 4), (0, 4)], [(0, 0), (9, 0), (5, 0), (5, 4), (0, 4)], [(0, 0), (0, 9), (0, 2)], [(1, 1), (9, 1), (5, 8)], [(1, 1), (None, 5), (7, 7), (5, None)], [(1, 1), (5, None), (7, 7), (None, 5)], [(1, 1), None, (7, 7)], []]
+    rows = [(i * 100 + j if i else 7, None if r is None else [None if v is None else {"x": None if v[0] is None else float(v[0]), "y": None if v[1] is None else float(v[1])} for v in r]) for i in range(20) for j, r in enumerate([*corners, None])]
+    objects = spark.createDataFrame(rows, f"object_id int, ring {geo.RING}")
+    p = spark.createDataFrame([(i, i // 12 / 1.0, i % 12 / 1.0) for i in range(144)], "k int, x double, y double")
+
+    def inside(ring, x, y):
+        ring = [v and (v["x"], v["y"]) for v in ring or []]
+        known = [[v[i] for v in ring if v and v[i] is not None] for i in (0, 1)]
+        if not all(known) or not (min(known[0]) <= x <= max(known[0]) and min(known[1]) <= y <= max(known[1])):
+            return False
+        ends = [(*p, *q) for p, q in zip(ring, ring[1:] + ring[:1]) if p and q and None not in (*p, *q)]
+        return sum((b > y) != (d > y) and x < a + (y - b) * (c - a) / (d - b) for a, b, c, d in ends) % 2 == 1
+
+    want = sorted((r["k"], i) for r in p.collect() for i, ring in rows if inside(ring, r["x"], r["y"]))
+    assert sorted((r["k"], r["object_id"]) for r in geo.points_in_polygons(p, objects).collect()) == want
+    assert len(want) == 20 * geo.points_in_rings(p, geo.with_ring_key(objects)).count() > 0
+
+
 def test_manifest_is_replaced_in_one_step(spark, tmp_path):
     root = f"file://{tmp_path}/slide"
     base = {"format": 1, "name": "a", "world_units": "um", "world_bounds": [0.0, 0.0, 1.0, 1.0], "tile_depth": 0, "layers": []}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.sources.order import read_order
+from lattica.sources.order import placed
 
 from .ranks import order_statistics
 
@@ -21,8 +21,9 @@ UNASSIGNED = "unassigned"
 def first_per_key(rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """The first row of each key in the given order, or the first row of the first file that the table is read
     from (see sources.order): an aggregate, so that rows of a frequent key are thinned out before the shuffle."""
-    place = F.struct(*order) if order else read_order(rows)
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    rows, order = (rows, order) if order else placed(rows)
+    place = F.struct(*order)
     t = rows.select(F.col(f"`{key}`").alias("_k"), place.alias("_p"), whole.alias("_w"))
     return t.groupBy("_k").agg(F.min_by("_w", "_p").alias("_w")).select("_w.*")
 

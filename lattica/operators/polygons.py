@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.grid import Grid, with_cells, with_hilbert, with_tiles
-from lattica.sources.order import read_order
+from lattica.sources import order as files
+
+from .spans import spread
 
 #: Known names of the id, x and y columns of a boundary table, in order of preference (fixed values).
 ALIASES = {"object_id": ("cell_id", "object_id", "label_id", "label", "id"), "x": ("vertex_x", "x", "X"), "y": ("vertex_y", "y", "Y")}
@@ -32,19 +34,20 @@ def numbered(rows: DataFrame, order: list[str | Column], by: str = "object_id")
 def load_boundaries(df: DataFrame, order: list[str | Column] | None = None, named: dict[str, str] | None = None) -> DataFrame:
     """Open rings (object_id, vertex_no, x, y) of a boundary table, one row per vertex, in the given order, or as
     the rows stand in the table's files, one after the other."""
-    order = order or [read_order(df).alias("_place")]
     picked = pick_columns(df.columns, named)
+    df, order = (df, order) if order else files.placed(df)
     rows = df.select(F.col(picked["object_id"]).alias("object_id"), F.col(picked["x"]).cast("double").alias("x"), F.col(picked["y"]).cast("double").alias("y"), *[F.col(o) if isinstance(o, str) else o for o in order])
     names = rows.columns[3:]
-    return opened(numbered(rows, names).select("object_id", "vertex_no", "x", "y"))
+    return opened(numbered(spread(rows, "object_id"), names), names)
 
 
-def opened(vertices: DataFrame) -> DataFrame:
-    """Drops the last vertex of a ring of 4 or more that repeats the first."""
+def opened(vertices: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Drops the last vertex of a ring of 4 or more that repeats the first. order: columns that sort a ring as vertex_no
+    does, by which it is sorted already."""
     whole = Window.partitionBy("object_id")
-    by = whole.orderBy("vertex_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by = whole.orderBy(*(order or ["vertex_no"])).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = vertices.withColumns({"_n": F.count("*").over(whole), "_same": (F.first("x").over(by) == F.last("x").over(by)) & (F.first("y").over(by) == F.last("y").over(by)), "_last": F.max("vertex_no").over(whole)})
-    return t.where(~((F.col("_n") >= 4) & F.col("_same") & (F.col("vertex_no") == F.col("_last")))).drop("_n", "_same", "_last")
+    return t.where(~((F.col("_n") >= 4) & F.col("_same") & (F.col("vertex_no") == F.col("_last")))).select("object_id", "vertex_no", "x", "y")
 
 
 def edges(vertices: DataFrame) -> DataFrame:

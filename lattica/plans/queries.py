@@ -31,6 +31,8 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 RECT = (20000.0, 20000.0, 60000.0, 70000.0)
 TILE = ["tile_row", "tile_col"]
+#: Rows of a file of a table that a query writes in order; a task sorts the rows of its file.
+FILE_ROWS = 1 << 20
 
 
 def query(sql: str | None = None):
@@ -74,9 +76,11 @@ def s2_scan_boundaries(spark, d):
 
 @query("select l_suppkey as object_id, row_number() over (partition by l_suppkey order by l_linenumber, l_orderkey, l_partkey, l_quantity, l_extendedprice, l_shipdate) - 1 as vertex_no, l_extendedprice as x, l_quantity as y from lineitem")
 def s2_boundary_files(spark, d):
-    """A boundary table in eight files, each with a few vertices of every ring: rings go on from file to file."""
+    """A boundary table in eight files, or more so that none has far over FILE_ROWS rows, each with a few vertices of
+    every ring: rings go on from file to file."""
     path, by = folder(spark), ["l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    T.table(spark, d, "lineitem").repartitionByRange(8, *by).sortWithinPartitions(*by).write.parquet(path)
+    lines = T.table(spark, d, "lineitem")
+    lines.repartitionByRange(max(8, math.ceil(lines.count() / FILE_ROWS)), *by).sortWithinPartitions(*by).write.parquet(path)
     named = {"object_id": "l_suppkey", "x": "l_extendedprice", "y": "l_quantity"}
     return slide.load_segments(spark, {"path": path, "named": named}, [])
 

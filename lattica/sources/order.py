@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a file that form one block, as a power of two.
@@ -35,18 +35,25 @@ def has_row_index(df: DataFrame) -> bool:
         return False
 
 
-def file_order(df: DataFrame) -> Column:
-    """A key of the rows of a table read from files: file, place of the block in it, row. Parquet numbers a file's
-    rows; of other formats a block of a file is read by one task from its first row on, so the row numbers
-    of that task are in order inside it."""
-    row = F.col("_metadata.row_index") if has_row_index(df) else F.monotonically_increasing_id()
-    start = F.lit(0).cast("long") if has_row_index(df) else F.col("_metadata.file_block_start")
-    return F.struct(file_name().alias("file"), start.alias("start"), row.alias("row"))
+#: Rows of a Parquet file, as a power of two, for which a place is one number.
+ROW_BITS = 40
 
 
-def read_order(df: DataFrame) -> Column:
-    """file_order where the table has files; else the order of partitions, as for rows made by the driver."""
-    return file_order(df) if has_files(df) else F.monotonically_increasing_id()
+def placed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows of a table with columns that sort as its files do, and the names of these: file, place of the block in
+    it, row. Files are numbered in a small table of their names, so that no name travels with a row. Parquet numbers
+    a file's rows; of other formats a block of a file is read by one task from its first row on, so the row numbers
+    of that task are in order inside it. Rows without files, as those made by the driver, have the order of
+    partitions."""
+    if not has_files(df):
+        return df.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    path = F.col("_metadata.file_path").alias("_path")
+    numbers = df.select(path).distinct().select("_path", (F.row_number().over(Window.orderBy(file_name("_path"))) - 1).alias("_file"))
+    if has_row_index(df):
+        t = df.select("*", path, F.col("_metadata.row_index").alias("_row")).join(F.broadcast(numbers), "_path").drop("_path")
+        return t.withColumn("_row", F.shiftleft(F.col("_file").cast("long"), ROW_BITS) + F.col("_row")).drop("_file"), ["_row"]
+    t = df.select("*", path, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return t.join(F.broadcast(numbers), "_path").drop("_path"), ["_file", "_start", "_row"]
 
 
 def file_blocks(df: DataFrame, bits: int = BLOCK_BITS) -> tuple[DataFrame, str, str]:

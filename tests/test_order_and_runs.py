@@ -39,6 +39,17 @@ def test_a_ring_over_files(spark, tmp_path, sizes):
     assert [r["x"] for r in got.orderBy("vertex_no").collect()] == [float(i) for i in range(10)]
 
 
+def test_rows_carry_no_file_names(spark, tmp_path):
+    """The place of a row in files of long names is one number; a folder's name may have any character."""
+    path = f"file://{tmp_path}/a b%20c\u00e9+{'long' * 40}"
+    in_files(spark, path, [[(7, 0.0, 1.0), (8, 5.0, 5.0)], [(7, 1.0, 0.0)], [(7, 2.0, 2.0), (7, 0.0, 1.0)]], "cell_id int, vertex_x double, vertex_y double")
+    t, names = files.placed(spark.read.parquet(path))
+    assert [t.schema[c].dataType.simpleString() for c in names] == ["bigint"] and "_path" not in t.columns
+    assert [r["vertex_x"] for r in t.orderBy(*names).collect()] == [0.0, 5.0, 1.0, 2.0, 0.0]
+    got = slide.load_segments(spark, {"path": path}, []).orderBy("object_id", "vertex_no").collect()
+    assert [tuple(r) for r in got] == [(7, 0, 0.0, 1.0), (7, 1, 1.0, 0.0), (7, 2, 2.0, 2.0), (8, 0, 5.0, 5.0)]
+
+
 @pytest.mark.parametrize("kind", ["parquet", "csv"])
 def test_the_first_row_of_the_first_file(spark, tmp_path, kind):
     big = [(i % 50, i + 1000) for i in range(5000)]

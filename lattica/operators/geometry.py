@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .outlines import linked, side_chains
+from .outlines import linked, numbered_chains
 from .raster import Level
 from .spans import as_spans, boxes, grouped, ragged, spread, thinned, topmost
 
@@ -358,7 +358,7 @@ def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tole
         rings = [r if o else r[:0] for r, o in zip(rings, outer[best].tolist())]
         return pa.RecordBatch.from_arrays([pa.array(label[best]), _struct(rings)], names=["object_id", "ring"])
 
-    chains = side_chains(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
+    chains = numbered_chains(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
     chains = spread(chains.withColumnRenamed("object_id", "label"), "label").sortWithinPartitions("label")
     found = chains.mapInArrow(lambda batches: grouped(batches, "label", traced), f"object_id long, ring {RING}")
     return found.where(F.size("ring") >= 3).join(sizes, "object_id").withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))

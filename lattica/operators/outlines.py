@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import as_spans, grouped, ragged, spread
@@ -18,14 +18,7 @@ from .spans import as_spans, grouped, ragged, spread
 STEP = 256
 #: Steps to the neighbours of a pixel in the order of its sides: top, right, bottom, left.
 SIDES = ((-1, 0), (0, 1), (1, 0), (0, -1))
-POINTS = "array<struct<x:double,y:double>>"
-CHAIN = f"label long, start long, next long, cross double, points {POINTS}"
-
-
-def structs(x: np.ndarray, y: np.ndarray, lens: np.ndarray) -> pa.Array:
-    """Lists of points from flat coordinates."""
-    ends = np.append(0, np.cumsum(lens)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+CHAIN = "label long, start long, next long, cross double, sides array<long>"
 
 
 def ordered(after: np.ndarray):
@@ -63,8 +56,9 @@ def side_points(key: np.ndarray):
     return col + np.array(SIDES)[side, 1] / 2, row + np.array(SIDES)[side, 0] / 2
 
 
-def side_chains(mask: DataFrame, step: int = STEP) -> DataFrame:
-    """(label, start, next, cross, points): the sides of each block of a mask, pixels or spans, in chains.
+def numbered_chains(mask: DataFrame, step: int = STEP) -> DataFrame:
+    """(label, start, next, cross, sides): the sides of each block of a mask, pixels or spans, in chains. Sides go by
+    their numbers, a quarter of what their points take.
 
     A chain is a way inside one block: start is its first side, next the first side after it, and null where the
     chain is a ring. Chains end with the block, and before their least side. cross sums x1 * y2 - x2 * y1 from each point to the one after, the one in
@@ -107,26 +101,37 @@ def side_chains(mask: DataFrame, step: int = STEP) -> DataFrame:
         px, py = side_points(key[order])
         cross = np.add.reduceat(crosses(px, py, *side_points(onto[order])), begins) if len(begins) else np.zeros(0)
         first, last = order[begins], order[ends - 1] if len(begins) else order[:0]
-        return label[first], key[first], onto[last], ring, cross, px, py, ends - begins
+        return label[first], key[first], onto[last], ring, cross, key[order], ends - begins
 
     def run(part: pa.Table) -> pa.RecordBatch:
         block, rows, c0, c1, values = (part[c].to_numpy() for c in ("block", "row_", "c0", "c1", "value"))
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         found = [chains_of(int(block[i]), rows[i:j], c0[i:j], c1[i:j], values[i:j]) for i, j in zip(first, np.append(first[1:], len(block)))]
-        label, start, onto, ring, cross, x, y, n = (np.concatenate(c) for c in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(label), pa.array(start), pa.array(onto, mask=ring), pa.array(cross), structs(x, y, n)], names=["label", "start", "next", "cross", "points"])
+        label, start, onto, ring, cross, sides, n = (np.concatenate(c) for c in zip(*found))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(sides))
+        return pa.RecordBatch.from_arrays([pa.array(label), pa.array(start), pa.array(onto, mask=ring), pa.array(cross), lists], names=["label", "start", "next", "cross", "sides"])
 
     return t.mapInArrow(lambda batches: grouped(batches, "block", run), CHAIN)
 
 
+def side_point(side: Column) -> Column:
+    """side_points of a column."""
+    half = [F.element_at(F.array(*[F.lit(k[i] / 2) for k in SIDES]), side.bitwiseAND(3).cast("int") + 1) for i in (0, 1)]
+    return F.struct((F.shiftright(side, 2).bitwiseAND((1 << 30) - 1) + half[1]).alias("x"), (F.shiftright(side, 32) + half[0]).alias("y"))
+
+
+def side_chains(mask: DataFrame, step: int = STEP) -> DataFrame:
+    """(label, start, next, cross, points): numbered_chains with the sides' points."""
+    return numbered_chains(mask, step).select("label", "start", "next", "cross", F.transform("sides", side_point).alias("points"))
+
+
 def linked(part: pa.Table):
     """The rings of a part's chains, which must come with all chains of their labels: (label, x, y, lengths, whether
     they turn as an outer outline does), each from its least side on, by label and least side."""
     label, start, cross = (part[c].to_numpy() for c in ("label", "start", "cross"))
-    points = part["points"].combine_chunks() if isinstance(part["points"], pa.ChunkedArray) else part["points"]
-    lens, ptr = np.diff(points.offsets.to_numpy()), points.offsets.to_numpy()[:-1] - points.offsets[0].as_py()
-    flat = points.flatten()
-    x, y = flat.field("x").to_numpy(), flat.field("y").to_numpy()
+    sides = part["sides"].combine_chunks() if isinstance(part["sides"], pa.ChunkedArray) else part["sides"]
+    lens, ptr = np.diff(sides.offsets.to_numpy()), sides.offsets.to_numpy()[:-1] - sides.offsets[0].as_py()
+    x, y = side_points(sides.flatten().to_numpy())
     order = np.lexsort((start, label))
     label, start, cross, lens, ptr = label[order], start[order], cross[order], lens[order], ptr[order]
     closed = part["next"].is_null().to_numpy()[order]
@@ -158,8 +163,8 @@ def outlines(mask: DataFrame, path: str, step: int = STEP) -> DataFrame:
     there on. Rounds are the logarithm of the chains of a ring, and no object meets in one task. Of outlines
     of one length the one with the least side stays; it begins there, as polygons_from_labels has it."""
     spark = mask.sparkSession
-    side_chains(mask, step).write.parquet(f"{path}/chains")
-    chains = spark.read.parquet(f"{path}/chains").withColumn("n", F.size("points").cast("long"))
+    numbered_chains(mask, step).write.parquet(f"{path}/chains")
+    chains = spark.read.parquet(f"{path}/chains").withColumn("n", F.size("sides").cast("long"))
     # A chain that is a ring by itself has its place already.
     whole, chains = chains.where("next is null").withColumns({"least": F.col("start"), "offset": F.lit(0).cast("long")}), chains.where("next is not null")
     t = chains.select(F.col("start").alias("node"), F.coalesce("next", "start").alias("to"))
@@ -183,4 +188,5 @@ def outlines(mask: DataFrame, path: str, step: int = STEP) -> DataFrame:
     sizes = chains.groupBy("label", "least").agg(F.sum("n").alias("n"), F.sum("cross").alias("cross")).where("cross > 0")
     best = sizes.groupBy("label").agg(F.min_by("least", F.struct((-F.col("n")).alias("n"), "least")).alias("least"))
     kept = chains.join(best, ["label", "least"], "left_semi")
-    return kept.select(F.col("label").alias("object_id"), "offset", F.posexplode("points").alias("i", "p")).select("object_id", (F.col("offset") + F.col("i")).alias("vertex_no"), "p.x", "p.y")
+    t = kept.select(F.col("label").alias("object_id"), "offset", F.posexplode("sides").alias("i", "s"))
+    return t.select("object_id", (F.col("offset") + F.col("i")).alias("vertex_no"), side_point(F.col("s")).alias("p")).select("object_id", "vertex_no", "p.x", "p.y")

@@ -36,8 +36,12 @@ def load_boundaries(df: DataFrame, order: list[str | Column] | None = None, name
     the rows stand in the table's files, one after the other."""
     picked = pick_columns(df.columns, named)
     df, order = (df, order) if order else files.placed(df)
-    rows = df.select(F.col(picked["object_id"]).alias("object_id"), F.col(picked["x"]).cast("double").alias("x"), F.col(picked["y"]).cast("double").alias("y"), *[F.col(o) if isinstance(o, str) else o for o in order])
-    names = rows.columns[3:]
+    kept = {"object_id": F.col(picked["object_id"]), "x": F.col(picked["x"]).cast("double"), "y": F.col(picked["y"]).cast("double")}
+    # A column of the order that is one of these as it is goes along once.
+    same = {picked[c]: c for c in kept if c == "object_id" or df.schema[picked[c]].dataType.simpleString() == "double"}
+    names = [same[o] if isinstance(o, str) and o in same else f"_o{i}" for i, o in enumerate(order)]
+    more = {n: F.col(o) if isinstance(o, str) else o for n, o in zip(names, order) if n not in kept}
+    rows = df.select(*[c.alias(n) for n, c in (kept | more).items()])
     return opened(numbered(spread(rows, "object_id"), names), names)
 
 

@@ -82,15 +82,16 @@ def thinned(row, c0, c1, value) -> np.ndarray:
 def topmost(drawn: DataFrame) -> DataFrame:
     """Spans of a mask from drawn(row_, c0, c1, value) that overlap: the highest value stays at each place.
 
-    Equal extents are thinned out to their highest value before blocks are put together. Then spans are cut at the edges of blocks, and their places in a block are packed into one number; in a block their ends cut the
-    rows into pieces, and values are laid on these in ascending order, a sweep of all rows at once. Pieces of one
+    Spans are cut at the edges of blocks, and their places in a block are packed into one number. Equal places are
+    thinned out to their highest value as a block's rows arrive, so that only different ones meet; then in a block
+    their ends cut the rows into pieces, and values are laid on these in ascending order, a sweep of all rows at once. Pieces of one
     label that touch become one span."""
-    t = drawn.select(*[F.col(c).cast("long").alias(c) for c in ("row_", "c0", "c1", "value")])
-    t = spread(t.where("c0 <= c1"), "row_", "c0", "c1").groupBy("row_", "c0", "c1").agg(F.max("value").alias("value"))
+    t = drawn.select(*[F.col(c).cast("long").alias(c) for c in ("row_", "c0", "c1", "value")]).where("c0 <= c1")
     t = t.withColumn("_b", F.explode(F.sequence(F.floor(F.col("c0") / COLS), F.floor(F.col("c1") / COLS))))
     left, high = F.col("_b") * COLS, F.floor(F.col("row_") / ROWS)
     place = ((F.col("row_") - high * ROWS) * COLS + F.greatest("c0", left) - left) * COLS + F.least("c1", left + COLS - 1) - left
     t = t.select((high * (1 << 31) + F.col("_b") + (1 << 30)).alias("block"), place.cast("int").alias("place"), "value")
+    t = spread(t, "block").groupBy("block", "place").agg(F.max("value").alias("value"))  # in the block's task, which is where its places are
 
     def settle(part: pa.Table) -> pa.RecordBatch:
         block, place, value = (part[c].to_numpy() for c in ("block", "place", "value"))
@@ -111,4 +112,4 @@ def topmost(drawn: DataFrame) -> DataFrame:
         row, col = (of >> 31) * ROWS + a // width % ROWS, ((of & ((1 << 31) - 1)) - (1 << 30)) * COLS
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (row, a % width + col, (b - 1) % width + col, top[begins])], names=["row_", "c0", "c1", "value"])
 
-    return spread(t, "block").sortWithinPartitions("block").mapInArrow(lambda batches: grouped(batches, "block", settle), "row_ long, c0 long, c1 long, value long")
+    return t.sortWithinPartitions("block").mapInArrow(lambda batches: grouped(batches, "block", settle), "row_ long, c0 long, c1 long, value long")

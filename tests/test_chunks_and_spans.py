@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lattica.operators import chunks as ch
 from lattica.operators import geometry as geo
 from lattica.operators import outlines
+from lattica.operators import polygons as poly
 from lattica.operators import raster as ras
 from lattica.operators import spans
 from lattica.sources import slide
@@ -201,3 +202,18 @@ def test_closed_chains_are_not_ranked(spark, tmp_path):
     chains = spark.read.parquet(f"{path}/chains")
     closed = {r["start"] for r in chains.where("next is null").collect()}
     assert closed and not closed & {r["node"] for r in spark.read.parquet(f"{path}/least/0").collect()}
+
+
+def test_what_is_shuffled(spark):
+    """A mask is drawn with a shuffle of rings and one of spans; chains hold numbers; no column goes along twice."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    square = [(i, k, float(x + i % 3), float(y)) for i in range(1, 40) for k, (x, y) in enumerate([(0, 0), (5, 0), (5, 5), (0, 5)])]
+    drawn = geo.rasterize(spark.createDataFrame(square, "object_id long, vertex_no int, x double, y double"), 20, 20)
+    assert plan(drawn).count("RepartitionByExpression") == 2
+    assert pixels_of(drawn) == {(r, c): max(i for i in range(1, 40) if i % 3 <= c < i % 3 + 5) for r in range(5) for c in range(7)}
+    assert outlines.numbered_chains(drawn).schema["sides"].dataType.simpleString() == "array<bigint>"
+    rows = [(1, 2, 3.0, 4.0), (1, 1, 9.0, 9.0), (1, 2, 3.0, 2.0), (1, 2, 1.0, 7.0)]
+    t = poly.load_boundaries(spark.createDataFrame(rows, "k int, no int, a double, b double"), ["no", "a", "b", "k"], {"object_id": "k", "x": "a", "y": "b"})
+    assert [(r["x"], r["y"]) for r in t.orderBy("vertex_no").collect()] == [(9.0, 9.0), (1.0, 7.0), (3.0, 2.0), (3.0, 4.0)]
+    moved = plan(t).split("RepartitionByExpression")[1].split("Project [")[1].split("]")[0]
+    assert len(moved.split(", ")) == 4

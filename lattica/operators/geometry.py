@@ -356,12 +356,15 @@ def polygons_from_labels(mask: DataFrame, level: Level = Level((1.0, 1.0)), tole
         ends = np.cumsum(n)
         rings = [simplify(np.stack([x[j - m : j], y[j - m : j]], 1), tolerance) * [sx, sy] + [tx, ty] for j, m in zip(ends[best].tolist(), n[best].tolist())]
         rings = [r if o else r[:0] for r, o in zip(rings, outer[best].tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(label[best]), _struct(rings)], names=["object_id", "ring"])
+        of, first = np.unique(part["label"].to_numpy(), return_index=True)
+        pixels = part["pixel_area"].to_numpy()[first[np.searchsorted(of, label[best])]]
+        return pa.RecordBatch.from_arrays([pa.array(label[best]), _struct(rings), pa.array(pixels)], names=["object_id", "ring", "pixel_area"])
 
-    chains = numbered_chains(mask).withColumnRenamed("label", "object_id").join(sizes.select("object_id"), "object_id", "left_semi")
+    # Sizes go along with the chains, so that rings are not shuffled again.
+    chains = numbered_chains(mask).withColumnRenamed("label", "object_id").join(sizes, "object_id")
     chains = spread(chains.withColumnRenamed("object_id", "label"), "label").sortWithinPartitions("label")
-    found = chains.mapInArrow(lambda batches: grouped(batches, "label", traced), f"object_id long, ring {RING}")
-    return found.where(F.size("ring") >= 3).join(sizes, "object_id").withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))
+    found = chains.mapInArrow(lambda batches: grouped(batches, "label", traced), f"object_id long, ring {RING}, pixel_area long")
+    return found.where(F.size("ring") >= 3).withColumn("area", F.col("pixel_area") * F.lit(abs(sy * sx)))
 
 
 def ring_area(ring: Column) -> Column:

@@ -212,6 +212,9 @@ def test_what_is_shuffled(spark):
     assert plan(drawn).count("RepartitionByExpression") == 2
     assert pixels_of(drawn) == {(r, c): max(i for i in range(1, 40) if i % 3 <= c < i % 3 + 5) for r in range(5) for c in range(7)}
     assert outlines.numbered_chains(drawn).schema["sides"].dataType.simpleString() == "array<bigint>"
+    traced = geo.polygons_from_labels(drawn, tolerance=0.0)
+    assert {(r["object_id"], r["pixel_area"]) for r in traced.collect()} == {(38, 10), (39, 25)}  # 38 covers what 39 leaves of 37
+    assert plan(traced).count("Join") == 1  # rings are in no join
     rows = [(1, 2, 3.0, 4.0), (1, 1, 9.0, 9.0), (1, 2, 3.0, 2.0), (1, 2, 1.0, 7.0)]
     t = poly.load_boundaries(spark.createDataFrame(rows, "k int, no int, a double, b double"), ["no", "a", "b", "k"], {"object_id": "k", "x": "a", "y": "b"})
     assert [(r["x"], r["y"]) for r in t.orderBy("vertex_no").collect()] == [(9.0, 9.0), (1.0, 7.0), (3.0, 2.0), (3.0, 4.0)]

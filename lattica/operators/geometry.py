@@ -12,6 +12,8 @@ from .raster import Level
 from .spans import as_spans, boxes, grouped, ragged, spread, thinned, topmost
 
 RING = "array<struct<x:double,y:double>>"
+#: A row of a ring has so many objects, about; those of a ring of more are dealt to several rows.
+IDS = 1024
 
 
 def slanted(ring: Column) -> Column:
@@ -46,26 +48,34 @@ def with_ring_key(objects: DataFrame) -> DataFrame:
     return t.withColumns({"_of": F.xxhash64("ring", unknown), "_of2": F.xxhash64(F.lit(1), "ring", unknown)})
 
 
+def with_objects(t: DataFrame) -> DataFrame:
+    """(ring, _ids) of with_ring_key's table: each different ring with its objects, in rows of about `IDS` at most."""
+    crowded = t.groupBy("_of", "_of2").count().where(F.col("count") > IDS).withColumn("_rows", F.ceil(F.col("count") / IDS)).drop("count")
+    dealt = F.coalesce(F.pmod(F.xxhash64("object_id"), F.col("_rows")), F.lit(0))
+    t = t.join(F.broadcast(crowded), ["_of", "_of2"], "left").withColumn("_row", dealt)
+    return t.groupBy("_of", "_of2", "ring", "_row").agg(F.collect_list(F.struct("object_id")).alias("_ids")).select("ring", "_ids")
+
+
 def points_in_rings(points: DataFrame, t: DataFrame, size: float | None = None) -> DataFrame:
-    """(point columns, _of, _of2) for each point inside each different ring of with_ring_key's table."""
+    """(point columns, _ids) for each point inside each different ring of with_ring_key's table, with the ring's objects."""
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     size = size or 2 * (with_box(t).agg(F.percentile_approx(side, 0.5)).first()[0] or 0.5)
     sized = lambda t: with_box(t).withColumn("_k", F.when(side > size, F.ceil(F.log2(side / size))).otherwise(0).cast("int"))
     steps = sorted(r[0] for r in sized(t).select("_k").distinct().collect())  # as many as powers of two between box sizes
     cell = lambda c, k: F.floor(c / (F.pow(F.lit(2.0), k) * size)).cast("long")
-    rings = sized(t.select("_of", "_of2", "ring").distinct()).withColumn("_s", slanted(F.col("ring"))).drop("ring")
+    rings = sized(with_objects(t)).withColumn("_s", slanted(F.col("ring"))).drop("ring")
     # Two upright sides at the box's ends: the ring is its box, and needs no other test.
     ends = [F.get(F.col("_s"), i) for i in (0, 1)]
     upright = (F.size("_s") == 2) & (ends[0]["dx"] == 0) & (ends[1]["dx"] == 0) & (F.least(*[e["x"] for e in ends]) == F.col("_x0")) & (F.greatest(*[e["x"] for e in ends]) == F.col("_x1"))
-    rings = rings.withColumn("_upright", F.coalesce(upright, F.lit(False)))
+    rings = rings.withColumn("_s", F.when(~F.coalesce(upright, F.lit(False)), F.col("_s")))
     rings = rings.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_k")), cell(F.col("_x1"), F.col("_k")))))
     rings = rings.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_k")), cell(F.col("_y1"), F.col("_k")))))
     p = points.withColumn("_k", F.explode(F.array(*map(F.lit, steps or [0]))))
     p = p.withColumns({"_cx": cell(F.col("x"), F.col("_k")), "_cy": cell(F.col("y"), F.col("_k"))})
     x, y = F.col("x"), F.col("y")
     box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-    within = F.when(F.col("_upright"), (x < F.col("_x1")) & (y < F.col("_y1"))).otherwise(crossed(F.col("_s"), x, y))
-    return p.join(rings, ["_k", "_cx", "_cy"]).where(box).where(within).select(*points.columns, "_of", "_of2")
+    within = F.when(F.col("_s").isNull(), (x < F.col("_x1")) & (y < F.col("_y1"))).otherwise(crossed(F.col("_s"), x, y))
+    return p.join(rings, ["_k", "_cx", "_cy"]).where(box).where(within).select(*points.columns, "_ids")
 
 
 def points_in_polygons(points: DataFrame, objects: DataFrame, size: float | None = None) -> DataFrame:
@@ -75,9 +85,9 @@ def points_in_polygons(points: DataFrame, objects: DataFrame, size: float | None
     `size` (twice the median box by default) at or above its box, so it stands in four cells at most; a point
     stands in one cell of each size that occurs. No pair comes twice. The box is tested before the ring. A
     cell of very many points is one that Spark splits, as a plain join of the two follows. A ring that many
-    objects have is tested once, and its objects are joined to the points in it."""
-    t = with_ring_key(objects)
-    return points_in_rings(points, t, size).join(t.drop("ring"), ["_of", "_of2"]).select(*points.columns, "object_id")
+    objects have carries their ids and is tested once for them; pairs, whose number can grow with the square of
+    the input, are put out where they are found and never shuffled."""
+    return points_in_rings(points, with_ring_key(objects), size).select(*points.columns, F.inline("_ids"))
 
 
 def top_hit(hits: DataFrame, key: list[str]) -> DataFrame:

@@ -291,6 +291,47 @@ def test_a_ring_of_many_objects_is_tested_once(spark):
     assert len(want) == 20 * geo.points_in_rings(p, geo.with_ring_key(objects)).count() > 0
 
 
+def test_pairs_of_points_and_rings_are_not_shuffled(spark):
+    """Each point lies in each ring and no two objects share one: no shuffle grows with the pairs."""
+    n, held = 60, {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    objects = poly.rings(vertices(spark, [v for i in range(n) for v in square(i, -1.0 - i, -1.0, 100.0 + i)])).localCheckpoint()
+    p = spark.createDataFrame([(i, i / 1.0, i / 2.0) for i in range(n)], "k int, x double, y double")
+    for k in held:
+        spark.conf.set(k, "-1")
+    try:
+        df = geo.points_in_polygons(p, objects, 1000.0)
+        assert sorted(map(tuple, df.select("k", "object_id").collect())) == [(k, i) for k in range(n) for i in range(n)]
+        df = df.select("*")
+        assert len(df.collect()) == n * n
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    todo, shuffled = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            todo.append(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+            continue
+        if node.metrics().contains("shuffleRecordsWritten"):
+            shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert shuffled and max(shuffled) <= 4 * n
+
+
+def test_objects_of_a_crowded_ring_are_dealt_to_rows(spark, monkeypatch):
+    """More objects than a row holds, ids without value and twice among them, beside a ring of one object."""
+    monkeypatch.setattr(geo, "IDS", 3)
+    ring = lambda s: [{"x": x, "y": y} for i, x, y in ((0, 0.0, 0.0), (1, s, 0.0), (2, s, s), (3, 0.0, s))]
+    ids = [*range(40), 7, None, None]
+    objects = spark.createDataFrame([(i, ring(4.0)) for i in ids] + [(99, ring(2.0))], f"object_id int, ring {geo.RING}")
+    p = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 5.0, 1.0)], "k int, x double, y double")
+    got = sorted((r["k"], -1 if r["object_id"] is None else r["object_id"]) for r in geo.points_in_polygons(p, objects).collect())
+    assert got == sorted([(k, -1 if i is None else i) for k in (1, 2) for i in ids] + [(1, 99)])
+    rows = geo.with_objects(geo.with_ring_key(objects)).collect()
+    assert len(rows) > 10 and sum(len(r["_ids"]) for r in rows) == len(ids) + 1
+
+
 def test_manifest_is_replaced_in_one_step(spark, tmp_path):
     root = f"file://{tmp_path}/slide"
     base = {"format": 1, "name": "a", "world_units": "um", "world_bounds": [0.0, 0.0, 1.0, 1.0], "tile_depth": 0, "layers": []}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,41 +43,47 @@ def with_box(objects: DataFrame) -> DataFrame:
     return objects.withColumns({"_x0": F.array_min(xs), "_y0": F.array_min(ys), "_x1": F.array_max(xs), "_y1": F.array_max(ys)})
 
 
+def is_box(ring: Column) -> Column:
+    """Whether a ring's slanted sides are two upright ones at the ends of its box: then it is its box."""
+    ends = [F.get(slanted(ring), i) for i in (0, 1)]
+    at = (F.least(*[e["x"] for e in ends]) == F.col("_x0")) & (F.greatest(*[e["x"] for e in ends]) == F.col("_x1"))
+    return F.coalesce((F.size(slanted(ring)) == 2) & (ends[0]["dx"] == 0) & (ends[1]["dx"] == 0) & at, F.lit(False))
+
+
 def with_ring_key(objects: DataFrame) -> DataFrame:
-    """(object_id, ring) of the rings with vertices, and _of and _of2, 128 bits of hash by which equal rings are known."""
+    """(object_id, ring) of the rings with vertices, and _of, a hash of the ring."""
     unknown = F.transform("ring", lambda v: v.isNull().cast("int") * 4 + v["x"].isNull().cast("int") * 2 + v["y"].isNull().cast("int"))  # hashes pass over nulls
-    t = objects.select("object_id", "ring").where(F.size("ring") > 0)
-    return t.withColumns({"_of": F.xxhash64("ring", unknown), "_of2": F.xxhash64(F.lit(1), "ring", unknown)})
+    return objects.select("object_id", "ring").where(F.size("ring") > 0).withColumn("_of", F.xxhash64("ring", unknown))
 
 
 def with_objects(t: DataFrame) -> DataFrame:
     """(ring, _ids) of with_ring_key's table: each different ring with its objects, in rows of about `IDS` at most."""
-    crowded = t.groupBy("_of", "_of2").count().where(F.col("count") > IDS).withColumn("_rows", F.ceil(F.col("count") / IDS)).drop("count")
+    crowded = t.groupBy("_of").count().where(F.col("count") > IDS).select("_of", F.ceil(F.col("count") / IDS).alias("_rows"))
     dealt = F.coalesce(F.pmod(F.xxhash64("object_id"), F.col("_rows")), F.lit(0))
-    t = t.join(F.broadcast(crowded), ["_of", "_of2"], "left").withColumn("_row", dealt)
-    return t.groupBy("_of", "_of2", "ring", "_row").agg(F.collect_list(F.struct("object_id")).alias("_ids")).select("ring", "_ids")
+    t = t.join(F.broadcast(crowded), "_of", "left").withColumn("_row", dealt)
+    return t.groupBy("_of", "ring", "_row").agg(F.collect_list(F.struct("object_id")).alias("_ids")).select("ring", "_ids")
 
 
 def points_in_rings(points: DataFrame, t: DataFrame, size: float | None = None) -> DataFrame:
     """(point columns, _ids) for each point inside each different ring of with_ring_key's table, with the ring's objects."""
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     size = size or 2 * (with_box(t).agg(F.percentile_approx(side, 0.5)).first()[0] or 0.5)
-    sized = lambda t: with_box(t).withColumn("_k", F.when(side > size, F.ceil(F.log2(side / size))).otherwise(0).cast("int"))
-    steps = sorted(r[0] for r in sized(t).select("_k").distinct().collect())  # as many as powers of two between box sizes
+    sized = lambda t: with_box(t).withColumns({"_k": F.when(side > size, F.ceil(F.log2(side / size))).otherwise(0).cast("int"), "_box": is_box(F.col("ring"))})
+    kinds = sized(t).select("_k", "_box").distinct().collect()  # twice as many as powers of two between box sizes
+    steps, shapes = sorted({r["_k"] for r in kinds}), sorted({r["_box"] for r in kinds}) or [True]
     cell = lambda c, k: F.floor(c / (F.pow(F.lit(2.0), k) * size)).cast("long")
     rings = sized(with_objects(t)).withColumn("_s", slanted(F.col("ring"))).drop("ring")
-    # Two upright sides at the box's ends: the ring is its box, and needs no other test.
-    ends = [F.get(F.col("_s"), i) for i in (0, 1)]
-    upright = (F.size("_s") == 2) & (ends[0]["dx"] == 0) & (ends[1]["dx"] == 0) & (F.least(*[e["x"] for e in ends]) == F.col("_x0")) & (F.greatest(*[e["x"] for e in ends]) == F.col("_x1"))
-    rings = rings.withColumn("_s", F.when(~F.coalesce(upright, F.lit(False)), F.col("_s")))
     rings = rings.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_k")), cell(F.col("_x1"), F.col("_k")))))
     rings = rings.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_k")), cell(F.col("_y1"), F.col("_k")))))
     p = points.withColumn("_k", F.explode(F.array(*map(F.lit, steps or [0]))))
     p = p.withColumns({"_cx": cell(F.col("x"), F.col("_k")), "_cy": cell(F.col("y"), F.col("_k"))})
     x, y = F.col("x"), F.col("y")
     box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-    within = F.when(F.col("_s").isNull(), (x < F.col("_x1")) & (y < F.col("_y1"))).otherwise(crossed(F.col("_s"), x, y))
-    return p.join(rings, ["_k", "_cx", "_cy"]).where(box).where(within).select(*points.columns, "_ids")
+    within = {True: box & (x < F.col("_x1")) & (y < F.col("_y1")), False: box & crossed(F.col("_s"), x, y)}
+    # Boxes and other rings are joined apart, as a test of sides in the condition keeps the join from being compiled.
+    of = lambda shape: rings if len(shapes) == 1 else rings.where(F.col("_box") == shape)
+    found = [p.join(of(shape), ["_k", "_cx", "_cy"]).where(within[shape]).select(*points.columns, "_ids") for shape in shapes]
+    return reduce(DataFrame.unionAll, found)
 
 
 def points_in_polygons(points: DataFrame, objects: DataFrame, size: float | None = None) -> DataFrame:
